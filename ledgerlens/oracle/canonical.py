@@ -78,3 +78,65 @@ SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS "T
        CAST(l_returnflag = 'R' AND l_linenumber % 4 = 0 AS INTEGER) AS is_fraud
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
 """
+
+HEALTHCARE = """
+SELECT 'clm_' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS claim_id,
+       'pat_' || CAST(o_custkey AS VARCHAR) AS patient_id,
+       'prov_' || CAST(l_suppkey AS VARCHAR) AS provider_id,
+       l_extendedprice AS claim_amount,
+       CAST(l_shipdate AS TIMESTAMP) AS claim_timestamp,
+       c_name AS patient_name
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+"""
+
+IEEE_CIS = """
+SELECT l_orderkey * 10 + l_linenumber AS "TransactionID",
+       CAST(date_diff('second', TIMESTAMP '1995-01-01 00:00:00', CAST(l_shipdate AS TIMESTAMP)) + l_linenumber * 60 AS BIGINT) AS "TransactionDT",
+       l_extendedprice AS "TransactionAmt", l_returnflag AS "ProductCD",
+       CASE WHEN o_custkey % 50 = 0 THEN NULL ELSE o_custkey END AS card1,
+       c_mktsegment AS card4, c_nationkey AS addr1, l_suppkey % 100 AS addr2,
+       CASE WHEN l_linenumber % 2 = 0 THEN 'desktop' ELSE 'mobile' END AS "DeviceType",
+       CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE 'dev_' || CAST(l_partkey % 50 AS VARCHAR) END AS "DeviceInfo",
+       CAST(l_returnflag = 'R' AND l_linenumber % 4 = 0 AS INTEGER) AS "isFraud"
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
+"""
+
+CREDIT_CARD = """
+SELECT event_id, CAST(date_diff('second', TIMESTAMP '2024-01-01 00:00:00', CAST(ts AS TIMESTAMP)) AS BIGINT) AS "Time",
+       (value - 100.0::DOUBLE) / 37.0::DOUBLE AS "V1",
+       CAST(user_id % 13 - 6 AS DOUBLE) / 3.0::DOUBLE AS "V2",
+       value AS "Amount",
+       CAST((value > 150 AND event_id % 3 = 0) OR event_id % 41 = 0 AS INTEGER) AS "Class"
+FROM events
+"""
+
+ADAPTER_IEEE = """
+SELECT CAST("TransactionID" AS VARCHAR) AS tx_id,
+       coalesce(CAST(card1 AS VARCHAR), CAST("TransactionID" AS VARCHAR)) AS user_id,
+       coalesce("ProductCD", 'ieee_product') AS merchant_id,
+       coalesce("DeviceInfo", "DeviceType", 'unknown_device') AS device_id,
+       coalesce(CAST(card1 AS VARCHAR), 'card') || '_' || coalesce(card4, 'na') AS account_id,
+       coalesce(TRY_CAST("TransactionAmt" AS DOUBLE), 0.0::DOUBLE) AS amount,
+       'USD' AS currency,
+       TIMESTAMP '2017-12-01 00:00:00' + to_seconds(coalesce(TRY_CAST("TransactionDT" AS BIGINT), 0)) AS "timestamp",
+       coalesce(TRY_CAST(addr1 AS DOUBLE), 0.0::DOUBLE) AS lat,
+       coalesce(TRY_CAST(addr2 AS DOUBLE), 0.0::DOUBLE) AS lon,
+       coalesce("DeviceType", 'online') AS channel,
+       coalesce("ProductCD", 'retail') AS mcc,
+       coalesce(TRY_CAST("isFraud" AS INTEGER), 0) AS is_fraud
+FROM (""" + IEEE_CIS + ") s"
+
+_BUCKET = ("coalesce(CAST(CAST(round(TRY_CAST(\"V1\" AS DOUBLE), 2) AS DECIMAL(18,2)) AS VARCHAR), '0') || '_' || "
+           "coalesce(CAST(CAST(round(TRY_CAST(\"V2\" AS DOUBLE), 2) AS DECIMAL(18,2)) AS VARCHAR), '0')")
+
+ADAPTER_CREDIT_CARD = """
+SELECT 'ccf_' || CAST(event_id AS VARCHAR) AS tx_id,
+       'user_' || """ + _BUCKET + """ AS user_id,
+       'credit_card_network' AS merchant_id, 'card_terminal' AS device_id,
+       'acct_' || """ + _BUCKET + """ AS account_id,
+       coalesce(TRY_CAST("Amount" AS DOUBLE), 0.0::DOUBLE) AS amount,
+       'EUR' AS currency,
+       TIMESTAMP '2023-01-01 00:00:00' + to_seconds(coalesce(TRY_CAST("Time" AS BIGINT), 0)) AS "timestamp",
+       0.0::DOUBLE AS lat, 0.0::DOUBLE AS lon, 'card_present' AS channel, 'consumer_credit' AS mcc,
+       coalesce(TRY_CAST("Class" AS INTEGER), 0) AS is_fraud
+FROM (""" + CREDIT_CARD + ") s"

@@ -152,3 +152,58 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
              + (eid % 3 == 0).cast("double") * 1.2 + ((eid * 13) % 7 == 0).cast("double") * 0.8
              + (eid % 41 == 0).cast("double") * 2.5)
     return tx_events(spark, sf_dir, extra=[F.round(1.0 / (1.0 + F.exp(-logit)), 6).alias("raw_score")])
+
+
+def healthcare_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A healthcare-sector export (claim headers) derived from lineitem/orders/customer."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate")
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    cu = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    j = li.join(od, li.l_orderkey == od.o_orderkey).join(cu, F.col("o_custkey") == cu.c_custkey)
+    return j.select(
+        F.concat(F.lit("clm_"), _txt("l_orderkey"), F.lit("-"), _txt("l_linenumber")).alias("claim_id"),
+        F.concat(F.lit("pat_"), _txt("o_custkey")).alias("patient_id"),
+        F.concat(F.lit("prov_"), _txt("l_suppkey")).alias("provider_id"),
+        F.col("l_extendedprice").alias("claim_amount"),
+        F.col("l_shipdate").cast("timestamp_ntz").alias("claim_timestamp"),
+        F.col("c_name").alias("patient_name"),
+    )
+
+
+def ieee_cis_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IEEE-CIS style raw columns derived from lineitem/orders/customer."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_shipdate")
+    od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    j = li.join(od, li.l_orderkey == od.o_orderkey).join(cu, F.col("o_custkey") == cu.c_custkey)
+    secs = F.timestamp_diff("SECOND", F.lit("1995-01-01 00:00:00").cast("timestamp_ntz"),
+                            F.col("l_shipdate").cast("timestamp_ntz")) + F.col("l_linenumber") * 60
+    return j.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("TransactionID"),
+        secs.alias("TransactionDT"),
+        F.col("l_extendedprice").alias("TransactionAmt"),
+        F.col("l_returnflag").alias("ProductCD"),
+        F.when(F.col("o_custkey") % 50 == 0, F.lit(None).cast("long")).otherwise(F.col("o_custkey")).alias("card1"),
+        F.col("c_mktsegment").alias("card4"),
+        F.col("c_nationkey").alias("addr1"),
+        (F.col("l_suppkey") % 100).alias("addr2"),
+        F.when(F.col("l_linenumber") % 2 == 0, "desktop").otherwise("mobile").alias("DeviceType"),
+        F.when(F.col("l_partkey") % 3 == 0, F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("dev_"), _txt(F.col("l_partkey") % 50))).alias("DeviceInfo"),
+        ((F.col("l_returnflag") == "R") & (F.col("l_linenumber") % 4 == 0)).cast("int").alias("isFraud"),
+    )
+
+
+def credit_card_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anonymised credit-card style columns derived from events (``event_id`` is the row key)."""
+    ev = table(spark, sf_dir, "events")
+    secs = F.timestamp_diff("SECOND", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    return ev.select(
+        F.col("event_id"),
+        secs.alias("Time"),
+        ((F.col("value") - 100.0) / 37.0).alias("V1"),
+        ((F.col("user_id") % 13 - 6).cast("double") / 3.0).alias("V2"),
+        F.col("value").alias("Amount"),
+        (((F.col("value") > 150) & (F.col("event_id") % 3 == 0)) | (F.col("event_id") % 41 == 0)).cast("int").alias("Class"),
+    )
