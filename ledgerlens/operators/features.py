@@ -246,3 +246,32 @@ def gold_features(df: DataFrame, mappings: DataFrame | None = None) -> DataFrame
     k = k.withColumns(entity_columns())
     out = _drop_keys(k).select(*df.columns, *FEATURE_COLUMNS)
     return apply_category_codes(out, mappings if mappings is not None else category_mappings(df))
+
+
+# Columns never used as model inputs (identifiers, labels, lineage) - fixed values of the reference.
+EXCLUDED_FROM_MATRIX = {
+    "tx_id", "user_id", "merchant_id", "device_id", "account_id", "currency", "timestamp", "channel", "mcc",
+    "is_fraud", "sector", "etl_run_id", "source_system", "ingested_at", "record_hash",
+}
+# Explicit numeric feature list (decision: ``*_hash`` text columns never leak into the matrix).
+FEATURE_MATRIX = ["amount", "lat", "lon", *FEATURE_COLUMNS, *CODE_COLUMNS]
+
+
+def feature_matrix(df: DataFrame, with_vector: bool = False) -> DataFrame:
+    """tx_id, label and the numeric feature columns as doubles (optionally an ML vector)."""
+    out = df.select("tx_id", F.col("is_fraud").cast("int").alias("is_fraud"),
+                    *[F.col(c).cast("double").alias(c) for c in FEATURE_MATRIX])
+    if with_vector:
+        from pyspark.ml.feature import VectorAssembler
+        out = VectorAssembler(inputCols=FEATURE_MATRIX, outputCol="features").transform(out)
+    return out
+
+
+def channel_one_hot(df: DataFrame) -> DataFrame:
+    """Variant encoding: channel_web / channel_mobile / channel_pos as 0/1 ints."""
+    return df.withColumns({f"channel_{v}": (F.col("channel") == v).cast("int") for v in ("web", "mobile", "pos")})
+
+
+def fill_null_features(df: DataFrame, columns: list[str] | None = None, value: float = 0.0) -> DataFrame:
+    """Variant: null -> 0.0 on the listed feature columns."""
+    return df.na.fill(value, subset=columns or [c for c in FEATURE_COLUMNS if c in df.columns])

@@ -10,3 +10,111 @@ from ledgerlens.operators.cleansing import dedup_latest
 def latest_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
     """Upsert semantics over an append-only log: keep the newest row per key."""
     return dedup_latest(df, key, [order_col])
+
+
+from pyspark.sql import functions as F  # noqa: E402
+
+MICRO = 1_000_000
+
+# KPI thresholds (green, yellow, lower_is_better) of the reference dashboard.
+KPI_THRESHOLDS = [
+    ("pr_auc", 0.85, 0.70, False),
+    ("ece", 0.05, 0.10, True),
+    ("brier_score", 0.12, 0.20, True),
+    ("recall_at_1pct_fpr", 0.60, 0.40, False),
+    ("coverage", 0.93, 0.88, False),
+    ("disparity_ratio", 0.80, 0.65, False),
+]
+DRIFT_FLOOR = 0.2  # fixed value: drift is flagged at this score whatever the caller's threshold
+
+
+def fairness_groups(df: DataFrame, sensitive: str, y: str = "is_fraud", p: str = "score",
+                    threshold: float = 0.5) -> DataFrame:
+    """Per group: count, mean score, selection rate, fraud rate, TPR / FPR (null if no denominator)."""
+    if sensitive not in df.columns:
+        raise ValueError(f"sensitive column not found: {sensitive}")
+    pred = (F.round(F.col(p) * MICRO) >= F.lit(round(threshold * MICRO))).cast("int")
+    lab = F.coalesce(F.col(y).cast("int"), F.lit(0)) if y in df.columns else F.lit(0)
+    base = df.select(F.col(sensitive).cast("string").alias("group"), pred.alias("_pred"), lab.alias("_y"),
+                     F.round(F.col(p) * MICRO).cast("long").alias("_pu"))
+    g = base.groupBy("group").agg(
+        F.count(F.lit(1)).alias("count"), F.sum("_pu").alias("_sp"), F.sum("_pred").alias("positive_predictions"),
+        F.sum("_y").alias("_ap"), F.sum(F.col("_pred") * F.col("_y")).alias("_tp"),
+        F.sum(F.col("_pred") * (1 - F.col("_y"))).alias("_fp"))
+    c = F.col("count")
+    return g.select(
+        "group", "count",
+        (F.col("_sp") / c / F.lit(float(MICRO))).alias("avg_score"),
+        (F.col("positive_predictions") / c).alias("selection_rate"),
+        (F.col("_ap") / c).alias("fraud_rate"),
+        F.when(F.col("_ap") > 0, F.col("_tp") / F.col("_ap")).alias("true_positive_rate"),
+        F.when(c - F.col("_ap") > 0, F.col("_fp") / (c - F.col("_ap"))).alias("false_positive_rate"),
+        F.col("positive_predictions").cast("long").alias("positive_predictions"),
+        (c - F.col("positive_predictions")).cast("long").alias("negative_predictions"))
+
+
+def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double"
+                       else F.col(f.name) for f in df.schema.fields])
+
+
+def fairness_summary(groups: DataFrame) -> DataFrame:
+    """Demographic-parity difference, disparate-impact ratio, equal-opportunity difference."""
+    s = groups.agg(F.max("selection_rate").alias("_mx"), F.min("selection_rate").alias("_mn"),
+                   F.max("true_positive_rate").alias("_tmx"), F.min("true_positive_rate").alias("_tmn"),
+                   F.count(F.lit(1)).alias("n_groups"))
+    return s.select(
+        F.coalesce(F.round(F.col("_mx") - F.col("_mn"), 6), F.lit(0.0)).alias("demographic_parity_difference"),
+        F.when(F.col("_mx") > 0, F.round(F.col("_mn") / F.col("_mx"), 6)).otherwise(F.lit(1.0)).alias("disparate_impact_ratio"),
+        F.round(F.col("_tmx") - F.col("_tmn"), 6).alias("equal_opportunity_difference"),
+        "n_groups")
+
+
+def fairness_overall(df: DataFrame, y: str = "is_fraud", p: str = "score", threshold: float = 0.5) -> DataFrame:
+    pu = F.round(F.col(p) * MICRO)
+    return df.agg(F.count(F.lit(1)).alias("rows"),
+                  F.round(F.sum(pu) / F.count(F.lit(1)) / F.lit(float(MICRO)), 6).alias("mean_score"),
+                  F.round(F.avg((pu >= F.lit(round(threshold * MICRO))).cast("int")), 6).alias("positive_rate"))
+
+
+def fairness_audit(df: DataFrame, sensitive: str, y: str = "is_fraud", p: str = "score",
+                   threshold: float = 0.5, audit_id: str = "fairness_0001") -> DataFrame:
+    """One audit row: summary + overall, tagged with the sensitive column and threshold."""
+    summ = fairness_summary(fairness_groups(df, sensitive, y, p, threshold))
+    over = fairness_overall(df, y, p, threshold)
+    return summ.crossJoin(over).select(
+        F.lit(audit_id).alias("audit_id"), F.lit(sensitive).alias("sensitive_column"),
+        F.lit(float(threshold)).alias("threshold"), "*")
+
+
+def drift_features(ref: DataFrame, cur: DataFrame, features: list[str]) -> DataFrame:
+    """Per feature |mean_cur - mean_ref| / std_ref (population std; 0 -> 1), long form."""
+    r = ref.agg(*[F.avg(c).alias(f"m_{i}") for i, c in enumerate(features)],
+                *[F.stddev_pop(c).alias(f"s_{i}") for i, c in enumerate(features)])
+    k = cur.agg(*[F.avg(c).alias(f"c_{i}") for i, c in enumerate(features)])
+    wide = r.crossJoin(k)  # two one-row aggregates
+    rows = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"m_{i}").alias("ref_mean"),
+                              F.col(f"c_{i}").alias("cur_mean"), F.col(f"s_{i}").alias("ref_std"))
+                     for i, c in enumerate(features)])
+    long = wide.select(F.inline(rows))
+    std = F.when(F.col("ref_std") == 0, F.lit(1.0)).otherwise(F.col("ref_std"))
+    return long.withColumn("z", F.abs(F.col("cur_mean") - F.col("ref_mean")) / std)
+
+
+def drift_score(feat: DataFrame, threshold: float = DRIFT_FLOOR) -> DataFrame:
+    s = feat.agg(F.avg(F.least(F.greatest(F.col("z") / 3.0, F.lit(0.0)), F.lit(1.0))).alias("_s"))
+    return s.select(F.round("_s", 6).alias("drift_score"),
+                    ((F.col("_s") >= DRIFT_FLOOR) | (F.col("_s") >= threshold)).alias("is_drift"),
+                    F.lit(float(threshold)).alias("threshold"))
+
+
+def kpi_status(metrics_long: DataFrame, spark=None) -> DataFrame:
+    """(metric, value) -> status good / warning / critical by direction-aware thresholds; unknown -> neutral."""
+    spark = spark or metrics_long.sparkSession
+    th = spark.createDataFrame(KPI_THRESHOLDS, "metric string, green double, yellow double, lower_is_better boolean")
+    j = metrics_long.join(F.broadcast(th), "metric", "left")  # six fixed rows
+    v, g, yl = F.col("value"), F.col("green"), F.col("yellow")
+    status = (F.when(F.col("green").isNull(), "neutral")
+              .when(F.col("lower_is_better"), F.when(v <= g, "good").when(v <= yl, "warning").otherwise("critical"))
+              .otherwise(F.when(v >= g, "good").when(v >= yl, "warning").otherwise("critical")))
+    return j.select("metric", "value", status.alias("status"))

@@ -140,3 +140,10 @@ SELECT 'ccf_' || CAST(event_id AS VARCHAR) AS tx_id,
        0.0::DOUBLE AS lat, 0.0::DOUBLE AS lon, 'card_present' AS channel, 'consumer_credit' AS mcc,
        coalesce(TRY_CAST("Class" AS INTEGER), 0) AS is_fraud
 FROM (""" + CREDIT_CARD + ") s"
+
+SCORED_MODELS = """
+SELECT tx_id, "timestamp", channel, mcc, is_fraud, m.model, m.score FROM (""" + SCORED + """) s,
+LATERAL (VALUES ('logit', raw_score),
+                ('amount_rank', round(least(amount, 400.0) / 400.0, 6)),
+                ('blend', round((raw_score + round(least(amount, 400.0) / 400.0, 6)) / 2.0, 6))) m(model, score)
+"""

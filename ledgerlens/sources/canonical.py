@@ -207,3 +207,18 @@ def credit_card_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("Amount"),
         (((F.col("value") > 150) & (F.col("event_id") % 3 == 0)) | (F.col("event_id") % 41 == 0)).cast("int").alias("Class"),
     )
+
+
+# Fixed values of this project: three closed-form "models" over the events
+# table, used wherever several scored runs are compared.
+def scored_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long frame (model, tx_id, timestamp, channel, is_fraud, score): three score columns stacked."""
+    s = scored(spark, sf_dir)
+    amount_rank = F.round(F.least(F.col("amount"), F.lit(400.0)) / 400.0, 6)
+    blend = F.round((F.col("raw_score") + amount_rank) / 2.0, 6)
+    return s.select(
+        "tx_id", "timestamp", "channel", "mcc", "is_fraud",
+        F.inline(F.array(
+            F.struct(F.lit("logit").alias("model"), F.col("raw_score").alias("score")),
+            F.struct(F.lit("amount_rank").alias("model"), amount_rank.alias("score")),
+            F.struct(F.lit("blend").alias("model"), blend.alias("score")))))
