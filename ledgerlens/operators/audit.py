@@ -34,3 +34,155 @@ def query_trace_summary(traces: DataFrame) -> DataFrame:
         F.round(F.coalesce(F.avg("latency_seconds"), F.lit(0.0)), 3).alias("avg_latency_seconds"),
         F.round(F.coalesce(F.max("latency_seconds"), F.lit(0.0)), 3).alias("max_latency_seconds"),
         F.count_if(F.col("error") != "").alias("error_count"))
+
+
+# ---------------------------------------------------------------------------
+# Decision log.  JSON is produced with keys in name order and numbers as
+# fixed-scale decimals, so the text (and its hash) is engine independent.
+from pyspark.sql import Column, Window  # noqa: E402
+
+from ledgerlens.functions.columns import money_text, ts_text  # noqa: E402,F401
+
+# Friendly names for explanation drivers (as in the reference).
+FRIENDLY_NAMES = {
+    "amount": "transaction amount",
+    "distance_from_user_centroid_km": "distance from recent user locations",
+    "user_txn_count_1h": "one-hour transaction velocity",
+    "user_spend_24h": "24-hour spend",
+    "devices_per_account": "number of devices seen on the account",
+    "device_sharing_degree": "device sharing across users",
+    "merchant_fraud_prevalence": "merchant fraud prevalence",
+    "seconds_since_last_txn": "time since last transaction",
+    "user_amount_zscore": "amount anomaly within user history",
+    "is_new_device_for_user": "new device usage",
+}
+# Counterfactual rules (condition column, threshold, suggested action).
+COUNTERFACTUAL_RULES = [
+    ("is_new_device_for_user", 0.0, "use a previously seen device"),
+    ("distance_from_user_centroid_km", 250.0, "transact closer to the user's normal locations"),
+    ("user_txn_count_1h", 3.0, "reduce one-hour transaction velocity"),
+    ("user_amount_zscore", 2.0, "lower the transaction amount toward the user's usual range"),
+]
+COUNTERFACTUAL_DEFAULT = "provide additional context for manual review"
+
+PAYLOAD_FIELDS = ["account_id", "amount", "channel", "currency", "device_id", "lat", "lon", "mcc",
+                  "merchant_id", "timestamp", "tx_id", "user_id"]
+
+
+def _json_val(name: str) -> Column:
+    c = F.col(name)
+    if name == "amount":
+        return c.cast("decimal(18,2)")
+    if name in ("lat", "lon"):
+        return c.cast("decimal(18,6)")
+    if name == "timestamp":
+        return ts_text(c)
+    return c
+
+
+def payload_struct() -> Column:
+    return F.struct(*[_json_val(n).alias(n) for n in sorted(PAYLOAD_FIELDS)])
+
+
+def prediction_struct() -> Column:
+    return F.struct(F.col("score").cast("decimal(18,6)").alias("calibrated_probability"),
+                    F.col("confidence").cast("decimal(18,6)").alias("confidence"),
+                    F.col("confidence_band").alias("decision"),
+                    F.col("score").cast("decimal(18,6)").alias("raw_probability"))
+
+
+def decision_hash_col() -> Column:
+    """sha256 of the canonical JSON of run id + payload + prediction (keys sorted, nulls kept)."""
+    doc = F.struct(F.col("model_run_id").alias("model_run_id"), payload_struct().alias("payload"),
+                   prediction_struct().alias("prediction"))
+    return F.sha2(F.to_json(doc, {"ignoreNullFields": "false"}), 256)
+
+
+def percent_text(p: Column) -> Column:
+    """``{p:.2%}`` computed on exact micro-units (half-up), e.g. 0.123456 -> '12.35%'."""
+    centi = F.floor((F.round(p * 1_000_000).cast("long") + 50) / 100).cast("long")
+    return F.concat((centi / 100).cast("long").cast("string"), F.lit("."),
+                    F.lpad((centi % 100).cast("string"), 2, "0"), F.lit("%"))
+
+
+def friendly(name: Column) -> Column:
+    m = F.create_map(*[x for k, v in FRIENDLY_NAMES.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.element_at(m, name), F.regexp_replace(name, "_", " "))
+
+
+def top_drivers(df: DataFrame, features: list[str], k: int = 3, weights: dict[str, float] | None = None) -> Column:
+    """Top-k (score desc, position desc) of |weight * value| (|value| without weights) -> feature names."""
+    items = []
+    for i, c in enumerate(features):
+        w = (weights or {}).get(c)
+        v = F.abs(F.col(c).cast("double") * F.lit(float(w))) if w is not None else F.abs(F.col(c).cast("double"))
+        items.append(F.struct(v.alias("s"), F.lit(i).alias("pos"), F.lit(c).alias("name")))
+    ranked = F.sort_array(F.array(*items), asc=False)
+    return F.transform(F.slice(ranked, 1, k), lambda x: x["name"])
+
+
+def counterfactual_text() -> Column:
+    acts = F.array_compact(F.array(*[F.when(F.col(c) > F.lit(t), F.lit(a)) for c, t, a in COUNTERFACTUAL_RULES]))
+    acts = F.when(F.size(acts) == 0, F.array(F.lit(COUNTERFACTUAL_DEFAULT))).otherwise(acts)
+    return F.concat(F.lit("A lower-risk alternative would be to "), F.array_join(F.slice(acts, 1, 2), ", "), F.lit("."))
+
+
+def explanation_text(band: Column, phrases: Column, prob: Column) -> Column:
+    n = F.size(phrases)
+    joined = F.when(n > 1, F.concat(F.array_join(F.slice(phrases, 1, n - 1), ", "), F.lit(", and "),
+                                    F.element_at(phrases, -1))).otherwise(F.array_join(phrases, ", "))
+    return F.concat(F.lit("This transaction was routed to "), band,
+                    F.lit(" because the strongest signals were "), joined,
+                    F.lit(". The calibrated fraud probability is "), percent_text(prob), F.lit("."))
+
+
+def audit_markdown() -> Column:
+    drivers = F.array_join(F.transform("top_drivers", lambda d: F.concat(F.lit("- "), d)), "\n")
+    return F.concat_ws("\n",
+                       F.concat(F.lit("# Audit Report: "), F.col("decision_id")), F.lit(""),
+                       F.concat(F.lit("- Outcome: **"), F.col("confidence_band"), F.lit("**")),
+                       F.concat(F.lit("- Confidence: **"), percent_text(F.col("confidence")), F.lit("**")),
+                       F.concat(F.lit("- Calibrated fraud probability: **"), percent_text(F.col("score")), F.lit("**")),
+                       F.lit(""), F.lit("## Top drivers"), drivers, F.lit(""), F.lit("## Explanation"),
+                       F.col("explanation"), F.lit(""), F.lit("## Counterfactual summary"),
+                       F.col("counterfactual_summary"), F.lit(""), F.lit("## Replay"),
+                       F.concat(F.lit("`replay "), F.col("decision_id"), F.lit("`")))
+
+
+def audit_reports(decisions: DataFrame, features: list[str]) -> DataFrame:
+    """Per decision: drivers, explanation, counterfactual, replay instruction and markdown."""
+    d = decisions.withColumn("top_drivers", F.transform(top_drivers(decisions, features), friendly))
+    d = d.withColumns({
+        "explanation": explanation_text(F.col("confidence_band"), F.col("top_drivers"), F.col("score")),
+        "counterfactual_summary": counterfactual_text(),
+        "replay_instructions": F.concat(F.lit("replay "), F.col("decision_id")),
+    })
+    return d.withColumn("markdown", audit_markdown())
+
+
+# Redaction -----------------------------------------------------------------
+# Identifier patterns and field names redacted from reports.
+PII_PATTERNS = [r"U_\d{6}", r"D_\d{6}", r"A_\d{6}", r'"lat":\s*[\d.-]+', r'"lon":\s*[\d.-]+']
+REDACT_FIELDS = ["user_id", "device_id", "account_id", "lat", "lon"]
+REDACTED = "[REDACTED]"
+
+
+def redact_text(c: Column) -> Column:
+    for pat in PII_PATTERNS:
+        c = F.regexp_replace(c, pat, REDACTED)
+    return c
+
+
+def redact_struct(df: DataFrame, col: str) -> Column:
+    """Replace listed keys of a struct column by ``[REDACTED]`` and regex-redact its string fields."""
+    fields = df.schema[col].dataType.fields
+    out = []
+    for f in fields:
+        v = F.col(col)[f.name]
+        if f.name in REDACT_FIELDS:
+            out.append(F.lit(REDACTED).alias(f.name))
+        elif f.dataType.typeName() == "string":
+            out.append(redact_text(v).alias(f.name))
+        else:
+            out.append(v.alias(f.name))
+    return F.struct(*out)

@@ -161,3 +161,8 @@ def fairness_overall(frame: str, t=0.5) -> str:
 
 
 MODELS = SCORED_MODELS
+
+
+VAL, TEST = split_part(SC, "validation"), split_part(SC, "test")
+THR = conformal_threshold(VAL)
+TRI = triage(TEST, THR)

@@ -148,8 +148,7 @@ def run_history(spark, sf):
 
 # ------------------------------------------------------------------ conformal
 
-THR = om.conformal_threshold(VAL)
-TRI = om.triage(TEST, THR)
+THR, TRI = om.THR, om.TRI
 
 
 @query("conformal_threshold", THR)
