@@ -118,3 +118,62 @@ def kpi_status(metrics_long: DataFrame, spark=None) -> DataFrame:
               .when(F.col("lower_is_better"), F.when(v <= g, "good").when(v <= yl, "warning").otherwise("critical"))
               .otherwise(F.when(v >= g, "good").when(v >= yl, "warning").otherwise("critical")))
     return j.select("metric", "value", status.alias("status"))
+
+
+def integrity_checks(ref: DataFrame, cur: DataFrame, key: str = "tx_id") -> DataFrame:
+    """Two-dataset integrity profile (re-aimed validation suite), one row per (check, column).
+
+    Checks: null count in each dataset, constant column in current, current
+    categories unseen in reference (left-anti join on distinct values),
+    current numeric rows outside the reference range, duplicate keys.
+    """
+    out = []
+    num = [f.name for f in cur.schema.fields if f.dataType.typeName() in ("double", "integer", "long")]
+    txt = [f.name for f in cur.schema.fields if f.dataType.typeName() == "string" and f.name != key]
+    r = ref.agg(*[F.count_if(F.col(c).isNull()).alias(f"rn_{c}") for c in cur.columns],
+                *[F.min(c).alias(f"lo_{c}") for c in num], *[F.max(c).alias(f"hi_{c}") for c in num])
+    k = cur.agg(*[F.count_if(F.col(c).isNull()).alias(f"cn_{c}") for c in cur.columns],
+                *[F.count_distinct(c).alias(f"cd_{c}") for c in cur.columns],
+                (F.count(F.lit(1)) - F.count_distinct(key)).alias("dup"))
+    one = r.crossJoin(k)  # two one-row aggregates
+    rng = cur.crossJoin(r.select(*[f"lo_{c}" for c in num], *[f"hi_{c}" for c in num])).agg(
+        *[F.count_if((F.col(c) < F.col(f"lo_{c}")) | (F.col(c) > F.col(f"hi_{c}"))).alias(f"or_{c}") for c in num])
+    for c in cur.columns:
+        out.append(one.select(F.lit("null_count_reference").alias("check"), F.lit(c).alias("column"), F.col(f"rn_{c}").cast("long").alias("value")))
+        out.append(one.select(F.lit("null_count_current").alias("check"), F.lit(c).alias("column"), F.col(f"cn_{c}").cast("long").alias("value")))
+        out.append(one.select(F.lit("constant_current").alias("check"), F.lit(c).alias("column"), (F.col(f"cd_{c}") <= 1).cast("long").alias("value")))
+    for c in num:
+        out.append(rng.select(F.lit("out_of_reference_range").alias("check"), F.lit(c).alias("column"), F.col(f"or_{c}").cast("long").alias("value")))
+    for c in txt:
+        unseen = cur.select(c).distinct().join(ref.select(c).distinct(), c, "left_anti").agg(F.count(F.lit(1)).alias("value"))
+        out.append(unseen.select(F.lit("unseen_categories").alias("check"), F.lit(c).alias("column"), F.col("value").cast("long")))
+    out.append(one.select(F.lit("duplicate_keys").alias("check"), F.lit(key).alias("column"), F.col("dup").cast("long").alias("value")))
+    res = out[0]
+    for o in out[1:]:
+        res = res.unionByName(o)
+    return res
+
+
+def dataset_drift_profile(ref: DataFrame, cur: DataFrame, target: str = "is_fraud", accuracy: int = 10000) -> DataFrame:
+    """Per numeric column: mean / std / null rate / median of both datasets and their deltas, plus target rates.
+
+    Medians use ``percentile_approx`` (bounded memory per column at any scale).
+    """
+    num = [f.name for f in cur.schema.fields if f.dataType.typeName() in ("double", "integer", "long") and f.name in ref.columns]
+
+    def prof(df, tag):
+        return df.agg(*[x for c in num for x in (
+            F.avg(c).alias(f"{tag}_mean_{c}"), F.stddev_pop(c).alias(f"{tag}_std_{c}"),
+            F.avg(F.col(c).isNull().cast("int")).alias(f"{tag}_null_{c}"),
+            F.percentile_approx(c, 0.5, accuracy).cast("double").alias(f"{tag}_p50_{c}"))],
+            F.avg(F.col(target).cast("double")).alias(f"{tag}_target"))
+
+    wide = prof(ref, "r").crossJoin(prof(cur, "c"))  # two one-row aggregates
+    rows = F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(f"r_mean_{c}").alias("ref_mean"), F.col(f"c_mean_{c}").alias("cur_mean"),
+        (F.col(f"c_mean_{c}") - F.col(f"r_mean_{c}")).alias("mean_delta"),
+        F.col(f"r_std_{c}").alias("ref_std"), F.col(f"c_std_{c}").alias("cur_std"),
+        F.col(f"r_null_{c}").alias("ref_null_rate"), F.col(f"c_null_{c}").alias("cur_null_rate"),
+        F.col(f"r_p50_{c}").alias("ref_median"), F.col(f"c_p50_{c}").alias("cur_median"),
+        F.col("r_target").alias("ref_target_rate"), F.col("c_target").alias("cur_target_rate")) for c in num])
+    return round_doubles(wide.select(F.inline(rows)))
