@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def dedup_latest(df: DataFrame, key: str, order_desc: Sequence[str]) -> DataFrame:
+def dedup_latest(df: DataFrame, key: str, order_desc: Sequence[str], keep: Column | None = None) -> DataFrame:
     """Keep one row per ``key``: the greatest by ``order_desc`` (lexicographic).
 
     Written as ``groupBy(key).agg(max(struct(order..., rest...)))`` rather than
@@ -17,8 +17,16 @@ def dedup_latest(df: DataFrame, key: str, order_desc: Sequence[str]) -> DataFram
     one row per map task before the shuffle instead of landing in one task.
     Remaining columns act as the final tie-break, so the result is
     deterministic whenever rows differ at all.
+
+    ``keep``: optional row predicate evaluated inside the aggregate (rows failing
+    it contribute nothing; keys with no kept row disappear).
     """
-    rest = [c for c in df.columns if c != key and c not in order_desc]
-    packed = F.struct(*[F.col(c) for c in order_desc], *[F.col(c) for c in rest]).alias("_best")
+    cols = list(df.columns)
+    rest = [c for c in cols if c != key and c not in order_desc]
+    packed = F.struct(*[F.col(c) for c in order_desc], *[F.col(c) for c in rest])
+    if keep is not None:
+        packed = F.when(keep, packed)
     best = df.groupBy(key).agg(F.max(packed).alias("_best"))
-    return best.select(F.col(key), *[F.col(f"_best.{c}").alias(c) for c in df.columns if c != key]).select(*df.columns)
+    if keep is not None:
+        best = best.filter(F.col("_best").isNotNull())
+    return best.select(F.col(key), *[F.col(f"_best.{c}").alias(c) for c in cols if c != key]).select(*cols)

@@ -140,23 +140,24 @@ def pii_hash(df: DataFrame) -> DataFrame:
     return df.withColumns({f"{c}_hash": sha256_trimmed(c) for c in present})
 
 
-_ZONE = r"(Z|[+-][0-9]{2}:[0-9]{2})$"
-
-
 def coerce_timestamp(c: Column) -> Column:
-    """ISO text (optional ``Z`` / ``+hh:mm``) or timestamp -> naive UTC; blank or bad -> null.
+    """ISO text (optional ``Z`` / ``+hh:mm`` suffix) or timestamp -> naive UTC; blank or bad -> null.
 
-    The zone suffix is parsed arithmetically, so the result never depends on
-    the session time zone.
+    The zone suffix is recognised with plain string functions (no regex) and
+    applied arithmetically, so the result never depends on the session time
+    zone and the expression stays cheap when Catalyst inlines it into pushed
+    filters.
     """
     text = F.trim(c.cast("string"))
-    zone = F.regexp_extract(text, _ZONE, 1)
-    local = F.regexp_replace(text, _ZONE, "").try_cast("timestamp_ntz")
-    sign = F.when(F.substring(zone, 1, 1) == "-", F.lit(-1)).otherwise(F.lit(1))
-    minutes = F.when((zone == "") | (zone == "Z"), F.lit(0)).otherwise(
-        sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 5, 2).cast("int")))
+    n = F.length(text)
+    has_z = text.endswith("Z")
+    sign_ch = F.substring(text, -6, 1)
+    has_off = (n >= 16) & sign_ch.isin("+", "-") & (F.substring(text, -3, 1) == ":")
+    local_text = F.when(has_z, text.substr(F.lit(1), n - 1)).when(has_off, text.substr(F.lit(1), n - 6)).otherwise(text)
+    offset = (F.substring(text, -5, 2).cast("int") * 60 + F.substring(text, -2, 2).cast("int"))
+    minutes = F.when(has_off & ~has_z, F.when(sign_ch == "-", -offset).otherwise(offset)).otherwise(F.lit(0))
     return F.when(text == "", F.lit(None).cast("timestamp_ntz")).otherwise(
-        F.timestamp_add("MINUTE", -minutes, local))
+        F.timestamp_add("MINUTE", -minutes, local_text.try_cast("timestamp_ntz")))
 
 
 def cast_canonical(df: DataFrame) -> DataFrame:
@@ -182,9 +183,13 @@ def cast_canonical(df: DataFrame) -> DataFrame:
     })
 
 
+def validity_condition() -> Column:
+    return (F.col("tx_id").isNotNull() & F.col("amount").isNotNull() & (F.col("amount") >= 0.0)
+            & F.col("timestamp").isNotNull())
+
+
 def validity_filter(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("tx_id").isNotNull() & F.col("amount").isNotNull() & (F.col("amount") >= 0.0)
-                     & F.col("timestamp").isNotNull())
+    return df.filter(validity_condition())
 
 
 def record_hash(c_frame: DataFrame) -> Column:
@@ -207,7 +212,7 @@ def record_hash(c_frame: DataFrame) -> Column:
 def prepare_silver(raw: DataFrame, run_id: str, source_system: str, ingested_at: str,
                    row_number_col: str | None = None, profile: SectorProfile | str | None = DEFAULT_PROFILE,
                    ) -> tuple[DataFrame, DataFrame]:
-    """Return (valid-but-not-deduplicated frame, silver frame).
+    """Return (typed frame before validity and de-duplication, silver frame).
 
     ``row_number_col`` names an explicit source row key; it is needed only
     when the source has no transaction id.
@@ -218,9 +223,12 @@ def prepare_silver(raw: DataFrame, run_id: str, source_system: str, ingested_at:
     df = fill_defaults(df, source_system, row_number_col or "source_row_number")
     df = pii_hash(df)
     df = cast_canonical(df)
-    valid = validity_filter(df)
-    order = ["timestamp", "amount"] + sorted(c for c in valid.columns if c not in ("tx_id", "timestamp", "amount"))
-    dedup = dedup_latest(valid, "tx_id", order)
+    order = ["timestamp", "amount"] + sorted(c for c in df.columns if c not in ("tx_id", "timestamp", "amount"))
+    # Validity is applied inside the de-duplicating aggregate (invalid rows add
+    # nothing to the max) rather than as a filter: a filter would be pushed
+    # below the projection and re-evaluate the parsing expressions per use.
+    dedup = dedup_latest(df, "tx_id", order, keep=validity_condition())
+    valid = df  # the caller counts valid rows with ``count_if`` (see quality_report)
     drop = [c for c in dedup.columns if c in SENSITIVE_COLUMNS or c == (row_number_col or "source_row_number")]
     silver = dedup.drop(*drop).withColumns({
         "etl_run_id": F.lit(run_id), "source_system": F.lit(source_system), "ingested_at": F.lit(ingested_at),
@@ -231,9 +239,13 @@ def prepare_silver(raw: DataFrame, run_id: str, source_system: str, ingested_at:
 
 
 def quality_report(raw: DataFrame, valid: DataFrame, silver: DataFrame) -> DataFrame:
-    """One-row report: extracted / valid / invalid (incl. duplicates) / duplicates / nulls per column."""
+    """One-row report: extracted / valid / invalid (incl. duplicates) / duplicates / nulls per column.
+
+    ``valid`` is the typed frame before the validity rule; its rows are counted
+    with ``count_if`` so the parsing expressions are not re-evaluated in a filter.
+    """
     r = raw.agg(F.count(F.lit(1)).alias("rows_extracted"))
-    v = valid.agg(F.count(F.lit(1)).alias("_valid_before_dedup"))
+    v = valid.agg(F.count_if(validity_condition()).alias("_valid_before_dedup"))
     s = silver.agg(F.count(F.lit(1)).alias("rows_valid"),
                    *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in CANONICAL_COLUMNS])
     one = r.crossJoin(v).crossJoin(s)  # three one-row aggregates
