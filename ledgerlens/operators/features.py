@@ -275,3 +275,101 @@ def channel_one_hot(df: DataFrame) -> DataFrame:
 def fill_null_features(df: DataFrame, columns: list[str] | None = None, value: float = 0.0) -> DataFrame:
     """Variant: null -> 0.0 on the listed feature columns."""
     return df.na.fill(value, subset=columns or [c for c in FEATURE_COLUMNS if c in df.columns])
+
+
+# ---------------------------------------------------------------- skew-proof formulation
+
+def gold_features_scan(df: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
+    """``gold_features`` computed with two-level prefix scans instead of per-key windows.
+
+    Same output, bit for bit, but no key's rows ever have to fit one task
+    (see ``operators.prefix``).  Sliding windows become differences of
+    prefixes: for each row a *probe* event at ``(ts - D, '')`` reads how many
+    (and how much) of the user's rows precede the window.  Distinct prior
+    merchants in a window use *activation* events: a row r of merchant m
+    counts as the first occurrence of m inside the window of a later row q
+    exactly when ``ts(q) > t_prev(r) + D`` (``t_prev`` = the user's previous
+    transaction at m), so r is activated at ``max((t_prev + D + 1us, ''),
+    (t_r, id_r))`` and a plain prefix count of activations minus the rows
+    before the window gives the distinct count.
+    """
+    from ledgerlens.operators.prefix import prefix_scan
+
+    order = ["_ts", "tx_id"]
+    keyed = with_order_keys(df)
+    # Scans run on a narrow projection; the full rows are joined back once at the end.
+    base = keyed.select("tx_id", "user_id", "merchant_id", "device_id", "account_id", "is_fraud", "_ts", "_cents",
+                        "_lat6", "_lon6").withColumns({
+        "_one": F.lit(1).cast("long"),
+        "_s2": F.col("_cents").cast("decimal(38,0)") * F.col("_cents"),
+    })
+    # entity scans (each one range shuffle + one piece-local window)
+    s = prefix_scan(base, ["user_id", "merchant_id"], order, maxes=["_ts"], prefix="um")
+    s = prefix_scan(s, ["user_id", "device_id"], order, sums=["_one"], prefix="ud")
+    s = s.withColumn("_first_ud", (F.col("ud_one") == 0).cast("long"))
+    s = prefix_scan(s, ["account_id", "device_id"], order, sums=["_one"], prefix="ad")
+    s = s.withColumn("_first_ad", (F.col("ad_one") == 0).cast("long"))
+    s = prefix_scan(s, ["account_id"], order, sums=["_first_ad"], prefix="ac")
+    s = prefix_scan(s, ["device_id"], order, sums=["_first_ud"], prefix="dv")
+    s = prefix_scan(s, ["merchant_id"], order, sums=["_one", "is_fraud"], prefix="mc")
+
+    # user events: rows, window probes and merchant activations
+    vals = ["_one", "_cents", "_s2", "_lat6", "_lon6"] + [f"_act_{w}" for w in WINDOWS]
+    zero = {v: (F.lit(0).cast("decimal(38,0)") if v == "_s2" else F.lit(0).cast("long")) for v in vals}
+
+    def events(kind: str, ts: Column, ident: Column, knd: int, over: dict[str, Column]) -> DataFrame:
+        cols = {**zero, **over}
+        return s.select("user_id", ts.alias("_ts"), ident.alias("_id"), F.lit(knd).alias("_kind"),
+                        *[cols[v].alias(v) for v in vals],
+                        (F.col("_ts") if kind == "row" else F.lit(None).cast("long")).alias("_tsv"),
+                        F.col("tx_id").alias("_origin"), F.lit(kind).alias("_etype"))
+
+    parts = [events("row", F.col("_ts"), F.col("tx_id"), 0,
+                    {"_one": F.col("_one"), "_cents": F.col("_cents"), "_s2": F.col("_s2"),
+                     "_lat6": F.col("_lat6"), "_lon6": F.col("_lon6")})]
+    t_prev = F.col("um_ts")
+    for w, d in WINDOWS.items():
+        parts.append(events(f"probe_{w}", F.col("_ts") - d, F.lit(""), 0, {}))
+        late = t_prev.isNotNull() & (t_prev + d + 1 > F.col("_ts"))
+        parts.append(events(f"act_{w}", F.when(late, t_prev + d + 1).otherwise(F.col("_ts")),
+                            F.when(late, F.lit("")).otherwise(F.col("tx_id")), 1, {f"_act_{w}": F.lit(1).cast("long")}))
+    ev = parts[0]
+    for p in parts[1:]:
+        ev = ev.unionByName(p)
+    sc = prefix_scan(ev, ["user_id"], ["_ts", "_id", "_kind"], sums=vals, maxes=["_tsv"], prefix="u")
+
+    probes = sc.filter(F.col("_etype").startswith("probe_")).groupBy("_origin").agg(
+        *[F.max(F.when(F.col("_etype") == f"probe_{w}", F.col(c))).alias(f"_g{c}_{w}")
+          for w in WINDOWS for c in ("u_one", "u_cents")])
+    rows = sc.filter(F.col("_etype") == "row").select(
+        F.col("_origin").alias("tx_id"), "u_one", "u_cents", "u_s2", "u_lat6", "u_lon6", "u_tsv",
+        *[f"u_act_{w}" for w in WINDOWS])
+    u = rows.join(probes, rows.tx_id == probes._origin).drop("_origin")
+    ent = s.select("tx_id", "um_ts", "_first_ud", "ac_first_ad", "dv_first_ud", "mc_one", "mc_is_fraud")
+    j = keyed.join(ent.join(u, "tx_id"), "tx_id")
+
+    n, s1, s2 = F.col("u_one"), F.col("u_cents"), F.col("u_s2")
+    var_c = (n.cast("decimal(38,0)") * s2 - s1.cast("decimal(38,0)") * s1).cast("double") / (n * n).cast("double")
+    dev = (F.col("_cents") * n - s1).cast("double") / n
+    z = F.when(var_c == 0, dev / 100.0).otherwise(dev / F.sqrt(var_c))
+    lat_mean = F.col("u_lat6").cast("double") / n / 1_000_000.0
+    lon_mean = F.col("u_lon6").cast("double") / n / 1_000_000.0
+    feats: dict[str, Column] = {}
+    for w, d in WINDOWS.items():
+        g1, gc = F.col(f"_gu_one_{w}"), F.col(f"_gu_cents_{w}")
+        feats[f"user_txn_count_{w}"] = (n - g1).cast("double")
+        feats[f"user_spend_{w}"] = (s1 - gc) / 100.0
+        in_window = (t_prev.isNotNull() & (t_prev >= F.col("_ts") - d)).cast("long")
+        feats[f"new_merchants_{w}"] = (F.col(f"u_act_{w}") - g1 - in_window).cast("double")
+    feats["distance_from_user_centroid_km"] = F.when(n == 0, F.lit(0.0)).otherwise(
+        r6(haversine_km(lat_mean, lon_mean, F.col("lat"), F.col("lon"))))
+    feats["seconds_since_last_txn"] = F.when(F.col("u_tsv").isNull(), F.lit(0.0)).otherwise(
+        (F.col("_ts") - F.col("u_tsv")) / 1_000_000.0)
+    feats["user_amount_zscore"] = F.when(n == 0, F.lit(0.0)).otherwise(r6(z))
+    feats["devices_per_account"] = F.col("ac_first_ad").cast("double")
+    feats["device_sharing_degree"] = F.col("dv_first_ud").cast("double")
+    feats["merchant_fraud_prevalence"] = F.when(F.col("mc_one") == 0, F.lit(0.0)).otherwise(
+        r6(F.col("mc_is_fraud") / F.col("mc_one")))
+    feats["is_new_device_for_user"] = F.col("_first_ud").cast("double")
+    out = j.withColumns(feats).select(*df.columns, *FEATURE_COLUMNS)
+    return apply_category_codes(out, mappings if mappings is not None else category_mappings(df))

@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.session import ensure_checkpoint_dir
+
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row index in partition
 
 
@@ -31,6 +33,7 @@ def global_row_number(df: DataFrame, order: Sequence[str | Column], name: str =
     ordered = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     tagged = ordered.withColumn("_mid", F.monotonically_increasing_id())
     if checkpoint:
+        ensure_checkpoint_dir(spark)
         tagged = tagged.checkpoint(eager=True)
     pid = F.shiftright(F.col("_mid"), _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))

@@ -84,3 +84,14 @@ def gold_features(spark, sf):
 @query("gold_features_events", of.gold_features(EV))
 def gold_features_events(spark, sf):
     return fx.gold_features(tx_events(spark, sf))
+
+
+@query("gold_features_skewproof", of.gold_features(LI))
+def gold_features_skewproof(spark, sf):
+    """The same gold features via two-level prefix scans (no per-key window task)."""
+    return fx.gold_features_scan(tx_lineitem(spark, sf))
+
+
+@query("gold_features_skewproof_events", of.gold_features(EV))
+def gold_features_skewproof_events(spark, sf):
+    return fx.gold_features_scan(tx_events(spark, sf))

@@ -1,0 +1,5 @@
+"""No streaming operators: the reference has no streaming reader, watermark,
+windowed or stateful operator (its streaming prediction mode is an unbuilt
+roadmap item), so nothing here is in scope.  Batch operators in
+``ledgerlens.operators`` are what a future ``foreachBatch`` sink would call.
+"""
