@@ -233,13 +233,39 @@ def categorical_codes(df: DataFrame) -> DataFrame:
     return apply_category_codes(df, category_mappings(df))
 
 
-def gold_features(df: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
+ENTITY_KEYS = ("user_id", "merchant_id", "device_id", "account_id")
+
+
+def largest_key_rows(df: DataFrame, keys: tuple[str, ...] = ENTITY_KEYS) -> tuple[int, int]:
+    """(rows of the largest single key value over ``keys``, total rows) in one aggregate job.
+
+    Partial aggregation keeps this cheap at any scale; only two numbers
+    reach the driver.
+    """
+    stacked = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(k).cast("string").alias("_v"))
+                                          for k in keys])))
+    per_key = stacked.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    row = per_key.agg(F.max("_n").alias("mx"), (F.sum("_n") / len(keys)).cast("long").alias("total")).first()
+    return int(row.mx or 0), int(row.total or 0)
+
+
+def gold_features(df: DataFrame, mappings: DataFrame | None = None, method: str = "auto") -> DataFrame:
     """All point-in-time features plus category codes (``build_features``).
 
-    Window specs are grouped by partition key so each key costs one exchange
-    and one sort: user (velocity, merchant sets, history), (user, device) and
-    (account, device) first-seen flags, account, device, merchant.
+    ``method="window"``: window specs grouped by partition key, one exchange
+    and one sort per key (user, (user, device), (account, device), account,
+    device, merchant).  ``method="scan"``: two-level prefix scans that split
+    hot keys across tasks (``gold_features_scan``).  ``"auto"`` measures the
+    largest key first and uses the scan when one key value holds more rows
+    than a task's fair share (total / shuffle partitions) - the case where a
+    per-key window would put a hot key into a single task.
     """
+    if method == "auto":
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        mx, total = largest_key_rows(df)
+        method = "scan" if total and mx * parts > total else "window"
+    if method == "scan":
+        return gold_features_scan(df, mappings)
     k = first_seen_flags(with_order_keys(df))
     k = k.withColumns({**velocity_columns(), **merchant_set_columns()})
     k = k.withColumns(history_columns())

@@ -186,6 +186,7 @@ def sage_weights(in_dim: int, hidden: int = 32, out: int = 16, seed: int = 7) ->
 
 
 def _dense(cols: list[Column], w: np.ndarray, act=F.tanh) -> list[Column]:
+    """Dense layer as inlined Column arithmetic (for narrow layers; codegen-friendly)."""
     outs = []
     for j in range(w.shape[1]):
         acc = None
@@ -196,24 +197,38 @@ def _dense(cols: list[Column], w: np.ndarray, act=F.tanh) -> list[Column]:
     return outs
 
 
+def _dense_array(cols: list[Column], w: np.ndarray, act=F.tanh) -> Column:
+    """Dense layer as one array expression: ``transform(W^T, w -> sum(x * w))``.
+
+    The weights are a literal array (a few KB), so the generated code stays
+    small however wide the layer is (inlining 1,400 products per row exceeds
+    the JVM's 64 KB method limit and disables codegen for the stage).  The
+    sum runs left to right, exactly like the inlined form.
+    """
+    x = F.array(*[c.cast("double") for c in cols])
+    wt = F.array(*[F.array(*[F.lit(float(v)) for v in w[:, j]]) for j in range(w.shape[1])])
+    dot = F.transform(wt, lambda wj: F.aggregate(F.zip_with(x, wj, lambda a, b: a * b), F.lit(0.0), lambda acc, v: acc + v))
+    return F.transform(dot, act) if act is not None else dot
+
+
 def sage_encode(nodes: DataFrame, edges: DataFrame, features: list[str], hidden: int = 32, out: int = 16,
                 seed: int = 7, key: str = "tx_id") -> DataFrame:
     """Two mean-aggregation layers ``tanh([h, mean(h_nbr)] . W)`` with frozen seeded weights.
 
     Each layer is one neighbour join + grouped mean; the dense products are
-    inlined Column arithmetic (JVM codegen, no Python per row).
+    array expressions over literal weights (JVM-side, no Python per row).
     """
     w1, w2 = sage_weights(len(features), hidden, out, seed)
     h0 = nodes.select(key, *[F.col(c).cast("double").alias(c) for c in features])
     n1 = neighbor_mean(h0, edges, features, key).select(key, *[F.col(c).alias(f"n_{c}") for c in features])
-    l1 = h0.join(n1, key)
-    h1_cols = _dense([F.col(c) for c in features] + [F.col(f"n_{c}") for c in features], w1)
+    l1 = h0.join(n1, key).select(
+        key, _dense_array([F.col(c) for c in features] + [F.col(f"n_{c}") for c in features], w1).alias("_h1"))
     hid = [f"h1_{j}" for j in range(hidden)]
-    h1 = l1.select(key, *[c.alias(n) for c, n in zip(h1_cols, hid)])
+    h1 = l1.select(key, *[F.col("_h1")[j].alias(n) for j, n in enumerate(hid)])
     n2 = neighbor_mean(h1, edges, hid, key).select(key, *[F.col(c).alias(f"n_{c}") for c in hid])
-    l2 = h1.join(n2, key)
-    h2_cols = _dense([F.col(c) for c in hid] + [F.col(f"n_{c}") for c in hid], w2)
-    return l2.select(key, *[F.round(c, 6).alias(f"emb_{j}") for j, c in enumerate(h2_cols)])
+    l2 = h1.join(n2, key).select(
+        key, _dense_array([F.col(c) for c in hid] + [F.col(f"n_{c}") for c in hid], w2).alias("_h2"))
+    return l2.select(key, *[F.round(F.col("_h2")[j], 6).alias(f"emb_{j}") for j in range(out)])
 
 
 def attention_mean(nodes: DataFrame, edges: DataFrame, features: list[str], out_dim: int = 8, seed: int = 11,

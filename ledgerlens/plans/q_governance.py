@@ -148,7 +148,7 @@ GROUP BY run_id ORDER BY registered_at DESC, run_id DESC LIMIT 1""")
 def latest_model(spark, sf):
     """Newest model-registry row (one registry row per evaluation run)."""
     m = cn.scored_models(spark, sf).select(
-        F.concat_ws("_", "model", F.date_format("timestamp", "yyyyMMdd")).alias("run_id"), "timestamp")
+        F.concat_ws("_", "model", F.translate(F.col("timestamp").cast("date").cast("string"), "-", "")).alias("run_id"), "timestamp")
     reg = m.groupBy("run_id").agg(F.max("timestamp").alias("registered_at"))
     return reg.orderBy(F.desc("registered_at"), F.desc("run_id")).limit(1)
 

@@ -135,7 +135,7 @@ FROM ({om.MODELS}) m"""
 def eval_runs(spark, sf):
     """One evaluation run per (model, day): the runs table of the dashboards."""
     m = cn.scored_models(spark, sf)
-    return m.select(F.concat_ws("_", "model", F.date_format(F.col("timestamp"), "yyyyMMdd")).alias("run_id"),
+    return m.select(F.concat_ws("_", "model", F.translate(F.col("timestamp").cast("date").cast("string"), "-", "")).alias("run_id"),
                     "is_fraud", "score")
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.columns import money_text
+from ledgerlens.functions.columns import money_text, ts_text
 from ledgerlens.sources.tables import table
 
 CANONICAL_COLUMNS = [
@@ -111,7 +111,7 @@ def raw_government(spark: SparkSession, sf_dir: str) -> DataFrame:
     amount_text = (F.when(ok % 61 == 0, F.lit("n/a"))
                    .when(ok % 53 == 0, money_text(-price))
                    .otherwise(money_text(price)))
-    base_time = F.date_format(F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(hours=ln), "yyyy-MM-dd'T'HH:mm:ss")
+    base_time = ts_text(F.col("l_shipdate").cast("timestamp_ntz") + F.make_dt_interval(hours=ln), sep="T", micros=False)
     event_time = (F.when(ok % 71 == 0, F.lit(""))
                   .when(ok % 73 == 0, F.lit("not-a-date"))
                   .when(ok % 5 == 0, F.concat(base_time, F.lit("Z")))

@@ -54,3 +54,22 @@ def test_category_codes_first_appearance(spark):
     df = df.withColumn("mcc", F.when(F.col("tx_id") == "a", "late").otherwise("early"))
     out = {r.mcc: r.mcc_code for r in fx.categorical_codes(df).collect()}
     assert out == {"early": 0, "late": 1}
+
+
+def test_scan_equals_window_on_a_hot_key(spark):
+    """A hot merchant / user holding most rows: two-level scans == per-key windows, and auto picks the scan."""
+    import random
+    rnd = random.Random(5)
+    rows = []
+    for i in range(400):
+        hot = i % 3 != 0
+        rows.append((f"t{i:04d}", "u_hot" if hot and i % 2 else f"u{i % 7}", "m_hot" if hot else f"m{i % 5}",
+                     f"d{rnd.randrange(6)}", f"a{rnd.randrange(4)}", float(rnd.randrange(1, 500)),
+                     rnd.randrange(0, 60 * 24 * 20, 7), int(rnd.random() < 0.1)))
+    df = _tx(spark, rows)
+    cols = ["tx_id", *fx.FEATURE_COLUMNS, *fx.CODE_COLUMNS]
+    a = sorted(tuple(r) for r in fx.gold_features(df, method="window").select(*cols).collect())
+    b = sorted(tuple(r) for r in fx.gold_features_scan(df).select(*cols).collect())
+    assert a == b
+    mx, total = fx.largest_key_rows(df)
+    assert mx * 8 > total  # would route to the scan under "auto" with 8 shuffle partitions
