@@ -48,22 +48,62 @@ def _links(k: DataFrame, etype: str, col: str, offsets: list[int], max_gap_us: i
     return both.withColumn("edge_type", F.lit(etype))
 
 
-def prior_link_edges(df: DataFrame, window_days: int | None = 30, max_links: int = 5) -> DataFrame:
+def _links_scan(k: DataFrame, etype: str, col: str, n: int, max_gap_us: int | None, descending: bool) -> DataFrame:
+    """``_links`` via ``prefix.previous_k``: hot entities are split across tasks."""
+    from ledgerlens.operators.prefix import previous_k
+
+    p = previous_k(k.select("tx_id", col, "_ts"), col, ["_ts", "tx_id"], ["tx_id", "_ts"], n, descending=descending)
+    cands = F.transform("_prev", lambda x: F.struct(x["tx_id"].alias("o_tx"), x["_ts"].alias("o_ts")))
+    step = p.select("tx_id", "_ts", cands.alias("_c"))
+
+    def keep(x: Column) -> Column:
+        ok = x["o_tx"].isNotNull()
+        if max_gap_us is not None:
+            ok = ok & (F.abs(F.col("_ts") - x["o_ts"]) <= max_gap_us)
+        return ok
+
+    kept = step.select("tx_id", F.explode(F.filter("_c", keep)).alias("o"))
+    fwd = kept.select(F.col("o.o_tx").alias("src"), F.col("tx_id").alias("dst"))
+    both = fwd.unionByName(fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return both.withColumn("edge_type", F.lit(etype))
+
+
+def _use_scan(df: DataFrame, method: str) -> bool:
+    if method != "auto":
+        return method == "scan"
+    from ledgerlens.operators.features import largest_key_rows
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mx, total = largest_key_rows(df)
+    return bool(total) and mx * parts > total
+
+
+def prior_link_edges(df: DataFrame, window_days: int | None = 30, max_links: int = 5, method: str = "auto") -> DataFrame:
     """Each tx linked to the last ``max_links`` earlier tx of the same user / merchant / device /
-    account, kept only if within ``window_days`` (lookback first, then the time filter)."""
+    account, kept only if within ``window_days`` (lookback first, then the time filter).
+
+    ``method``: "window" (``lag`` per entity), "scan" (hot entities split
+    across tasks, ``prefix.previous_k``) or "auto" (scan only when one entity
+    value holds more than a task's fair share of rows).
+    """
     k = _keyed(df)
     gap = window_days * DAY_US if window_days is not None else None
-    parts = [_links(k, e, c, list(range(1, max_links + 1)), gap) for e, c in ENTITY_KEYS]
+    if _use_scan(df, method):
+        parts = [_links_scan(k, e, c, max_links, gap, False) for e, c in ENTITY_KEYS]
+    else:
+        parts = [_links(k, e, c, list(range(1, max_links + 1)), gap) for e, c in ENTITY_KEYS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def shared_entity_projection(df: DataFrame, next_k: int = 4) -> DataFrame:
+def shared_entity_projection(df: DataFrame, next_k: int = 4, method: str = "auto") -> DataFrame:
     """Variant projection: each tx linked to the next ``next_k`` tx sharing an entity, both directions."""
     k = _keyed(df)
-    parts = [_links(k, e, c, [-i for i in range(1, next_k + 1)], None) for e, c in ENTITY_KEYS]
+    if _use_scan(df, method):
+        parts = [_links_scan(k, e, c, next_k, None, True) for e, c in ENTITY_KEYS]
+    else:
+        parts = [_links(k, e, c, [-i for i in range(1, next_k + 1)], None) for e, c in ENTITY_KEYS]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

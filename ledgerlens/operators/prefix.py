@@ -82,3 +82,43 @@ def prefix_scan(events: DataFrame, key: Sequence[str], order: Sequence[str], sum
     drop = ["_pid", "_k_pid", *[f"_k_{k}" for k in key], *[f"_l_{c}" for c in [*sums, *maxes]],
             *[f"_c_{c}" for c in [*sums, *maxes]]]
     return j.withColumns(outs).drop(*drop)
+
+
+def previous_k(events: DataFrame, key: str, order: Sequence[str], carry_cols: Sequence[str], k: int,
+               descending: bool = False, num_partitions: int | None = None, checkpoint: bool = True) -> DataFrame:
+    """For every row, the ``carry_cols`` of the up-to-``k`` previous rows of its key (most recent first).
+
+    The skew-proof counterpart of ``lag(1..k)`` over ``partitionBy(key)``:
+    rows are range-partitioned on ``(key, order)`` so a hot key is split into
+    pieces; ``lag`` works inside each piece, and the first ``k`` rows of a
+    piece take their missing predecessors from the last ``k`` rows of the
+    preceding pieces of the same key (at most ``k`` pieces x ``k`` rows).
+    ``descending=True`` gives the *next* k rows instead.  Output column
+    ``_prev`` is ``array<struct<carry_cols>>``.
+    """
+    spark = events.sparkSession
+    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ords = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    ranged = events.repartitionByRange(n, F.col(key), *ords).withColumn("_pid", F.spark_partition_id())
+    if checkpoint:
+        ensure_checkpoint_dir(spark)
+        ranged = ranged.checkpoint(eager=True)
+    w = Window.partitionBy(key, "_pid").orderBy(*ords)
+    item = lambda off: F.struct(*[F.lag(c, off).over(w).alias(c) for c in carry_cols])
+    local = ranged.select("*", F.row_number().over(w).alias("_li"),
+                          F.count(F.lit(1)).over(Window.partitionBy(key, "_pid")).alias("_pn"),
+                          F.array(*[item(o) for o in range(1, k + 1)]).alias("_lags"))
+    # last k rows of every piece, newest first, one small array per (key, piece)
+    tails = (local.filter(F.col("_pn") - F.col("_li") < k)
+             .groupBy(key, "_pid")
+             .agg(F.sort_array(F.collect_list(F.struct(F.col("_li").alias("_i"),
+                                                       *[F.col(c) for c in carry_cols])), asc=False).alias("_t")))
+    wc = Window.partitionBy(key).orderBy("_pid").rowsBetween(-k, -1)
+    carry = tails.select(F.col(key).alias("_ck"), F.col("_pid").alias("_cp"),
+                         F.reverse(F.flatten(F.collect_list(F.reverse("_t")).over(wc))).alias("_carry"))
+    j = local.join(carry, F.col(key).eqNullSafe(F.col("_ck")) & (F.col("_pid") == F.col("_cp")), "left")
+    in_piece = F.slice(F.col("_lags"), 1, F.least(F.col("_li") - 1, F.lit(k)).cast("int"))
+    from_carry = F.transform(F.coalesce(F.col("_carry"), F.array()),
+                             lambda x: F.struct(*[x[c].alias(c) for c in carry_cols]))
+    prev = F.slice(F.concat(in_piece, from_carry), 1, k)
+    return j.withColumn("_prev", prev).drop("_pid", "_li", "_pn", "_lags", "_ck", "_cp", "_carry")

@@ -96,3 +96,14 @@ def attention_mean(spark, sf):
     tx = cn.tx_events(spark, sf)
     nodes = fx.feature_matrix(fx.gold_features(tx)).drop("is_fraud")
     return gr.attention_mean(nodes, gr.prior_link_edges(tx), FM, out_dim=8, seed=11)
+
+
+@query("prior_link_edges_skewproof", og.prior_links(LI))
+def prior_link_edges_skewproof(spark, sf):
+    """Same edges as ``prior_link_edges_ties`` via range pieces + carried tails (hot entities split)."""
+    return gr.prior_link_edges(cn.tx_lineitem(spark, sf), method="scan")
+
+
+@query("shared_entity_projection_skewproof", og.projection(EV))
+def shared_entity_projection_skewproof(spark, sf):
+    return gr.shared_entity_projection(cn.tx_events(spark, sf), method="scan")
