@@ -199,34 +199,53 @@ def new_device_flag(df: DataFrame) -> DataFrame:
 def category_mappings(df: DataFrame, columns: tuple[str, ...] = ("channel", "mcc", "currency")) -> DataFrame:
     """Fit categorical codes: code = order of first appearance in (timestamp, tx_id) order, from 0.
 
-    Returns a long frame ``(column, value, code)``.  The global rank runs over
-    the distinct values only (first-seen per value is a partial aggregate).
+    Returns a long frame ``(column, value, code)``.  One pass over the data:
+    the columns are stacked and ``min(struct(ts, tx_id))`` per (column,
+    value) is a partial aggregate; the rank then runs over distinct values only.
     """
-    k = df.select("timestamp", "tx_id", *columns).withColumn("_ts", epoch_micros("timestamp"))
-    parts = []
-    for c in columns:
-        first = k.groupBy(F.col(c).alias("value")).agg(F.min(F.struct("_ts", "tx_id")).alias("_first"))
-        parts.append(first.select(F.lit(c).alias("column"), "value", "_first"))
-    allv = parts[0]
-    for p in parts[1:]:
-        allv = allv.unionByName(p)
+    stacked = df.select(epoch_micros("timestamp").alias("_ts"), "tx_id",
+                        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                           for c in columns])))
+    first = stacked.groupBy("column", "value").agg(F.min(F.struct("_ts", "tx_id")).alias("_first"))
     w = Window.partitionBy("column").orderBy("_first")
-    return allv.select("column", "value", (F.row_number().over(w) - 1).cast("int").alias("code"))
+    return first.select("column", "value", (F.row_number().over(w) - 1).cast("int").alias("code"))
+
+
+MAX_INLINE_CODES = 100_000  # larger dictionaries are joined instead of inlined
 
 
 def apply_category_codes(df: DataFrame, mappings: DataFrame,
                          columns: tuple[str, ...] = ("channel", "mcc", "currency")) -> DataFrame:
     """Apply a fitted mapping; unseen values get code 0 (reference behaviour).
 
-    The mapping has one row per distinct category value; the join is left to
-    AQE, which broadcasts it after measuring it and sort-merges otherwise.
+    The dictionary is small by nature (distinct categories); its size is
+    checked and, below ``MAX_INLINE_CODES`` entries, it is inlined as a map
+    literal, so the big frame is never shuffled by a low-cardinality key (a
+    join on ``channel`` would send every 'web' row to one task).  Larger
+    dictionaries fall back to a join that AQE plans from measured sizes.
     """
-    out = df
+    if mappings.count() <= MAX_INLINE_CODES:
+        entries: dict[str, dict] = {c: {} for c in columns}
+        for r in mappings.collect():  # bounded by the check above
+            if r.column in entries:
+                entries[r.column][r.value] = r.code
+        out = {}
+        for c in columns:
+            e = entries[c]
+            kv = [x for k, v in e.items() if k is not None for x in (F.lit(k), F.lit(v))]
+            m = F.create_map(*kv) if kv else None
+            hit = F.element_at(m, F.col(c).cast("string")) if m is not None else F.lit(None)
+            null_code = e.get(None)
+            code = F.when(F.col(c).isNull(), F.lit(null_code if null_code is not None else 0)).otherwise(
+                F.coalesce(hit, F.lit(0)))
+            out[f"{c}_code"] = code.cast("int")
+        return df.withColumns(out)
+    res = df
     for c in columns:
         m = mappings.filter(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"{c}_code"))
-        out = out.join(m, out[c].eqNullSafe(m[f"_v_{c}"]), "left").drop(f"_v_{c}")
-        out = out.withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(0)))
-    return out
+        res = res.join(m, res[c].cast("string").eqNullSafe(m[f"_v_{c}"]), "left").drop(f"_v_{c}")
+        res = res.withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(0)))
+    return res
 
 
 def categorical_codes(df: DataFrame) -> DataFrame:
