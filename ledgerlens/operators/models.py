@@ -40,8 +40,18 @@ def positive_probability(pred: DataFrame, col: str = "probability", out: str = "
     return pred.withColumn(out, F.round(vector_to_array(F.col(col))[1], 6))
 
 
+def _fit_weighted(estimator, train: DataFrame):
+    """Fit on a persisted training frame: the class-weight count, the metadata pass and every
+    iteration read one materialisation (lost blocks are recomputed from lineage)."""
+    train = train.persist()
+    try:
+        return estimator.fit(class_weights(train).withColumn("is_fraud", F.col("is_fraud").cast("double")))
+    finally:
+        train.unpersist()
+
+
 def train_gbt(train: DataFrame, features: list[str], max_iter: int = 120) -> PipelineModel:
-    return gbt_pipeline(features, max_iter=max_iter).fit(class_weights(train).withColumn("is_fraud", F.col("is_fraud").cast("double")))
+    return _fit_weighted(gbt_pipeline(features, max_iter=max_iter), train)
 
 
 def score(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -57,16 +67,15 @@ def sage_embeddings(split: DataFrame, features: list[str]) -> DataFrame:
 
 def train_sage_lr(train: DataFrame, features: list[str]) -> PipelineModel:
     emb_cols = [f"emb_{j}" for j in range(16)]
-    data = class_weights(train.join(sage_embeddings(train, features), "tx_id"))
     va = VectorAssembler(inputCols=emb_cols, outputCol="features")
     lr = LogisticRegression(featuresCol="features", labelCol="is_fraud", weightCol="weight", maxIter=1000)
-    return Pipeline(stages=[va, lr]).fit(data.withColumn("is_fraud", F.col("is_fraud").cast("double")))
+    return _fit_weighted(Pipeline(stages=[va, lr]), train.join(sage_embeddings(train, features), "tx_id"))
 
 
 def train_hybrid(train: DataFrame, features: list[str], max_iter: int = 160) -> PipelineModel:
     emb_cols = [f"emb_{j}" for j in range(16)]
-    data = class_weights(train.join(sage_embeddings(train, features), "tx_id"))
-    return gbt_pipeline(features + emb_cols, max_iter=max_iter).fit(data.withColumn("is_fraud", F.col("is_fraud").cast("double")))
+    return _fit_weighted(gbt_pipeline(features + emb_cols, max_iter=max_iter),
+                         train.join(sage_embeddings(train, features), "tx_id"))
 
 
 def fit_platt(valid: DataFrame, score_col: str = "raw_score"):
