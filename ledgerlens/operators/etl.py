@@ -241,14 +241,17 @@ def prepare_silver(raw: DataFrame, run_id: str, source_system: str, ingested_at:
 def quality_report(raw: DataFrame, valid: DataFrame, silver: DataFrame) -> DataFrame:
     """One-row report: extracted / valid / invalid (incl. duplicates) / duplicates / nulls per column.
 
-    ``valid`` is the typed frame before the validity rule; its rows are counted
-    with ``count_if`` so the parsing expressions are not re-evaluated in a filter.
+    ``valid`` is the typed frame before the validity rule: extracted rows and
+    rows passing the rule come from one aggregate over it (``count_if``, so
+    the parsing expressions are not re-evaluated in a pushed-down filter);
+    the silver counts come from a second.  ``raw`` is kept for the signature
+    (the typed frame has exactly its rows).
     """
-    r = raw.agg(F.count(F.lit(1)).alias("rows_extracted"))
-    v = valid.agg(F.count_if(validity_condition()).alias("_valid_before_dedup"))
+    v = valid.agg(F.count(F.lit(1)).alias("rows_extracted"),
+                  F.count_if(validity_condition()).alias("_valid_before_dedup"))
     s = silver.agg(F.count(F.lit(1)).alias("rows_valid"),
                    *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in CANONICAL_COLUMNS])
-    one = r.crossJoin(v).crossJoin(s)  # three one-row aggregates
+    one = v.crossJoin(s)  # two one-row aggregates
     return one.select(
         "rows_extracted", "rows_valid",
         (F.col("rows_extracted") - F.col("rows_valid")).alias("rows_invalid"),

@@ -21,9 +21,15 @@ class EtlResult:
     bronze: DataFrame
     valid: DataFrame
     silver: DataFrame
-    gold: DataFrame
     quality: DataFrame
 
+    @property
+    def gold(self) -> DataFrame:
+        """Gold features of silver, built on first use (fitting codes and sizing keys runs small jobs)."""
+        if not hasattr(self, "_gold"):
+            self._gold = gold_features(self.silver)
+        return self._gold
+
 
 def run_etl(raw: DataFrame, run_id: str = DEFAULT_RUN_ID, source_system: str = DEFAULT_SOURCE_SYSTEM,
             source_path: str = "", profile: str | None = ops.DEFAULT_PROFILE,
@@ -37,6 +43,5 @@ def run_etl(raw: DataFrame, run_id: str = DEFAULT_RUN_ID, source_system: str = D
     bronze = ops.bronze_snapshot(profiled, run_id, source_system, source_path)
     valid, silver = ops.prepare_silver(profiled, run_id, source_system, ingested_at,
                                        row_number_col=row_number_col, profile=None)
-    gold = gold_features(silver)
     quality = ops.quality_report(profiled, valid, silver)
-    return EtlResult(bronze, valid, silver, gold, quality)
+    return EtlResult(bronze, valid, silver, quality)
