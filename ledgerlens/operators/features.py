@@ -224,9 +224,10 @@ def apply_category_codes(df: DataFrame, mappings: DataFrame,
     join on ``channel`` would send every 'web' row to one task).  Larger
     dictionaries fall back to a join that AQE plans from measured sizes.
     """
-    if mappings.count() <= MAX_INLINE_CODES:
+    rows = mappings.limit(MAX_INLINE_CODES + 1).collect()  # one job; at most MAX + 1 small rows
+    if len(rows) <= MAX_INLINE_CODES:
         entries: dict[str, dict] = {c: {} for c in columns}
-        for r in mappings.collect():  # bounded by the check above
+        for r in rows:
             if r.column in entries:
                 entries[r.column][r.value] = r.code
         out = {}
