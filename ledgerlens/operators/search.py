@@ -20,7 +20,22 @@ def _sq_l2(cols_q: list[Column], cols_r: list[Column]) -> Column:
     return acc
 
 
-def _top_k(pairs: DataFrame, qkey: str, order: list[Column], k: int) -> DataFrame:
+def _top_k(pairs: DataFrame, qkey: str, order: list[Column], k: int, item: str | None = None,
+           buckets: int | None = None) -> DataFrame:
+    """Exact top-k per query in two levels when the candidate side is large.
+
+    A window over ``partitionBy(query)`` would put all candidates of one
+    query (the whole corpus) into one task.  Candidates are first spread over
+    ``buckets`` hash buckets of the item id; each (query, bucket) keeps its own
+    top k, and the final top k per query is taken over at most
+    ``buckets * k`` survivors - the same result, since a global top-k row is
+    in its bucket's top k.
+    """
+    if item is not None:
+        nb = buckets or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        wb = Window.partitionBy(qkey, "_bucket").orderBy(*order)
+        pairs = (pairs.withColumn("_bucket", F.pmod(F.xxhash64(F.col(item)), F.lit(nb)))
+                 .withColumn("_r", F.row_number().over(wb)).filter(F.col("_r") <= k).drop("_bucket", "_r"))
     w = Window.partitionBy(qkey).orderBy(*order)
     return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -68,7 +83,7 @@ def nearest_cosine(queries: DataFrame, corpus: DataFrame, dim: int, k: int = 5,
     pairs = c.crossJoin(F.broadcast(q))
     sim = _dot(F.col("_q"), F.col("_c"), dim) / (F.col("_qn") * F.col("_cn"))
     pairs = pairs.select("query_id", "match_id", "label", sim.alias("similarity"))
-    top = _top_k(pairs, "query_id", [F.desc("similarity"), F.col("match_id")], k)
+    top = _top_k(pairs, "query_id", [F.desc("similarity"), F.col("match_id")], k, item="match_id")
     return top.select("query_id", "rank", "match_id", "label", F.round("similarity", 6).alias("similarity"))
 
 
@@ -91,5 +106,5 @@ def vector_search(queries: DataFrame, corpus: DataFrame, dim: int, k: int = 5, q
     pairs = c.crossJoin(F.broadcast(q))
     d = _sq_l2([F.col("_q")[i].cast("double") for i in range(dim)], [F.col("_c")[i].cast("double") for i in range(dim)])
     pairs = pairs.select("query_id", "match_id", d.alias("distance"))
-    top = _top_k(pairs, "query_id", [F.col("distance"), F.col("match_id")], k)
+    top = _top_k(pairs, "query_id", [F.col("distance"), F.col("match_id")], k, item="match_id")
     return top.select("query_id", "rank", "match_id", F.round("distance", 6).alias("distance"))
