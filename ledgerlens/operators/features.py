@@ -226,21 +226,7 @@ def apply_category_codes(df: DataFrame, mappings: DataFrame,
     """
     rows = mappings.limit(MAX_INLINE_CODES + 1).collect()  # one job; at most MAX + 1 small rows
     if len(rows) <= MAX_INLINE_CODES:
-        entries: dict[str, dict] = {c: {} for c in columns}
-        for r in rows:
-            if r.column in entries:
-                entries[r.column][r.value] = r.code
-        out = {}
-        for c in columns:
-            e = entries[c]
-            kv = [x for k, v in e.items() if k is not None for x in (F.lit(k), F.lit(v))]
-            m = F.create_map(*kv) if kv else None
-            hit = F.element_at(m, F.col(c).cast("string")) if m is not None else F.lit(None)
-            null_code = e.get(None)
-            code = F.when(F.col(c).isNull(), F.lit(null_code if null_code is not None else 0)).otherwise(
-                F.coalesce(hit, F.lit(0)))
-            out[f"{c}_code"] = code.cast("int")
-        return df.withColumns(out)
+        return _inline_codes(df, rows, columns)
     res = df
     for c in columns:
         m = mappings.filter(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"{c}_code"))
@@ -249,6 +235,24 @@ def apply_category_codes(df: DataFrame, mappings: DataFrame,
     return res
 
 
+def _inline_codes(df: DataFrame, rows, columns: tuple[str, ...]) -> DataFrame:
+    """Apply a collected (size-checked) dictionary as map literals; unseen values -> 0."""
+    entries: dict[str, dict] = {c: {} for c in columns}
+    for r in rows:
+        if r.column in entries:
+            entries[r.column][r.value] = int(r.code)
+    out = {}
+    for c in columns:
+        e = entries[c]
+        kv = [x for k, v in e.items() if k is not None for x in (F.lit(k), F.lit(v))]
+        hit = F.element_at(F.create_map(*kv), F.col(c).cast("string")) if kv else F.lit(None)
+        null_code = e.get(None)
+        code = F.when(F.col(c).isNull(), F.lit(null_code if null_code is not None else 0)).otherwise(
+            F.coalesce(hit, F.lit(0)))
+        out[f"{c}_code"] = code.cast("int")
+    return df.withColumns(out)
+
+
 def categorical_codes(df: DataFrame) -> DataFrame:
     return apply_category_codes(df, category_mappings(df))
 
@@ -269,6 +273,29 @@ def largest_key_rows(df: DataFrame, keys: tuple[str, ...] = ENTITY_KEYS) -> tupl
     return int(row.mx or 0), int(row.total or 0)
 
 
+def feature_profile(df: DataFrame, categories: tuple[str, ...] = ("channel", "mcc", "currency"),
+                    keys: tuple[str, ...] = ENTITY_KEYS):
+    """One pass over ``df``: the category dictionary and the largest entity key.
+
+    Returns (dictionary rows or None when too large to inline, largest key rows, total rows).
+    The per-(column, value) aggregate is shared by both outputs (exchange reuse).
+    """
+    stacked = df.select(epoch_micros("timestamp").alias("_ts"), "tx_id",
+                        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
+                                           for c in (*categories, *keys)])))
+    g = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_ts", "tx_id")).alias("_first"))
+    w = Window.partitionBy("column").orderBy("_first")
+    cats = g.filter(F.col("column").isin(*categories)).select(
+        "column", "value", (F.row_number().over(w) - 1).cast("long").alias("code"))
+    sizes = g.filter(F.col("column").isin(*keys)).agg(
+        F.max("_n").alias("_mx"), (F.sum("_n") / len(keys)).cast("long").alias("_tot")).select(
+        F.lit("__sizes__").alias("column"), F.col("_mx").cast("string").alias("value"), F.col("_tot").alias("code"))
+    rows = cats.limit(MAX_INLINE_CODES + 1).unionByName(sizes).collect()  # bounded: dictionary + one row
+    size = next(r for r in rows if r.column == "__sizes__")
+    dict_rows = [r for r in rows if r.column != "__sizes__"]
+    return (dict_rows if len(dict_rows) <= MAX_INLINE_CODES else None), int(size.value or 0), int(size.code or 0)
+
+
 def gold_features(df: DataFrame, mappings: DataFrame | None = None, method: str = "auto") -> DataFrame:
     """All point-in-time features plus category codes (``build_features``).
 
@@ -280,10 +307,13 @@ def gold_features(df: DataFrame, mappings: DataFrame | None = None, method: str
     than a task's fair share (total / shuffle partitions) - the case where a
     per-key window would put a hot key into a single task.
     """
+    dict_rows = None
     if method == "auto":
         parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        mx, total = largest_key_rows(df)
+        dict_rows, mx, total = feature_profile(df)
         method = "scan" if total and mx * parts > total else "window"
+        if dict_rows is not None and mappings is None:
+            mappings = dict_rows
     if method == "scan":
         return gold_features_scan(df, mappings)
     k = first_seen_flags(with_order_keys(df))
@@ -291,6 +321,13 @@ def gold_features(df: DataFrame, mappings: DataFrame | None = None, method: str
     k = k.withColumns(history_columns())
     k = k.withColumns(entity_columns())
     out = _drop_keys(k).select(*df.columns, *FEATURE_COLUMNS)
+    return _codes(out, df, mappings)
+
+
+def _codes(out: DataFrame, df: DataFrame, mappings) -> DataFrame:
+    """``mappings``: a fitted dictionary frame, already-collected rows, or None (fit on ``df``)."""
+    if isinstance(mappings, list):
+        return _inline_codes(out, mappings, ("channel", "mcc", "currency"))
     return apply_category_codes(out, mappings if mappings is not None else category_mappings(df))
 
 
@@ -418,4 +455,4 @@ def gold_features_scan(df: DataFrame, mappings: DataFrame | None = None) -> Data
         r6(F.col("mc_is_fraud") / F.col("mc_one")))
     feats["is_new_device_for_user"] = F.col("_first_ud").cast("double")
     out = j.withColumns(feats).select(*df.columns, *FEATURE_COLUMNS)
-    return apply_category_codes(out, mappings if mappings is not None else category_mappings(df))
+    return _codes(out, df, mappings)
