@@ -139,13 +139,30 @@ def entity_columns() -> dict[str, Column]:
 
 # ---------------------------------------------------------------- operators
 
-def user_velocity(df: DataFrame) -> DataFrame:
+def _hot(df: DataFrame) -> bool:
+    """True when one entity key value holds more rows than a task's fair share."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mx, total = largest_key_rows(df)
+    return bool(total) and mx * parts > total
+
+
+def _scan_subset(df: DataFrame, cols: list[str]) -> DataFrame:
+    """The skew-proof scan, projected to the requested feature columns."""
+    return gold_features_scan(df).select(*df.columns, *cols)
+
+
+def user_velocity(df: DataFrame, method: str = "auto") -> DataFrame:
+    """Prior count / spend per user in 1h, 24h, 7d.  ``auto``: per-user windows unless a key is hot."""
+    if method == "scan" or (method == "auto" and _hot(df)):
+        return _scan_subset(df, [c for w in WINDOWS for c in (f"user_txn_count_{w}", f"user_spend_{w}")])
     k = with_order_keys(df)
     cols = velocity_columns()
     return _drop_keys(k.withColumns(cols)).select(*df.columns, *cols.keys())
 
 
-def new_merchants(df: DataFrame) -> DataFrame:
+def new_merchants(df: DataFrame, method: str = "auto") -> DataFrame:
+    if method == "scan" or (method == "auto" and _hot(df)):
+        return _scan_subset(df, [f"new_merchants_{w}" for w in WINDOWS])
     k = with_order_keys(df)
     cols = merchant_set_columns(exclude_current=True)
     return _drop_keys(k.withColumns(cols)).select(*df.columns, *cols.keys())
@@ -159,41 +176,49 @@ def merchants_seen(df: DataFrame) -> DataFrame:
     return _drop_keys(k.withColumns(cols)).select(*df.columns, *cols.keys())
 
 
-def centroid_distance(df: DataFrame) -> DataFrame:
+def centroid_distance(df: DataFrame, method: str = "auto") -> DataFrame:
+    if method == "scan" or (method == "auto" and _hot(df)):
+        return _scan_subset(df, ["distance_from_user_centroid_km"])
     k = with_order_keys(df)
     c = history_columns()["distance_from_user_centroid_km"]
     return _drop_keys(k.withColumn("distance_from_user_centroid_km", c))
 
 
-def seconds_since_last(df: DataFrame) -> DataFrame:
+def seconds_since_last(df: DataFrame, method: str = "auto") -> DataFrame:
+    if method == "scan" or (method == "auto" and _hot(df)):
+        return _scan_subset(df, ["seconds_since_last_txn"])
     k = with_order_keys(df)
     return _drop_keys(k.withColumn("seconds_since_last_txn", history_columns()["seconds_since_last_txn"]))
 
 
-def amount_zscore(df: DataFrame) -> DataFrame:
+def amount_zscore(df: DataFrame, method: str = "auto") -> DataFrame:
+    if method == "scan" or (method == "auto" and _hot(df)):
+        return _scan_subset(df, ["user_amount_zscore"])
     k = with_order_keys(df)
     return _drop_keys(k.withColumn("user_amount_zscore", history_columns()["user_amount_zscore"]))
 
 
-def _entity(df: DataFrame, name: str) -> DataFrame:
+def _entity(df: DataFrame, name: str, method: str = "auto") -> DataFrame:
+    if method == "scan" or (method == "auto" and _hot(df)):
+        return _scan_subset(df, [name])
     k = first_seen_flags(with_order_keys(df))
     return _drop_keys(k.withColumn(name, entity_columns()[name]))
 
 
-def devices_per_account(df: DataFrame) -> DataFrame:
-    return _entity(df, "devices_per_account")
+def devices_per_account(df: DataFrame, method: str = "auto") -> DataFrame:
+    return _entity(df, "devices_per_account", method)
 
 
-def device_sharing(df: DataFrame) -> DataFrame:
-    return _entity(df, "device_sharing_degree")
+def device_sharing(df: DataFrame, method: str = "auto") -> DataFrame:
+    return _entity(df, "device_sharing_degree", method)
 
 
-def merchant_prevalence(df: DataFrame) -> DataFrame:
-    return _entity(df, "merchant_fraud_prevalence")
+def merchant_prevalence(df: DataFrame, method: str = "auto") -> DataFrame:
+    return _entity(df, "merchant_fraud_prevalence", method)
 
 
-def new_device_flag(df: DataFrame) -> DataFrame:
-    return _entity(df, "is_new_device_for_user")
+def new_device_flag(df: DataFrame, method: str = "auto") -> DataFrame:
+    return _entity(df, "is_new_device_for_user", method)
 
 
 def category_mappings(df: DataFrame, columns: tuple[str, ...] = ("channel", "mcc", "currency")) -> DataFrame:

@@ -73,3 +73,14 @@ def test_scan_equals_window_on_a_hot_key(spark):
     assert a == b
     mx, total = fx.largest_key_rows(df)
     assert mx * 8 > total  # would route to the scan under "auto" with 8 shuffle partitions
+
+
+def test_single_feature_scan_path_equals_window(spark):
+    rows = [(f"t{i:03d}", "u_hot" if i % 5 else f"u{i % 3}", f"m{i % 4}", f"d{i % 3}", f"a{i % 2}", float(i % 50 + 1),
+             i * 13 % 900, int(i % 11 == 0)) for i in range(150)]
+    df = _tx(spark, rows)
+    for fn, cols in [(fx.user_velocity, ["user_txn_count_1h", "user_spend_24h"]),
+                     (fx.amount_zscore, ["user_amount_zscore"]), (fx.devices_per_account, ["devices_per_account"])]:
+        a = sorted(tuple(r) for r in fn(df, method="window").select("tx_id", *cols).collect())
+        b = sorted(tuple(r) for r in fn(df, method="scan").select("tx_id", *cols).collect())
+        assert a == b, fn.__name__
