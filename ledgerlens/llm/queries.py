@@ -64,3 +64,28 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.embedding_dedup import embedding_links
 
     return embedding_links(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h) AS payload_bytes, upper(sha1(h)) AS hex FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY hex, payload_bytes) AS first_id FROM d),
+b AS (SELECT *, list_reduce(list_transform(range(0, 8), lambda i: list_reduce(list_transform(range(0, 4), lambda j:
+        substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST(((CAST('0x' || substr(hex, CAST(5 * i + 1 AS INTEGER), 5) AS BIGINT) >> (15 - 5 * j)) & 31) + 1 AS INTEGER), 1)),
+        lambda x, y: x || y)), lambda x, y: x || y) AS digest FROM f)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, digest AS payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM b
+"""
+
+
+@query("op3_warc", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.warc import archive_folder, read_warc, write_warc
+
+    folder = archive_folder(spark)
+    index = write_warc(table(spark, sf_dir, "pages"), folder)
+    return read_warc(index, folder, with_payload=False).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
