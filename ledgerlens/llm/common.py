@@ -149,3 +149,22 @@ def components(edges: DataFrame) -> DataFrame:
         if after == before:
             return e.select("v", F.col("u").alias("root"))
         before = after
+
+
+def attach(df: DataFrame, keys: Sequence[str], other: DataFrame, spread: Column) -> DataFrame:
+    """Left join of ``other`` (one row per key) onto every row, null-safe, without putting a hot key into one task.
+
+    The (key, salt) pairs that occur fetch the row of ``other`` first, so it is copied at most ``SALTS`` times a key;
+    the rows then join on (key, salt).
+    """
+    keys = list(keys)
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    pairs = salted.select(*keys, "_salt").distinct().alias("p")
+    rest = [c for c in other.columns if c not in keys]
+    seen = pairs.join(other.alias("o"), [F.col(f"p.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys], "left")
+    seen = stored(seen.select(*[F.col(f"p.{k}").alias(f"_b_{k}") for k in keys], F.col("p._salt").alias("_b_salt"), *rest),
+                  "attach")
+    cond = F.col("_salt") == F.col("_b_salt")
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_b_{k}"))
+    return salted.join(seen, cond, "left").drop("_salt", "_b_salt", *[f"_b_{k}" for k in keys])

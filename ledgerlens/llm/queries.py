@@ -89,3 +89,42 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_warc(table(spark, sf_dir, "pages"), folder)
     return read_warc(index, folder, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS o FROM documents),
+s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS idx
+  FROM d GROUP BY source),
+w AS (SELECT *, CASE idx % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight FROM s),
+t AS (SELECT CAST(sum(source_size) AS HUGEINT) AS total FROM w),
+-- the sources that stop at twice their size are those with the smallest size per weight; k is how many
+k AS (
+  SELECT *, coalesce(sum(2 * source_size) OVER x, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER x, 0) AS open
+  FROM w WINDOW x AS (ORDER BY source_size / CAST(weight AS DOUBLE), idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (
+  SELECT 3 * (SELECT total FROM t) - 2 * capped AS num, 2 * open AS den FROM k
+  WHERE weight * (3 * (SELECT total FROM t) - 2 * capped) <= CAST(2 * source_size AS HUGEINT) * 2 * open
+  ORDER BY source_size / CAST(weight AS DOUBLE), idx LIMIT 1),
+g AS (
+  SELECT w.*, CASE WHEN weight * num > CAST(2 * source_size AS HUGEINT) * den THEN CAST(2 * source_size AS DOUBLE)
+                   ELSE CAST(weight AS DOUBLE) * CAST(num AS DOUBLE) / CAST(den AS DOUBLE) END AS target
+  FROM w, l),
+p AS (
+  SELECT d.doc_id, d.size, g.source_size, g.target, CAST(floor(g.target) AS BIGINT) AS take,
+         CAST(sum(d.size) OVER (PARTITION BY g.idx ORDER BY d.o, d.doc_id, d.size) - d.size AS BIGINT) AS start
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       CAST(CASE WHEN size = 0 THEN 0 ELSE size * (take // source_size)
+            + greatest(0, least(size, take % source_size - start)) END AS BIGINT) AS taken
+FROM p
+"""
+
+
+@query("op8_mix_sources", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.source_mix import mix_sources
+
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
