@@ -128,3 +128,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.source_mix import mix_sources
 
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.language_id import fit, held_out, predict
+
+    documents = table(spark, sf_dir, "documents")
+    model = fit(documents, trainable=~held_out())
+    return predict(documents, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
