@@ -137,3 +137,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     model = fit(documents, trainable=~held_out())
     return predict(documents, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.pii import KINDS, find_pii, span_text
+
+    found = find_pii(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["kind"] < len(KINDS))
+    count = lambda i: F.size(F.filter("spans", lambda s: s["kind"] == i)).cast("long")
+    return found.withColumn("base", base).select(
+        F.col("carried.doc_id").alias("doc_id"), *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
+        F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
