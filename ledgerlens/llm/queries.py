@@ -149,3 +149,60 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("base", base).select(
         F.col("carried.doc_id").alias("doc_id"), *[count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)],
         F.sha2(span_text("base"), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+_OP9_KIND = """
+  SELECT doc_id, repo, owner, {k} AS kind, unnest(list_transform(range(1, len(h) + 1), lambda i: {{
+    's': CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) AS INTEGER)
+       + CAST(coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0) AS INTEGER),
+    'n': CAST(length(h[i]) AS INTEGER), 'v': {v}}})) AS m
+  FROM (SELECT doc_id, repo, owner, string_split_regex(t, '{p}') AS g, regexp_extract_all(t, '{p}') AS h FROM d)
+"""
+_ASSIGN_RE2 = r"""(?i:(password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, source || '/' || lang AS repo, source AS owner FROM documents),
+c AS (
+  {_OP9_KIND.format(k=0, p=_ASSIGN_RE2, v=f"regexp_extract(h[i], '{_ASSIGN_RE2}', 2)")}
+  UNION ALL {_OP9_KIND.format(k=1, p="AKIA[A-Z0-9]{12,}", v="h[i]")}
+  UNION ALL {_OP9_KIND.format(k=2, p="[0-9a-f]{32,}", v="h[i]")}
+  UNION ALL {_OP9_KIND.format(k=3, p="[A-Za-z0-9+/_=-]{20,}", v="h[i]")}),
+f AS (
+  SELECT doc_id, coalesce(repo, chr(0) || 'null') AS repo, coalesce(owner, chr(0) || 'null') AS owner, kind, m.s AS s,
+         m.s + m.n AS e, m.v AS v FROM c
+  WHERE CASE kind WHEN 0 THEN length(m.v) >= 8
+        WHEN 3 THEN regexp_matches(m.v, '[0-9]') AND regexp_matches(m.v, '[A-Za-z]') ELSE true END),
+o AS (
+  SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos,
+         len(list_distinct(string_split(v, ''))) >= 8
+           AND NOT regexp_matches(v, '(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx') AS random
+  FROM f GROUP BY v),
+j AS (
+  SELECT f.*, CASE WHEN owners >= 3 THEN 'example' WHEN owners <= 1 AND repos <= 1 AND random THEN 'live' ELSE 'shared' END AS verdict,
+         CASE kind WHEN 0 THEN 'assign' WHEN 1 THEN 'access' WHEN 2 THEN 'hex' ELSE 'blob' END || ':' || s || ':' || e AS txt
+  FROM f JOIN o ON f.v = o.v),
+k AS (SELECT * FROM j WHERE kind < 3 OR verdict = 'live'),
+a AS (
+  SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access,
+         count(*) FILTER (kind = 2) AS n_hex, count(*) FILTER (verdict = 'live') AS n_live,
+         count(*) FILTER (verdict = 'example') AS n_example,
+         sha256(coalesce(string_agg(txt, ',' ORDER BY s, kind) FILTER (kind < 3), '')) AS base_sha256,
+         string_agg(txt, ',' ORDER BY s, kind) AS spans FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example,
+       coalesce(base_sha256, sha256('')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
+@query("op9_secret_scan", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.secret_scan import KINDS, scan_secrets, span_text
+
+    # a repository is one source's documents in one language, its owner the source
+    found = scan_secrets(table(spark, sf_dir, "documents"), repo=F.concat("source", F.lit("/"), "lang"), owner=F.col("source"))
+    count = lambda f: F.size(F.filter("spans", f)).cast("long")
+    kind = lambda i: count(lambda s: s["kind"] == i)
+    return found.select(
+        "doc_id", *[kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])],
+        count(lambda s: s["verdict"] == "live").alias("n_live"), count(lambda s: s["verdict"] == "example").alias("n_example"),
+        F.sha2(span_text(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"), span_text("spans").alias("spans"))
