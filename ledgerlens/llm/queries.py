@@ -206,3 +206,57 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[kind(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:3])],
         count(lambda s: s["verdict"] == "live").alias("n_live"), count(lambda s: s["verdict"] == "example").alias("n_example"),
         F.sha2(span_text(F.filter("spans", lambda s: s["kind"] < 3)), 256).alias("base_sha256"), span_text("spans").alias("spans"))
+
+
+def _op6_sql() -> str:
+    from ledgerlens.llm.license_scan import ANCHOR, BLOCK_LINES, TEMPLATES, TERM
+
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    values = ", ".join(f"({i}, {quote(k)}, {quote(t)})" for i, (k, t) in enumerate(TEMPLATES))
+    return f"""
+WITH f AS (
+  SELECT doc_id, text, concat_ws('/', source, lang, array_to_string(string_split(CAST(doc_id AS VARCHAR), ''), '/')) AS path,
+         string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+r AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir, coalesce(regexp_matches(lines[-1], '{ANCHOR}'), false) AS declares FROM f),
+t AS (SELECT v.i AS template, v.k AS licence, unnest(regexp_extract_all(lower(v.x), '{TERM}')) AS term
+      FROM (VALUES {values}) v(i, k, x)),
+tt AS (SELECT template, licence, term, count(*) AS tf FROM t GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM (
+  SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM f) WHERE term IN (SELECT term FROM tt) GROUP BY term),
+n AS (SELECT count(*) AS n FROM documents),
+w AS (SELECT tt.*, ln((1.0 + n.n) / (1.0 + coalesce(df.df, 0))) + 1.0 AS idf FROM tt LEFT JOIN df USING (term), n),
+tn AS (SELECT template, licence, sqrt(sum(tf * idf * tf * idf)) AS t_norm FROM w GROUP BY ALL),
+s AS (SELECT doc_id, lines, unnest(list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(lines[i], '{ANCHOR}'))) AS i FROM r),
+p AS (SELECT doc_id, unnest([lines[i], array_to_string(lines[i:i + {BLOCK_LINES - 1}], chr(10))]) AS passage FROM s),
+q AS (SELECT DISTINCT doc_id, passage FROM p),
+u AS (SELECT doc_id, passage, unnest(regexp_extract_all(lower(passage), '{TERM}')) AS term FROM q),
+x AS (SELECT doc_id, passage, u.term, count(*) AS tf FROM u GROUP BY ALL),
+i AS (SELECT DISTINCT term, idf FROM w),
+y AS (SELECT x.*, tf * coalesce(i.idf, ln(1.0 + n.n) + 1.0) AS wp FROM x LEFT JOIN i USING (term), n),
+pn AS (SELECT doc_id, passage, sqrt(sum(wp * wp)) AS p_norm FROM y GROUP BY ALL),
+c AS (SELECT y.doc_id, y.passage, w.template, sum(y.wp * w.tf * w.idf) AS dot FROM y JOIN w USING (term) GROUP BY ALL),
+z AS (SELECT c.doc_id, tn.licence, round(dot / (p_norm * t_norm), 9) AS cosine
+      FROM c JOIN pn USING (doc_id, passage) JOIN tn USING (template)),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, licence) AS k FROM z) WHERE k = 1 AND cosine >= 0.75),
+o AS (SELECT r.doc_id, r.path, r.dir, r.declares, b.licence, b.cosine FROM r LEFT JOIN b USING (doc_id)),
+d AS (SELECT * FROM (SELECT dir, licence, row_number() OVER (PARTITION BY dir ORDER BY cosine DESC, path) AS k
+      FROM o WHERE declares AND licence IS NOT NULL) WHERE k = 1),
+h AS (SELECT * FROM (
+  SELECT o.doc_id, d.dir, d.licence, row_number() OVER (PARTITION BY o.doc_id ORDER BY length(d.dir) DESC) AS k
+  FROM o JOIN d ON o.dir = d.dir OR starts_with(o.dir, d.dir || '/') WHERE o.licence IS NULL) WHERE k = 1)
+SELECT o.doc_id, o.path, coalesce(o.licence, h.licence) AS licence, round(o.cosine, 6) AS cosine,
+       CASE WHEN o.licence IS NOT NULL THEN 'own' WHEN h.licence IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       h.dir AS declared_in
+FROM o LEFT JOIN h USING (doc_id)
+"""
+
+
+@query("op6_license_scan", _op6_sql())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.license_scan import ANCHOR, scan_licences
+
+    # documents as files: source / language / digits of the id; one that closes with a notice declares for its directory
+    path = F.concat_ws("/", "source", "lang", F.array_join(F.split(F.col("doc_id").cast("string"), ""), "/"))
+    last = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n", -1), -1)
+    found = scan_licences(table(spark, sf_dir, "documents"), path, licence_file=last.rlike(ANCHOR), carry=("doc_id",))
+    return found.select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "origin", "declared_in")
