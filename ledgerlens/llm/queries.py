@@ -260,3 +260,27 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n", -1), -1)
     found = scan_licences(table(spark, sf_dir, "documents"), path, licence_file=last.rlike(ANCHOR), carry=("doc_id",))
     return found.select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "origin", "declared_in")
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g'), ' '),
+         lambda w: w <> '') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+r AS (SELECT doc_id AS s, doc_id AS t FROM d UNION SELECT r.s, l.b FROM r JOIN l ON r.t = l.a),
+c AS (SELECT s AS doc_id, min(t) AS component_id FROM r GROUP BY s)
+SELECT c.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id FROM c LEFT JOIN n USING (doc_id)
+"""
+
+
+@query("op10_ngram_jaccard_join", OP10_SQL)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"))
