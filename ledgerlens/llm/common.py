@@ -68,6 +68,12 @@ def matrix(col: pa.ChunkedArray | pa.Array, width: int, dtype=np.float64) -> np.
     return out
 
 
+def values(column: pa.Array, rows: int = 512):
+    """The Python values of an Arrow column, made a slice at a time so that long texts are not all copied at once."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def finite_vector(name: str) -> Column:
     """True when the vector is not null and every component is finite."""
     ok = F.forall(name, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))

@@ -284,3 +284,10 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.jaccard_join import jaccard_components
 
     return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+@query("op4_piece_sampling")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.piece_sampling import encode_samples
+
+    return encode_samples(table(spark, sf_dir, "documents"), k=2)
