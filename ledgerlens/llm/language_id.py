@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import stored
+from ledgerlens.llm.common import stored, values
 
 ORDERS = 4
 BUCKETS = 1 << 16
@@ -84,7 +84,7 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", id
         scratch = np.zeros(BUCKETS, bool)
         for b in batches:
             rows = []
-            for text in b.column(0).to_pylist():
+            for text in values(b.column(0)):
                 bits = np.zeros((ORDERS, BUCKETS), bool)
                 for n, idx in enumerate(gram_sets(text, scratch)):
                     bits[n, idx] = True
@@ -102,7 +102,7 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", id
         kk, ky = np.zeros((m, m)), np.zeros((m, len(row)))
         for b in batches:
             if b.num_rows:
-                k = np.stack([_kernel(gram_sets(t, scratch), packed.value, root) for t in b.column(1).to_pylist()])
+                k = np.stack([_kernel(gram_sets(t, scratch), packed.value, root) for t in values(b.column(1))])
                 y = -np.ones((b.num_rows, len(row)))
                 y[np.arange(b.num_rows), [row[x] for x in b.column(0).to_pylist()]] = 1
                 kk += k.T @ k
@@ -125,9 +125,11 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", id
     return LanguageModel(languages, weights.astype(np.float32))
 
 
-def predict(documents: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def predict(documents: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
+            as_struct: bool = False) -> DataFrame:
     """``keep`` columns plus ``lang_pred`` and ``score`` (0 to 1) from the whole text alone, one row per input row.
 
+    With ``as_struct`` the kept columns stay in a struct ``carried``, so their names cannot clash with the two new ones.
     ``und`` with score 0 when the text is null or has no letter, or when no language was learned.  Ties go to the
     language that sorts first.  An empty table gives no rows.
     """
@@ -140,24 +142,26 @@ def predict(documents: DataFrame, model: LanguageModel, text_col: str = "text",
         letter = regex.compile(LETTER)
         scratch, weights = np.zeros(BUCKETS, bool), held.value
         for b in batches:
-            texts = b.column(b.num_columns - 1).to_pylist()
-            known = [i for i, t in enumerate(texts) if names and t is not None and letter.search(t)]
-            margin = np.full((len(texts), max(len(names), 1)), -1.0)
-            for i in known:
-                margin[i] = sum(weights[n][idx].sum(0, dtype=np.float64) / np.sqrt(len(idx))
-                                for n, idx in enumerate(gram_sets(texts[i], scratch)) if len(idx))
+            known, margin = [], np.full((b.num_rows, max(len(names), 1)), -1.0)
+            for i, text in enumerate(values(b.column(1))):
+                if names and text is not None and letter.search(text):
+                    known.append(i)
+                    margin[i] = sum(weights[n][idx].sum(0, dtype=np.float64) / np.sqrt(len(idx))
+                                    for n, idx in enumerate(gram_sets(text, scratch)) if len(idx))
             best = margin.argmax(1)
-            lang = np.full(len(texts), UNDETERMINED, dtype=object)
-            value = np.zeros(len(texts))
+            lang = np.full(b.num_rows, UNDETERMINED, dtype=object)
+            value = np.zeros(b.num_rows)
             if known:
                 lang[known] = [names[j] for j in best[known]]
                 value[known] = np.clip((margin[known, best[known]] + 1) / 2, 0, 1)
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(value)],
-                                             names=[*b.schema.names[:-1], "lang_pred", "score"])
-
-    source = documents.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(score, f"{fields}, lang_pred string, score double")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(value)],
+                                             names=["carried", "lang_pred", "score"])
+
+    source = documents.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("carried"),
+                              F.col(text_col).cast("string").alias("text"))
+    kind = source.schema["carried"].dataType.simpleString()
+    scored = source.mapInArrow(score, f"carried {kind}, lang_pred string, score double")
+    return scored if as_struct else scored.select(*[F.col(f"carried.`{c}`").alias(c) for c in keep], "lang_pred", "score")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import attach, stored
+from ledgerlens.llm.common import attach, stored, values
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("remove", "generalise")
@@ -98,21 +98,23 @@ _NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("con
 _SPAN = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def _scan(rows: DataFrame, words: int, chars: int) -> DataFrame:
-    """``rows(row, text, carried)`` plus ``spans`` and ``near``."""
+def _scan(rows: DataFrame, keep_text: bool, words: int, chars: int) -> DataFrame:
+    """``rows(row, carried, text)`` with ``spans`` and ``near``; ``text`` only with ``keep_text``."""
+    kept = 3 if keep_text else 2
+
     def scan(batches):
         for b in batches:
             spans, near = [], []
-            for text in b.column(1).to_pylist():
+            for text in values(b.column(2)):
                 found = base_spans(text) if text else []
                 spans.append([{"kind": k, "start": a, "end": e} for k, a, e in found])
                 near.append([dict(zip(("entity", "term", "context", "start", "end"), x, strict=True))
                              for x in _contexts(text, found, words, chars)] if found else [])
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, _SPAN), pa.array(near, _NEAR)],
-                                             names=[*b.schema.names, "spans", "near"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:kept], pa.array(spans, _SPAN), pa.array(near, _NEAR)],
+                                             names=[*b.schema.names[:kept], "spans", "near"])
 
     carried = rows.schema["carried"].dataType.simpleString()
-    return rows.mapInArrow(scan, f"row long, text string, carried {carried}, "
+    return rows.mapInArrow(scan, f"row long, carried {carried}, {'text string, ' if keep_text else ''}"
                            "spans array<struct<kind:int,start:int,end:int>>, "
                            "near array<struct<entity:long,term:string,context:long,start:int,end:int>>")
 
@@ -123,7 +125,7 @@ def _term_counts(texts: DataFrame) -> DataFrame:
         for b in batches:
             # the distinct words of every document, counted once a batch before anything is shuffled
             seen: dict[str, int] = {}
-            for text in b.column(0).to_pylist():
+            for text in values(b.column(0)):
                 for w in set(_WORD.findall(text.lower())):
                     if len(w) >= 3:
                         seen[w] = seen.get(w, 0) + 1
@@ -174,10 +176,10 @@ def find_pii(documents: DataFrame, text_col: str = "text", carry: tuple[str, ...
     ``min_contexts`` distinct contexts.  Null and empty texts have no spans; every input row gives one row, repeated
     rows included; an empty table gives none.  ``text`` is kept only with ``keep_text``.
     """
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"),
-                            F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
-    scanned = _scan(rows, context_words, context_chars)
-    scanned = stored(scanned if keep_text else scanned.drop("text"), "pii-scan")
+    rows = documents.select(F.monotonically_increasing_id().alias("row"),
+                            F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("carried"),
+                            F.col(text_col).cast("string").alias("text"))
+    scanned = stored(_scan(rows, keep_text, context_words, context_chars), "pii-scan")
     kept = ["carried", "spans"] + (["text"] if keep_text else [])
     texts = documents.select(F.col(text_col).cast("string").alias("text")).where("text is not null")
     bad = _disclosing(scanned, texts, scanned.count(), min_contexts, generalise_at, remove_at)
@@ -211,7 +213,7 @@ def sanitise(documents: DataFrame, text_col: str = "text", **options) -> DataFra
     def replace(batches):
         for b in batches:
             out = []
-            for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for text, spans in zip(values(b.column(1)), values(b.column(2)), strict=True):
                 parts, at = [], 0
                 for s in sorted(spans or [], key=lambda s: (s["start"], s["kind"])):
                     if s["start"] >= at:

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import agg_back, shuffle_partitions, stored
+from ledgerlens.llm.common import agg_back, shuffle_partitions, stored, values
 from ledgerlens.sources.io import fresh_dir
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, record_type string"
@@ -100,7 +100,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
         try:
             for b in batches:
                 index = []
-                for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                for page_id, url, payload, refers_to in zip(*map(values, b.columns), strict=True):
                     if out is None:
                         fs.create_dir(root, recursive=True)
                         out = fs.open_output_stream(f"{root}/{name}", compression=None)
