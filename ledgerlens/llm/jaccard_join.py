@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import agg_back, attach, components, shuffle_partitions, stored
+from ledgerlens.llm.common import agg_back, attach, components, shuffle_partitions, stored, values
 
 WORDS = 5
 THRESHOLD = (80, 100)  # link when 100 * intersection >= 80 * union
@@ -31,6 +31,8 @@ FREQUENT_SHARE = 4096  # a shingle in more than 1/4096 of the documents counts a
 FREQUENT_MOST = 1 << 19  # and at most this many are kept (4 MB); the order of the others is by hash, results are the same
 HUB_ROWS, QUERY_ROWS = 128, 256
 BROADCAST_IDS = 500_000
+COUNT_BLOCK = 1_000_000  # shingles a task holds while counting
+CACHED_WORDS = 200_000
 
 _MIX1, _MIX2, _STEP = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 _BAND_MULT = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1 for i in range(1, BANDS * ROWS + 1)], np.uint64)
@@ -38,7 +40,7 @@ _BAND_MULT = np.array([0x9E3779B97F4A7C15 * (2 * i + 1) % (1 << 64) | 1 for i in
 
 class _WordHash(dict):
     def __missing__(self, word):
-        if len(self) > 1_000_000:
+        if len(self) > CACHED_WORDS:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -90,29 +92,36 @@ def _frequent(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles with counts, sorted by shingle; tasks drop what is rare within them (a lossy count)."""
     def count(batches):
         cache = _WordHash()
-        tokens, counts, held, size, docs = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0, 0
+        tokens, counts, held, size, docs, floor = np.empty(0, np.uint64), np.empty(0, np.int64), [], 0, 0, 1
 
-        def merge():
-            every = np.concatenate([tokens, *held])
-            weight = np.concatenate([counts, np.ones(len(every) - len(tokens), np.int64)])
-            u, inv = np.unique(every, return_inverse=True)
-            return u, np.bincount(inv, weight, len(u)).astype(np.int64)
+        def merged():
+            new, times = np.unique(np.concatenate(held), return_counts=True)
+            every, weight = np.concatenate([tokens, new]), np.concatenate([counts, times])
+            order = np.argsort(every, kind="stable")
+            every, weight = every[order], weight[order]
+            head = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
+            return every[head], np.add.reduceat(weight, head) if len(head) else weight
 
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text in values(b.column(0)):
                 t = shingles(text, cache)
                 docs += 1
                 held.append(t)
                 size += len(t)
-                if size > 4_000_000:
-                    tokens, counts = merge()
-                    keep = counts > 1
-                    tokens, counts, held, size = tokens[keep], counts[keep], [], 0
-        if docs:
-            tokens, counts = merge()
-            keep = counts >= max(2, docs // (2 * FREQUENT_SHARE))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])],
-                                             names=["token", "docs"])
+                if size > COUNT_BLOCK:
+                    tokens, counts = merged()
+                    while True:  # what is rare so far goes; the floor rises when too much would stay
+                        keep = counts > floor
+                        tokens, counts = tokens[keep], counts[keep]
+                        if len(tokens) <= COUNT_BLOCK:
+                            break
+                        floor += 1
+                    held, size = [], 0
+        if held:
+            tokens, counts = merged()
+        keep = counts >= max(2, docs // (2 * FREQUENT_SHARE))
+        yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])],
+                                         names=["token", "docs"])
 
     least = max(8, n_docs // FREQUENT_SHARE)
     top = (texts.mapInArrow(count, "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs"))
@@ -131,7 +140,7 @@ def _sets(docs: DataFrame, frequent) -> DataFrame:
         heavy, weight = held.value
         for b in batches:
             n, fp, rare, small, sig, prefix = [], [], [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in values(b.column(1)):
                 t = shingles(text, cache)
                 at = np.searchsorted(heavy, t)
                 known = heavy[np.minimum(at, len(heavy) - 1)] == t if len(heavy) else np.zeros(len(t), bool)
@@ -177,7 +186,7 @@ def _verify(cells: DataFrame, docs: DataFrame) -> DataFrame:
         members, union, owner, start, sizes, found = [], None, None, None, None, set()
         for b in batches:
             out_a, out_b = [], []
-            for hub, hb, qb, side, doc, fp, grp, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for hub, hb, qb, side, doc, fp, grp, text in zip(*map(values, b.columns), strict=True):
                 if (hub, hb, qb) != key:
                     key, members, union, found = (hub, hb, qb), [], None, set()
                 t = shingles(text, cache)
