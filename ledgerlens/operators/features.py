@@ -2,19 +2,15 @@
 
 Semantics (fixed by the reference behaviour):
 
-* rows are processed in ``timestamp`` order; ties are ordered by ``tx_id``
-  so the order is total and every engine agrees;
-* a feature of row *r* sees only rows strictly before *r* in that order;
+* a feature of row *r* sees only rows strictly before *r* in ``(timestamp, tx_id)`` order; rows equal in both do not
+  see each other;
 * a sliding window of length D contains prior rows with ``ts(r) - t <= D``.
 
-Spark formulation: the strictly-earlier part of a sliding window is a range
-frame ``[-D, -1]`` on integer microseconds; earlier rows at the *same*
-instant come from a running frame over ``(key, instant)`` ordered by
-``tx_id``.  Both partition by the entity key, so they share one exchange
-(``HashPartitioning(user)`` satisfies the clustering on ``(user, instant)``).
-Running ("all prior rows") aggregates use ``rowsBetween(unbounded, -1)``,
-which Spark evaluates incrementally.  Sums are taken over exact integers
-(cents, micro-degrees) so results are identical in every engine.
+There is one formulation (``operators.pieces``): histories are cut into pieces of time, each key needs one exchange,
+every aggregate is a running prefix (sliding windows are differences of two prefixes, distinct merchants are counted
+by activations) and piece totals carry the rest.  Rows are never joined back by ``tx_id``, so repeated and null ids
+stay rows of their own.  Money is summed in cents and coordinates in micro-degrees: sums are exact and independent of
+partitioning; amounts count to the cent and coordinates to 1e-6 degrees.
 """
 
 from __future__ import annotations
@@ -23,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import epoch_micros, haversine_km, r6
+from ledgerlens.operators.pieces import PIECE_US, order_keys, prior_scan, window_scan
 
 # Window names and lengths used by the reference's features.
 WINDOWS = {"1h": 3_600_000_000, "24h": 86_400_000_000, "7d": 604_800_000_000}
@@ -37,188 +34,144 @@ FEATURE_COLUMNS = [
 ]
 CODE_COLUMNS = ["channel_code", "mcc_code", "currency_code"]
 
-_UNB = Window.unboundedPreceding
+USER_SUMS = {"n": "_one", "spend": "_cents", "s2": "_s2", "lat": "_lat6", "lon": "_lon6"}
 
 
 def with_order_keys(df: DataFrame) -> DataFrame:
-    """Add ``_ts`` (epoch micros), ``_cents`` and micro-degree coordinates."""
+    """Add ``_ts`` / ``_id`` (order), ``_cents``, its square, micro-degree coordinates and ``_one``."""
+    cents = F.round(F.col("amount") * 100).cast("long")
     return df.withColumns({
-        "_ts": epoch_micros("timestamp"),
-        "_cents": F.round(F.col("amount") * 100).cast("long"),
+        **order_keys(epoch_micros("timestamp")),
+        "_cents": cents,
+        "_s2": cents.cast("decimal(38,0)") * cents,
         "_lat6": F.round(F.col("lat") * 1_000_000).cast("long"),
         "_lon6": F.round(F.col("lon") * 1_000_000).cast("long"),
+        "_one": F.lit(1).cast("long"),
     })
 
 
-def _drop_keys(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
-
-
-def _prior(key: str | list[str]) -> Window:
-    keys = [key] if isinstance(key, str) else key
-    return Window.partitionBy(*keys).orderBy("_ts", "tx_id").rowsBetween(_UNB, -1)
+def _user_history(k: DataFrame, sums=("n", "spend", "s2", "lat", "lon"), sliding=(), windows=WINDOWS, last=False,
+                  distinct: str | None = None) -> DataFrame:
+    """The one scan over users: all-time sums, sliding sums, latest prior time, distinct merchants in windows."""
+    if distinct:
+        # previous time of the same merchant, and one of equal rows to stand for the merchant
+        k = prior_scan(k, ["user_id", "merchant_id"], last="_prev_m", once="_once")
+    return window_scan(k, "user_id", windows, {f"_u_{n}": USER_SUMS[n] for n in sums}, [f"_u_{n}" for n in sliding],
+                       last="_u_last" if last else None, distinct=("_u_dm", "_prev_m") if distinct else None)
 
 
-def _range(key: str, delta_us: int) -> Window:
-    return Window.partitionBy(key).orderBy("_ts").rangeBetween(-delta_us, -1)
+def _pairs(k: DataFrame, a: str, b: str, flag: str) -> DataFrame:
+    """Rows with ``flag`` 0, and each (a, b) pair once with 1 at its first time: the piece totals of a first-seen flag."""
+    first = k.groupBy(a, b).agg(F.min("_ts").alias("_ts")).withColumn(flag, F.lit(1).cast("long"))
+    return first.unionByName(k.select(a, b, "_ts", F.lit(0).cast("long").alias(flag)))
 
 
-def _same_instant(key: str) -> Window:
-    return Window.partitionBy(key, "_ts").orderBy("tx_id").rowsBetween(_UNB, -1)
+def _devices_scan(k: DataFrame, base: DataFrame) -> DataFrame:
+    k = prior_scan(k, ["account_id", "device_id"], first="_first_ad", totals_of=base)
+    return prior_scan(k, ["account_id"], sums={"_a_devices": "_first_ad"}, totals_of=_pairs(base, "account_id", "device_id", "_first_ad"))
 
 
-def _zero(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0))
+def _sharing_scan(k: DataFrame, base: DataFrame) -> DataFrame:
+    k = prior_scan(k, ["user_id", "device_id"], sums={"_ud_n": "_one"}, first="_first_ud", totals_of=base)
+    return prior_scan(k, ["device_id"], sums={"_d_users": "_first_ud"}, totals_of=_pairs(base, "user_id", "device_id", "_first_ud"))
 
 
-def velocity_columns(key: str = "user_id") -> dict[str, Column]:
-    """Prior count and spend per user in each sliding window."""
+def _velocity() -> dict[str, Column]:
     out: dict[str, Column] = {}
-    tie = _same_instant(key)
-    for name, delta in WINDOWS.items():
-        rng = _range(key, delta)
-        out[f"user_txn_count_{name}"] = (F.count(F.lit(1)).over(rng) + F.count(F.lit(1)).over(tie)).cast("double")
-        out[f"user_spend_{name}"] = ((_zero(F.sum("_cents").over(rng)) + _zero(F.sum("_cents").over(tie))) / 100.0)
+    for w in WINDOWS:
+        out[f"user_txn_count_{w}"] = F.col(f"_u_n_{w}").cast("double")
+        out[f"user_spend_{w}"] = F.col(f"_u_spend_{w}") / 100.0
     return out
 
 
-def merchant_set_columns(exclude_current: bool = True, windows: dict[str, int] | None = None,
-                         prefix: str = "new_merchants") -> dict[str, Column]:
-    """Distinct prior merchants of the user in each window (optionally minus the current one)."""
-    out: dict[str, Column] = {}
-    tie = _same_instant("user_id")
-    for name, delta in (windows or WINDOWS).items():
-        rng = _range("user_id", delta)
-        merged = F.array_union(F.collect_set("merchant_id").over(rng), F.collect_set("merchant_id").over(tie))
-        if exclude_current:
-            merged = F.array_remove(merged, F.col("merchant_id"))
-        else:
-            merged = F.array_union(merged, F.array(F.col("merchant_id")))
-        out[f"{prefix}_{name}"] = F.size(merged).cast("double")
-    return out
+def _seen_in_window(length: int) -> Column:
+    """1 when the current merchant is among the user's prior rows in the window."""
+    return (F.col("_prev_m").isNotNull() & (F.col("_prev_m") >= F.col("_ts") - length)).cast("long")
 
 
-def history_columns() -> dict[str, Column]:
-    """Centroid distance, gap since last txn and amount z-score over all prior rows."""
-    w = _prior("user_id")
-    n = F.count(F.lit(1)).over(w)
-    s1 = F.sum("_cents").over(w)
-    s2 = F.sum(F.col("_cents").cast("decimal(38,0)") * F.col("_cents")).over(w)
-    lat_mean = F.sum("_lat6").over(w).cast("double") / n / 1_000_000.0
-    lon_mean = F.sum("_lon6").over(w).cast("double") / n / 1_000_000.0
-    var_c = (n.cast("decimal(38,0)") * s2 - s1.cast("decimal(38,0)") * s1).cast("double") / (n * n).cast("double")
-    dev = (F.col("_cents") * n - s1).cast("double") / n
-    z = F.when(var_c == 0, dev / 100.0).otherwise(dev / F.sqrt(var_c))
-    prev_ts = F.lag("_ts").over(Window.partitionBy("user_id").orderBy("_ts", "tx_id"))
-    return {
-        "distance_from_user_centroid_km": F.when(n == 0, F.lit(0.0)).otherwise(
-            r6(haversine_km(lat_mean, lon_mean, F.col("lat"), F.col("lon")))),
-        "seconds_since_last_txn": F.when(prev_ts.isNull(), F.lit(0.0)).otherwise((F.col("_ts") - prev_ts) / 1_000_000.0),
-        "user_amount_zscore": F.when(n == 0, F.lit(0.0)).otherwise(r6(z)),
-    }
+def _new_merchants() -> dict[str, Column]:
+    return {f"new_merchants_{w}": (F.col(f"_u_dm_{w}") - _seen_in_window(d)).cast("double") for w, d in WINDOWS.items()}
 
 
-def first_seen_flags(df: DataFrame) -> DataFrame:
-    """First-occurrence flags of (user, device) and (account, device) pairs."""
-    first = lambda *keys: (F.row_number().over(Window.partitionBy(*keys).orderBy("_ts", "tx_id")) == 1).cast("int")
-    return df.withColumns({"_first_ud": first("user_id", "device_id"), "_first_ad": first("account_id", "device_id")})
+def _centroid() -> Column:
+    n = F.col("_u_n")
+    lat = F.col("_u_lat").cast("double") / n / 1_000_000.0
+    lon = F.col("_u_lon").cast("double") / n / 1_000_000.0
+    return F.when(n == 0, F.lit(0.0)).otherwise(r6(haversine_km(lat, lon, F.col("lat"), F.col("lon"))))
 
 
-def entity_columns() -> dict[str, Column]:
-    """Distinct prior devices per account / users per device; merchant prior fraud rate; new-device flag."""
-    wm = _prior("merchant_id")
-    m_cnt = F.count(F.lit(1)).over(wm)
-    m_fraud = F.sum("is_fraud").over(wm)
-    return {
-        "devices_per_account": _zero(F.sum("_first_ad").over(_prior("account_id"))).cast("double"),
-        "device_sharing_degree": _zero(F.sum("_first_ud").over(_prior("device_id"))).cast("double"),
-        "merchant_fraud_prevalence": F.when(m_cnt == 0, F.lit(0.0)).otherwise(r6(m_fraud / m_cnt)),
-        "is_new_device_for_user": F.col("_first_ud").cast("double"),
-    }
+def _gap() -> Column:
+    return F.when(F.col("_u_last").isNull(), F.lit(0.0)).otherwise((F.col("_ts") - F.col("_u_last")) / 1_000_000.0)
 
 
-# ---------------------------------------------------------------- operators
+def _zscore() -> Column:
+    n, s1, s2 = F.col("_u_n"), F.col("_u_spend"), F.col("_u_s2")
+    var_c = (n.cast("decimal(38,0)") * s2 - s1.cast("decimal(38,0)") * s1).cast("double") / (n * n).cast("double")
+    dev = (F.col("_cents") * n - s1).cast("double") / n
+    return F.when(n == 0, F.lit(0.0)).otherwise(r6(F.when(var_c == 0, dev / 100.0).otherwise(dev / F.sqrt(var_c))))
 
-def _hot(df: DataFrame) -> bool:
-    """True when one entity key value holds more rows than a task's fair share."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mx, total = largest_key_rows(df)
-    return bool(total) and mx * parts > total
 
+def _prevalence() -> Column:
+    return F.when(F.col("_m_n") == 0, F.lit(0.0)).otherwise(r6(F.col("_m_fraud") / F.col("_m_n")))
 
-def _scan_subset(df: DataFrame, cols: list[str]) -> DataFrame:
-    """The skew-proof scan, projected to the requested feature columns."""
-    return gold_features_scan(df).select(*df.columns, *cols)
 
+# ---------------------------------------------------------------- operators
 
-def user_velocity(df: DataFrame, method: str = "auto") -> DataFrame:
-    """Prior count / spend per user in 1h, 24h, 7d.  ``auto``: per-user windows unless a key is hot."""
-    if method == "scan" or (method == "auto" and _hot(df)):
-        return _scan_subset(df, [c for w in WINDOWS for c in (f"user_txn_count_{w}", f"user_spend_{w}")])
-    k = with_order_keys(df)
-    cols = velocity_columns()
-    return _drop_keys(k.withColumns(cols)).select(*df.columns, *cols.keys())
+def user_velocity(df: DataFrame) -> DataFrame:
+    """Prior count / spend per user in 1h, 24h, 7d."""
+    k = _user_history(with_order_keys(df), sums=("n", "spend"), sliding=("n", "spend"))
+    return k.select(*df.columns, *[c.alias(n) for n, c in _velocity().items()])
 
 
-def new_merchants(df: DataFrame, method: str = "auto") -> DataFrame:
-    if method == "scan" or (method == "auto" and _hot(df)):
-        return _scan_subset(df, [f"new_merchants_{w}" for w in WINDOWS])
-    k = with_order_keys(df)
-    cols = merchant_set_columns(exclude_current=True)
-    return _drop_keys(k.withColumns(cols)).select(*df.columns, *cols.keys())
+def new_merchants(df: DataFrame) -> DataFrame:
+    """Distinct prior merchants of the user in each window, the current one excluded."""
+    k = _user_history(with_order_keys(df), sums=("n",), distinct="merchants")
+    return k.select(*df.columns, *[c.alias(n) for n, c in _new_merchants().items()])
 
 
 def merchants_seen(df: DataFrame) -> DataFrame:
     """Variant: distinct prior merchants in 24h / 7d *including* the current one."""
-    k = with_order_keys(df)
-    wins = {"24h": WINDOWS["24h"], "7d": WINDOWS["7d"]}
-    cols = merchant_set_columns(exclude_current=False, windows=wins, prefix="merchants_seen")
-    return _drop_keys(k.withColumns(cols)).select(*df.columns, *cols.keys())
-
-
-def centroid_distance(df: DataFrame, method: str = "auto") -> DataFrame:
-    if method == "scan" or (method == "auto" and _hot(df)):
-        return _scan_subset(df, ["distance_from_user_centroid_km"])
-    k = with_order_keys(df)
-    c = history_columns()["distance_from_user_centroid_km"]
-    return _drop_keys(k.withColumn("distance_from_user_centroid_km", c))
+    wins = {w: WINDOWS[w] for w in ("24h", "7d")}
+    k = _user_history(with_order_keys(df), sums=("n",), windows=wins, distinct="merchants")
+    return k.select(*df.columns, *[(F.col(f"_u_dm_{w}") - _seen_in_window(d) + 1).cast("double").alias(f"merchants_seen_{w}")
+                                   for w, d in wins.items()])
 
 
-def seconds_since_last(df: DataFrame, method: str = "auto") -> DataFrame:
-    if method == "scan" or (method == "auto" and _hot(df)):
-        return _scan_subset(df, ["seconds_since_last_txn"])
-    k = with_order_keys(df)
-    return _drop_keys(k.withColumn("seconds_since_last_txn", history_columns()["seconds_since_last_txn"]))
+def centroid_distance(df: DataFrame) -> DataFrame:
+    k = prior_scan(with_order_keys(df), ["user_id"], sums={"_u_n": "_one", "_u_lat": "_lat6", "_u_lon": "_lon6"})
+    return k.select(*df.columns, _centroid().alias("distance_from_user_centroid_km"))
 
 
-def amount_zscore(df: DataFrame, method: str = "auto") -> DataFrame:
-    if method == "scan" or (method == "auto" and _hot(df)):
-        return _scan_subset(df, ["user_amount_zscore"])
-    k = with_order_keys(df)
-    return _drop_keys(k.withColumn("user_amount_zscore", history_columns()["user_amount_zscore"]))
+def seconds_since_last(df: DataFrame) -> DataFrame:
+    k = prior_scan(with_order_keys(df), ["user_id"], last="_u_last")
+    return k.select(*df.columns, _gap().alias("seconds_since_last_txn"))
 
 
-def _entity(df: DataFrame, name: str, method: str = "auto") -> DataFrame:
-    if method == "scan" or (method == "auto" and _hot(df)):
-        return _scan_subset(df, [name])
-    k = first_seen_flags(with_order_keys(df))
-    return _drop_keys(k.withColumn(name, entity_columns()[name]))
+def amount_zscore(df: DataFrame) -> DataFrame:
+    k = prior_scan(with_order_keys(df), ["user_id"], sums={"_u_n": "_one", "_u_spend": "_cents", "_u_s2": "_s2"})
+    return k.select(*df.columns, _zscore().alias("user_amount_zscore"))
 
 
-def devices_per_account(df: DataFrame, method: str = "auto") -> DataFrame:
-    return _entity(df, "devices_per_account", method)
+def devices_per_account(df: DataFrame) -> DataFrame:
+    base = with_order_keys(df)
+    k = _devices_scan(base, base)
+    return k.select(*df.columns, F.col("_a_devices").cast("double").alias("devices_per_account"))
 
 
-def device_sharing(df: DataFrame, method: str = "auto") -> DataFrame:
-    return _entity(df, "device_sharing_degree", method)
+def device_sharing(df: DataFrame) -> DataFrame:
+    base = with_order_keys(df)
+    k = _sharing_scan(base, base)
+    return k.select(*df.columns, F.col("_d_users").cast("double").alias("device_sharing_degree"))
 
 
-def merchant_prevalence(df: DataFrame, method: str = "auto") -> DataFrame:
-    return _entity(df, "merchant_fraud_prevalence", method)
+def merchant_prevalence(df: DataFrame) -> DataFrame:
+    k = prior_scan(with_order_keys(df), ["merchant_id"], sums={"_m_n": "_one", "_m_fraud": "is_fraud"})
+    return k.select(*df.columns, _prevalence().alias("merchant_fraud_prevalence"))
 
 
-def new_device_flag(df: DataFrame, method: str = "auto") -> DataFrame:
-    return _entity(df, "is_new_device_for_user", method)
+def new_device_flag(df: DataFrame) -> DataFrame:
+    k = prior_scan(with_order_keys(df), ["user_id", "device_id"], sums={"_ud_n": "_one"})
+    return k.select(*df.columns, (F.col("_ud_n") == 0).cast("double").alias("is_new_device_for_user"))
 
 
 def category_mappings(df: DataFrame, columns: tuple[str, ...] = ("channel", "mcc", "currency")) -> DataFrame:
@@ -232,127 +185,59 @@ def category_mappings(df: DataFrame, columns: tuple[str, ...] = ("channel", "mcc
                         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                            for c in columns])))
     first = stacked.groupBy("column", "value").agg(F.min(F.struct("_ts", "tx_id")).alias("_first"))
-    w = Window.partitionBy("column").orderBy("_first")
-    return first.select("column", "value", (F.row_number().over(w) - 1).cast("int").alias("code"))
+    # ranks by pieces of time: the values first seen in earlier pieces, plus the rank inside the piece
+    first = first.withColumn("_p", F.coalesce(F.floor(F.col("_first._ts") / PIECE_US), F.lit(-(1 << 40)))).repartition("column", "_p")
+    local = first.withColumn("_rank", F.row_number().over(Window.partitionBy("column", "_p").orderBy("_first")) - 1)
+    per = first.groupBy("column", "_p").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("column").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a piece
+    carry = per.select(F.col("column").alias("_c"), F.col("_p").alias("_cp"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    j = local.join(carry, (F.col("column") == F.col("_c")) & (F.col("_p") == F.col("_cp")))
+    return j.select("column", "value", (F.col("_before") + F.col("_rank")).cast("int").alias("code"))
 
 
-MAX_INLINE_CODES = 100_000  # larger dictionaries are joined instead of inlined
+CODE_SALTS = 16
 
 
 def apply_category_codes(df: DataFrame, mappings: DataFrame,
                          columns: tuple[str, ...] = ("channel", "mcc", "currency")) -> DataFrame:
-    """Apply a fitted mapping; unseen values get code 0 (reference behaviour).
+    """Attach a fitted dictionary; unseen values get code 0 (reference behaviour).
 
-    The dictionary is small by nature (distinct categories); its size is
-    checked and, below ``MAX_INLINE_CODES`` entries, it is inlined as a map
-    literal, so the big frame is never shuffled by a low-cardinality key (a
-    join on ``channel`` would send every 'web' row to one task).  Larger
-    dictionaries fall back to a join that AQE plans from measured sizes.
+    The dictionary table is joined on (value, salt), each entry copied once per salt, so that a frequent category is
+    spread over tasks; when the dictionary is measured to be small, AQE broadcasts it instead.
     """
-    rows = mappings.limit(MAX_INLINE_CODES + 1).collect()  # one job; at most MAX + 1 small rows
-    if len(rows) <= MAX_INLINE_CODES:
-        return _inline_codes(df, rows, columns)
-    res = df
+    res = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(CODE_SALTS)).cast("int"))
     for c in columns:
-        m = mappings.filter(F.col("column") == c).select(F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"{c}_code"))
-        res = res.join(m, res[c].cast("string").eqNullSafe(m[f"_v_{c}"]), "left").drop(f"_v_{c}")
-        res = res.withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(0)))
-    return res
-
-
-def _inline_codes(df: DataFrame, rows, columns: tuple[str, ...]) -> DataFrame:
-    """Apply a collected (size-checked) dictionary as map literals; unseen values -> 0."""
-    entries: dict[str, dict] = {c: {} for c in columns}
-    for r in rows:
-        if r.column in entries:
-            entries[r.column][r.value] = int(r.code)
-    out = {}
-    for c in columns:
-        e = entries[c]
-        kv = [x for k, v in e.items() if k is not None for x in (F.lit(k), F.lit(v))]
-        hit = F.element_at(F.create_map(*kv), F.col(c).cast("string")) if kv else F.lit(None)
-        null_code = e.get(None)
-        code = F.when(F.col(c).isNull(), F.lit(null_code if null_code is not None else 0)).otherwise(
-            F.coalesce(hit, F.lit(0)))
-        out[f"{c}_code"] = code.cast("int")
-    return df.withColumns(out)
+        m = mappings.filter(F.col("column") == c).select(
+            F.coalesce(F.concat(F.lit("v"), "value"), F.lit("n")).alias("_v"), F.col("code").alias(f"{c}_code"),
+            F.explode(F.sequence(F.lit(0), F.lit(CODE_SALTS - 1))).alias("_s"))
+        value = F.coalesce(F.concat(F.lit("v"), F.col(c).cast("string")), F.lit("n"))
+        res = res.join(m, (value == F.col("_v")) & (F.col("_salt") == F.col("_s")), "left").drop("_v", "_s")
+        res = res.withColumn(f"{c}_code", F.coalesce(F.col(f"{c}_code"), F.lit(0)).cast("int"))
+    return res.drop("_salt")
 
 
 def categorical_codes(df: DataFrame) -> DataFrame:
     return apply_category_codes(df, category_mappings(df))
 
 
-ENTITY_KEYS = ("user_id", "merchant_id", "device_id", "account_id")
-
-
-def largest_key_rows(df: DataFrame, keys: tuple[str, ...] = ENTITY_KEYS) -> tuple[int, int]:
-    """(rows of the largest single key value over ``keys``, total rows) in one aggregate job.
-
-    Partial aggregation keeps this cheap at any scale; only two numbers
-    reach the driver.
-    """
-    stacked = df.select(F.inline(F.array(*[F.struct(F.lit(k).alias("_k"), F.col(k).cast("string").alias("_v"))
-                                          for k in keys])))
-    per_key = stacked.groupBy("_k", "_v").agg(F.count(F.lit(1)).alias("_n"))
-    row = per_key.agg(F.max("_n").alias("mx"), (F.sum("_n") / len(keys)).cast("long").alias("total")).first()
-    return int(row.mx or 0), int(row.total or 0)
-
-
-def feature_profile(df: DataFrame, categories: tuple[str, ...] = ("channel", "mcc", "currency"),
-                    keys: tuple[str, ...] = ENTITY_KEYS):
-    """One pass over ``df``: the category dictionary and the largest entity key.
-
-    Returns (dictionary rows or None when too large to inline, largest key rows, total rows).
-    The per-(column, value) aggregate is shared by both outputs (exchange reuse).
-    """
-    stacked = df.select(epoch_micros("timestamp").alias("_ts"), "tx_id",
-                        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
-                                           for c in (*categories, *keys)])))
-    g = stacked.groupBy("column", "value").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_ts", "tx_id")).alias("_first"))
-    w = Window.partitionBy("column").orderBy("_first")
-    cats = g.filter(F.col("column").isin(*categories)).select(
-        "column", "value", (F.row_number().over(w) - 1).cast("long").alias("code"))
-    sizes = g.filter(F.col("column").isin(*keys)).agg(
-        F.max("_n").alias("_mx"), (F.sum("_n") / len(keys)).cast("long").alias("_tot")).select(
-        F.lit("__sizes__").alias("column"), F.col("_mx").cast("string").alias("value"), F.col("_tot").alias("code"))
-    rows = cats.limit(MAX_INLINE_CODES + 1).unionByName(sizes).collect()  # bounded: dictionary + one row
-    size = next(r for r in rows if r.column == "__sizes__")
-    dict_rows = [r for r in rows if r.column != "__sizes__"]
-    return (dict_rows if len(dict_rows) <= MAX_INLINE_CODES else None), int(size.value or 0), int(size.code or 0)
-
-
-def gold_features(df: DataFrame, mappings: DataFrame | None = None, method: str = "auto") -> DataFrame:
+def gold_features(df: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
     """All point-in-time features plus category codes (``build_features``).
 
-    ``method="window"``: window specs grouped by partition key, one exchange
-    and one sort per key (user, (user, device), (account, device), account,
-    device, merchant).  ``method="scan"``: two-level prefix scans that split
-    hot keys across tasks (``gold_features_scan``).  ``"auto"`` measures the
-    largest key first and uses the scan when one key value holds more rows
-    than a task's fair share (total / shuffle partitions) - the case where a
-    per-key window would put a hot key into a single task.
+    One exchange per key: (user, merchant), (user, device), (account, device), account, device, merchant, user.
+    ``mappings``: a fitted category dictionary; by default one is fitted on ``df``.
     """
-    dict_rows = None
-    if method == "auto":
-        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        dict_rows, mx, total = feature_profile(df)
-        method = "scan" if total and mx * parts > total else "window"
-        if dict_rows is not None and mappings is None:
-            mappings = dict_rows
-    if method == "scan":
-        return gold_features_scan(df, mappings)
-    k = first_seen_flags(with_order_keys(df))
-    k = k.withColumns({**velocity_columns(), **merchant_set_columns()})
-    k = k.withColumns(history_columns())
-    k = k.withColumns(entity_columns())
-    out = _drop_keys(k).select(*df.columns, *FEATURE_COLUMNS)
-    return _codes(out, df, mappings)
-
-
-def _codes(out: DataFrame, df: DataFrame, mappings) -> DataFrame:
-    """``mappings``: a fitted dictionary frame, already-collected rows, or None (fit on ``df``)."""
-    if isinstance(mappings, list):
-        return _inline_codes(out, mappings, ("channel", "mcc", "currency"))
+    base = with_order_keys(df)
+    k = _user_history(base, sliding=("n", "spend"), last=True, distinct="merchants")
+    k = _sharing_scan(k, base)
+    k = _devices_scan(k, base)
+    k = prior_scan(k, ["merchant_id"], sums={"_m_n": "_one", "_m_fraud": "is_fraud"}, totals_of=base)
+    feats = {
+        **_velocity(), **_new_merchants(),
+        "distance_from_user_centroid_km": _centroid(), "seconds_since_last_txn": _gap(), "user_amount_zscore": _zscore(),
+        "devices_per_account": F.col("_a_devices").cast("double"), "device_sharing_degree": F.col("_d_users").cast("double"),
+        "merchant_fraud_prevalence": _prevalence(), "is_new_device_for_user": (F.col("_ud_n") == 0).cast("double"),
+    }
+    out = k.select(*df.columns, *[feats[c].alias(c) for c in FEATURE_COLUMNS])
     return apply_category_codes(out, mappings if mappings is not None else category_mappings(df))
 
 
@@ -383,101 +268,3 @@ def channel_one_hot(df: DataFrame) -> DataFrame:
 def fill_null_features(df: DataFrame, columns: list[str] | None = None, value: float = 0.0) -> DataFrame:
     """Variant: null -> 0.0 on the listed feature columns."""
     return df.na.fill(value, subset=columns or [c for c in FEATURE_COLUMNS if c in df.columns])
-
-
-# ---------------------------------------------------------------- skew-proof formulation
-
-def gold_features_scan(df: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
-    """``gold_features`` computed with two-level prefix scans instead of per-key windows.
-
-    Same output, bit for bit, but no key's rows ever have to fit one task
-    (see ``operators.prefix``).  Sliding windows become differences of
-    prefixes: for each row a *probe* event at ``(ts - D, '')`` reads how many
-    (and how much) of the user's rows precede the window.  Distinct prior
-    merchants in a window use *activation* events: a row r of merchant m
-    counts as the first occurrence of m inside the window of a later row q
-    exactly when ``ts(q) > t_prev(r) + D`` (``t_prev`` = the user's previous
-    transaction at m), so r is activated at ``max((t_prev + D + 1us, ''),
-    (t_r, id_r))`` and a plain prefix count of activations minus the rows
-    before the window gives the distinct count.
-    """
-    from ledgerlens.operators.prefix import prefix_scan
-
-    order = ["_ts", "tx_id"]
-    keyed = with_order_keys(df)
-    # Scans run on a narrow projection; the full rows are joined back once at the end.
-    base = keyed.select("tx_id", "user_id", "merchant_id", "device_id", "account_id", "is_fraud", "_ts", "_cents",
-                        "_lat6", "_lon6").withColumns({
-        "_one": F.lit(1).cast("long"),
-        "_s2": F.col("_cents").cast("decimal(38,0)") * F.col("_cents"),
-    })
-    # entity scans (each one range shuffle + one piece-local window)
-    s = prefix_scan(base, ["user_id", "merchant_id"], order, maxes=["_ts"], prefix="um")
-    s = prefix_scan(s, ["user_id", "device_id"], order, sums=["_one"], prefix="ud")
-    s = s.withColumn("_first_ud", (F.col("ud_one") == 0).cast("long"))
-    s = prefix_scan(s, ["account_id", "device_id"], order, sums=["_one"], prefix="ad")
-    s = s.withColumn("_first_ad", (F.col("ad_one") == 0).cast("long"))
-    s = prefix_scan(s, ["account_id"], order, sums=["_first_ad"], prefix="ac")
-    s = prefix_scan(s, ["device_id"], order, sums=["_first_ud"], prefix="dv")
-    s = prefix_scan(s, ["merchant_id"], order, sums=["_one", "is_fraud"], prefix="mc")
-
-    # user events: rows, window probes and merchant activations
-    vals = ["_one", "_cents", "_s2", "_lat6", "_lon6"] + [f"_act_{w}" for w in WINDOWS]
-    zero = {v: (F.lit(0).cast("decimal(38,0)") if v == "_s2" else F.lit(0).cast("long")) for v in vals}
-
-    def events(kind: str, ts: Column, ident: Column, knd: int, over: dict[str, Column]) -> DataFrame:
-        cols = {**zero, **over}
-        return s.select("user_id", ts.alias("_ts"), ident.alias("_id"), F.lit(knd).alias("_kind"),
-                        *[cols[v].alias(v) for v in vals],
-                        (F.col("_ts") if kind == "row" else F.lit(None).cast("long")).alias("_tsv"),
-                        F.col("tx_id").alias("_origin"), F.lit(kind).alias("_etype"))
-
-    parts = [events("row", F.col("_ts"), F.col("tx_id"), 0,
-                    {"_one": F.col("_one"), "_cents": F.col("_cents"), "_s2": F.col("_s2"),
-                     "_lat6": F.col("_lat6"), "_lon6": F.col("_lon6")})]
-    t_prev = F.col("um_ts")
-    for w, d in WINDOWS.items():
-        parts.append(events(f"probe_{w}", F.col("_ts") - d, F.lit(""), 0, {}))
-        late = t_prev.isNotNull() & (t_prev + d + 1 > F.col("_ts"))
-        parts.append(events(f"act_{w}", F.when(late, t_prev + d + 1).otherwise(F.col("_ts")),
-                            F.when(late, F.lit("")).otherwise(F.col("tx_id")), 1, {f"_act_{w}": F.lit(1).cast("long")}))
-    ev = parts[0]
-    for p in parts[1:]:
-        ev = ev.unionByName(p)
-    sc = prefix_scan(ev, ["user_id"], ["_ts", "_id", "_kind"], sums=vals, maxes=["_tsv"], prefix="u")
-
-    probes = sc.filter(F.col("_etype").startswith("probe_")).groupBy("_origin").agg(
-        *[F.max(F.when(F.col("_etype") == f"probe_{w}", F.col(c))).alias(f"_g{c}_{w}")
-          for w in WINDOWS for c in ("u_one", "u_cents")])
-    rows = sc.filter(F.col("_etype") == "row").select(
-        F.col("_origin").alias("tx_id"), "u_one", "u_cents", "u_s2", "u_lat6", "u_lon6", "u_tsv",
-        *[f"u_act_{w}" for w in WINDOWS])
-    u = rows.join(probes, rows.tx_id == probes._origin).drop("_origin")
-    ent = s.select("tx_id", "um_ts", "_first_ud", "ac_first_ad", "dv_first_ud", "mc_one", "mc_is_fraud")
-    j = keyed.join(ent.join(u, "tx_id"), "tx_id")
-
-    n, s1, s2 = F.col("u_one"), F.col("u_cents"), F.col("u_s2")
-    var_c = (n.cast("decimal(38,0)") * s2 - s1.cast("decimal(38,0)") * s1).cast("double") / (n * n).cast("double")
-    dev = (F.col("_cents") * n - s1).cast("double") / n
-    z = F.when(var_c == 0, dev / 100.0).otherwise(dev / F.sqrt(var_c))
-    lat_mean = F.col("u_lat6").cast("double") / n / 1_000_000.0
-    lon_mean = F.col("u_lon6").cast("double") / n / 1_000_000.0
-    feats: dict[str, Column] = {}
-    for w, d in WINDOWS.items():
-        g1, gc = F.col(f"_gu_one_{w}"), F.col(f"_gu_cents_{w}")
-        feats[f"user_txn_count_{w}"] = (n - g1).cast("double")
-        feats[f"user_spend_{w}"] = (s1 - gc) / 100.0
-        in_window = (t_prev.isNotNull() & (t_prev >= F.col("_ts") - d)).cast("long")
-        feats[f"new_merchants_{w}"] = (F.col(f"u_act_{w}") - g1 - in_window).cast("double")
-    feats["distance_from_user_centroid_km"] = F.when(n == 0, F.lit(0.0)).otherwise(
-        r6(haversine_km(lat_mean, lon_mean, F.col("lat"), F.col("lon"))))
-    feats["seconds_since_last_txn"] = F.when(F.col("u_tsv").isNull(), F.lit(0.0)).otherwise(
-        (F.col("_ts") - F.col("u_tsv")) / 1_000_000.0)
-    feats["user_amount_zscore"] = F.when(n == 0, F.lit(0.0)).otherwise(r6(z))
-    feats["devices_per_account"] = F.col("ac_first_ad").cast("double")
-    feats["device_sharing_degree"] = F.col("dv_first_ud").cast("double")
-    feats["merchant_fraud_prevalence"] = F.when(F.col("mc_one") == 0, F.lit(0.0)).otherwise(
-        r6(F.col("mc_is_fraud") / F.col("mc_one")))
-    feats["is_new_device_for_user"] = F.col("_first_ud").cast("double")
-    out = j.withColumns(feats).select(*df.columns, *FEATURE_COLUMNS)
-    return _codes(out, df, mappings)

@@ -2,8 +2,9 @@
 
 Edges are never produced by self-joining an entity group (a hot merchant
 would explode quadratically).  Links to the previous / next k transactions of
-the same entity come from ``lag`` / ``lead`` over the entity's time order,
-so the edge count is at most ``2 * k`` per transaction and entity type.
+the same entity come from ``pieces.previous_rows``, which cuts an entity's
+history into pieces of time, so the edge count is at most ``2 * k`` per
+transaction and entity type and no entity fills a task.
 Neighbour aggregation is an equi-join of edges to node features followed by
 a grouped aggregate (partial aggregation before the shuffle).
 """
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import epoch_micros
+from ledgerlens.operators.pieces import order_keys, previous_rows
 
 # Entity types linked in the transaction graph.
 ENTITY_KEYS = [("user", "user_id"), ("merchant", "merchant_id"), ("device", "device_id"), ("account", "account_id")]
@@ -22,92 +24,46 @@ DAY_US = 86_400_000_000
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    return df.select("tx_id", "user_id", "merchant_id", "device_id", "account_id",
-                     epoch_micros("timestamp").alias("_ts"))
+    return df.select("tx_id", "user_id", "merchant_id", "device_id", "account_id", "timestamp").withColumns(
+        order_keys(epoch_micros("timestamp"))).drop("timestamp")
 
 
-def _links(k: DataFrame, etype: str, col: str, offsets: list[int], max_gap_us: int | None) -> DataFrame:
-    """Both-direction edges from each tx to the tx at each offset in the entity's time order."""
-    w = Window.partitionBy(col).orderBy("_ts", "tx_id")
-    fn = F.lag if offsets[0] > 0 else F.lead
-    cands = F.array(*[F.struct(fn("tx_id", abs(o)).over(w).alias("o_tx"), fn("_ts", abs(o)).over(w).alias("o_ts"))
-                      for o in offsets])
-    # Window output is materialised in one projection and exploded in the next
-    # (a window function may not sit inside a generator).
-    step = k.select("tx_id", "_ts", cands.alias("_c"))
+def _links(k: DataFrame, etype: str, col: str, n: int, max_gap_us: int | None, following: bool) -> DataFrame:
+    """Both-direction edges between each tx and its up to ``n`` prior (or following) tx of the entity."""
+    p = previous_rows(k.select("tx_id", col, "_ts", "_id"), col, ["tx_id", "_ts"], n, following)
 
     def keep(x: Column) -> Column:
-        ok = x["o_tx"].isNotNull()
+        ok = x["tx_id"].isNotNull()
         if max_gap_us is not None:
-            ok = ok & (F.abs(F.col("_ts") - x["o_ts"]) <= max_gap_us)
+            ok = ok & (F.abs(F.col("_ts") - x["_ts"]) <= max_gap_us)
         return ok
 
-    kept = step.select("tx_id", F.explode(F.filter("_c", keep)).alias("o"))
-    fwd = kept.select(F.col("o.o_tx").alias("src"), F.col("tx_id").alias("dst"))
-    both = fwd.unionByName(fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return both.withColumn("edge_type", F.lit(etype))
+    def both(x: Column) -> Column:
+        return F.array(F.struct(x["tx_id"].alias("src"), F.col("tx_id").alias("dst")),
+                       F.struct(F.col("tx_id").alias("src"), x["tx_id"].alias("dst")))
 
+    pairs = F.flatten(F.transform(F.filter("_prev", keep), both))
+    return p.where("tx_id is not null").select(F.inline(pairs)).withColumn("edge_type", F.lit(etype))
 
-def _links_scan(k: DataFrame, etype: str, col: str, n: int, max_gap_us: int | None, descending: bool) -> DataFrame:
-    """``_links`` via ``prefix.previous_k``: hot entities are split across tasks."""
-    from ledgerlens.operators.prefix import previous_k
 
-    p = previous_k(k.select("tx_id", col, "_ts"), col, ["_ts", "tx_id"], ["tx_id", "_ts"], n, descending=descending)
-    cands = F.transform("_prev", lambda x: F.struct(x["tx_id"].alias("o_tx"), x["_ts"].alias("o_ts")))
-    step = p.select("tx_id", "_ts", cands.alias("_c"))
-
-    def keep(x: Column) -> Column:
-        ok = x["o_tx"].isNotNull()
-        if max_gap_us is not None:
-            ok = ok & (F.abs(F.col("_ts") - x["o_ts"]) <= max_gap_us)
-        return ok
-
-    kept = step.select("tx_id", F.explode(F.filter("_c", keep)).alias("o"))
-    fwd = kept.select(F.col("o.o_tx").alias("src"), F.col("tx_id").alias("dst"))
-    both = fwd.unionByName(fwd.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return both.withColumn("edge_type", F.lit(etype))
-
-
-def _use_scan(df: DataFrame, method: str) -> bool:
-    if method != "auto":
-        return method == "scan"
-    from ledgerlens.operators.features import largest_key_rows
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    mx, total = largest_key_rows(df)
-    return bool(total) and mx * parts > total
+def _all_links(df: DataFrame, n: int, gap: int | None, following: bool) -> DataFrame:
+    k = _keyed(df)
+    out = None
+    for etype, col in ENTITY_KEYS:
+        e = _links(k, etype, col, n, gap, following)
+        out = e if out is None else out.unionByName(e)
+    return out
 
 
-def prior_link_edges(df: DataFrame, window_days: int | None = 30, max_links: int = 5, method: str = "auto") -> DataFrame:
+def prior_link_edges(df: DataFrame, window_days: int | None = 30, max_links: int = 5) -> DataFrame:
     """Each tx linked to the last ``max_links`` earlier tx of the same user / merchant / device /
-    account, kept only if within ``window_days`` (lookback first, then the time filter).
+    account, kept only if within ``window_days`` (lookback first, then the time filter)."""
+    return _all_links(df, max_links, window_days * DAY_US if window_days is not None else None, False)
 
-    ``method``: "window" (``lag`` per entity), "scan" (hot entities split
-    across tasks, ``prefix.previous_k``) or "auto" (scan only when one entity
-    value holds more than a task's fair share of rows).
-    """
-    k = _keyed(df)
-    gap = window_days * DAY_US if window_days is not None else None
-    if _use_scan(df, method):
-        parts = [_links_scan(k, e, c, max_links, gap, False) for e, c in ENTITY_KEYS]
-    else:
-        parts = [_links(k, e, c, list(range(1, max_links + 1)), gap) for e, c in ENTITY_KEYS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
-
-def shared_entity_projection(df: DataFrame, next_k: int = 4, method: str = "auto") -> DataFrame:
+def shared_entity_projection(df: DataFrame, next_k: int = 4) -> DataFrame:
     """Variant projection: each tx linked to the next ``next_k`` tx sharing an entity, both directions."""
-    k = _keyed(df)
-    if _use_scan(df, method):
-        parts = [_links_scan(k, e, c, next_k, None, True) for e, c in ENTITY_KEYS]
-    else:
-        parts = [_links(k, e, c, [-i for i in range(1, next_k + 1)], None) for e, c in ENTITY_KEYS]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _all_links(df, next_k, None, True)
 
 
 def distinct_pairs(df: DataFrame) -> DataFrame:

@@ -119,3 +119,14 @@ FROM k JOIN uh USING (tx_id) JOIN eh USING (tx_id)
        LEFT JOIN first_channel fc ON k.channel = fc.value
        LEFT JOIN first_mcc fm ON k.mcc = fm.value
        LEFT JOIN first_currency fu ON k.currency = fu.value""")
+
+
+def gold_features_raw(frame_sql: str) -> str:
+    """``gold_features`` on a frame whose ids repeat: features are joined by row number, not by id."""
+    keyed_rows = keyed(frame_sql).replace("SELECT *, epoch_us", "SELECT *, row_number() OVER () AS _rid, epoch_us", 1)
+    uh = _uh_cte().replace("SELECT a.tx_id,", "SELECT a._rid,").replace("GROUP BY a.tx_id,", "GROUP BY a._rid,")
+    eh = _eh_cte().replace("SELECT a.tx_id,", "SELECT a._rid,")
+    cols = ", ".join(("eh." if c in ENTITY else "uh.") + c for c in FEATURE_ORDER)
+    return keyed_rows + "," + uh + "," + eh + f"""
+SELECT k.tx_id, k.user_id, k.merchant_id, k.amount, k."timestamp", {cols}
+FROM k JOIN uh USING (_rid) JOIN eh USING (_rid)"""

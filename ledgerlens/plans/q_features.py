@@ -6,7 +6,7 @@ from ledgerlens.operators import features as fx
 from ledgerlens.oracle import canonical as oc
 from ledgerlens.oracle import features as of
 from ledgerlens.plans.registry import query
-from ledgerlens.sources.canonical import tx_events, tx_lineitem
+from ledgerlens.sources.canonical import tx_events, tx_lineitem, tx_lineitem_raw
 
 EV, LI = oc.TX_EVENTS, oc.TX_LINEITEM
 
@@ -88,10 +88,17 @@ def gold_features_events(spark, sf):
 
 @query("gold_features_skewproof", of.gold_features(LI))
 def gold_features_skewproof(spark, sf):
-    """The same gold features via two-level prefix scans (no per-key window task)."""
-    return fx.gold_features_scan(tx_lineitem(spark, sf))
+    """The gold features under their earlier second name: there is one, skew-proof, formulation."""
+    return fx.gold_features(tx_lineitem(spark, sf))
 
 
 @query("gold_features_skewproof_events", of.gold_features(EV))
 def gold_features_skewproof_events(spark, sf):
-    return fx.gold_features_scan(tx_events(spark, sf))
+    return fx.gold_features(tx_events(spark, sf))
+
+
+@query("gold_features_repeated_ids", of.gold_features_raw(oc.TX_LINEITEM_RAW))
+def gold_features_repeated_ids(spark, sf):
+    """The features of the lineitem frame before de-duplication: repeated ids stay rows of their own."""
+    df = tx_lineitem_raw(spark, sf)
+    return fx.gold_features(df).select("tx_id", "user_id", "merchant_id", "amount", "timestamp", *fx.FEATURE_COLUMNS)

@@ -100,10 +100,10 @@ def attention_mean(spark, sf):
 
 @query("prior_link_edges_skewproof", og.prior_links(LI))
 def prior_link_edges_skewproof(spark, sf):
-    """Same edges as ``prior_link_edges_ties`` via range pieces + carried tails (hot entities split)."""
-    return gr.prior_link_edges(cn.tx_lineitem(spark, sf), method="scan")
+    """The edges of ``prior_link_edges_ties`` under their earlier second name."""
+    return gr.prior_link_edges(cn.tx_lineitem(spark, sf))
 
 
 @query("shared_entity_projection_skewproof", og.projection(EV))
 def shared_entity_projection_skewproof(spark, sf):
-    return gr.shared_entity_projection(cn.tx_events(spark, sf), method="scan")
+    return gr.shared_entity_projection(cn.tx_events(spark, sf))

@@ -56,31 +56,74 @@ def test_category_codes_first_appearance(spark):
     assert out == {"early": 0, "late": 1}
 
 
-def test_scan_equals_window_on_a_hot_key(spark):
-    """A hot merchant / user holding most rows: two-level scans == per-key windows, and auto picks the scan."""
+def _plain_features(rows):
+    """Every feature by its definition: prior = strictly earlier in (time, id); a null id sorts first."""
+    out = []
+    order = lambda r: (r["ts"], r["tx_id"] or "")
+    for q in rows:
+        prior = [r for r in rows if order(r) < order(q)]
+        mine = [r for r in prior if r["user_id"] == q["user_id"]]
+        f = {}
+        for w, us in fx.WINDOWS.items():
+            win = [r for r in mine if q["ts"] - r["ts"] <= us]
+            f[f"user_txn_count_{w}"] = float(len(win))
+            f[f"user_spend_{w}"] = sum(round(r["amount"] * 100) for r in win) / 100.0
+            f[f"new_merchants_{w}"] = float(len({r["merchant_id"] for r in win} - {q["merchant_id"]}))
+        f["seconds_since_last_txn"] = (q["ts"] - max(r["ts"] for r in mine)) / 1e6 if mine else 0.0
+        f["devices_per_account"] = float(len({r["device_id"] for r in prior if r["account_id"] == q["account_id"]}))
+        f["device_sharing_degree"] = float(len({r["user_id"] for r in prior if r["device_id"] == q["device_id"]}))
+        m = [r["is_fraud"] for r in prior if r["merchant_id"] == q["merchant_id"]]
+        f["merchant_fraud_prevalence"] = round(sum(m) / len(m), 6) if m else 0.0
+        f["is_new_device_for_user"] = float(not any(r["device_id"] == q["device_id"] for r in mine))
+        out.append((q["tx_id"], q["ts"], f))
+    return out
+
+
+def _random_rows(spark, seed, n=260):
+    """A hot user and merchant, ties, repeated and null ids, times over several pieces."""
     import random
-    rnd = random.Random(5)
+    rnd = random.Random(seed)
     rows = []
-    for i in range(400):
+    for i in range(n):
         hot = i % 3 != 0
-        rows.append((f"t{i:04d}", "u_hot" if hot and i % 2 else f"u{i % 7}", "m_hot" if hot else f"m{i % 5}",
-                     f"d{rnd.randrange(6)}", f"a{rnd.randrange(4)}", float(rnd.randrange(1, 500)),
-                     rnd.randrange(0, 60 * 24 * 20, 7), int(rnd.random() < 0.1)))
-    df = _tx(spark, rows)
-    cols = ["tx_id", *fx.FEATURE_COLUMNS, *fx.CODE_COLUMNS]
-    a = sorted(tuple(r) for r in fx.gold_features(df, method="window").select(*cols).collect())
-    b = sorted(tuple(r) for r in fx.gold_features_scan(df).select(*cols).collect())
-    assert a == b
-    mx, total = fx.largest_key_rows(df)
-    assert mx * 8 > total  # would route to the scan under "auto" with 8 shuffle partitions
-
-
-def test_single_feature_scan_path_equals_window(spark):
-    rows = [(f"t{i:03d}", "u_hot" if i % 5 else f"u{i % 3}", f"m{i % 4}", f"d{i % 3}", f"a{i % 2}", float(i % 50 + 1),
-             i * 13 % 900, int(i % 11 == 0)) for i in range(150)]
-    df = _tx(spark, rows)
-    for fn, cols in [(fx.user_velocity, ["user_txn_count_1h", "user_spend_24h"]),
-                     (fx.amount_zscore, ["user_amount_zscore"]), (fx.devices_per_account, ["devices_per_account"])]:
-        a = sorted(tuple(r) for r in fn(df, method="window").select("tx_id", *cols).collect())
-        b = sorted(tuple(r) for r in fn(df, method="scan").select("tx_id", *cols).collect())
-        assert a == b, fn.__name__
+        minute = rnd.randrange(0, 60 * 24 * 100, 360) if i % 2 else rnd.randrange(60 * 24 * 40, 60 * 24 * 41, 11)
+        tid = None if i % 17 == 0 else f"t{i if i % 5 else i // 10:04d}"
+        rows.append((tid, "u_hot" if hot and i % 2 else f"u{i % 7}", "m_hot" if hot and i % 4 else f"m{i % 5}",
+                     f"d{rnd.randrange(6)}", f"a{rnd.randrange(4)}", float(rnd.randrange(1, 500)), minute, int(rnd.random() < 0.1)))
+    rows += rows[:12]  # rows equal in every column
+    return _tx(spark, rows), [
+        dict(zip(("tx_id", "user_id", "merchant_id", "device_id", "account_id", "amount"), r[:6], strict=True),
+             ts=r[6] * 60_000_000, is_fraud=r[7]) for r in rows]
+
+
+def test_gold_features_equal_their_definitions(spark):
+    df, plain = _random_rows(spark, 5)
+    t0 = datetime(2024, 1, 1)
+    got = fx.gold_features(df).collect()
+    assert len(got) == len(plain)  # repeated and null ids stay rows of their own
+    key = lambda t, us, f: (str(t), us, [round(f[c], 6) for c in sorted(f)])
+    want = sorted(key(t, us, f) for t, us, f in _plain_features(plain))
+    names = sorted(_plain_features(plain[:1])[0][2])
+    have = sorted(key(r.tx_id, int((r.timestamp - t0) / timedelta(microseconds=1)), {c: r[c] for c in names}) for r in got)
+    assert have == want
+
+
+def test_single_features_equal_the_whole(spark):
+    df, plain = _random_rows(spark, 6, 120)
+    whole = fx.gold_features(df).collect()
+    for fn, cols in [(fx.user_velocity, ["user_txn_count_1h", "user_spend_24h", "user_txn_count_7d"]), (fx.new_merchants, ["new_merchants_24h"]),
+                     (fx.amount_zscore, ["user_amount_zscore"]), (fx.centroid_distance, ["distance_from_user_centroid_km"]),
+                     (fx.seconds_since_last, ["seconds_since_last_txn"]), (fx.devices_per_account, ["devices_per_account"]),
+                     (fx.device_sharing, ["device_sharing_degree"]), (fx.merchant_prevalence, ["merchant_fraud_prevalence"]),
+                     (fx.new_device_flag, ["is_new_device_for_user"])]:
+        pick = lambda rs: sorted(str([r.tx_id, r.timestamp, *[r[c] for c in cols]]) for r in rs)  # noqa: B023, E731
+        assert pick(fn(df).collect()) == pick(whole), fn.__name__
+
+
+def test_building_features_runs_no_job(spark):
+    df, _ = _random_rows(spark, 7, 30)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("build-only", "no job may run here")
+    fx.gold_features(df)
+    assert not list(tracker.getJobIdsForGroup("build-only"))
+    spark.sparkContext.setJobGroup("after", "")

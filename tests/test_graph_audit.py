@@ -87,24 +87,20 @@ def test_reference_sample_size_is_checked(spark):
         pass
 
 
-def test_previous_k_matches_lag_across_many_pieces(spark):
-    """Hot key cut into many range pieces: carried tails reproduce lag(1..k) exactly."""
+def test_previous_rows_match_lag_across_many_pieces(spark):
+    """A hot key cut into pieces of time: carried tails reproduce lag(1..k) and lead(1..k) exactly."""
     from pyspark.sql import Window
 
-    from ledgerlens.operators.prefix import prefix_scan, previous_k
+    from ledgerlens.operators.pieces import PIECE_US, order_keys, previous_rows
+    from ledgerlens.operators.prefix import prefix_scan
     rows = [(f"t{i:04d}", "hot" if i % 4 else f"k{i % 9}", (i * 7919) % 1000) for i in range(600)]
     df = spark.createDataFrame(rows, "tx_id string, key string, ts long")
-    got = previous_k(df, "key", ["ts", "tx_id"], ["tx_id"], 3, num_partitions=37)
-    got = {r.tx_id: [p.tx_id for p in r._prev] for r in got.collect()}
+    keyed = df.withColumns(order_keys(F.col("ts") * (PIECE_US // 7)))
     w = Window.partitionBy("key").orderBy("ts", "tx_id")
-    want = df.select("tx_id", *[F.lag("tx_id", o).over(w).alias(f"l{o}") for o in (1, 2, 3)]).collect()
-    for r in want:
-        assert got[r.tx_id] == [x for x in (r.l1, r.l2, r.l3) if x is not None]
-    nxt = previous_k(df, "key", ["ts", "tx_id"], ["tx_id"], 2, descending=True, num_partitions=29)
-    nxt = {r.tx_id: [p.tx_id for p in r._prev] for r in nxt.collect()}
-    lead = df.select("tx_id", *[F.lead("tx_id", o).over(w).alias(f"l{o}") for o in (1, 2)]).collect()
-    for r in lead:
-        assert nxt[r.tx_id] == [x for x in (r.l1, r.l2) if x is not None]
+    for following, fn, k in ((False, F.lag, 3), (True, F.lead, 9)):
+        got = {r.tx_id: [p.tx_id for p in r._prev] for r in previous_rows(keyed, "key", ["tx_id"], k, following).collect()}
+        for r in df.select("tx_id", F.array(*[fn("tx_id", o).over(w) for o in range(1, k + 1)]).alias("want")).collect():
+            assert got[r.tx_id] == [x for x in r.want if x is not None]
     # running sums across pieces equal a single window's
     pre = prefix_scan(df.withColumn("one", F.lit(1)), ["key"], ["ts", "tx_id"], sums=["one"], maxes=["ts"],
                       num_partitions=37, prefix="p").collect()
