@@ -27,8 +27,8 @@ from ledgerlens.llm.common import agg_back, attach, components, shuffle_partitio
 WORDS = 5
 THRESHOLD = (80, 100)  # link when 100 * intersection >= 80 * union
 BANDS, ROWS = 4, 2
-FREQUENT_SHARE = 4096  # a shingle in more than 1/4096 of the documents counts as frequent
-FREQUENT_MOST = 1 << 19  # and at most this many are kept (4 MB); the order of the others is by hash, results are the same
+FREQUENT_LEAST = 8  # shingles counted in this many documents or more are frequent
+FREQUENT_MOST = 1 << 19  # at most this many are kept (4 MB), the most frequent; the others are ordered by hash, results are the same
 HUB_ROWS, QUERY_ROWS = 128, 256
 BROADCAST_IDS = 500_000
 COUNT_BLOCK = 1_000_000  # shingles a task holds while counting
@@ -88,7 +88,7 @@ def linked(common, n_x, n_y):
     return b * common >= a * (n_x + n_y - common)
 
 
-def _frequent(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
+def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Frequent shingles with counts, sorted by shingle; tasks drop what is rare within them (a lossy count)."""
     def count(batches):
         cache = _WordHash()
@@ -119,13 +119,12 @@ def _frequent(texts: DataFrame, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
                     held, size = [], 0
         if held:
             tokens, counts = merged()
-        keep = counts >= max(2, docs // (2 * FREQUENT_SHARE))
+        keep = counts >= max(2, docs // 16_384)
         yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])],
                                          names=["token", "docs"])
 
-    least = max(8, n_docs // FREQUENT_SHARE)
     top = (texts.mapInArrow(count, "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs"))
-           .where(F.col("docs") >= least).orderBy(F.col("docs").desc(), "token").limit(FREQUENT_MOST).toArrow())
+           .where(F.col("docs") >= FREQUENT_LEAST).orderBy(F.col("docs").desc(), "token").limit(FREQUENT_MOST).toArrow())
     token, docs = top["token"].to_numpy().astype(np.int64).view(np.uint64), top["docs"].to_numpy()
     order = np.argsort(token)
     return token[order], docs[order]
@@ -257,15 +256,18 @@ def _qualifying(grouped: DataFrame) -> DataFrame:
     few = tokens.count() <= 4 * BROADCAST_IDS
     every = grouped.select("grp", "n", "small", leading.alias("pos", "token"))
     shared = every.join(F.broadcast(tokens) if few else tokens, "token", "left_semi")
-    as_small = F.when(F.col("pos") < F.col("small"), F.col("n"))
+    as_small, left = F.col("pos") < F.col("small"), F.col("n") - F.col("pos")
     matrix = stored(shared.groupBy("token", "grp").agg(
-        F.min(as_small).alias("s_min"), F.max(as_small).alias("s_max"), F.min("n").alias("l_min"),
-        F.max("n").alias("l_max")), "jaccard-matrix")
+        F.min(F.when(as_small, F.col("n"))).alias("s_min"), F.max(F.when(as_small, F.col("n"))).alias("s_max"),
+        F.max(F.when(as_small, left)).alias("s_left"), F.min("n").alias("l_min"), F.max("n").alias("l_max"),
+        F.max(left).alias("l_left")), "jaccard-matrix")
     a, b = THRESHOLD
     x, y = matrix.where("s_min is not null").alias("x"), matrix.alias("y")
+    # the shingles from this one on must leave room for the overlap a link of these sizes needs, less l
+    room = F.ceil(a * (F.col("x.s_min") + F.col("y.l_min")) / (a + b)) - least_shared(0) - F.floor(F.col("x.s_min") / 40)
     both = x.join(y, F.col("x.token") == F.col("y.token")).where(
         (F.col("x.grp") != F.col("y.grp")) & (F.col("x.s_min") <= F.col("y.l_max"))
-        & (F.col("x.s_max") * b >= F.col("y.l_min") * a))
+        & (F.col("x.s_max") * b >= F.col("y.l_min") * a) & (F.col("x.s_left") > room) & (F.col("y.l_left") > room))
     count = both.groupBy(F.col("x.grp").alias("g"), F.col("y.grp").alias("h")).agg(
         F.count(F.lit(1)).alias("common"), F.min("x.s_min").alias("least"))
     open_ = count.where(F.col("common") >= least_shared(0) + F.floor(F.col("least") / 40))
@@ -307,7 +309,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     size and a 64-bit fingerprint.
     """
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    frequent = _frequent(docs.select("text"), docs.count())
+    frequent = _frequent(docs.select("text"))
     sets = stored(_sets(docs, frequent), "jaccard-sets")
     # documents with equal sets are one class, represented by the smallest id
     small = sets.select("doc_id", "n", "fp")
