@@ -27,7 +27,7 @@ from ledgerlens.llm.common import values
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 2e-4
 BATCH_CHARS = 800_000  # texts handled at once
-BUILD_CHARS = 200_000  # characters of new lattices built at once
+BUILD_CHARS = 60_000  # characters of new lattices built at once
 CACHED_CHUNKS = 250_000  # lattices kept by a task
 
 _GOLD, _M1, _M2, _BASE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x100000001B3))
@@ -128,15 +128,16 @@ class Lattices:
 
     def ids(self, chunks: list[str]) -> np.ndarray:
         """First node of every chunk's lattice; unknown chunks are built."""
-        known = self.known
-        new = list({c: None for c in chunks if c not in known})
-        if new:
-            if len(known) + len(new) > CACHED_CHUNKS and known:
+        node = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
+        missing = np.flatnonzero(node < 0)
+        if len(missing):
+            new = list(dict.fromkeys(map(chunks.__getitem__, missing.tolist())))
+            if len(self.known) + len(new) > CACHED_CHUNKS and self.known:
                 self.clear()
-                known, new = self.known, list(dict.fromkeys(chunks))
-            for c, node in zip(new, self._build(new), strict=True):
-                known[c] = node
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
+                return self.ids(chunks)
+            self.known.update(zip(new, self._build(new), strict=True))
+            node[missing] = [self.known[chunks[i]] for i in missing.tolist()]
+        return node
 
     def _build(self, chunks: list[str]) -> list[int]:
         out, at = [], 0
@@ -155,28 +156,33 @@ class Lattices:
         lens = np.fromiter(map(len, chunks), np.int64, len(chunks))
         ends = np.cumsum(lens)
         rem = np.repeat(ends, lens) - np.arange(len(chars))
-        # one row per character, one column per piece length, the longest first
-        weight = np.full((len(chars), v.longest), -np.inf)
-        piece = np.zeros((len(chars), v.longest), np.int32)
-        at, h, n = np.arange(len(chars)), np.zeros(len(chars), np.uint64), 0
+        at, h, n, found = np.arange(len(chars)), np.zeros(len(chars), np.uint64), 0, []
         while len(at):
             h = h * _BASE + (chars[at + n] + np.uint64(1))
             n += 1
             look = np.minimum(np.searchsorted(v.prefix, h), len(v.prefix) - 1)
             hit = v.prefix[look] == h
-            found = v.prefix_id[look]
-            full = hit & (found >= 0)
-            weight[at[full], v.longest - n] = v.weight[found[full]]
-            piece[at[full], v.longest - n] = found[full]
+            ids = v.prefix_id[look]
+            full = hit & (ids >= 0)
+            starts, ids = at[full], ids[full]
             if n == 1:
                 lone = at[~full]
-                weight[lone, -1] = v.weight[-1]
-                piece[lone, -1] = -1 - chars[lone].astype(np.int64)
+                starts = np.concatenate([starts, lone])
+                ids = np.concatenate([ids, -1 - chars[lone].astype(np.int32)])
+            if len(starts):
+                found.append((n, starts, ids))
             go = hit & (rem[at] > n)
             at, h = at[go], h[go]
+        # one row per character, one column per piece length that occurs, the longest first
+        found.reverse()
+        ahead = np.array([n for n, _, _ in found])
+        weight = np.full((len(chars), len(found)), -np.inf)
+        piece = np.zeros((len(chars), len(found)), np.int32)
+        for col, (_, starts, ids) in enumerate(found):
+            weight[starts, col] = v.weight[np.where(ids >= 0, ids, len(v.weight) - 1)]
+            piece[starts, col] = ids
         node = np.arange(len(chars)) + np.repeat(np.arange(len(chunks)), lens)  # every chunk has one more node: its end
-        ahead = np.arange(v.longest, 0, -1)
-        beta = np.zeros(len(chars) + len(chunks) + v.longest)
+        beta = np.zeros(len(chars) + len(chunks) + ahead.max(initial=1))
         order = np.argsort(rem, kind="stable")  # from the chunk ends backwards
         cuts = np.searchsorted(rem[order], np.arange(1, rem.max() + 2)) if len(rem) else np.zeros(1, int)
         for a, b in zip(cuts, cuts[1:], strict=False):
@@ -190,11 +196,11 @@ class Lattices:
         logp[count == 1] = np.where(there[count == 1], 0.0, -np.inf)
         p = np.exp(logp)
         cum = np.cumsum(p, axis=1)
-        cum[np.arange(len(chars)), v.longest - 1 - there[:, ::-1].argmax(1)] = 2.0
+        cum[np.arange(len(chars)), len(found) - 1 - there[:, ::-1].argmax(1)] = 2.0
         with np.errstate(divide="ignore"):
             rest = np.log1p(-p)
         row, col = np.nonzero(there)
-        span = v.longest - col
+        span = ahead[col]
         edges_of = np.zeros(len(chars) + len(chunks), np.int64)
         edges_of[node] = count
         first_node = self.first.n - 1
@@ -345,6 +351,9 @@ def token_ids(lat: Lattices, edges: np.ndarray) -> np.ndarray:
         return piece
     parts, at = [], 0
     byte_ids = lat.v.byte_ids
+    if piece[odd].min() >= -128:  # one byte each, as line ends are
+        piece[odd] = byte_ids[-1 - piece[odd]]
+        return piece
     for i in odd:
         raw = chr(-1 - int(piece[i])).encode("utf-8", "surrogatepass")
         parts += [piece[at:i], byte_ids[list(raw)]]
@@ -358,17 +367,34 @@ def decode(vocabulary: Vocabulary, ids) -> str:
     return raw.removeprefix(b" ").decode("utf-8", "replace")
 
 
-SAMPLES = "rank int, ids array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
+def decode_ids(samples: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
+    """The same rows with a column ``decoded``: the text of the ids (null for null, empty for no ids)."""
+    held = samples.sparkSession.sparkContext.broadcast(vars(Vocabulary(tokenizer)))
+
+    def run(batches):
+        vocabulary = object.__new__(Vocabulary)
+        vars(vocabulary).update(held.value)
+        for b in batches:
+            texts = [None if x is None else decode(vocabulary, x) for x in values(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["carried", "decoded"])
+
+    columns = samples.columns
+    source = samples.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in columns]).alias("carried"), F.col(ids_col).alias("ids"))
+    out = source.mapInArrow(run, f"carried {source.schema['carried'].dataType.simpleString()}, decoded string")
+    return out.select(*[F.col(f"carried.`{c}`").alias(c) for c in columns], "decoded")
+
+
+SAMPLES = "rank int, ids array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double"
 
 
 def encode_samples(documents: DataFrame, k: int = 2, id_col: str = "doc_id", text_col: str = "text",
                    tokenizer: str = TOKENIZER, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
     """Up to k distinct segmentations of every whole text, sampled without replacement; one row per sample.
 
-    ``rank`` is the sampling order, ``log_prob`` the segmentation's log probability, ``perturbed`` its Gumbel value,
-    ``log_inclusion`` the log probability of a value above the threshold (0 when all segmentations are listed) and
-    ``round_trip`` whether the decoded ids are the text.  Texts with fewer segmentations give fewer rows; an empty
-    text has one, without pieces; a null text gives one row with nulls.  Rows with equal id and text get equal
+    ``rank`` is the sampling order, ``log_prob`` the segmentation's log probability, ``perturbed`` its Gumbel value
+    and ``log_inclusion`` the log probability of a value above the threshold (0 when all segmentations are listed).
+    Texts with fewer segmentations give fewer rows; an empty text has one, without pieces; a null text gives one row
+    with nulls.  Rows with equal id and text get equal
     samples.  An empty table gives no rows.
     """
     spark = documents.sparkSession
@@ -396,26 +422,23 @@ def encode_samples(documents: DataFrame, k: int = 2, id_col: str = "doc_id", tex
 
 def _encoded(lat: Lattices, id_column, keys, texts, k, seed) -> pa.RecordBatch:
     found, kappa = sample_batch(lat, [t or "" for t in texts], keys, k, seed)
-    row, rank, ids, size, logp, value, incl, same = [], [], [], [], [], [], [], []
-    raw = lat.v.raw
+    row, rank, ids, size, logp, value, incl = [], [], [], [], [], [], []
     for d, samples in enumerate(found):
         if texts[d] is None:
             row.append(d), rank.append(1), ids.append(None), size.append(None)
-            logp.append(None), value.append(None), incl.append(None), same.append(None)
+            logp.append(None), value.append(None), incl.append(None)
             continue
-        data = texts[d].encode()
         for r, (edges, lp, g) in enumerate(samples, 1):
             tokens = token_ids(lat, edges)
             row.append(d), rank.append(r), ids.append(tokens), size.append(len(tokens))
             logp.append(lp), value.append(g)
             x = lp - kappa[d]  # log(1 - exp(-exp(x)))
             incl.append(0.0 if x > 5 else x if x < -30 else math.log(-math.expm1(-math.exp(x))))
-            same.append(b"".join(map(raw.__getitem__, tokens.tolist())).removeprefix(b" ") == data)
     lens = np.array([0 if x is None else len(x) for x in ids], np.int64)
     flat = np.concatenate([x for x in ids if x is not None and len(x)]) if lens.any() else np.empty(0, np.int32)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)),
                                      pa.array(flat.astype(np.int32)), mask=pa.array([x is None for x in ids]))
     return pa.RecordBatch.from_arrays(
         [id_column.take(pa.array(row, pa.int64())), pa.array(rank, pa.int32()), lists, pa.array(size, pa.int32()),
-         pa.array(logp, pa.float64()), pa.array(value, pa.float64()), pa.array(incl, pa.float64()), pa.array(same, pa.bool_())],
-        names=["doc_id", "rank", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip"])
+         pa.array(logp, pa.float64()), pa.array(value, pa.float64()), pa.array(incl, pa.float64())],
+        names=["doc_id", "rank", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion"])
