@@ -1,25 +1,24 @@
 """Split-conformal triage on calibrated probabilities.
 
-Quantiles are order statistics of micro-unit scores (bounded distinct
-values), found from per-value counts and a running count; the calibration
-set itself is never gathered into one task.
+Quantiles are exact order statistics, found from per-value counts and counts
+below each value (``metrics.with_ranks``); neither the calibration set nor its
+distinct values are gathered into one task.  Results are unrounded.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.metrics import MICRO
+from ledgerlens.operators.metrics import with_ranks
 
 BANDS = ("high_confidence_fraud", "high_confidence_legit", "review_needed")
 
 
 def _value_counts(values: DataFrame, col: str) -> DataFrame:
-    """(value_micro, count, rows strictly below) over the whole column."""
-    vc = values.groupBy(F.round(F.col(col) * MICRO).cast("long").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    w = Window.partitionBy(F.lit(0)).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    return vc.withColumn("_below", F.coalesce(F.sum("_c").over(w), F.lit(0)))
+    """(_v value, _c count, _below rows strictly below) over the whole column."""
+    vc = values.groupBy((F.col(col) + 0.0).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    return with_ranks(vc, [], "_v", ["_c"]).withColumnRenamed("_c_below", "_below")
 
 
 def _q_level(n: Column, alpha: float) -> Column:
@@ -38,23 +37,20 @@ def conformal_threshold(calib: DataFrame, alpha: float = 0.05, p: str = "score",
     return out.select(
         F.col("n").cast("long").alias("n"),
         F.when(F.col("n") == 0, F.lit(None).cast("double")).otherwise(_q_level(F.col("n"), alpha)).alias("q_level"),
-        F.when(F.col("n") == 0, F.lit(0.5)).otherwise(F.col("_v") / F.lit(float(MICRO))).alias("threshold"))
+        F.when(F.col("n") == 0, F.lit(0.5)).otherwise(F.col("_v")).alias("threshold"))
 
 
 def conformal_triage(df: DataFrame, threshold: DataFrame, p: str = "score") -> DataFrame:
     """Prediction sets -> band and confidence.  ``threshold`` is the one-row fit."""
-    # Compare in exact micro-units (scores carry 6 decimals).
-    t = F.round(F.col("threshold") * MICRO).cast("long")
-    pu = F.round(F.col(p) * MICRO).cast("long")
-    fraud = (F.lit(MICRO) - pu) <= t
-    legit = pu <= t
+    fraud = F.lit(1.0) - F.col(p) <= F.col("threshold")
+    legit = F.col(p) <= F.col("threshold")
     band = (F.when(fraud & ~legit, "high_confidence_fraud").when(legit & ~fraud, "high_confidence_legit")
             .otherwise("review_needed"))
     conf = (F.when(band == "high_confidence_fraud", F.col(p)).when(band == "high_confidence_legit", F.lit(1.0) - F.col(p))
             .otherwise(F.lit(1.0) - F.abs(F.col(p) - 0.5) * 2.0))
     # The fit is a single row: broadcasting it is bounded by construction.
     return (df.crossJoin(F.broadcast(threshold.select("threshold")))
-            .withColumns({"confidence_band": band, "confidence": F.round(conf, 6)}).drop("threshold"))
+            .withColumns({"confidence_band": band, "confidence": conf}).drop("threshold"))
 
 
 def conformal_interval_fit(calib: DataFrame, alpha: float = 0.05, p: str = "score", y: str = "is_fraud") -> DataFrame:
@@ -67,9 +63,9 @@ def conformal_interval_fit(calib: DataFrame, alpha: float = 0.05, p: str = "scor
     j = vc.crossJoin(n)
     at = lambda i: F.min(F.when((F.col("_below") <= i) & (i < F.col("_below") + F.col("_c")), F.col("_v")))
     agg = j.groupBy("n").agg(at(lo_i).alias("_lo"), at(hi_i).alias("_hi"), F.first(h).alias("_h"))
-    lo, hi = F.col("_lo") / F.lit(float(MICRO)), F.col("_hi") / F.lit(float(MICRO))
+    lo, hi = F.col("_lo"), F.col("_hi")
     frac = F.col("_h") - F.floor(F.col("_h"))
-    return agg.select(F.col("n").cast("long").alias("n"), F.round(lo + (hi - lo) * frac, 6).alias("q_hat"))
+    return agg.select(F.col("n").cast("long").alias("n"), (lo + (hi - lo) * frac).alias("q_hat"))
 
 
 def conformal_interval(df: DataFrame, fit: DataFrame, p: str = "score") -> DataFrame:
@@ -80,8 +76,8 @@ def conformal_interval(df: DataFrame, fit: DataFrame, p: str = "score") -> DataF
             .otherwise("review_needed"))
     return (df.crossJoin(F.broadcast(fit.select("q_hat")))
             .withColumns({"confidence_band": band,
-                          "interval_low": F.round(F.greatest(F.lit(0.0), low), 6),
-                          "interval_high": F.round(F.least(F.lit(1.0), high), 6)}).drop("q_hat"))
+                          "interval_low": F.greatest(F.lit(0.0), low),
+                          "interval_high": F.least(F.lit(1.0), high)}).drop("q_hat"))
 
 
 def conformal_metrics(bands: DataFrame, y: str = "is_fraud", band: str = "confidence_band") -> DataFrame:
@@ -91,9 +87,9 @@ def conformal_metrics(bands: DataFrame, y: str = "is_fraud", band: str = "confid
                | (b.isin("high_confidence_legit", "review_needed") & (lab == 0)))
     n = F.count(F.lit(1))
     return bands.agg(
-        F.when(n > 0, F.round(F.count_if(covered) / n, 6)).otherwise(F.lit(0.0)).alias("empirical_coverage"),
-        F.round(F.avg(F.when(b == "review_needed", 2).otherwise(1)), 6).alias("average_set_size"),
-        F.round(F.avg((b == "review_needed").cast("int")), 6).alias("review_rate"),
+        F.when(n > 0, F.count_if(covered) / n).otherwise(F.lit(0.0)).alias("empirical_coverage"),
+        F.avg(F.when(b == "review_needed", 2).otherwise(1)).alias("average_set_size"),
+        F.avg((b == "review_needed").cast("int")).alias("review_rate"),
         F.count_if(b == "high_confidence_fraud").alias("n_high_confidence_fraud"),
         F.count_if(b == "review_needed").alias("n_review_needed"),
         F.count_if(b == "high_confidence_legit").alias("n_high_confidence_legit"))

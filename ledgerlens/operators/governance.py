@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from ledgerlens.operators.cleansing import dedup_latest
 
@@ -12,10 +13,6 @@ def latest_per_key(df: DataFrame, key: str, order_col: str) -> DataFrame:
     return dedup_latest(df, key, [order_col])
 
 
-from pyspark.sql import functions as F  # noqa: E402
-
-MICRO = 1_000_000
-
 # KPI thresholds (green, yellow, lower_is_better) of the reference dashboard.
 KPI_THRESHOLDS = [
     ("pr_auc", 0.85, 0.70, False),
@@ -33,18 +30,18 @@ def fairness_groups(df: DataFrame, sensitive: str, y: str = "is_fraud", p: str =
     """Per group: count, mean score, selection rate, fraud rate, TPR / FPR (null if no denominator)."""
     if sensitive not in df.columns:
         raise ValueError(f"sensitive column not found: {sensitive}")
-    pred = (F.round(F.col(p) * MICRO) >= F.lit(round(threshold * MICRO))).cast("int")
+    pred = (F.col(p) >= F.lit(float(threshold))).cast("int")
     lab = F.coalesce(F.col(y).cast("int"), F.lit(0)) if y in df.columns else F.lit(0)
     base = df.select(F.col(sensitive).cast("string").alias("group"), pred.alias("_pred"), lab.alias("_y"),
-                     F.round(F.col(p) * MICRO).cast("long").alias("_pu"))
+                     F.col(p).cast("double").alias("_p"))
     g = base.groupBy("group").agg(
-        F.count(F.lit(1)).alias("count"), F.sum("_pu").alias("_sp"), F.sum("_pred").alias("positive_predictions"),
+        F.count(F.lit(1)).alias("count"), F.sum("_p").alias("_sp"), F.sum("_pred").alias("positive_predictions"),
         F.sum("_y").alias("_ap"), F.sum(F.col("_pred") * F.col("_y")).alias("_tp"),
         F.sum(F.col("_pred") * (1 - F.col("_y"))).alias("_fp"))
     c = F.col("count")
     return g.select(
         "group", "count",
-        (F.col("_sp") / c / F.lit(float(MICRO))).alias("avg_score"),
+        (F.col("_sp") / c).alias("avg_score"),
         (F.col("positive_predictions") / c).alias("selection_rate"),
         (F.col("_ap") / c).alias("fraud_rate"),
         F.when(F.col("_ap") > 0, F.col("_tp") / F.col("_ap")).alias("true_positive_rate"),
@@ -53,8 +50,10 @@ def fairness_groups(df: DataFrame, sensitive: str, y: str = "is_fraud", p: str =
         (c - F.col("positive_predictions")).cast("long").alias("negative_predictions"))
 
 
-def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
-    return df.select(*[F.round(F.col(f.name), digits).alias(f.name) if f.dataType.typeName() == "double"
+def round_doubles(df: DataFrame, digits: int = 6, only: list[str] | None = None) -> DataFrame:
+    """Round doubles for output (operators themselves return unrounded values)."""
+    return df.select(*[F.round(F.col(f.name), digits).alias(f.name)
+                       if f.dataType.typeName() == "double" and (only is None or f.name in only)
                        else F.col(f.name) for f in df.schema.fields])
 
 
@@ -64,17 +63,15 @@ def fairness_summary(groups: DataFrame) -> DataFrame:
                    F.max("true_positive_rate").alias("_tmx"), F.min("true_positive_rate").alias("_tmn"),
                    F.count(F.lit(1)).alias("n_groups"))
     return s.select(
-        F.coalesce(F.round(F.col("_mx") - F.col("_mn"), 6), F.lit(0.0)).alias("demographic_parity_difference"),
-        F.when(F.col("_mx") > 0, F.round(F.col("_mn") / F.col("_mx"), 6)).otherwise(F.lit(1.0)).alias("disparate_impact_ratio"),
-        F.round(F.col("_tmx") - F.col("_tmn"), 6).alias("equal_opportunity_difference"),
+        F.coalesce(F.col("_mx") - F.col("_mn"), F.lit(0.0)).alias("demographic_parity_difference"),
+        F.when(F.col("_mx") > 0, F.col("_mn") / F.col("_mx")).otherwise(F.lit(1.0)).alias("disparate_impact_ratio"),
+        (F.col("_tmx") - F.col("_tmn")).alias("equal_opportunity_difference"),
         "n_groups")
 
 
 def fairness_overall(df: DataFrame, y: str = "is_fraud", p: str = "score", threshold: float = 0.5) -> DataFrame:
-    pu = F.round(F.col(p) * MICRO)
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  F.round(F.sum(pu) / F.count(F.lit(1)) / F.lit(float(MICRO)), 6).alias("mean_score"),
-                  F.round(F.avg((pu >= F.lit(round(threshold * MICRO))).cast("int")), 6).alias("positive_rate"))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.avg(F.col(p).cast("double")).alias("mean_score"),
+                  F.avg((F.col(p) >= F.lit(float(threshold))).cast("int")).alias("positive_rate"))
 
 
 def fairness_audit(df: DataFrame, sensitive: str, y: str = "is_fraud", p: str = "score",
@@ -103,7 +100,7 @@ def drift_features(ref: DataFrame, cur: DataFrame, features: list[str]) -> DataF
 
 def drift_score(feat: DataFrame, threshold: float = DRIFT_FLOOR) -> DataFrame:
     s = feat.agg(F.avg(F.least(F.greatest(F.col("z") / 3.0, F.lit(0.0)), F.lit(1.0))).alias("_s"))
-    return s.select(F.round("_s", 6).alias("drift_score"),
+    return s.select(F.col("_s").alias("drift_score"),
                     ((F.col("_s") >= DRIFT_FLOOR) | (F.col("_s") >= threshold)).alias("is_drift"),
                     F.lit(float(threshold)).alias("threshold"))
 
@@ -120,60 +117,102 @@ def kpi_status(metrics_long: DataFrame, spark=None) -> DataFrame:
     return j.select("metric", "value", status.alias("status"))
 
 
+def _stacked(df: DataFrame, columns: list[str], side: str) -> DataFrame:
+    """One row per (row, column): the value as text and, for numbers, as a double."""
+    kinds = dict(df.dtypes)
+    number = lambda c: F.col(c).cast("double") if kinds[c] in ("double", "float", "int", "bigint") else F.lit(None).cast("double")
+    return df.select(F.lit(side).alias("side"), F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), number(c).alias("num")) for c in columns])))
+
+
 def integrity_checks(ref: DataFrame, cur: DataFrame, key: str = "tx_id") -> DataFrame:
     """Two-dataset integrity profile (re-aimed validation suite), one row per (check, column).
 
-    Checks: null count in each dataset, constant column in current, current
-    categories unseen in reference (left-anti join on distinct values),
-    current numeric rows outside the reference range, duplicate keys.
+    Checks: null count in each dataset, constant column in current (at most one distinct value), current rows outside
+    the reference range of a numeric column, categories of a text column unseen in reference (null is no category),
+    rows repeating a key.  Both datasets are read once: everything follows from (column, value) counts.
     """
-    out = []
-    num = [f.name for f in cur.schema.fields if f.dataType.typeName() in ("double", "integer", "long")]
-    txt = [f.name for f in cur.schema.fields if f.dataType.typeName() == "string" and f.name != key]
-    r = ref.agg(*[F.count_if(F.col(c).isNull()).alias(f"rn_{c}") for c in cur.columns],
-                *[F.min(c).alias(f"lo_{c}") for c in num], *[F.max(c).alias(f"hi_{c}") for c in num])
-    k = cur.agg(*[F.count_if(F.col(c).isNull()).alias(f"cn_{c}") for c in cur.columns],
-                *[F.count_distinct(c).alias(f"cd_{c}") for c in cur.columns],
-                (F.count(F.lit(1)) - F.count_distinct(key)).alias("dup"))
-    one = r.crossJoin(k)  # two one-row aggregates
-    rng = cur.crossJoin(r.select(*[f"lo_{c}" for c in num], *[f"hi_{c}" for c in num])).agg(
-        *[F.count_if((F.col(c) < F.col(f"lo_{c}")) | (F.col(c) > F.col(f"hi_{c}"))).alias(f"or_{c}") for c in num])
-    for c in cur.columns:
-        out.append(one.select(F.lit("null_count_reference").alias("check"), F.lit(c).alias("column"), F.col(f"rn_{c}").cast("long").alias("value")))
-        out.append(one.select(F.lit("null_count_current").alias("check"), F.lit(c).alias("column"), F.col(f"cn_{c}").cast("long").alias("value")))
-        out.append(one.select(F.lit("constant_current").alias("check"), F.lit(c).alias("column"), (F.col(f"cd_{c}") <= 1).cast("long").alias("value")))
-    for c in num:
-        out.append(rng.select(F.lit("out_of_reference_range").alias("check"), F.lit(c).alias("column"), F.col(f"or_{c}").cast("long").alias("value")))
-    for c in txt:
-        unseen = cur.select(c).distinct().join(ref.select(c).distinct(), c, "left_anti").agg(F.count(F.lit(1)).alias("value"))
-        out.append(unseen.select(F.lit("unseen_categories").alias("check"), F.lit(c).alias("column"), F.col("value").cast("long")))
-    out.append(one.select(F.lit("duplicate_keys").alias("check"), F.lit(key).alias("column"), F.col("dup").cast("long").alias("value")))
-    res = out[0]
-    for o in out[1:]:
-        res = res.unionByName(o)
-    return res
-
-
-def dataset_drift_profile(ref: DataFrame, cur: DataFrame, target: str = "is_fraud", accuracy: int = 10000) -> DataFrame:
-    """Per numeric column: mean / std / null rate / median of both datasets and their deltas, plus target rates.
-
-    Medians use ``percentile_approx`` (bounded memory per column at any scale).
+    kinds = dict(cur.dtypes)
+    num = [c for c in cur.columns if kinds[c] in ("double", "int", "bigint")]
+    txt = [c for c in cur.columns if kinds[c] == "string" and c != key]
+    both = _stacked(ref, cur.columns, "r").unionByName(_stacked(cur, cur.columns, "c"))
+    is_ref = (F.col("side") == "r").cast("long")
+    v = both.groupBy("column", "value", "num").agg(F.sum(is_ref).alias("r"), F.sum(1 - is_ref).alias("c"))
+    has = F.col("value").isNotNull()
+    per = v.groupBy("column").agg(
+        F.sum(F.when(~has, F.col("r")).otherwise(0)).alias("null_ref"), F.sum(F.when(~has, F.col("c")).otherwise(0)).alias("null_cur"),
+        F.count_if(has & (F.col("c") > 0)).alias("distinct"), F.count_if(has & (F.col("c") > 0) & (F.col("r") == 0)).alias("unseen"),
+        F.sum("c").alias("rows"), F.min(F.when(F.col("r") > 0, F.col("num"))).alias("lo"),
+        F.max(F.when(F.col("r") > 0, F.col("num"))).alias("hi"))
+    # a row a column
+    out = v.join(F.broadcast(per.select("column", "lo", "hi")), "column").groupBy("column").agg(
+        F.sum(F.when((F.col("num") < F.col("lo")) | (F.col("num") > F.col("hi")), F.col("c")).otherwise(0)).alias("outside"))
+    one = per.join(out, "column")
+    check = lambda name, value, on=F.lit(True): F.when(on, F.struct(F.lit(name).alias("check"), value.cast("long").alias("value")))
+    checks = F.array(
+        check("null_count_reference", F.col("null_ref")), check("null_count_current", F.col("null_cur")),
+        check("constant_current", F.col("distinct") <= 1),
+        check("out_of_reference_range", F.col("outside"), F.col("column").isin(*num) if num else F.lit(False)),
+        check("unseen_categories", F.col("unseen"), F.col("column").isin(*txt) if txt else F.lit(False)),
+        check("duplicate_keys", F.col("rows") - F.col("null_cur") - F.col("distinct"), F.col("column") == key))
+    return one.select("column", F.inline(F.array_compact(checks))).select("check", "column", "value")
+
+
+def dataset_drift_profile(ref: DataFrame, cur: DataFrame, target: str = "is_fraud") -> DataFrame:
+    """Per numeric column: mean / std / null rate / exact median of both datasets and their deltas, plus target rates.
+
+    One stacked pass gives (side, column, value) counts; medians are order statistics of those counts.
     """
-    num = [f.name for f in cur.schema.fields if f.dataType.typeName() in ("double", "integer", "long") and f.name in ref.columns]
-
-    def prof(df, tag):
-        return df.agg(*[x for c in num for x in (
-            F.avg(c).alias(f"{tag}_mean_{c}"), F.stddev_pop(c).alias(f"{tag}_std_{c}"),
-            F.avg(F.col(c).isNull().cast("int")).alias(f"{tag}_null_{c}"),
-            F.percentile_approx(c, 0.5, accuracy).cast("double").alias(f"{tag}_p50_{c}"))],
-            F.avg(F.col(target).cast("double")).alias(f"{tag}_target"))
-
-    wide = prof(ref, "r").crossJoin(prof(cur, "c"))  # two one-row aggregates
-    rows = F.array(*[F.struct(
-        F.lit(c).alias("column"), F.col(f"r_mean_{c}").alias("ref_mean"), F.col(f"c_mean_{c}").alias("cur_mean"),
-        (F.col(f"c_mean_{c}") - F.col(f"r_mean_{c}")).alias("mean_delta"),
-        F.col(f"r_std_{c}").alias("ref_std"), F.col(f"c_std_{c}").alias("cur_std"),
-        F.col(f"r_null_{c}").alias("ref_null_rate"), F.col(f"c_null_{c}").alias("cur_null_rate"),
-        F.col(f"r_p50_{c}").alias("ref_median"), F.col(f"c_p50_{c}").alias("cur_median"),
-        F.col("r_target").alias("ref_target_rate"), F.col("c_target").alias("cur_target_rate")) for c in num])
-    return round_doubles(wide.select(F.inline(rows)))
+    from ledgerlens.operators.metrics import with_ranks
+
+    kinds = dict(cur.dtypes)
+    num = [c for c in cur.columns if kinds[c] in ("double", "int", "bigint") and c in ref.columns]
+    both = _stacked(ref, num, "ref").unionByName(_stacked(cur, num, "cur"))
+    v = both.groupBy("side", "column", (F.col("num") + 0.0).alias("num")).agg(F.count(F.lit(1)).alias("c"))
+    known = v.where("num is not null")
+    basic = v.groupBy("side", "column").agg(
+        F.sum("c").alias("rows"), F.sum(F.when(F.col("num").isNotNull(), F.col("c")).otherwise(0)).alias("n"),
+        (F.sum(F.col("num") * F.col("c")) / F.sum(F.when(F.col("num").isNotNull(), F.col("c")))).alias("mean"))
+    ranked = with_ranks(known, ["side", "column"], "num", ["c"]).join(basic, ["side", "column"])
+    at = lambda i: F.max(F.when((F.col("c_below") <= i) & (i < F.col("c_below") + F.col("c")), F.col("num")))
+    spread = ranked.groupBy("side", "column").agg(
+        F.sqrt(F.sum(F.col("c") * F.pow(F.col("num") - F.col("mean"), 2)) / F.sum("c")).alias("std"),
+        ((at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2.0).alias("median"))
+    side = basic.join(spread, ["side", "column"], "left").withColumn("null_rate", 1 - F.col("n") / F.col("rows"))
+    pick = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
+    wide = side.groupBy("column").agg(*[pick(s, c).alias(f"{s}_{c}") for s in ("ref", "cur") for c in ("mean", "std", "null_rate", "median")])
+    rates = wide.where(F.col("column") == target).select(F.col("ref_mean").alias("ref_target_rate"), F.col("cur_mean").alias("cur_target_rate"))
+    return wide.crossJoin(rates).select(  # one row
+        "column", "ref_mean", "cur_mean", (F.col("cur_mean") - F.col("ref_mean")).alias("mean_delta"), "ref_std", "cur_std",
+        "ref_null_rate", "cur_null_rate", "ref_median", "cur_median", "ref_target_rate", "cur_target_rate")
+
+
+def fairness_audits(df: DataFrame, by: str, sensitive: list[str], y: str = "is_fraud", p: str = "score",
+                    threshold: float = 0.5) -> DataFrame:
+    """Fairness summaries for every (``by``, sensitive column) in one grouped pass over the scores."""
+    pred, lab = (F.col(p) >= F.lit(float(threshold))).cast("int"), F.coalesce(F.col(y).cast("int"), F.lit(0))
+    long = df.select(by, pred.alias("_pred"), lab.alias("_y"), F.inline(F.array(*[F.struct(
+        F.lit(c).alias("sensitive_column"), F.col(c).cast("string").alias("group")) for c in sensitive])))
+    g = long.groupBy(by, "sensitive_column", "group").agg(
+        F.count(F.lit(1)).alias("_c"), F.sum("_pred").alias("_sel"), F.sum("_y").alias("_ap"), F.sum(F.col("_pred") * F.col("_y")).alias("_tp"))
+    rates = g.select(by, "sensitive_column", (F.col("_sel") / F.col("_c")).alias("_s"),
+                     F.when(F.col("_ap") > 0, F.col("_tp") / F.col("_ap")).alias("_t"))
+    s = rates.groupBy(by, "sensitive_column").agg(F.max("_s").alias("_mx"), F.min("_s").alias("_mn"), F.max("_t").alias("_tmx"),
+                                                  F.min("_t").alias("_tmn"))
+    return s.select(by, "sensitive_column", F.lit(float(threshold)).alias("threshold"),
+                    (F.col("_mx") - F.col("_mn")).alias("demographic_parity_difference"),
+                    F.when(F.col("_mx") > 0, F.col("_mn") / F.col("_mx")).otherwise(F.lit(1.0)).alias("disparate_impact_ratio"),
+                    (F.col("_tmx") - F.col("_tmn")).alias("equal_opportunity_difference"))
+
+
+def drift_reports(df: DataFrame, by: str, column: str, time_us: Column, threshold: float = DRIFT_FLOOR) -> DataFrame:
+    """Per ``by`` value the drift score of one column, first against second half of its time span, in grouped passes."""
+    k = df.select(by, F.col(column).cast("double").alias("_x"), time_us.alias("_t"))
+    mid = k.groupBy(by).agg(F.floor((F.min("_t") + F.max("_t")) / F.lit(2)).cast("long").alias("_mid"))
+    j = k.join(mid, by)
+    is_ref = F.col("_t") < F.col("_mid")
+    s = j.groupBy(by).agg(F.avg(F.when(is_ref, F.col("_x"))).alias("_rm"), F.avg(F.when(~is_ref, F.col("_x"))).alias("_cm"),
+                          F.stddev_pop(F.when(is_ref, F.col("_x"))).alias("_rs"))
+    z = F.abs(F.col("_cm") - F.col("_rm")) / F.when(F.col("_rs") == 0, F.lit(1.0)).otherwise(F.col("_rs"))
+    score = F.least(F.greatest(z / 3.0, F.lit(0.0)), F.lit(1.0))
+    return s.select(by, score.alias("drift_score"), ((score >= DRIFT_FLOOR) | (score >= threshold)).alias("is_drift"))

@@ -37,7 +37,7 @@ def gbt_pipeline(features: list[str], max_iter: int = 120, max_depth: int = 5, s
 
 
 def positive_probability(pred: DataFrame, col: str = "probability", out: str = "raw_score") -> DataFrame:
-    return pred.withColumn(out, F.round(vector_to_array(F.col(col))[1], 6))
+    return pred.withColumn(out, vector_to_array(F.col(col))[1])
 
 
 def _fit_weighted(estimator, train: DataFrame):
@@ -101,9 +101,9 @@ def calibrate(model, df: DataFrame, score_col: str = "raw_score", out: str = "sc
         return df.withColumn(out, F.col(score_col))
     pred = model.transform(df)
     if "_p" in pred.columns:
-        pred = pred.withColumn(out, F.round(vector_to_array("_p")[1], 6)).drop("_s", "_p", "_raw", "_pred")
+        pred = pred.withColumn(out, vector_to_array("_p")[1]).drop("_s", "_p", "_raw", "_pred")
     else:
-        pred = pred.withColumn(out, F.round(F.least(F.greatest(F.col("_cal"), F.lit(0.0)), F.lit(1.0)), 6)).drop("_cal")
+        pred = pred.withColumn(out, F.least(F.greatest(F.col("_cal"), F.lit(0.0)), F.lit(1.0))).drop("_cal")
     return pred
 
 

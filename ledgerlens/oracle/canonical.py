@@ -25,6 +25,11 @@ SELECT t.*, round(1.0 / (1.0 + exp(-(
 FROM (""" + TX_EVENTS + """) t JOIN events e ON t.tx_id = 'ev_' || CAST(e.event_id AS VARCHAR)
 """
 
+SCORED_EXACT = """
+SELECT t.*, e.value / (e.value + 37.3::DOUBLE) * 0.9::DOUBLE + CAST(e.event_id % 1000 AS DOUBLE) / 10000000.0::DOUBLE AS raw_score
+FROM (""" + TX_EVENTS + """) t JOIN events e ON t.tx_id = 'ev_' || CAST(e.event_id AS VARCHAR)
+"""
+
 TX_LINEITEM_RAW = """
 SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS tx_id,
        'cust_' || CAST(o_custkey AS VARCHAR) AS user_id,

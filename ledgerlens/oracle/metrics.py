@@ -1,6 +1,6 @@
 """DuckDB oracles for metrics, splits, conformal and governance queries."""
 
-from ledgerlens.oracle.canonical import SCORED, SCORED_MODELS
+from ledgerlens.oracle.canonical import SCORED, SCORED_EXACT, SCORED_MODELS
 
 SC = f"SELECT * EXCLUDE (raw_score), raw_score AS score FROM ({SCORED}) s0"
 
@@ -13,41 +13,53 @@ def _part(g):
     return "PARTITION BY " + ", ".join(g) if g else ""
 
 
+def _on(g, a="a", b="b") -> str:
+    return " AND ".join(f"{a}.{c} IS NOT DISTINCT FROM {b}.{c}" for c in g) or "TRUE"
+
+
 def ranking(frame: str, g=()) -> str:
-    gs, gp = _gsel(g), _part(g)
-    using = f"USING ({', '.join(g)})" if g else "ON TRUE"
-    return f"""WITH pre AS (SELECT {gs}CAST(is_fraud AS INTEGER) AS _y, CAST(round(score * 1000000) AS BIGINT) AS _pu FROM ({frame}) f),
-sc AS (SELECT {gs}_pu, count(*) AS _c, sum(_y) AS _pos FROM pre GROUP BY {gs}_pu),
-r AS (SELECT *, sum(_c) OVER ({gp} ORDER BY _pu DESC ROWS UNBOUNDED PRECEDING) AS _cum,
-             sum(_pos) OVER ({gp} ORDER BY _pu DESC ROWS UNBOUNDED PRECEDING) AS _tpc,
-             coalesce(sum(_c) OVER ({gp} ORDER BY _pu ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _below
-      FROM sc),
-a AS (SELECT {gs}sum(_c) AS _n, sum(_pos) AS _P, sum(CAST(_pos AS DOUBLE) * CAST(_tpc AS DOUBLE) / CAST(_cum AS DOUBLE)) AS _ap,
-             sum(CAST(_pos AS HUGEINT) * (_below * 2 + _c + 1)) AS _rs FROM r {"GROUP BY " + ", ".join(g) if g else ""}),
-rec AS (SELECT {gs}max(CASE WHEN CAST(_cum - _tpc AS DOUBLE) / CAST(_n - _P AS DOUBLE) <= 0.01::DOUBLE THEN _tpc END) AS _tp_at
-        FROM r JOIN a {using} {"GROUP BY " + ", ".join(g) if g else ""})
-SELECT {gs}
-  CASE WHEN _P = 0 OR _n - _P = 0 THEN 0.0::DOUBLE ELSE round(_ap / CAST(_P AS DOUBLE), 6) END AS pr_auc,
-  CASE WHEN _P = 0 OR _n - _P = 0 THEN 0.0::DOUBLE
-       ELSE round(CAST(_rs - CAST(_P AS HUGEINT) * (_P + 1) AS DOUBLE) / (2.0::DOUBLE * CAST(_P AS DOUBLE) * CAST(_n - _P AS DOUBLE)), 6) END AS roc_auc,
-  CASE WHEN _P = 0 OR _n - _P = 0 THEN 0.0::DOUBLE ELSE round(CAST(coalesce(_tp_at, 0) AS DOUBLE) / CAST(_P AS DOUBLE), 6) END AS recall_at_1pct_fpr
-FROM a JOIN rec {using}"""
+    """By definition: precision at every positive's threshold, pairs of a positive and a negative, best recall within the FPR."""
+    gs = _gsel(g)
+    gb = "GROUP BY " + ", ".join(g) if g else ""
+    ga = "".join(f"a.{c}, " for c in g)
+    gab = f"GROUP BY {ga.rstrip(', ')}" if g else ""
+    sel = "".join(f"n.{c}, " for c in g)
+    return f"""WITH f AS (SELECT {gs}CAST(is_fraud AS INTEGER) AS y, score AS s FROM ({frame}) f0),
+c AS (SELECT {gs}s, count(*) AS c, sum(y) AS pos FROM f GROUP BY {gs}s),
+n AS (SELECT {gs}CAST(count(*) AS DOUBLE) AS n, CAST(sum(y) AS DOUBLE) AS p FROM f {gb}),
+t AS (SELECT {ga}a.s, a.pos, CAST(sum(b.c) AS DOUBLE) AS sel, CAST(sum(b.pos) AS DOUBLE) AS tp
+      FROM c a JOIN c b ON {_on(g)} AND b.s >= a.s WHERE a.pos > 0 GROUP BY {ga}a.s, a.pos),
+ap AS (SELECT {ga}sum(a.pos * a.tp / a.sel) AS ap, max(CASE WHEN (a.sel - a.tp) / (n.n - n.p) <= 0.01::DOUBLE THEN a.tp END) AS at
+       FROM t a JOIN n ON {_on(g, "a", "n")} {gab}),
+w AS (SELECT {ga}sum(CAST(a.pos * (b.c - b.pos) AS DOUBLE) * CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END) AS wins
+      FROM c a JOIN c b ON {_on(g)} WHERE a.pos > 0 AND b.c > b.pos {gab})
+SELECT {sel}
+  CASE WHEN n.p = 0 OR n.n = n.p THEN 0.0::DOUBLE ELSE ap.ap / n.p END AS pr_auc,
+  CASE WHEN n.p = 0 OR n.n = n.p THEN 0.0::DOUBLE ELSE w.wins / (n.p * (n.n - n.p)) END AS roc_auc,
+  CASE WHEN n.p = 0 OR n.n = n.p THEN 0.0::DOUBLE ELSE coalesce(ap.at, 0) / n.p END AS recall_at_1pct_fpr
+FROM n LEFT JOIN ap ON {_on(g, "n", "ap")} LEFT JOIN w ON {_on(g, "n", "w")}"""
+
+
+def _bin(s="score") -> str:
+    return "CASE WHEN %s >= 0 AND %s <= 1 THEN %s END" % (s, s, " + ".join(
+        f"CAST({s} >= {i * 0.1!r}::DOUBLE AS INTEGER)" for i in range(1, 10)))
 
 
 def calibration(frame: str, g=()) -> str:
     gs = _gsel(g)
     gb = ("GROUP BY " + ", ".join(g)) if g else ""
-    return f"""WITH pre AS (SELECT {gs}CAST(is_fraud AS INTEGER) AS _y, CAST(round(score * 1000000) AS BIGINT) AS _pu FROM ({frame}) f),
-b AS (SELECT {gs}CAST(least(floor(_pu * 10 / 1000000.0::DOUBLE), 9) AS INTEGER) AS _b, count(*) AS _c, sum(_y) AS _sy, sum(_pu) AS _sp,
-             sum(CAST((_pu - _y * 1000000) AS HUGEINT) * (_pu - _y * 1000000)) AS _sq FROM pre GROUP BY ALL),
-a AS (SELECT {gs}sum(_c) AS _n, sum(abs(_sy * 1000000 - _sp)) AS _gap, sum(_sq) AS _sq FROM b {gb})
-SELECT {gs}CASE WHEN _n = 0 THEN 0.0::DOUBLE ELSE round(CAST(_sq AS DOUBLE) / CAST(_n AS DOUBLE) / 1000000000000.0::DOUBLE, 6) END AS brier,
-       CASE WHEN _n = 0 THEN 0.0::DOUBLE ELSE round(CAST(_gap AS DOUBLE) / CAST(_n * 1000000 AS DOUBLE), 6) END AS ece
-FROM a"""
+    return f"""WITH b AS (SELECT {gs}{_bin()} AS b, count(*) AS c, sum(is_fraud) AS sy, sum(score) AS sp, sum((score - is_fraud) * (score - is_fraud)) AS sq
+             FROM ({frame}) f0 GROUP BY ALL)
+SELECT {gs}coalesce(sum(sq) / CAST(sum(c) AS DOUBLE), 0.0::DOUBLE) AS brier,
+       coalesce(sum(CASE WHEN b IS NOT NULL THEN abs(sy / CAST(c AS DOUBLE) - sp / CAST(c AS DOUBLE)) * CAST(c AS DOUBLE) END) / CAST(sum(c) AS DOUBLE), 0.0::DOUBLE) AS ece
+FROM b {gb}"""
+
+
+METRIC_COLS = ["pr_auc", "roc_auc", "brier", "ece", "recall_at_1pct_fpr"]
 
 
 def all_metrics(frame: str, g=()) -> str:
-    cols = "pr_auc, roc_auc, brier, ece, recall_at_1pct_fpr"
+    cols = ", ".join(METRIC_COLS)
     if g:
         return (f"SELECT {', '.join(g)}, {cols} FROM ({ranking(frame, g)}) r "
                 f"JOIN ({calibration(frame, g)}) c USING ({', '.join(g)})")
@@ -55,11 +67,10 @@ def all_metrics(frame: str, g=()) -> str:
 
 
 def reliability(frame: str) -> str:
-    return f"""WITH pre AS (SELECT CAST(is_fraud AS INTEGER) AS _y, CAST(round(score * 1000000) AS BIGINT) AS _pu FROM ({frame}) f)
-SELECT CAST(least(floor(_pu * 10 / 1000000.0::DOUBLE), 9) AS INTEGER) AS bin, count(*) AS count,
-       round(CAST(sum(_y) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS fraction_positive,
-       round(CAST(sum(_pu) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0::DOUBLE, 6) AS mean_predicted
-FROM pre GROUP BY 1"""
+    return f"""SELECT {_bin()} AS bin, count(*) AS count,
+       round(CAST(sum(is_fraud) AS DOUBLE) / CAST(count(*) AS DOUBLE), 6) AS fraction_positive,
+       round(sum(score) / CAST(count(*) AS DOUBLE), 6) AS mean_predicted
+FROM ({frame}) f0 WHERE score >= 0 AND score <= 1 GROUP BY 1"""
 
 
 def chrono(frame: str, train=0.7, val=0.15) -> str:
@@ -81,24 +92,19 @@ def split_part(frame: str, part: str) -> str:
 def conformal_threshold(calib: str, alpha=0.05) -> str:
     q = f"least(1.0::DOUBLE, ceil((n + 1) * {1.0 - alpha!r}::DOUBLE) / CAST(n AS DOUBLE))"
     return f"""WITH s AS (SELECT CASE WHEN is_fraud = 1 THEN 1.0::DOUBLE - score ELSE score END AS _s FROM ({calib}) c),
-vc AS (SELECT CAST(round(_s * 1000000) AS BIGINT) AS _v, count(*) AS _c FROM s GROUP BY 1),
-r AS (SELECT *, coalesce(sum(_c) OVER (ORDER BY _v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _below FROM vc),
-n AS (SELECT CAST(coalesce(sum(_c), 0) AS BIGINT) AS n FROM vc),
-pick AS (SELECT min(_v) AS _v FROM r, n WHERE _below <= ceil((n - 1) * {q}) AND ceil((n - 1) * {q}) < _below + _c)
-SELECT n, CASE WHEN n = 0 THEN NULL ELSE {q} END AS q_level,
-       CASE WHEN n = 0 THEN 0.5::DOUBLE ELSE CAST(_v AS DOUBLE) / 1000000.0::DOUBLE END AS threshold FROM n, pick"""
+o AS (SELECT _s, row_number() OVER (ORDER BY _s) - 1 AS _i FROM s), n AS (SELECT count(*) AS n FROM s)
+SELECT n, CASE WHEN n = 0 THEN NULL ELSE {q} END AS q_level, coalesce(_s, 0.5::DOUBLE) AS threshold
+FROM n LEFT JOIN o ON _i = ceil((n - 1) * {q})"""
 
 
 def triage(frame: str, thr: str) -> str:
-    pu = "CAST(round(score * 1000000) AS BIGINT)"
-    t = "CAST(round(threshold * 1000000) AS BIGINT)"
-    fraud, legit = f"(1000000 - {pu}) <= {t}", f"{pu} <= {t}"
+    fraud, legit = "1.0::DOUBLE - score <= threshold", "score <= threshold"
     band = (f"CASE WHEN ({fraud}) AND NOT ({legit}) THEN 'high_confidence_fraud' "
             f"WHEN ({legit}) AND NOT ({fraud}) THEN 'high_confidence_legit' ELSE 'review_needed' END")
     return f"""SELECT * EXCLUDE (threshold, confidence_band_), confidence_band_ AS confidence_band,
-  round(CASE WHEN confidence_band_ = 'high_confidence_fraud' THEN score
-             WHEN confidence_band_ = 'high_confidence_legit' THEN 1.0::DOUBLE - score
-             ELSE 1.0::DOUBLE - abs(score - 0.5::DOUBLE) * 2.0::DOUBLE END, 6) AS confidence
+  CASE WHEN confidence_band_ = 'high_confidence_fraud' THEN score
+       WHEN confidence_band_ = 'high_confidence_legit' THEN 1.0::DOUBLE - score
+       ELSE 1.0::DOUBLE - abs(score - 0.5::DOUBLE) * 2.0::DOUBLE END AS confidence
 FROM (SELECT f.*, t.threshold, {band} AS confidence_band_ FROM ({frame}) f, (SELECT threshold FROM ({thr}) x) t) z"""
 
 
@@ -106,8 +112,8 @@ def interval_fit(calib: str, alpha=0.05) -> str:
     return f"""WITH s AS (SELECT abs(score - is_fraud) AS _s FROM ({calib}) c),
 n AS (SELECT count(*) AS n FROM s),
 q AS (SELECT n, (n - 1) * least(1.0::DOUBLE, ceil((n + 1) * {1.0 - alpha!r}::DOUBLE) / CAST(n AS DOUBLE)) AS h FROM n),
-o AS (SELECT CAST(round(_s * 1000000) AS BIGINT) AS _v, row_number() OVER (ORDER BY _s) - 1 AS _i FROM s)
-SELECT CAST(q.n AS BIGINT) AS n, round(lo._v / 1000000.0::DOUBLE + (hi._v / 1000000.0::DOUBLE - lo._v / 1000000.0::DOUBLE) * (q.h - floor(q.h)), 6) AS q_hat
+o AS (SELECT _s AS _v, row_number() OVER (ORDER BY _s) - 1 AS _i FROM s)
+SELECT CAST(q.n AS BIGINT) AS n, lo._v + (hi._v - lo._v) * (q.h - floor(q.h)) AS q_hat
 FROM q JOIN o lo ON lo._i = floor(q.h) JOIN o hi ON hi._i = least(floor(q.h) + 1, q.n - 1)"""
 
 
@@ -115,7 +121,7 @@ def interval(frame: str, fit: str) -> str:
     return f"""SELECT * EXCLUDE (q_hat),
   CASE WHEN score + q_hat > 0.5 AND NOT (score - q_hat < 0.5) THEN 'high_confidence_fraud'
        WHEN score - q_hat < 0.5 AND NOT (score + q_hat > 0.5) THEN 'high_confidence_legit' ELSE 'review_needed' END AS confidence_band,
-  round(greatest(0.0::DOUBLE, score - q_hat), 6) AS interval_low, round(least(1.0::DOUBLE, score + q_hat), 6) AS interval_high
+  greatest(0.0::DOUBLE, score - q_hat) AS interval_low, least(1.0::DOUBLE, score + q_hat) AS interval_high
 FROM ({frame}) f, (SELECT q_hat FROM ({fit}) x) q"""
 
 
@@ -132,16 +138,13 @@ FROM ({bands}) x"""
 
 
 def fairness_groups(frame: str, col: str, t=0.5) -> str:
-    pred = f"CAST(round(score * 1000000) >= {round(t * 1000000)} AS INTEGER)"
-    return f"""SELECT "group", count, _sp / CAST(count AS DOUBLE) / 1000000.0::DOUBLE AS avg_score,
-  CAST(positive_predictions AS DOUBLE) / CAST(count AS DOUBLE) AS selection_rate,
-  CAST(_ap AS DOUBLE) / CAST(count AS DOUBLE) AS fraud_rate,
-  CASE WHEN _ap > 0 THEN CAST(_tp AS DOUBLE) / CAST(_ap AS DOUBLE) END AS true_positive_rate,
-  CASE WHEN count - _ap > 0 THEN CAST(_fp AS DOUBLE) / CAST(count - _ap AS DOUBLE) END AS false_positive_rate,
-  CAST(positive_predictions AS BIGINT) AS positive_predictions, CAST(count - positive_predictions AS BIGINT) AS negative_predictions
-FROM (SELECT CAST({col} AS VARCHAR) AS "group", count(*) AS count, CAST(sum(CAST(round(score * 1000000) AS BIGINT)) AS DOUBLE) AS _sp,
-        sum({pred}) AS positive_predictions, sum(is_fraud) AS _ap, sum({pred} * is_fraud) AS _tp, sum({pred} * (1 - is_fraud)) AS _fp
-      FROM ({frame}) f GROUP BY 1) g"""
+    rate = lambda num, den: f"CASE WHEN count(*) FILTER (WHERE {den}) > 0 THEN CAST(count(*) FILTER (WHERE {num} AND {den}) AS DOUBLE) / CAST(count(*) FILTER (WHERE {den}) AS DOUBLE) END"
+    pred = f"score >= {t!r}::DOUBLE"
+    return f"""SELECT CAST({col} AS VARCHAR) AS "group", count(*) AS count, avg(score) AS avg_score,
+  {rate(pred, 'true')} AS selection_rate, {rate('is_fraud = 1', 'true')} AS fraud_rate,
+  {rate(pred, 'is_fraud = 1')} AS true_positive_rate, {rate(pred, 'is_fraud = 0')} AS false_positive_rate,
+  count(*) FILTER (WHERE {pred}) AS positive_predictions, count(*) FILTER (WHERE NOT ({pred})) AS negative_predictions
+FROM ({frame}) f GROUP BY 1"""
 
 
 def rounded(sql: str, cols: list[str]) -> str:
@@ -156,13 +159,16 @@ def fairness_summary(groups: str) -> str:
 
 
 def fairness_overall(frame: str, t=0.5) -> str:
-    return f"""SELECT count(*) AS rows, round(CAST(sum(round(score * 1000000)) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000000.0::DOUBLE, 6) AS mean_score,
-  round(avg(CAST(round(score * 1000000) >= {round(t * 1000000)} AS INTEGER)), 6) AS positive_rate FROM ({frame}) f"""
+    return f"""SELECT count(*) AS rows, round(avg(score), 6) AS mean_score,
+  round(avg(CAST(score >= {t!r}::DOUBLE AS INTEGER)), 6) AS positive_rate FROM ({frame}) f"""
 
 
 MODELS = SCORED_MODELS
 
 
+#: Scores that are no multiples of 1e-6 (plain IEEE arithmetic, so both engines hold the same doubles).
+SX = f"SELECT * EXCLUDE (raw_score), raw_score AS score FROM ({SCORED_EXACT}) x0"
+
 VAL, TEST = split_part(SC, "validation"), split_part(SC, "test")
 THR = conformal_threshold(VAL)
 TRI = triage(TEST, THR)

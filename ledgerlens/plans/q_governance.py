@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.columns import epoch_micros
 from ledgerlens.operators import features as fx
 from ledgerlens.operators import governance as gv
 from ledgerlens.operators import graph as gr
@@ -12,9 +13,10 @@ from ledgerlens.oracle import canonical as oc
 from ledgerlens.oracle import features as of
 from ledgerlens.oracle import graph as og
 from ledgerlens.oracle import metrics as om
-from ledgerlens.plans.q_metrics import RUNS_SQL, eval_runs, halves
+from ledgerlens.plans.q_metrics import RUNS_SQL, _halves_sql, eval_runs, halves
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import canonical as cn
+from ledgerlens.sources.io import written
 
 MODELS = ["logit", "amount_rank", "blend"]
 SENSITIVE = ["channel", "mcc"]
@@ -26,18 +28,26 @@ def _model_sql(m: str) -> str:
     return f"SELECT * FROM ({om.MODELS}) x WHERE model = '{m}'"
 
 
+def _stamped(df, now, minutes):
+    """``created_at`` = the newest time plus the report's number of minutes (``now``: one row)."""
+    return df.crossJoin(now).withColumn("created_at", F.col("_now") + F.make_dt_interval(mins=minutes)).drop("_now")
+
+
+def _number(values, of):
+    """Position of a column's value in a fixed list."""
+    return F.array_position(F.array(*[F.lit(v) for v in values]), F.col(of)).cast("int") - 1
+
+
 def fairness_store(spark, sf):
+    """One audit per (model, sensitive column), all in one grouped pass."""
     sm = cn.scored_models(spark, sf)
-    now = sm.agg(F.max("timestamp").alias("_now"))
-    out = None
-    for i, (m, c) in enumerate(AUDITS):
-        a = gv.fairness_audit(sm.filter(F.col("model") == m), c, audit_id=f"fa_{m}_{c}")
-        a = a.crossJoin(now).select(  # now: one row
-            "audit_id", F.lit(m).alias("run_id"), "sensitive_column", "threshold", "demographic_parity_difference",
-            "disparate_impact_ratio", "equal_opportunity_difference",
-            (F.col("_now") + F.make_dt_interval(mins=F.lit(i))).alias("created_at"))
-        out = a if out is None else out.unionByName(a)
-    return out
+    a = gv.fairness_audits(sm, "model", SENSITIVE)
+    a = _stamped(a, sm.agg(F.max("timestamp").alias("_now")),
+                 _number(MODELS, "model") * len(SENSITIVE) + _number(SENSITIVE, "sensitive_column"))
+    return gv.round_doubles(a.select(
+        F.concat(F.lit("fa_"), "model", F.lit("_"), "sensitive_column").alias("audit_id"), F.col("model").alias("run_id"),
+        "sensitive_column", "threshold", "demographic_parity_difference", "disparate_impact_ratio",
+        "equal_opportunity_difference", "created_at"))
 
 
 FAIRNESS_STORE_SQL = " UNION ALL ".join(
@@ -47,17 +57,13 @@ FROM ({om.fairness_summary(om.fairness_groups(_model_sql(m), c))}) s""" for i, (
 
 
 def drift_store(spark, sf):
+    """One drift report per model, all in grouped passes."""
     sm = cn.scored_models(spark, sf)
-    now = sm.agg(F.max("timestamp").alias("_now"))
-    out = None
-    for i, m in enumerate(MODELS):
-        ref, cur = halves(sm.filter(F.col("model") == m))
-        d = gv.drift_score(gv.drift_features(ref, cur, ["score"]))
-        d = d.crossJoin(now).select(  # now: one row
-            F.lit(f"dr_{m}").alias("report_id"), F.lit(m).alias("run_id"), "drift_score", "is_drift",
-            F.lit(False).alias("retrain_triggered"), (F.col("_now") + F.make_dt_interval(mins=F.lit(10 + i))).alias("created_at"))
-        out = d if out is None else out.unionByName(d)
-    return out
+    d = gv.drift_reports(sm, "model", "score", epoch_micros("timestamp"))
+    d = _stamped(d, sm.agg(F.max("timestamp").alias("_now")), _number(MODELS, "model") + 10)
+    return gv.round_doubles(d.select(
+        F.concat(F.lit("dr_"), "model").alias("report_id"), F.col("model").alias("run_id"), "drift_score", "is_drift",
+        F.lit(False).alias("retrain_triggered"), "created_at"))
 
 
 def _drift_sql(i: int, m: str) -> str:
@@ -104,7 +110,7 @@ def _card(cols):
                        F.concat(F.lit("- Drift score: "), F.coalesce(cols["drift"].cast("decimal(18,6)").cast("string"), F.lit("n/a"))))
 
 
-@query("model_card_rows", f"""WITH m AS ({om.all_metrics(om.MODELS, ('model',))}),
+@query("model_card_rows", f"""WITH m AS ({om.rounded(om.all_metrics(om.MODELS, ('model',)), om.METRIC_COLS)}),
 f AS (SELECT * FROM ({FAIRNESS_STORE_SQL}) x QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC) = 1),
 d AS (SELECT * FROM ({DRIFT_STORE_SQL}) y QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC) = 1)
 SELECT m.model AS run_id, pr_auc, roc_auc, brier, ece, f.disparate_impact_ratio, d.drift_score,
@@ -114,7 +120,7 @@ SELECT m.model AS run_id, pr_auc, roc_auc, brier, ece, f.disparate_impact_ratio,
     '- Drift score: ' || coalesce(CAST(CAST(d.drift_score AS DECIMAL(18,6)) AS VARCHAR), 'n/a')) AS card
 FROM m LEFT JOIN f ON f.run_id = m.model LEFT JOIN d ON d.run_id = m.model""")
 def model_card_rows(spark, sf):
-    m = mt.all_metrics(cn.scored_models(spark, sf), group="model").withColumnRenamed("model", "run_id")
+    m = gv.round_doubles(mt.all_metrics(cn.scored_models(spark, sf), group="model")).withColumnRenamed("model", "run_id")
     f = gv.latest_per_key(fairness_store(spark, sf), "run_id", "created_at").select("run_id", "disparate_impact_ratio")
     d = gv.latest_per_key(drift_store(spark, sf), "run_id", "created_at").select("run_id", "drift_score")
     j = m.join(f, "run_id", "left").join(d, "run_id", "left")
@@ -123,19 +129,26 @@ def model_card_rows(spark, sf):
     return j.select("run_id", "pr_auc", "roc_auc", "brier", "ece", "disparate_impact_ratio", "drift_score", card.alias("card"))
 
 
-@query("kpi_counts", f"""SELECT 'runs' AS item, least(count(DISTINCT run_id), 10) AS n FROM ({RUNS_SQL}) r
-UNION ALL SELECT 'fairness_audits', least(count(*), 10) FROM ({FAIRNESS_STORE_SQL}) f
-UNION ALL SELECT 'drift_reports', least(count(*), 10) FROM ({DRIFT_STORE_SQL}) d
-UNION ALL SELECT 'decisions', least(count(*), 10) FROM ({om.TRI}) t""")
+KPI_METRICS = ("pr_auc", "ece", "brier", "recall_at_1pct_fpr")
+
+
+@query("kpi_counts", f"""WITH m AS ({om.all_metrics(om.SC)})
+SELECT 'runs' AS item, CAST(count(DISTINCT run_id) AS DOUBLE) AS n FROM ({RUNS_SQL}) r
+UNION ALL SELECT 'fairness_audits', count(*) FROM ({FAIRNESS_STORE_SQL}) f
+UNION ALL SELECT 'drift_reports', count(*) FROM ({DRIFT_STORE_SQL}) d
+UNION ALL SELECT 'decisions', count(*) FROM ({om.TRI}) t
+UNION ALL SELECT 'federated_clients', count(DISTINCT channel) FROM ({om.SC}) c""" + "".join(
+    f" UNION ALL SELECT '{c}', round({c}, 3) FROM m" for c in KPI_METRICS))
 def kpi_counts(spark, sf):
-    """Dashboard counters; each list the dashboard shows is capped at its newest 10 entries."""
-    from ledgerlens.plans.q_metrics import triaged
-    parts = [
-        eval_runs(spark, sf).agg(F.least(F.count_distinct("run_id"), F.lit(10)).alias("n")).select(F.lit("runs").alias("item"), "n"),
-        fairness_store(spark, sf).agg(F.least(F.count(F.lit(1)), F.lit(10)).alias("n")).select(F.lit("fairness_audits").alias("item"), "n"),
-        drift_store(spark, sf).agg(F.least(F.count(F.lit(1)), F.lit(10)).alias("n")).select(F.lit("drift_reports").alias("item"), "n"),
-        triaged(spark, sf).agg(F.least(F.count(F.lit(1)), F.lit(10)).alias("n")).select(F.lit("decisions").alias("item"), "n"),
-    ]
+    """Dashboard cards: whole counts of runs, audits, reports, decisions and federated clients, and the metric values."""
+    from ledgerlens.plans.q_metrics import scored, triaged
+    s = scored(spark, sf)
+    card = lambda df, name, n: df.agg(n.cast("double").alias("n")).select(F.lit(name).alias("item"), "n")
+    rows = F.count(F.lit(1))
+    parts = [card(eval_runs(spark, sf), "runs", F.count_distinct("run_id")), card(fairness_store(spark, sf), "fairness_audits", rows),
+             card(drift_store(spark, sf), "drift_reports", rows), card(triaged(spark, sf), "decisions", rows),
+             card(s, "federated_clients", F.count_distinct("channel")),
+             mt.all_metrics(s).select(F.inline(F.array(*[F.struct(F.lit(c).alias("item"), F.round(c, 3).alias("n")) for c in KPI_METRICS])))]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -159,16 +172,47 @@ def _halves_ev(spark, sf):
     return halves(cn.tx_events(spark, sf))
 
 
-@query("integrity_checks")
+def _integrity_sql() -> str:
+    cols = {"amount": "n", "lat": "n", "lon": "n", "is_fraud": "n", '"timestamp"': "", **{c: "t" for c in (
+        "user_id", "merchant_id", "device_id", "account_id", "currency", "channel", "mcc")}, "tx_id": ""}
+    out = []
+    for c, kind in cols.items():
+        name = c.strip('"')
+        out += [f"SELECT 'null_count_reference' AS \"check\", '{name}' AS \"column\", count(*) FILTER ({c} IS NULL) AS value FROM r",
+                f"SELECT 'null_count_current', '{name}', count(*) FILTER ({c} IS NULL) FROM k",
+                f"SELECT 'constant_current', '{name}', CAST(count(DISTINCT {c}) <= 1 AS BIGINT) FROM k"]
+        if kind == "n":
+            out.append(f"SELECT 'out_of_reference_range', '{name}', count(*) FILTER ({c} < (SELECT min({c}) FROM r) OR {c} > (SELECT max({c}) FROM r)) FROM k")
+        if kind == "t":
+            out.append(f"SELECT 'unseen_categories', '{name}', count(DISTINCT {c}) FROM k WHERE {c} NOT IN (SELECT {c} FROM r WHERE {c} IS NOT NULL)")
+    out.append("SELECT 'duplicate_keys', 'tx_id', count(tx_id) - count(DISTINCT tx_id) FROM k")
+    return f"WITH h AS ({_halves_sql(oc.TX_EVENTS)}), r AS (SELECT * FROM h WHERE _is_ref), k AS (SELECT * FROM h WHERE NOT _is_ref) " + " UNION ALL ".join(out)
+
+
+@query("integrity_checks", _integrity_sql())
 def integrity_checks(spark, sf):
     ref, cur = _halves_ev(spark, sf)
     return gv.integrity_checks(ref, cur)
 
 
-@query("dataset_drift_profile")
+def _profile_sql() -> str:
+    part = """SELECT '{c}' AS "column", avg({c}) FILTER (_is_ref) AS ref_mean, avg({c}) FILTER (NOT _is_ref) AS cur_mean,
+  stddev_pop({c}) FILTER (_is_ref) AS ref_std, stddev_pop({c}) FILTER (NOT _is_ref) AS cur_std,
+  avg(CAST({c} IS NULL AS INTEGER)) FILTER (_is_ref) AS ref_null_rate, avg(CAST({c} IS NULL AS INTEGER)) FILTER (NOT _is_ref) AS cur_null_rate,
+  quantile_cont(CAST({c} AS DOUBLE), 0.5) FILTER (_is_ref) AS ref_median, quantile_cont(CAST({c} AS DOUBLE), 0.5) FILTER (NOT _is_ref) AS cur_median FROM g"""
+    body = " UNION ALL ".join(part.format(c=c) for c in [*fx.FEATURE_MATRIX, "is_fraud"])
+    r = lambda c: f"round({c}, 5) AS {c}"
+    return f"""WITH g AS ({_halves_sql(of.gold_features(oc.TX_EVENTS))}), p AS ({body})
+SELECT "column", {r('ref_mean')}, {r('cur_mean')}, round(cur_mean - ref_mean, 5) AS mean_delta, {r('ref_std')}, {r('cur_std')},
+  {r('ref_null_rate')}, {r('cur_null_rate')}, {r('ref_median')}, {r('cur_median')},
+  round((SELECT avg(is_fraud) FROM g WHERE _is_ref), 5) AS ref_target_rate, round((SELECT avg(is_fraud) FROM g WHERE NOT _is_ref), 5) AS cur_target_rate
+FROM p"""
+
+
+@query("dataset_drift_profile", _profile_sql())
 def dataset_drift_profile(spark, sf):
-    ref, cur = halves(fx.gold_features(cn.tx_events(spark, sf)))
-    return gv.dataset_drift_profile(ref.select(*fx.FEATURE_MATRIX, "is_fraud"), cur.select(*fx.FEATURE_MATRIX, "is_fraud"))
+    ref, cur = halves(written(fx.gold_features(cn.tx_events(spark, sf)), "gold"))
+    return gv.round_doubles(gv.dataset_drift_profile(ref.select(*fx.FEATURE_MATRIX, "is_fraud"), cur.select(*fx.FEATURE_MATRIX, "is_fraud")), 5)
 
 
 # ------------------------------------------------------------------ feature-frame variants

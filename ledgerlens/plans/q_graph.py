@@ -12,6 +12,7 @@ from ledgerlens.oracle import features as of
 from ledgerlens.oracle import graph as og
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import canonical as cn
+from ledgerlens.sources.io import written
 
 EV, LI = oc.TX_EVENTS, oc.TX_LINEITEM
 GOLD_EV = of.gold_features(EV)
@@ -69,11 +70,16 @@ def motif_features(spark, sf):
     return gr.motif_features(tx, gr.shared_entity_projection(tx))
 
 
+def _graph(spark, sf):
+    """Feature nodes and prior-link edges, each written once: the encoders read them several times."""
+    tx = cn.tx_events(spark, sf)
+    return (written(fx.feature_matrix(fx.gold_features(tx)).drop("is_fraud"), "nodes"), written(gr.prior_link_edges(tx), "edges"))
+
+
 @query("neighbor_mean", og.neighbor_mean(NODES_SQL, og.prior_links(EV), FM))
 def neighbor_mean(spark, sf):
-    tx = cn.tx_events(spark, sf)
-    nodes = fx.feature_matrix(fx.gold_features(tx)).drop("is_fraud")
-    return gr.neighbor_mean(nodes, gr.prior_link_edges(tx), FM, micro_exact=True)
+    nodes, edges = _graph(spark, sf)
+    return gr.neighbor_mean(nodes, edges, FM, micro_exact=True)
 
 
 _W1, _W2 = gr.sage_weights(len(FM))
@@ -81,9 +87,8 @@ _W1, _W2 = gr.sage_weights(len(FM))
 
 @query("sage_encode", og.sage(NODES_SQL, og.prior_links(EV), FM, _W1, _W2))
 def sage_encode(spark, sf):
-    tx = cn.tx_events(spark, sf)
-    nodes = fx.feature_matrix(fx.gold_features(tx)).drop("is_fraud")
-    return gr.sage_encode(nodes, gr.prior_link_edges(tx), FM)
+    nodes, edges = _graph(spark, sf)
+    return gr.sage_encode(nodes, edges, FM)
 
 
 _rng = np.random.default_rng(11)
@@ -93,9 +98,8 @@ _AA = _rng.normal(0.0, 0.15, size=(16,))
 
 @query("attention_mean", og.attention(NODES_SQL, og.prior_links(EV), FM, _WA, _AA))
 def attention_mean(spark, sf):
-    tx = cn.tx_events(spark, sf)
-    nodes = fx.feature_matrix(fx.gold_features(tx)).drop("is_fraud")
-    return gr.attention_mean(nodes, gr.prior_link_edges(tx), FM, out_dim=8, seed=11)
+    nodes, edges = _graph(spark, sf)
+    return gr.attention_mean(nodes, edges, FM, out_dim=8, seed=11)
 
 
 @query("prior_link_edges_skewproof", og.prior_links(LI))

@@ -15,6 +15,7 @@ from ledgerlens.oracle import features as of
 from ledgerlens.oracle import metrics as om
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import canonical as cn
+from ledgerlens.sources.io import written
 
 SC = om.SC
 VAL, TEST = om.split_part(SC, "validation"), om.split_part(SC, "test")
@@ -37,6 +38,17 @@ def triaged(spark, sf):
     return cf.conformal_triage(part(s, "test"), cf.conformal_threshold(part(s, "validation")))
 
 
+def r6(df, only=None):
+    """Rounding happens in a query's last projection only."""
+    return gv.round_doubles(df, only=only)
+
+
+M5 = om.METRIC_COLS
+BAND_COLS = ["confidence"]
+INTERVAL_COLS = ["interval_low", "interval_high"]
+COVER_COLS = ["empirical_coverage", "average_set_size", "review_rate"]
+
+
 # ------------------------------------------------------------------ splits
 
 @query("chronological_split", om.chrono(SC))
@@ -72,51 +84,61 @@ def concat_splits(spark, sf):
 
 # ------------------------------------------------------------------ metrics
 
-@query("pr_auc", f"SELECT pr_auc FROM ({om.ranking(SC)}) r")
+@query("pr_auc", f"SELECT round(pr_auc, 6) AS pr_auc FROM ({om.ranking(SC)}) r")
 def pr_auc(spark, sf):
-    return mt.ranking_metrics(scored(spark, sf)).select("pr_auc")
+    return r6(mt.ranking_metrics(scored(spark, sf)).select("pr_auc"))
 
 
-@query("roc_auc", f"SELECT roc_auc FROM ({om.ranking(SC)}) r")
+@query("roc_auc", f"SELECT round(roc_auc, 6) AS roc_auc FROM ({om.ranking(SC)}) r")
 def roc_auc(spark, sf):
-    return mt.ranking_metrics(scored(spark, sf)).select("roc_auc")
+    return r6(mt.ranking_metrics(scored(spark, sf)).select("roc_auc"))
 
 
-@query("recall_at_fpr", f"SELECT recall_at_1pct_fpr FROM ({om.ranking(SC)}) r")
+@query("recall_at_fpr", f"SELECT round(recall_at_1pct_fpr, 6) AS recall_at_1pct_fpr FROM ({om.ranking(SC)}) r")
 def recall_at_fpr(spark, sf):
-    return mt.ranking_metrics(scored(spark, sf)).select("recall_at_1pct_fpr")
+    return r6(mt.ranking_metrics(scored(spark, sf)).select("recall_at_1pct_fpr"))
 
 
-@query("brier", f"SELECT brier FROM ({om.calibration(SC)}) c")
+@query("brier", f"SELECT round(brier, 6) AS brier FROM ({om.calibration(SC)}) c")
 def brier(spark, sf):
-    return mt.calibration_metrics(scored(spark, sf)).select("brier")
+    return r6(mt.calibration_metrics(scored(spark, sf)).select("brier"))
 
 
-@query("ece", f"SELECT ece FROM ({om.calibration(SC)}) c")
+@query("ece", f"SELECT round(ece, 6) AS ece FROM ({om.calibration(SC)}) c")
 def ece(spark, sf):
-    return mt.calibration_metrics(scored(spark, sf)).select("ece")
+    return r6(mt.calibration_metrics(scored(spark, sf)).select("ece"))
 
 
 @query("reliability_curve", om.reliability(SC))
 def reliability_curve(spark, sf):
-    return mt.reliability_curve(scored(spark, sf))
+    return r6(mt.reliability_curve(scored(spark, sf)))
 
 
-@query("all_metrics", om.all_metrics(SC))
+@query("all_metrics", om.rounded(om.all_metrics(SC), M5))
 def all_metrics(spark, sf):
-    return mt.all_metrics(scored(spark, sf))
+    return r6(mt.all_metrics(scored(spark, sf)))
+
+
+def scored_exact(spark, sf):
+    return cn.scored_exact(spark, sf).withColumnRenamed("raw_score", "score")
+
 
+@query("all_metrics_exact", om.rounded(om.all_metrics(om.SX), M5))
+def all_metrics_exact(spark, sf):
+    """The metrics on scores finer than 1e-6."""
+    return r6(mt.all_metrics(scored_exact(spark, sf)))
 
-@query("model_checks", f"""SELECT pr_auc, roc_auc, brier AS brier_score, pr_auc > 0.5 AS pr_auc_pass,
+
+@query("model_checks", f"""SELECT round(pr_auc, 6) AS pr_auc, round(roc_auc, 6) AS roc_auc, round(brier, 6) AS brier_score, pr_auc > 0.5 AS pr_auc_pass,
   roc_auc > 0.6 AS roc_auc_pass, brier < 0.25 AS brier_pass, (pr_auc > 0.5 AND roc_auc > 0.6 AND brier < 0.25) AS all_passed
 FROM ({om.all_metrics(SC)}) m""")
 def model_checks(spark, sf):
-    return mt.model_checks(scored(spark, sf))
+    return r6(mt.model_checks(scored(spark, sf)))
 
 
-@query("metrics_by_model", om.all_metrics(om.MODELS, ("model",)))
+@query("metrics_by_model", om.rounded(om.all_metrics(om.MODELS, ("model",)), M5))
 def metrics_by_model(spark, sf):
-    return mt.all_metrics(cn.scored_models(spark, sf), group="model")
+    return r6(mt.all_metrics(cn.scored_models(spark, sf), group="model"))
 
 
 @query("compare_runs", f"""SELECT first(model ORDER BY pr_auc DESC, model DESC) AS best_pr_auc,
@@ -156,20 +178,30 @@ def conformal_threshold(spark, sf):
     return cf.conformal_threshold(part(split_frame(spark, sf), "validation"))
 
 
-@query("conformal_triage", TRI)
+@query("conformal_triage", om.rounded(TRI, BAND_COLS))
 def conformal_triage(spark, sf):
-    return triaged(spark, sf)
+    return r6(triaged(spark, sf), BAND_COLS)
+
+
+TRI_X = om.triage(om.split_part(om.SX, "test"), om.conformal_threshold(om.split_part(om.SX, "validation")))
+
 
+@query("conformal_triage_exact", om.rounded(TRI_X, BAND_COLS))
+def conformal_triage_exact(spark, sf):
+    """Fit and triage on scores finer than 1e-6."""
+    s = sp.chronological_split(scored_exact(spark, sf))
+    return r6(cf.conformal_triage(part(s, "test"), cf.conformal_threshold(part(s, "validation"))), BAND_COLS)
 
-@query("conformal_interval", om.interval(TEST, om.interval_fit(VAL)))
+
+@query("conformal_interval", om.rounded(om.interval(TEST, om.interval_fit(VAL)), INTERVAL_COLS))
 def conformal_interval(spark, sf):
     s = split_frame(spark, sf)
-    return cf.conformal_interval(part(s, "test"), cf.conformal_interval_fit(part(s, "validation")))
+    return r6(cf.conformal_interval(part(s, "test"), cf.conformal_interval_fit(part(s, "validation"))), INTERVAL_COLS)
 
 
 @query("conformal_metrics", om.conformal_metrics(TRI))
 def conformal_metrics(spark, sf):
-    return cf.conformal_metrics(triaged(spark, sf))
+    return r6(cf.conformal_metrics(triaged(spark, sf)))
 
 
 @query("review_rate", f"SELECT round(avg(CAST(confidence_band = 'review_needed' AS INTEGER)), 6) AS review_rate FROM ({TRI}) t")
@@ -193,14 +225,20 @@ def fairness_groups(spark, sf):
     return gv.round_doubles(gv.fairness_groups(scored(spark, sf), "channel"))
 
 
+@query("fairness_groups_exact", om.rounded(om.fairness_groups(om.SX, "channel"), FG_COLS))
+def fairness_groups_exact(spark, sf):
+    """The group table on scores finer than 1e-6."""
+    return r6(gv.fairness_groups(scored_exact(spark, sf), "channel"))
+
+
 @query("fairness_summary", om.fairness_summary(FG))
 def fairness_summary(spark, sf):
-    return gv.fairness_summary(gv.fairness_groups(scored(spark, sf), "channel"))
+    return r6(gv.fairness_summary(gv.fairness_groups(scored(spark, sf), "channel")))
 
 
 @query("fairness_overall", om.fairness_overall(SC))
 def fairness_overall(spark, sf):
-    return gv.fairness_overall(scored(spark, sf))
+    return r6(gv.fairness_overall(scored(spark, sf)))
 
 
 def _audit_sql(col: str, audit_id: str) -> str:
@@ -211,8 +249,8 @@ def _audit_sql(col: str, audit_id: str) -> str:
 @query("fairness_audit", _audit_sql("channel", "fairness_channel") + " UNION ALL " + _audit_sql("mcc", "fairness_mcc"))
 def fairness_audit(spark, sf):
     s = scored(spark, sf)
-    return gv.fairness_audit(s, "channel", audit_id="fairness_channel").unionByName(
-        gv.fairness_audit(s, "mcc", audit_id="fairness_mcc"))
+    return r6(gv.fairness_audit(s, "channel", audit_id="fairness_channel").unionByName(
+        gv.fairness_audit(s, "mcc", audit_id="fairness_mcc")))
 
 
 # ------------------------------------------------------------------ drift
@@ -248,7 +286,7 @@ SELECT feature, round(ref_mean, 6) AS ref_mean, round(cur_mean, 6) AS cur_mean,
 
 
 def drift_frame(spark, sf):
-    ref, cur = halves(fx.gold_features(cn.tx_events(spark, sf)))
+    ref, cur = halves(written(fx.gold_features(cn.tx_events(spark, sf)), "gold"))
     return gv.drift_features(ref, cur, fx.FEATURE_MATRIX)
 
 
@@ -262,7 +300,7 @@ def drift_zscore(spark, sf):
 FROM (SELECT abs(cur_mean - ref_mean) / CASE WHEN ref_std = 0 THEN 1.0 ELSE ref_std END AS z_raw FROM (
   {_drift_sql().replace('round(ref_mean, 6) AS ref_mean, round(cur_mean, 6) AS cur_mean, round(ref_std, 6) AS ref_std', 'ref_mean, cur_mean, ref_std')}) d) x""")
 def drift_monitor(spark, sf):
-    return gv.drift_score(drift_frame(spark, sf), threshold=0.2)
+    return r6(gv.drift_score(drift_frame(spark, sf), threshold=0.2))
 
 
 # ------------------------------------------------------------------ KPIs
@@ -280,7 +318,7 @@ UNION ALL SELECT 'disparity_ratio', disparate_impact_ratio FROM ({fs}) f"""
 KPI_VALUES = ", ".join(f"('{m}', {g}::DOUBLE, {y}::DOUBLE, {str(lb).upper()})" for m, g, y, lb in gv.KPI_THRESHOLDS)
 
 
-@query("kpi_status", f"""SELECT metric, value, CASE WHEN green IS NULL THEN 'neutral'
+@query("kpi_status", f"""SELECT metric, round(value, 6) AS value, CASE WHEN green IS NULL THEN 'neutral'
   WHEN lower_is_better THEN CASE WHEN value <= green THEN 'good' WHEN value <= yellow THEN 'warning' ELSE 'critical' END
   ELSE CASE WHEN value >= green THEN 'good' WHEN value >= yellow THEN 'warning' ELSE 'critical' END END AS status
 FROM ({_kpi_long_sql()}) l LEFT JOIN (VALUES {KPI_VALUES}) t(metric, green, yellow, lower_is_better) USING (metric)""")
@@ -294,7 +332,7 @@ def kpi_status(spark, sf):
         ("roc_auc", "roc_auc"))])))
     long = long.unionByName(cov.select(F.lit("coverage").alias("metric"), F.col("empirical_coverage").alias("value")))
     long = long.unionByName(fs.select(F.lit("disparity_ratio").alias("metric"), F.col("disparate_impact_ratio").alias("value")))
-    return gv.kpi_status(long)
+    return r6(gv.kpi_status(long))
 
 
 # ------------------------------------------------------------------ query traces

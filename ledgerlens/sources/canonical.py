@@ -154,6 +154,12 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tx_events(spark, sf_dir, extra=[F.round(1.0 / (1.0 + F.exp(-logit)), 6).alias("raw_score")])
 
 
+def scored_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transactions with a score that is no multiple of 1e-6, from plain IEEE arithmetic only."""
+    score = F.col("value") / (F.col("value") + F.lit(37.3)) * F.lit(0.9) + (F.col("event_id") % 1000).cast("double") / F.lit(10000000.0)
+    return tx_events(spark, sf_dir, extra=[score.alias("raw_score")])
+
+
 def healthcare_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A healthcare-sector export (claim headers) derived from lineitem/orders/customer."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate")

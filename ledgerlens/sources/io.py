@@ -65,6 +65,13 @@ def fresh_dir(spark: SparkSession, label: str) -> str:
     return scratch_path(spark, f"{label}-{uuid.uuid4().hex[:12]}")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Write a frame once below the shared location and read it back: for frames that several branches of a job use."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class ObjectStore:
     """Save / load / exists of parquet objects by name under a base URI."""
 
