@@ -8,6 +8,7 @@ one bucket x language matrix, and a batch of texts is scored by one sparse matri
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -67,10 +68,21 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", id
     ok = F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.col(text_col).rlike(LETTER)
     if trainable is not None:
         ok = ok & F.coalesce(trainable, F.lit(False))
+    rows = documents.where(ok).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
+    counts = {r.lang: r["count"] for r in rows.groupBy("lang").count().collect()}  # a row a language
+    ids, share = [], {lang: 8 * rows_per_language / n for lang, n in counts.items()}
     w = Window.partitionBy("lang").orderBy("h", "id")
-    pick = (documents.where(ok).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("h"))
-            .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rows_per_language))
-    ids = pick.select("id", "lang", "rank").collect()  # rows_per_language x languages ids
+    while counts:
+        # only the smallest hashes are ranked, about eight times the rows wanted, however many rows a label has
+        limit = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
+        pick = rows.where(F.col("h").cast("double") / 2.0 ** 64 + 0.5 < limit)
+        pick = pick.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= rows_per_language)
+        ids = pick.select("id", "lang", "rank").collect()  # rows_per_language x languages ids
+        got = Counter(r.lang for r in ids)
+        short = [lang for lang, n in counts.items() if got[lang] < min(n, rows_per_language) and share[lang] <= 1]
+        if not short:
+            break
+        share.update({lang: share[lang] * 8 for lang in short})
     if not ids:
         return LanguageModel([], np.zeros((ORDERS, BUCKETS, 0), np.float32))
     picked = F.broadcast(spark.createDataFrame(ids, pick.select("id", "lang", "rank").schema).dropDuplicates(["id"]))
