@@ -274,19 +274,17 @@ def sample_batch(lat: Lattices, texts: list[str], keys: list, k: int, seed: int)
     lp = logp_of[edges]
     step_at = np.concatenate([[0], np.cumsum(steps)])
     head = step_at[doc_at]  # first step of every text
-    total = np.concatenate([[0.0], np.cumsum(lp)])
-    n_steps = np.diff(head)
-    before = total[:-1] - np.repeat(total[head[:-1]], n_steps)
-    value = before + rest_of[edges] - log_e
+    left = rest_of[edges] - log_e
     step_inst = np.repeat(np.arange(len(node)), steps)
     out, heaps, roots = [], [], -np.log(-np.log(_uniform(seeds, 0)))
     serial = itertools.count()  # queue entries with equal values keep their order
     for d in range(len(texts)):
         a, b = head[d], head[d + 1]
         path = (edges[a:b], step_inst[a:b])
-        out.append([(path[0], float(total[b] - total[a]), float(roots[d]))])
+        run = np.cumsum(lp[a:b])  # per text, so that its neighbours in the batch leave no trace in the last digits
+        out.append([(path[0], float(run[-1]) if b > a else 0.0, float(roots[d]))])
         heap: list = []
-        _push(heap, serial, value[a:b], 0, path, before[a:b], float(roots[d]), k)
+        _push(heap, serial, run - lp[a:b] + left[a:b], 0, path, run - lp[a:b], float(roots[d]), k)
         heaps.append(heap)
     for turn in range(1, k):
         jobs, starts, where = [], [], []
