@@ -87,8 +87,20 @@ def payload_struct() -> Column:
 def prediction_struct() -> Column:
     return F.struct(F.col("score").cast("decimal(18,6)").alias("calibrated_probability"),
                     F.col("confidence").cast("decimal(18,6)").alias("confidence"),
-                    F.col("confidence_band").alias("decision"),
-                    F.col("score").cast("decimal(18,6)").alias("raw_probability"))
+                    F.col("confidence_band").alias("decision"), F.col("explanation").alias("explanation"),
+                    F.col("raw_score").cast("decimal(18,6)").alias("raw_probability"))
+
+
+def features_json(features: list[str]) -> Column:
+    return F.to_json(F.struct(*[F.col(c).cast("decimal(18,6)").alias(c) for c in sorted(features)]), {"ignoreNullFields": "false"})
+
+
+def replay_hash_col() -> Column:
+    """sha256 of the stored fields a replay recomputes: scores, band, model and transaction id."""
+    doc = F.struct(F.col("score").cast("decimal(18,6)").alias("calibrated_score"), F.col("confidence_band").alias("confidence_band"),
+                   F.col("model_run_id").alias("model_type"), F.col("raw_score").cast("decimal(18,6)").alias("raw_score"),
+                   F.col("tx_id").alias("tx_id"))
+    return F.sha2(F.to_json(doc, {"ignoreNullFields": "false"}), 256)
 
 
 def decision_hash_col() -> Column:
@@ -149,17 +161,27 @@ def audit_markdown() -> Column:
                        F.concat(F.lit("`replay "), F.col("decision_id"), F.lit("`")))
 
 
-def audit_reports(decisions: DataFrame, features: list[str]) -> DataFrame:
-    """Per decision: drivers, explanation, counterfactual, replay instruction and markdown."""
-    d = decisions.withColumn("top_drivers", F.transform(top_drivers(decisions, features), friendly))
-    d = d.withColumns({
-        "explanation": explanation_text(F.col("confidence_band"), F.col("top_drivers"), F.col("score")),
+def explained(scored: DataFrame, features: list[str]) -> DataFrame:
+    """Add the top drivers (friendly names) and the explanation sentence."""
+    d = scored.withColumn("top_drivers", F.transform(top_drivers(scored, features), friendly))
+    return d.withColumn("explanation", explanation_text(F.col("confidence_band"), F.col("top_drivers"), F.col("score")))
+
+
+def audit_reports(decisions: DataFrame) -> DataFrame:
+    """Per explained decision: outcome, confidence, probability, counterfactual, replay instruction and markdown."""
+    d = decisions.withColumns({
         "counterfactual_summary": counterfactual_text(),
         "replay_instructions": F.concat(F.lit("replay "), F.col("decision_id")),
     })
     return d.withColumn("markdown", audit_markdown())
 
 
+def report_columns() -> list[Column]:
+    return [F.col("decision_id"), F.col("confidence_band").alias("decision_outcome"),
+            F.col("confidence").cast("decimal(18,6)").alias("confidence"), F.col("score").cast("decimal(18,6)").alias("fraud_probability"),
+            *[F.col(c) for c in ("top_drivers", "explanation", "counterfactual_summary", "replay_instructions", "markdown")]]
+
+
 # Redaction -----------------------------------------------------------------
 # Identifier patterns and field names redacted from reports.
 PII_PATTERNS = [r"U_\d{6}", r"D_\d{6}", r"A_\d{6}", r'"lat":\s*[\d.-]+', r'"lon":\s*[\d.-]+']
@@ -173,16 +195,19 @@ def redact_text(c: Column) -> Column:
     return c
 
 
+def _redacted(value: Column, kind, name: str | None) -> Column:
+    if name in REDACT_FIELDS:
+        return F.lit(REDACTED)
+    if kind.typeName() == "string":
+        return redact_text(value)
+    if kind.typeName() == "struct":
+        inner = F.struct(*[_redacted(value[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields])
+        return F.when(value.isNull(), F.lit(None)).otherwise(inner)
+    if kind.typeName() == "array" and kind.elementType.typeName() in ("struct", "string"):
+        return F.transform(value, lambda x: _redacted(x, kind.elementType, None))
+    return value
+
+
 def redact_struct(df: DataFrame, col: str) -> Column:
-    """Replace listed keys of a struct column by ``[REDACTED]`` and regex-redact its string fields."""
-    fields = df.schema[col].dataType.fields
-    out = []
-    for f in fields:
-        v = F.col(col)[f.name]
-        if f.name in REDACT_FIELDS:
-            out.append(F.lit(REDACTED).alias(f.name))
-        elif f.dataType.typeName() == "string":
-            out.append(redact_text(v).alias(f.name))
-        else:
-            out.append(v.alias(f.name))
-    return F.struct(*out)
+    """Replace listed keys at any depth by ``[REDACTED]`` and regex-redact all strings (in structs and in lists)."""
+    return _redacted(F.col(col), df.schema[col].dataType, None)

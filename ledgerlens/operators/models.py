@@ -1,9 +1,8 @@
 """Model training, calibration, scoring and federated averaging on Spark ML.
 
 The data never leaves the executors: Spark ML estimators train distributed,
-and the federated loop aggregates per-client gradient sums with one grouped
-aggregate per epoch; only weight vectors (a few dozen numbers per client)
-reach the driver between iterations.
+and the federated loop keeps the clients' models as a table; only the averaged
+model (a few dozen numbers) reaches the driver between rounds.
 """
 
 from __future__ import annotations
@@ -123,16 +122,19 @@ def scaled(train: DataFrame, others: list[DataFrame], features: list[str]) -> li
     return out
 
 
-def _epoch_sums(data: DataFrame, weights: DataFrame, d: int, client: str) -> DataFrame:
-    """Per client: n, sum(err), sum(x_i * err) under that client's current local weights."""
-    j = data.join(F.broadcast(weights), client)  # one row per client
+def _local_step(data: DataFrame, weights: DataFrame, d: int, client: str, lr: float, l2: float) -> DataFrame:
+    """One full-batch gradient step of every client from its own row of ``weights`` (client, b, w_i): the new table, with n."""
+    j = data.join(weights, client)
     logit = F.col("b")
     for i in range(d):
         logit = logit + F.col(f"x_{i}") * F.col(f"w_{i}")
     p = 1.0 / (1.0 + F.exp(-F.least(F.greatest(logit, F.lit(-30.0)), F.lit(30.0))))
-    e = j.select(client, *[F.col(f"x_{i}") for i in range(d)], (p - F.col("is_fraud")).alias("_err"))
-    return e.groupBy(client).agg(F.count(F.lit(1)).alias("n"), F.sum("_err").alias("se"),
-                                 *[F.sum(F.col(f"x_{i}") * F.col("_err")).alias(f"g_{i}") for i in range(d)])
+    own = ["b", *[f"w_{i}" for i in range(d)]]
+    e = j.select(client, *own, *[F.col(f"x_{i}") for i in range(d)], (p - F.col("is_fraud")).alias("_err"))
+    g = e.groupBy(client).agg(F.count(F.lit(1)).alias("n"), F.sum("_err").alias("_se"), *[F.first(c).alias(c) for c in own],
+                              *[F.sum(F.col(f"x_{i}") * F.col("_err")).alias(f"_g_{i}") for i in range(d)])
+    return g.select(client, "n", (F.col("b") - lr * F.col("_se") / F.col("n")).alias("b"), *[
+        (F.col(f"w_{i}") - lr * (F.col(f"_g_{i}") / F.col("n") + l2 * F.col(f"w_{i}"))).alias(f"w_{i}") for i in range(d)])
 
 
 def fedavg(train_scaled: DataFrame, d: int, client: str = "channel", rounds: int = 5, epochs: int = 3,
@@ -140,43 +142,25 @@ def fedavg(train_scaled: DataFrame, d: int, client: str = "channel", rounds: int
     """Federated averaging: per round, every client runs ``epochs`` full-batch gradient steps
     from the global model; the new global model is the sample-weighted mean of the local ones.
 
-    Returns (weights, bias, per-client stats of the last round).
+    Local models are a table with a row a client, joined to the data by client; only the averaged model (d + 1
+    numbers) reaches the driver, once a round.  Returns (weights, bias, samples per client).
     """
-    spark = train_scaled.sparkSession
     data = train_scaled.select(F.col(client).cast("string").alias(client), F.col("is_fraud").cast("double").alias("is_fraud"),
                                *[F.col(f"x_{i}") for i in range(d)]).persist()
+    clients = data.groupBy(client).agg(F.count(F.lit(1)).cast("long").alias("samples"))
     w, b = np.zeros(d), 0.0
-    stats = None
     for _ in range(rounds):
-        clients = None
-        local: dict[str, tuple[np.ndarray, float, int]] = {}
-        for ep in range(epochs):
-            if clients is None:
-                rows = [(c, w.copy(), b) for c in [r[0] for r in data.select(client).distinct().collect()]]
-            else:
-                rows = [(c, local[c][0], local[c][1]) for c in clients]
-            wdf = spark.createDataFrame([(c, float(bb), *[float(x) for x in ww]) for c, ww, bb in rows],
-                                        [client, "b", *[f"w_{i}" for i in range(d)]])
-            sums = _epoch_sums(data, wdf, d, client).collect()  # one small row per client
-            clients = []
-            for r in sums:
-                c, n = r[client], r["n"]
-                ww, bb = (local[c][0], local[c][1]) if c in local else (w.copy(), b)
-                g = np.array([r[f"g_{i}"] for i in range(d)]) / max(n, 1) + l2 * ww
-                ww = ww - lr * g
-                bb = bb - lr * (r["se"] / n if n else 0.0)
-                local[c] = (ww, bb, n)
-                clients.append(c)
-        total = sum(v[2] for v in local.values())
-        w = sum(v[0] * (v[2] / total) for v in local.values())
-        b = float(sum(v[1] * (v[2] / total) for v in local.values()))
-        stats = spark.createDataFrame([(c, int(v[2])) for c, v in sorted(local.items())], f"{client} string, samples long")
-    data.unpersist()
-    return w, b, stats
+        local = clients.select(client, F.lit(float(b)).alias("b"), *[F.lit(float(w[i])).alias(f"w_{i}") for i in range(d)])
+        for _ in range(epochs):
+            local = _local_step(data, local.drop("n"), d, client, lr, l2)
+        mean = lambda c: (F.sum(F.col(c) * F.col("n")) / F.sum("n")).alias(c)
+        r = local.agg(mean("b"), *[mean(f"w_{i}") for i in range(d)]).first()
+        w, b = np.array([r[f"w_{i}"] for i in range(d)]), float(r["b"])
+    return w, b, clients
 
 
 def fed_predict(df_scaled: DataFrame, w: np.ndarray, b: float, out: str = "raw_score") -> DataFrame:
     z = F.lit(float(b))
     for i, wi in enumerate(w):
         z = z + F.col(f"x_{i}") * float(wi)
-    return df_scaled.withColumn(out, F.round(1.0 / (1.0 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0)))), 6))
+    return df_scaled.withColumn(out, 1.0 / (1.0 + F.exp(-F.least(F.greatest(z, F.lit(-30.0)), F.lit(30.0)))))

@@ -3,13 +3,15 @@
 from ledgerlens.operators.audit import COUNTERFACTUAL_DEFAULT, COUNTERFACTUAL_RULES, FRIENDLY_NAMES, PAYLOAD_FIELDS
 from ledgerlens.oracle.features import FEATURE_ORDER, gold_features
 from ledgerlens.oracle.canonical import TX_EVENTS
-from ledgerlens.oracle.metrics import SC, TRI
+from ledgerlens.oracle.metrics import SC, THR, triage
 
 GOLD_EV = gold_features(TX_EVENTS)
 RUN = "run_logit_0001"
 
-DECISIONS = (f"SELECT 'dec_' || t.tx_id AS decision_id, '{RUN}' AS model_run_id, t.*, "
-             f"{', '.join('g.' + c for c in FEATURE_ORDER)} FROM ({TRI}) t JOIN ({GOLD_EV}) g USING (tx_id)")
+#: Every scored transaction, triaged with the threshold fitted on the validation split.
+TRI_ALL = triage(SC, THR)
+SCORED_DECISIONS = (f"SELECT '{RUN}' AS model_run_id, t.*, round(least(t.amount, 400.0::DOUBLE) / 400.0::DOUBLE, 6) AS raw_score, "
+                    f"{', '.join('g.' + c for c in FEATURE_ORDER)} FROM ({TRI_ALL}) t JOIN ({GOLD_EV}) g USING (tx_id)")
 
 
 def _jv(n: str) -> str:
@@ -24,7 +26,10 @@ def _jv(n: str) -> str:
 
 PAYLOAD = "{" + ", ".join(f"'{n}': {_jv(n)}" for n in sorted(PAYLOAD_FIELDS)) + "}"
 PREDICTION = ("{'calibrated_probability': CAST(score AS DECIMAL(18,6)), 'confidence': CAST(confidence AS DECIMAL(18,6)), "
-              "'decision': confidence_band, 'raw_probability': CAST(score AS DECIMAL(18,6))}")
+              "'decision': confidence_band, 'explanation': explanation, 'raw_probability': CAST(raw_score AS DECIMAL(18,6))}")
+REPLAY_HASH = ("sha256(CAST(to_json({'calibrated_score': CAST(%s AS DECIMAL(18,6)), 'confidence_band': confidence_band, "
+               "'model_type': model_run_id, 'raw_score': CAST(raw_score AS DECIMAL(18,6)), 'tx_id': tx_id}) AS VARCHAR))")
+FEATURES_JSON = ("CAST(to_json({" + ", ".join(f"'{c}': CAST({c} AS DECIMAL(18,6))" for c in sorted(FEATURE_ORDER)) + "}) AS VARCHAR)")
 HASH = f"sha256(CAST(to_json({{'model_run_id': model_run_id, 'payload': {PAYLOAD}, 'prediction': {PREDICTION}}}) AS VARCHAR))"
 
 
@@ -64,17 +69,21 @@ def explanation(band: str, phrases: str, p: str) -> str:
             f"'. The calibrated fraud probability is ' || {pct(p)} || '.'")
 
 
+#: decision_id is the hash of run, payload and prediction (its explanation included).
+DECISIONS = (f"SELECT {HASH} AS decision_id, e.* FROM (SELECT d.*, td.top_drivers, "
+             f"{explanation('d.confidence_band', 'td.top_drivers', 'd.score')} AS explanation "
+             f"FROM ({SCORED_DECISIONS}) d JOIN ({drivers(SCORED_DECISIONS, FEATURE_ORDER, key='tx_id')}) td USING (tx_id)) e")
+
+
 def reports(frame: str = DECISIONS) -> str:
     nl = "chr(10)"
     md = (f"concat_ws({nl}, '# Audit Report: ' || decision_id, '', '- Outcome: **' || confidence_band || '**', "
           f"'- Confidence: **' || {pct('confidence')} || '**', '- Calibrated fraud probability: **' || {pct('score')} || '**', "
           f"'', '## Top drivers', array_to_string(list_transform(top_drivers, lambda x: '- ' || x), {nl}), '', '## Explanation', "
           f"explanation, '', '## Counterfactual summary', counterfactual_summary, '', '## Replay', '`replay ' || decision_id || '`')")
-    return f"""WITH d AS ({frame}), td AS ({drivers('SELECT * FROM d', FEATURE_ORDER)}),
-r AS (SELECT d.*, td.top_drivers, {explanation('d.confidence_band', 'td.top_drivers', 'd.score')} AS explanation,
-             {counterfactual()} AS counterfactual_summary, 'replay ' || d.decision_id AS replay_instructions
-      FROM d JOIN td USING (decision_id))
-SELECT decision_id, top_drivers, explanation, counterfactual_summary, replay_instructions, {md} AS markdown FROM r"""
+    return f"""WITH r AS (SELECT *, {counterfactual()} AS counterfactual_summary, 'replay ' || decision_id AS replay_instructions FROM ({frame}) d)
+SELECT decision_id, confidence_band AS decision_outcome, CAST(confidence AS DECIMAL(18,6)) AS confidence,
+  CAST(score AS DECIMAL(18,6)) AS fraud_probability, top_drivers, explanation, counterfactual_summary, replay_instructions, {md} AS markdown FROM r"""
 
 
 PII = [r"U_\d{6}", r"D_\d{6}", r"A_\d{6}", r'"lat":\s*[\d.-]+', r'"lon":\s*[\d.-]+']

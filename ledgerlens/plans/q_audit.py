@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ledgerlens.operators import audit as au
+from ledgerlens.operators import conformal as cf
 from ledgerlens.operators import features as fx
 from ledgerlens.operators import search as se
 from ledgerlens.operators.cleansing import dedup_latest
 from ledgerlens.oracle import audit as oa
 from ledgerlens.oracle import canonical as oc
 from ledgerlens.oracle import features as of
-from ledgerlens.plans.q_metrics import part, split_frame, triaged
+from ledgerlens.plans.q_metrics import part, split_frame
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import canonical as cn
+from ledgerlens.sources.io import written
 from ledgerlens.sources.tables import table
 
 RUN = oa.RUN
@@ -22,100 +23,123 @@ DEC = oa.DECISIONS
 FEATS = fx.FEATURE_COLUMNS
 
 
+def scored_decisions(spark, sf):
+    """Every scored transaction with its raw and calibrated score, triage band and features."""
+    s = split_frame(spark, sf)
+    tri = cf.conformal_triage(s.drop("split"), cf.conformal_threshold(part(s, "validation")))
+    raw = F.round(F.least(F.col("amount"), F.lit(400.0)) / 400.0, 6)
+    gold = fx.gold_features(cn.tx_events(spark, sf)).select(F.col("tx_id").alias("_g"), *FEATS)
+    return tri.join(gold, F.col("tx_id") == F.col("_g")).select(
+        F.lit(RUN).alias("model_run_id"), *tri.columns, raw.alias("raw_score"), *FEATS)
+
+
 def decisions(spark, sf):
-    """Scored test-split transactions with triage band, features and a decision id."""
-    gold = fx.gold_features(cn.tx_events(spark, sf)).select("tx_id", *FEATS)
-    t = triaged(spark, sf)
-    return t.join(gold, "tx_id").select(
-        F.concat(F.lit("dec_"), F.col("tx_id")).alias("decision_id"), F.lit(RUN).alias("model_run_id"), *t.columns, *FEATS)
+    """All decisions with explanation; the id is the hash of run, payload and prediction.  Written once per call."""
+    d = au.explained(scored_decisions(spark, sf), FEATS)
+    return written(d.withColumn("decision_id", au.decision_hash_col()), "decisions")
 
 
 def store(spark, sf):
-    """The decision store tables, all keyed by decision_id (JSON only at this edge)."""
-    d = decisions(spark, sf).withColumn("decision_hash", au.decision_hash_col())
-    preds = d.select("decision_id", "model_run_id", F.to_json(au.prediction_struct()).alias("prediction_json"),
-                     F.col("timestamp").alias("created_at"), "decision_hash")
+    """The decision store (decisions, predictions, transactions, reports), keyed by decision_id; JSON only at this edge."""
+    d = decisions(spark, sf)
+    preds = d.select("decision_id", "tx_id", "model_run_id", F.to_json(au.prediction_struct()).alias("prediction_json"),
+                     F.col("timestamp").alias("created_at"), au.replay_hash_col().alias("replay_hash"))
     txs = d.select("decision_id", F.to_json(au.payload_struct()).alias("payload_json"),
                    F.col("timestamp").alias("created_at"))
-    rep = au.audit_reports(d, FEATS).filter(F.col("confidence_band") != "high_confidence_legit").select(
-        "decision_id", F.to_json(F.struct("counterfactual_summary", "decision_id", "explanation",
-                                          "replay_instructions", "top_drivers")).alias("report_json"), "markdown")
-    return d, preds, txs, rep
+    rep = au.audit_reports(d).select(*au.report_columns())
+    body = F.struct(*[c for c in sorted(rep.columns) if c != "markdown"])
+    return d, preds, txs, rep.select("decision_id", F.to_json(body).alias("report_json"), "markdown")
+
 
+def features_table(d):
+    return d.select("decision_id", au.features_json(FEATS).alias("feature_json"), F.col("timestamp").alias("created_at"))
 
-PRED_SQL = (f"SELECT decision_id, model_run_id, CAST(to_json({oa.PREDICTION}) AS VARCHAR) AS prediction_json, "
-            f"\"timestamp\" AS created_at, {oa.HASH} AS decision_hash FROM ({DEC}) d")
+
+PRED_SQL = (f"SELECT decision_id, tx_id, model_run_id, CAST(to_json({oa.PREDICTION}) AS VARCHAR) AS prediction_json, "
+            f"\"timestamp\" AS created_at, {oa.REPLAY_HASH % 'score'} AS replay_hash FROM ({DEC}) d")
 TXS_SQL = (f"SELECT decision_id, CAST(to_json({oa.PAYLOAD}) AS VARCHAR) AS payload_json, \"timestamp\" AS created_at "
            f"FROM ({DEC}) d")
-REP_SQL = (f"SELECT r.decision_id, CAST(to_json({{'counterfactual_summary': counterfactual_summary, 'decision_id': r.decision_id, "
-           f"'explanation': explanation, 'replay_instructions': replay_instructions, 'top_drivers': top_drivers}}) AS VARCHAR) AS report_json, "
-           f"markdown FROM ({oa.reports()}) r JOIN ({DEC}) d USING (decision_id) WHERE d.confidence_band <> 'high_confidence_legit'")
+FEAT_SQL = f"SELECT decision_id, {oa.FEATURES_JSON} AS feature_json, \"timestamp\" AS created_at FROM ({DEC}) d"
+_BODY = ", ".join(f"'{c}': {c}" for c in ("confidence", "counterfactual_summary", "decision_id", "decision_outcome", "explanation",
+                                        "fraud_probability", "replay_instructions", "top_drivers"))
+REP_SQL = f"SELECT decision_id, CAST(to_json({{{_BODY}}}) AS VARCHAR) AS report_json, markdown FROM ({oa.reports()}) r"
 
 
 # ------------------------------------------------------------------ decision log
 
-@query("decision_hash", f"SELECT decision_id, {oa.HASH} AS decision_hash FROM ({DEC}) d")
+@query("decision_hash", f"SELECT tx_id, decision_id AS decision_hash FROM ({DEC}) d")
 def decision_hash(spark, sf):
-    return decisions(spark, sf).select("decision_id", au.decision_hash_col().alias("decision_hash"))
+    d = au.explained(scored_decisions(spark, sf), FEATS)
+    return d.select("tx_id", au.decision_hash_col().alias("decision_hash"))
+
+
+_RECORDED = " UNION ALL ".join(
+    f"SELECT '{name}' AS store, decision_id, {body} AS body, created_at AS recorded_at FROM ({sql}) x{i}"
+    for i, (name, body, sql) in enumerate((
+        ("transactions", "payload_json", TXS_SQL), ("features", "feature_json", FEAT_SQL),
+        ("predictions", "model_run_id || ' ' || prediction_json", PRED_SQL),
+        ("audit_reports", "report_json", f"SELECT r.*, t.created_at FROM ({REP_SQL}) r JOIN ({TXS_SQL}) t USING (decision_id)"))))
 
 
-@query("record_decisions", f"""SELECT decision_id, model_run_id, prediction_json, recorded_at FROM (
-  SELECT decision_id, model_run_id, prediction_json, created_at AS recorded_at FROM ({PRED_SQL}) p
-  UNION ALL SELECT decision_id, 'run_logit_0002', prediction_json, created_at + INTERVAL 1 DAY FROM ({PRED_SQL}) p
-  WHERE prediction_json LIKE '%high_confidence_fraud%') u
-QUALIFY row_number() OVER (PARTITION BY decision_id ORDER BY recorded_at DESC, model_run_id DESC) = 1""")
+@query("record_decisions", f"""WITH p AS ({PRED_SQL}), first AS ({_RECORDED}),
+again AS (SELECT store, decision_id, CASE store WHEN 'predictions' THEN replace(body, '{RUN} ', 'run_logit_0002 ') ELSE body END AS body,
+            recorded_at + INTERVAL 1 DAY AS recorded_at
+          FROM first WHERE decision_id IN (SELECT decision_id FROM p WHERE prediction_json LIKE '%"decision":"high_confidence_fraud"%'))
+SELECT store, decision_id, body, recorded_at FROM (SELECT * FROM first UNION ALL SELECT * FROM again) u
+QUALIFY row_number() OVER (PARTITION BY store, decision_id ORDER BY recorded_at DESC) = 1""")
 def record_decisions(spark, sf):
-    """Upsert by decision_id over an append log: a re-recorded batch replaces earlier rows."""
-    _, preds, _, _ = store(spark, sf)
-    first = preds.select("decision_id", "model_run_id", "prediction_json", F.col("created_at").alias("recorded_at"))
-    again = preds.filter(F.col("prediction_json").contains("high_confidence_fraud")).select(
-        "decision_id", F.lit("run_logit_0002").alias("model_run_id"), "prediction_json",
-        (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("recorded_at"))
-    return dedup_latest(first.unionByName(again), "decision_id", ["recorded_at", "model_run_id"])
+    """Upsert all four tables by decision id: re-recorded decisions replace the earlier rows."""
+    d, preds, txs, rep = store(spark, sf)
+    one = lambda df, name, body: df.select(F.lit(name).alias("store"), "decision_id", body.alias("body"), F.col("created_at").alias("recorded_at"))
+    first = (one(txs, "transactions", F.col("payload_json")).unionByName(one(features_table(d), "features", F.col("feature_json")))
+             .unionByName(one(preds, "predictions", F.concat("model_run_id", F.lit(" "), "prediction_json")))
+             .unionByName(one(rep.join(txs.select("decision_id", "created_at"), "decision_id"), "audit_reports", F.col("report_json"))))
+    fraud = d.where(F.col("confidence_band") == "high_confidence_fraud").select("decision_id")
+    newer = F.when(F.col("store") == "predictions", F.regexp_replace("body", f"^{RUN} ", "run_logit_0002 ")).otherwise(F.col("body"))
+    again = first.join(fraud, "decision_id", "left_semi").select(
+        "store", "decision_id", newer.alias("body"), (F.col("recorded_at") + F.expr("INTERVAL 1 DAY")).alias("recorded_at"))
+    both = first.unionByName(again).withColumn("_key", F.concat_ws("/", "store", "decision_id"))
+    return dedup_latest(both, "_key", ["recorded_at"]).drop("_key")
 
 
 REPLAY_SQL = f"""SELECT decision_id, 'replayed' AS status, created_at + INTERVAL 1 DAY AS replayed_at FROM ({PRED_SQL}) p
-  WHERE prediction_json LIKE '%high_confidence_fraud%'
-UNION ALL SELECT p.decision_id, 'verified', p.created_at + INTERVAL 2 DAY FROM ({PRED_SQL}) p JOIN ({DEC}) d USING (decision_id)
-  WHERE p.prediction_json LIKE '%high_confidence_fraud%' AND d.amount > 100"""
-
-
-def replay_events(spark, sf, preds=None, d=None):
-    if preds is None:
-        d, preds, _, _ = store(spark, sf)
-    fl = preds.filter(F.col("prediction_json").contains("high_confidence_fraud"))
-    e1 = fl.select("decision_id", F.lit("replayed").alias("status"),
-                   (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("replayed_at"))
-    e2 = fl.join(d.select("decision_id", "amount"), "decision_id").filter(F.col("amount") > 100).select(
-        "decision_id", F.lit("verified").alias("status"), (F.col("created_at") + F.expr("INTERVAL 2 DAY")).alias("replayed_at"))
+UNION ALL SELECT decision_id, 'verified', "timestamp" + INTERVAL 2 DAY FROM ({DEC}) d WHERE amount > 100"""
+
+
+def replay_events(d):
+    """Every decision is replayed after a day; those over 100 are verified a day later."""
+    e1 = d.select("decision_id", F.lit("replayed").alias("status"), (F.col("timestamp") + F.expr("INTERVAL 1 DAY")).alias("replayed_at"))
+    e2 = d.where(F.col("amount") > 100).select(
+        "decision_id", F.lit("verified").alias("status"), (F.col("timestamp") + F.expr("INTERVAL 2 DAY")).alias("replayed_at"))
     return e1.unionByName(e2)
 
 
-@query("replay_log", f"""SELECT e.decision_id, e.status, e.replayed_at, p.prediction_json, p.decision_hash
+@query("replay_log", f"""SELECT e.decision_id, e.status, e.replayed_at, p.prediction_json, p.replay_hash
 FROM ({REPLAY_SQL}) e JOIN ({PRED_SQL}) p USING (decision_id)""")
 def replay_log(spark, sf):
     """Append replay events and return the stored decision each one replays (no recompute)."""
     d, preds, _, _ = store(spark, sf)
-    ev = replay_events(spark, sf, preds, d)
-    return ev.join(preds.select("decision_id", "prediction_json", "decision_hash"), "decision_id")
+    return replay_events(d).join(preds.select("decision_id", "prediction_json", "replay_hash"), "decision_id").select(
+        "decision_id", "status", "replayed_at", "prediction_json", "replay_hash")
 
 
-# Tampering fixture: stored payloads of some decisions are altered after recording.
+# Tampering fixture: the stored scores of some decisions are altered after recording.
 TAMPER = "amount > 150 AND CAST(regexp_extract(tx_id, '[0-9]+$') AS BIGINT) % 7 = 0"
 
 
-@query("replay_verify", f"""SELECT decision_id, decision_hash AS stored_hash, {oa.HASH.replace('CAST(amount AS DECIMAL(18,2))', 'CAST(stored_amount AS DECIMAL(18,2))')} AS recomputed_hash,
-  decision_hash = {oa.HASH.replace('CAST(amount AS DECIMAL(18,2))', 'CAST(stored_amount AS DECIMAL(18,2))')} AS matched
-FROM (SELECT *, {oa.HASH} AS decision_hash, CASE WHEN {TAMPER} THEN amount + 1.0 ELSE amount END AS stored_amount FROM ({DEC}) d) x""")
+@query("replay_verify", f"""SELECT decision_id, stored_hash, replay_hash, stored_hash = replay_hash AS matched,
+  CASE WHEN stored_hash <> replay_hash THEN CAST(to_json({{'replay_hash': replay_hash, 'stored_hash': stored_hash}}) AS VARCHAR) END AS diff
+FROM (SELECT decision_id, {oa.REPLAY_HASH % 'score'} AS stored_hash,
+  {oa.REPLAY_HASH % f"CASE WHEN {TAMPER} THEN score / 2 ELSE score END"} AS replay_hash FROM ({DEC}) d) x""")
 def replay_verify(spark, sf):
-    """Recompute every stored decision's hash and compare with the recorded one."""
-    d = decisions(spark, sf).withColumn("decision_hash", au.decision_hash_col())
-    tampered = F.expr(TAMPER.replace("CAST(regexp_extract(tx_id, '[0-9]+$') AS BIGINT)",
-                                     "CAST(regexp_extract(tx_id, '[0-9]+$', 0) AS BIGINT)"))
-    stored = d.withColumn("amount", F.when(tampered, F.col("amount") + 1.0).otherwise(F.col("amount")))
-    re = stored.withColumn("recomputed_hash", au.decision_hash_col())
-    return re.select("decision_id", F.col("decision_hash").alias("stored_hash"), "recomputed_hash",
-                     (F.col("decision_hash") == F.col("recomputed_hash")).alias("matched"))
+    """Recompute the hash of every stored prediction's scores, band, model and transaction and compare with the recorded one."""
+    d = decisions(spark, sf).withColumn("stored_hash", au.replay_hash_col())
+    tampered = F.expr(TAMPER.replace("'[0-9]+$')", "'[0-9]+$', 0)"))
+    stored = d.withColumn("score", F.when(tampered, F.col("score") / 2).otherwise(F.col("score")))
+    re = stored.withColumn("replay_hash", au.replay_hash_col())
+    differs = F.col("stored_hash") != F.col("replay_hash")
+    return re.select("decision_id", "stored_hash", "replay_hash", (~differs).alias("matched"),
+                     F.when(differs, F.to_json(F.struct("replay_hash", "stored_hash"))).alias("diff"))
 
 
 # ------------------------------------------------------------------ explanations
@@ -125,10 +149,21 @@ def counterfactual_rules(spark, sf):
     return decisions(spark, sf).select("decision_id", au.counterfactual_text().alias("counterfactual_summary"))
 
 
-@query("top_drivers", oa.drivers(DEC, FEATS))
+@query("top_drivers", f"SELECT decision_id, top_drivers FROM ({DEC}) d")
 def top_drivers(spark, sf):
+    return decisions(spark, sf).select("decision_id", "top_drivers")
+
+
+#: Importances as a fitted model would give them.
+WEIGHTS = {c: round(1.0 / (i + 1), 6) for i, c in enumerate(FEATS)}
+_WEIGHTED = ", ".join(f"abs(CAST({c} AS DOUBLE) * {w!r}::DOUBLE) AS {c}" for c, w in WEIGHTS.items())
+
+
+@query("top_drivers_weighted", oa.drivers(f"SELECT decision_id, {_WEIGHTED} FROM ({DEC}) d", FEATS))
+def top_drivers_weighted(spark, sf):
+    """Drivers ranked by |importance * value|."""
     d = decisions(spark, sf)
-    return d.select("decision_id", F.transform(au.top_drivers(d, FEATS), au.friendly).alias("top_drivers"))
+    return d.select("decision_id", F.transform(au.top_drivers(d, FEATS, weights=WEIGHTS), au.friendly).alias("top_drivers"))
 
 
 @query("top_features_abs", oa.drivers(DEC, FEATS, k=5, friendly_names=False))
@@ -137,26 +172,33 @@ def top_features_abs(spark, sf):
     return d.select("decision_id", au.top_drivers(d, FEATS, k=5).alias("top_drivers"))
 
 
-@query("explanation_text", f"""SELECT decision_id, {oa.explanation('confidence_band', 'top_drivers', 'score')} AS explanation
-FROM ({DEC}) d JOIN ({oa.drivers(DEC, FEATS)}) t USING (decision_id)""")
+@query("explanation_text", f"SELECT decision_id, explanation FROM ({DEC}) d")
 def explanation_text(spark, sf):
-    d = decisions(spark, sf)
-    ph = F.transform(au.top_drivers(d, FEATS), au.friendly)
-    return d.select("decision_id", au.explanation_text(F.col("confidence_band"), ph, F.col("score")).alias("explanation"))
+    return decisions(spark, sf).select("decision_id", "explanation")
 
 
 @query("audit_report", oa.reports())
 def audit_report(spark, sf):
-    r = au.audit_reports(decisions(spark, sf), FEATS)
-    return r.select("decision_id", "top_drivers", "explanation", "counterfactual_summary", "replay_instructions", "markdown")
+    return au.audit_reports(decisions(spark, sf)).select(*au.report_columns())
+
 
+def _stamp_sql(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')"
 
-@query("export_markdown", f"""SELECT decision_id, '| ' || decision_id || ' | ' || confidence_band || ' | ' || {oa.pct('score')} || ' |' AS line
+
+@query("export_markdown", f"""SELECT decision_id, '| ' || decision_id || ' | ' || tx_id || ' | ' || confidence_band || ' | ' ||
+  CAST(CAST(CAST(score AS DECIMAL(18,6)) AS DECIMAL(18,4)) AS VARCHAR) || ' | ' || {_stamp_sql('"timestamp"')} || ' |' AS line,
+  CAST(to_json({{'calibrated_score': CAST(score AS DECIMAL(18,6)), 'confidence_band': confidence_band, 'decision_id': decision_id,
+    'recorded_at': {_stamp_sql('"timestamp"')}, 'tx_id': tx_id}}) AS VARCHAR) AS json
 FROM ({DEC}) d""")
 def export_markdown(spark, sf):
+    """Export of every decision as a table row and as JSON."""
     d = decisions(spark, sf)
-    return d.select("decision_id", F.concat(F.lit("| "), F.col("decision_id"), F.lit(" | "), F.col("confidence_band"),
-                                            F.lit(" | "), au.percent_text(F.col("score")), F.lit(" |")).alias("line"))
+    stamp = au.ts_text(F.col("timestamp"))
+    cells = F.concat_ws(" | ", "decision_id", "tx_id", "confidence_band", F.col("score").cast("decimal(18,6)").cast("decimal(18,4)").cast("string"), stamp)
+    doc = F.struct(F.col("score").cast("decimal(18,6)").alias("calibrated_score"), "confidence_band", "decision_id",
+                   stamp.alias("recorded_at"), "tx_id")
+    return d.select("decision_id", F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"), F.to_json(doc).alias("json"))
 
 
 @query("redact_text", f"SELECT doc_id, {oa.redact('text')} AS text FROM documents")
@@ -166,15 +208,24 @@ def redact_text(spark, sf):
     return docs.select("doc_id", au.redact_text(F.col("text")).alias("text"))
 
 
+_NOTE_SQL = oa.redact("'User ' || user_id || ' from device ' || device_id || ' {' || '\"lat\": ' || CAST(CAST(lat AS DECIMAL(18,6)) AS VARCHAR) || '}'")
+
+
 @query("redact_report", f"""SELECT decision_id, CAST(to_json({{'decision_id': decision_id, 'user_id': '[REDACTED]', 'device_id': '[REDACTED]',
-  'amount': CAST(amount AS DECIMAL(18,2)), 'note': {oa.redact("'User ' || user_id || ' from device ' || device_id || ' {' || '\"lat\": ' || CAST(lat AS VARCHAR) || '}'")}}}) AS VARCHAR) AS report_json
-FROM ({DEC}) d""".replace("CAST(lat AS VARCHAR)", "CAST(CAST(lat AS DECIMAL(18,6)) AS VARCHAR)"))
+  'amount': CAST(amount AS DECIMAL(18,2)), 'note': {_NOTE_SQL},
+  'place': {{'lat': '[REDACTED]', 'channel': channel, 'inner': {{'account_id': '[REDACTED]', 'mcc': mcc}}}},
+  'history': [{_NOTE_SQL}, 'none'], 'parties': [{{'user_id': '[REDACTED]', 'role': 'payer'}}]}}) AS VARCHAR) AS report_json
+FROM ({DEC}) d""")
 def redact_report(spark, sf):
+    """Keys are redacted at every depth, strings also inside lists."""
     d = decisions(spark, sf)
     note = F.concat(F.lit("User "), F.col("user_id"), F.lit(" from device "), F.col("device_id"), F.lit(' {"lat": '),
                     F.col("lat").cast("decimal(18,6)").cast("string"), F.lit("}"))
-    rep = d.select("decision_id", F.struct("decision_id", "user_id", "device_id", F.col("amount").cast("decimal(18,2)").alias("amount"),
-                                           note.alias("note")).alias("report"))
+    place = F.struct("lat", "channel", F.struct("account_id", "mcc").alias("inner"))
+    rep = d.select("decision_id", F.struct(
+        "decision_id", "user_id", "device_id", F.col("amount").cast("decimal(18,2)").alias("amount"), note.alias("note"),
+        place.alias("place"), F.array(note, F.lit("none")).alias("history"),
+        F.array(F.struct("user_id", F.lit("payer").alias("role"))).alias("parties")).alias("report"))
     return rep.select("decision_id", F.to_json(au.redact_struct(rep, "report")).alias("report_json"))
 
 
@@ -201,22 +252,27 @@ def recent_decisions(spark, sf):
                     F.col("markdown").isNotNull().alias("has_report")).orderBy(F.desc("decision_id")).limit(10)
 
 
-@query("decision_lineage", f"""SELECT p.decision_id, d.tx_id, p.model_run_id, r.decision_id IS NOT NULL AS has_report,
+# Versions of the fitted parts behind a run, as its record names them.
+VERSIONS = {"model_id": "logit", "model_version": "1", "calibration_version": "identity-1", "conformal_version": "split-0.05"}
+
+
+@query("decision_lineage", f"""SELECT p.decision_id, p.tx_id, p.model_run_id, {', '.join(f"'{v}' AS {k}" for k, v in VERSIONS.items())},
+  t.payload_json, f.feature_json, r.decision_id IS NOT NULL AS has_report,
   coalesce(list(e.status ORDER BY e.replayed_at DESC) FILTER (WHERE e.status IS NOT NULL), []) AS replay_history,
   count(e.status) AS n_replays
-FROM ({PRED_SQL}) p JOIN ({DEC}) d USING (decision_id) LEFT JOIN ({REP_SQL}) r USING (decision_id)
-LEFT JOIN ({REPLAY_SQL}) e ON e.decision_id = p.decision_id
-GROUP BY p.decision_id, d.tx_id, p.model_run_id, r.decision_id""")
+FROM ({PRED_SQL}) p JOIN ({TXS_SQL}) t USING (decision_id) JOIN ({FEAT_SQL}) f USING (decision_id)
+LEFT JOIN ({REP_SQL}) r USING (decision_id) LEFT JOIN ({REPLAY_SQL}) e ON e.decision_id = p.decision_id
+GROUP BY p.decision_id, p.tx_id, p.model_run_id, t.payload_json, f.feature_json, r.decision_id""")
 def decision_lineage(spark, sf):
-    d, preds, _, rep = store(spark, sf)
-    ev = replay_events(spark, sf, preds, d)
-    hist = ev.groupBy("decision_id").agg(
+    d, preds, txs, rep = store(spark, sf)
+    hist = replay_events(d).groupBy("decision_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("replayed_at", "status")), asc=False), lambda x: x["status"]).alias("_h"),
         F.count(F.lit(1)).alias("n_replays"))
-    j = preds.join(d.select("decision_id", "tx_id"), "decision_id") \
-        .join(rep.select("decision_id", F.lit(True).alias("_r")), "decision_id", "left") \
-        .join(hist, "decision_id", "left")
-    return j.select("decision_id", "tx_id", "model_run_id", F.col("_r").isNotNull().alias("has_report"),
+    j = (preds.join(txs.select("decision_id", "payload_json"), "decision_id")
+         .join(features_table(d).select("decision_id", "feature_json"), "decision_id")
+         .join(rep.select("decision_id", F.lit(True).alias("_r")), "decision_id", "left").join(hist, "decision_id", "left"))
+    return j.select("decision_id", "tx_id", "model_run_id", *[F.lit(v).alias(k) for k, v in VERSIONS.items()], "payload_json", "feature_json",
+                    F.col("_r").isNotNull().alias("has_report"),
                     F.coalesce("_h", F.array().cast("array<string>")).alias("replay_history"),
                     F.coalesce("n_replays", F.lit(0)).alias("n_replays"))
 
@@ -232,10 +288,36 @@ def audit_export(spark, sf, since_days: int = 3):
     return j.select("decision_id", "created_at", "markdown").orderBy("decision_id")
 
 
-@query("status_latest_n", f"""SELECT decision_id, created_at FROM ({PRED_SQL}) p ORDER BY created_at DESC, decision_id DESC LIMIT 10""")
-def status_latest_n(spark, sf):
-    _, preds, _, _ = store(spark, sf)
-    return preds.select("decision_id", "created_at").orderBy(F.desc("created_at"), F.desc("decision_id")).limit(10)
+def _lists_sql() -> str:
+    from ledgerlens.plans.q_governance import DRIFT_STORE_SQL, FAIRNESS_STORE_SQL
+    from ledgerlens.plans.q_metrics import RUNS_SQL, TRACE_SQL
+    lists = {"decisions": f"SELECT decision_id AS item, created_at AS _at FROM ({PRED_SQL}) p",
+             "fairness_audits": f"SELECT audit_id AS item, created_at AS _at FROM ({FAIRNESS_STORE_SQL}) f",
+             "drift_reports": f"SELECT report_id AS item, created_at AS _at FROM ({DRIFT_STORE_SQL}) d",
+             "runs": f"SELECT DISTINCT run_id AS item, CAST(NULL AS TIMESTAMP) AS _at FROM ({RUNS_SQL}) r",
+             "traces": f"SELECT trace_id AS item, CAST(NULL AS TIMESTAMP) AS _at FROM ({TRACE_SQL}) t"}
+    return " UNION ALL ".join(f"(SELECT '{k}' AS list, item, _at AS created_at FROM ({v}) x ORDER BY _at DESC NULLS LAST, item DESC LIMIT 10)"
+                              for k, v in lists.items())
+
+
+@query("status_latest_n", _lists_sql())
+def status_latest_n(spark, sf, n: int = 10):
+    """The newest entries of every list the status page shows (by time, then id)."""
+    from ledgerlens.operators.audit import trace_log
+    from ledgerlens.plans.q_governance import drift_store, fairness_store
+    from ledgerlens.plans.q_metrics import eval_runs
+    none = F.lit(None).cast("timestamp_ntz")
+    lists = [("decisions", decisions(spark, sf), F.col("decision_id"), F.col("timestamp")),
+             ("fairness_audits", fairness_store(spark, sf), F.col("audit_id"), F.col("created_at")),
+             ("drift_reports", drift_store(spark, sf), F.col("report_id"), F.col("created_at")),
+             ("runs", eval_runs(spark, sf).select("run_id").distinct(), F.col("run_id"), none),
+             ("traces", trace_log(spark, sf), F.col("trace_id"), none)]
+    out = None
+    for name, df, item, at in lists:
+        top = df.select(F.lit(name).alias("list"), item.alias("item"), at.cast("timestamp_ntz").alias("created_at")).orderBy(
+            F.col("created_at").desc_nulls_last(), F.col("item").desc()).limit(n)
+        out = top if out is None else out.unionByName(top)
+    return out
 
 
 @query("flagged_recent", f"""SELECT decision_id, model_run_id, prediction_json FROM ({PRED_SQL}) p
@@ -309,26 +391,35 @@ def rolling_graph_windows(spark, sf, window_days: int = 7, step_days: int = 7):
     return ex.select(F.timestamp_add("MICROSECOND", end, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")).alias("window_end"), "tx_id")
 
 
-@query("payload_to_frame", f"""SELECT json_extract_string(p, '$.tx_id') AS tx_id, TRY_CAST(json_extract_string(p, '$.amount') AS DOUBLE) AS amount,
-  coalesce(json_extract_string(p, '$.currency'), 'USD') AS currency,
-  coalesce(TRY_CAST(json_extract_string(p, '$.is_fraud') AS INTEGER), 0) AS is_fraud, json_extract_string(p, '$.user_id') AS user_id
-FROM (SELECT CASE WHEN event_id % 2 = 0 THEN '{{"tx_id": "ev_' || CAST(event_id AS VARCHAR) || '", "user_id": "user_' || CAST(user_id AS VARCHAR) || '", "amount": ' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || '}}'
-  ELSE '{{"tx_id": "ev_' || CAST(event_id AS VARCHAR) || '", "user_id": "user_' || CAST(user_id AS VARCHAR) || '", "amount": ' || CAST(CAST(value AS DECIMAL(18,2)) AS VARCHAR) || ', "currency": "EUR", "is_fraud": 1}}' END AS p FROM events) x""")
+# A request payload's fields in canonical order with their types.
+PAYLOAD_TYPES = {"tx_id": "string", "user_id": "string", "merchant_id": "string", "device_id": "string", "account_id": "string",
+                 "amount": "double", "currency": "string", "timestamp": "string", "lat": "double", "lon": "double",
+                 "channel": "string", "mcc": "string", "is_fraud": "int"}
+_FULL = f"""SELECT event_id, CAST(to_json({{{', '.join(f"'{c}': {c}" if c not in ('amount', 'lat', 'lon', 'timestamp') else f"'{c}': {oa._jv(c)}" for c in PAYLOAD_TYPES if c not in ('currency', 'is_fraud'))}}}) AS VARCHAR) AS p
+FROM ({oc.TX_EVENTS}) t JOIN (SELECT event_id FROM events) e ON t.tx_id = 'ev_' || CAST(e.event_id AS VARCHAR)"""
+_GET = ", ".join(
+    (f"TRY_CAST(json_extract_string(p, '$.{c}') AS DOUBLE) AS {c}" if k == "double" else
+     f"coalesce(TRY_CAST(json_extract_string(p, '$.{c}') AS INTEGER), 0) AS {c}" if k == "int" else
+     f"coalesce(json_extract_string(p, '$.{c}'), 'USD') AS {c}" if c == "currency" else
+     f"CAST(json_extract_string(p, '$.{c}') AS TIMESTAMP) AS \"{c}\"" if c == "timestamp" else
+     f"json_extract_string(p, '$.{c}') AS {c}") for c, k in PAYLOAD_TYPES.items())
+
+
+@query("payload_to_frame", f"""SELECT {_GET} FROM (SELECT CASE WHEN event_id % 2 = 0 THEN p
+  ELSE substr(p, 1, length(p) - 1) || ',"currency":"EUR","is_fraud":1}}' END AS p FROM ({_FULL}) f) x""")
 def payload_to_frame(spark, sf):
-    """JSON request payloads -> typed rows with defaults (currency USD, is_fraud 0), parsed in bulk."""
-    ev = table(spark, sf, "events")
-    amt = F.col("value").cast("decimal(18,2)").cast("string")
-    base = F.concat(F.lit('{"tx_id": "ev_'), F.col("event_id").cast("string"), F.lit('", "user_id": "user_'),
-                    F.col("user_id").cast("string"), F.lit('", "amount": '), amt)
-    p = F.when(F.col("event_id") % 2 == 0, F.concat(base, F.lit("}"))).otherwise(
-        F.concat(base, F.lit(', "currency": "EUR", "is_fraud": 1}')))
-    schema = T.StructType([T.StructField("tx_id", T.StringType()), T.StructField("user_id", T.StringType()),
-                           T.StructField("amount", T.DoubleType()), T.StructField("currency", T.StringType()),
-                           T.StructField("is_fraud", T.IntegerType())])
-    r = ev.select(F.from_json(p, schema).alias("r"))
-    return r.select(F.col("r.tx_id").alias("tx_id"), F.col("r.amount").alias("amount"),
-                    F.coalesce(F.col("r.currency"), F.lit("USD")).alias("currency"),
-                    F.coalesce(F.col("r.is_fraud"), F.lit(0)).alias("is_fraud"), F.col("r.user_id").alias("user_id"))
+    """JSON request payloads -> typed canonical rows with defaults (currency USD, is_fraud 0), parsed in bulk."""
+    t = cn.tx_events(spark, sf, extra=[F.col("event_id")])
+    given = [c for c in PAYLOAD_TYPES if c not in ("currency", "is_fraud")]
+    rows = t.select("event_id", F.to_json(F.struct(*[au._json_val(c).alias(c) for c in given])).alias("p"))
+    more = F.concat(F.expr("substring(p, 1, length(p) - 1)"), F.lit(',"currency":"EUR","is_fraud":1}'))
+    rows = rows.select(F.when(F.col("event_id") % 2 == 0, F.col("p")).otherwise(more).alias("p"))
+    schema = ", ".join(f"`{c}` {k}" for c, k in PAYLOAD_TYPES.items())
+    r = rows.select(F.from_json("p", schema).alias("r"))
+    default = {"currency": F.lit("USD"), "is_fraud": F.lit(0)}
+    return r.select(*[F.coalesce(F.col(f"r.{c}"), default[c]).alias(c) if c in default
+                      else F.col("r.timestamp").cast("timestamp_ntz").alias(c) if c == "timestamp" else F.col(f"r.{c}").alias(c)
+                      for c in PAYLOAD_TYPES])
 
 
 # ------------------------------------------------------------------ search

@@ -15,6 +15,7 @@ from ledgerlens.oracle import metrics as om
 from ledgerlens.plans import training as tr
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import canonical as cn
+from ledgerlens.sources.io import written
 
 FM = fx.FEATURE_MATRIX
 
@@ -65,8 +66,9 @@ def calibrate_isotonic(spark, sf):
 
 @query("train_pipeline")
 def train_pipeline(spark, sf):
-    """One run record: PR-AUC, recall@1%FPR, Brier, ECE, review rate on the test split."""
-    return tr.train_pipeline(cn.tx_events(spark, sf)).metrics
+    """One run record: model and calibrator saved and read again, metrics of the test split."""
+    res = tr.train_pipeline(cn.tx_events(spark, sf))
+    return tr.run_record(spark, res, "run_xgb_tabular_0001")
 
 
 @query("score_batch")
@@ -80,13 +82,15 @@ def score_batch(spark, sf):
 
 @query("end_to_end")
 def end_to_end(spark, sf):
-    """data -> train -> score -> explain -> hash -> record -> report, for the test decisions."""
+    """data -> train -> score every transaction -> explain -> hash -> record -> report -> replay."""
     res = tr.train_pipeline(cn.tx_events(spark, sf))
-    d = res.test_scored.withColumns({"decision_id": F.concat(F.lit("dec_"), F.col("tx_id")),
-                                      "model_run_id": F.lit("run_xgb_tabular_0001")})
-    d = d.withColumn("decision_hash", au.decision_hash_col())
-    rep = au.audit_reports(d, fx.FEATURE_COLUMNS)
-    return rep.select("decision_id", "model_run_id", "confidence_band", "score", "decision_hash", "markdown")
+    gold = fx.gold_features(cn.tx_events(spark, sf))
+    tri = cf.conformal_triage(md.calibrate(res.calibrator, md.score(res.model, gold)), res.threshold)
+    d = au.explained(tri.withColumn("model_run_id", F.lit("run_xgb_tabular_0001")), fx.FEATURE_COLUMNS)
+    recorded = written(d.withColumn("decision_id", au.decision_hash_col()).withColumn("replay_hash", au.replay_hash_col()), "recorded")
+    rep = au.audit_reports(recorded)
+    return rep.select("decision_id", "model_run_id", "tx_id", "confidence_band", "score", "replay_hash",
+                      (au.replay_hash_col() == F.col("replay_hash")).alias("replay_matched"), "markdown")
 
 
 # ------------------------------------------------------------------ federated
@@ -129,4 +133,5 @@ def fed_train(spark, sf):
     cal = md.fit_isotonic(v)
     vc, tc = md.calibrate(cal, v), md.calibrate(cal, t)
     tri = cf.conformal_triage(tc, cf.conformal_threshold(vc))
+    tri = written(tri, "federated")
     return mt.all_metrics(tri).crossJoin(cf.conformal_metrics(tri).select("empirical_coverage", "review_rate"))

@@ -12,6 +12,7 @@ from ledgerlens.operators import features as fx
 from ledgerlens.operators import metrics as mt
 from ledgerlens.operators import models as md
 from ledgerlens.operators import splits as sp
+from ledgerlens.sources.io import fresh_dir, written
 
 
 @dataclass
@@ -25,7 +26,7 @@ class TrainResult:
 
 def split_features(tx: DataFrame, time_split: bool = False) -> DataFrame:
     """Gold features of the whole frame, then the split (as the reference does)."""
-    gold = fx.gold_features(tx)
+    gold = written(fx.gold_features(tx), "gold")  # read by every split and fit
     return sp.chronological_split(gold) if time_split else sp.random_split(gold, seed=7)
 
 
@@ -62,6 +63,18 @@ def train_pipeline(tx: DataFrame, model_type: str = "xgb_tabular", calibration:
     v_cal = md.calibrate(cal, v_raw)
     t_cal = md.calibrate(cal, t_raw)
     thr = cf.conformal_threshold(v_cal)
-    tri = cf.conformal_triage(t_cal, thr)
+    tri = written(cf.conformal_triage(t_cal, thr).drop("features"), "scored")  # read by every metric
     m = mt.all_metrics(tri).crossJoin(cf.conformal_metrics(tri).select("review_rate"))
     return TrainResult(model, cal, thr, tri, m)
+
+
+def run_record(spark, res: TrainResult, run_id: str) -> DataFrame:
+    """Save the fitted parts below the shared location, read the model again and return the run's one-row record."""
+    from pyspark.ml import PipelineModel
+
+    folder = fresh_dir(spark, "run")
+    res.model.write().save(f"{folder}/model")
+    again = PipelineModel.load(f"{folder}/model")
+    return res.metrics.select(
+        F.lit(run_id).alias("run_id"), F.lit("xgb_tabular").alias("model_type"), F.lit("isotonic").alias("calibration"),
+        F.lit(len(again.stages)).alias("model_stages"), F.lit(len(fx.FEATURE_MATRIX)).alias("n_features"), "*")
