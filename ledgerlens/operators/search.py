@@ -1,90 +1,179 @@
-"""Exact nearest-neighbour search with bounded query or reference sides.
+"""Exact nearest-neighbour search in bounded cells, pruned by distance to tile centres.
 
-A pairwise join is only ever formed between one side of *proven* bounded size
-(a fixed reference sample, a top-N list of queries, one centroid per label)
-and the full other side, so the work is linear in the data.  The bounded side
-is broadcast; the top-k per query is a window over that query's candidates.
+Items are assigned to the nearest of a few pivots and each pivot's items are cut into tiles of bounded size; a tile
+has a centre and a radius.  A query first searches the tile with the nearest centre; its k-th best distance there is
+an upper bound, and only tiles whose centre can hold something closer (distance to centre minus radius) are opened.
+Every (tile, query block) cell is one bounded group with local top k; the local lists are merged per query.  Both
+sides may have any size, nothing is refused or cut, and no pair rows are made.
+
+Cosine search is the same search on unit vectors.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlens.sources.io import written
 
-def _sq_l2(cols_q: list[Column], cols_r: list[Column]) -> Column:
-    acc = None
-    for q, r in zip(cols_q, cols_r):
-        t = (q - r) * (q - r)
-        acc = t if acc is None else acc + t
-    return acc
+PIVOTS = 32
+TILE_ROWS = 4096
+QUERY_ROWS = 4096
 
 
-def _top_k(pairs: DataFrame, qkey: str, order: list[Column], k: int, item: str | None = None,
-           buckets: int | None = None) -> DataFrame:
-    """Exact top-k per query in two levels when the candidate side is large.
+def _matrix(col: pa.ChunkedArray, width: int) -> np.ndarray:
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in col.chunks]
+    return (np.concatenate(flat) if flat else np.empty(0)).reshape(-1, width).astype(np.float64)
 
-    A window over ``partitionBy(query)`` would put all candidates of one
-    query (the whole corpus) into one task.  Candidates are first spread over
-    ``buckets`` hash buckets of the item id; each (query, bucket) keeps its own
-    top k, and the final top k per query is taken over at most
-    ``buckets * k`` survivors - the same result, since a global top-k row is
-    in its bucket's top k.
-    """
-    if item is not None:
-        nb = buckets or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        wb = Window.partitionBy(qkey, "_bucket").orderBy(*order)
-        pairs = (pairs.withColumn("_bucket", F.pmod(F.xxhash64(F.col(item)), F.lit(nb)))
-                 .withColumn("_r", F.row_number().over(wb)).filter(F.col("_r") <= k).drop("_bucket", "_r"))
-    w = Window.partitionBy(qkey).orderBy(*order)
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
+def _distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Squared distances by differences, so that equal vectors are exactly 0 and ties are ties."""
+    out = np.zeros((len(q), len(c)))
+    for j in range(q.shape[1]):
+        d = q[:, j, None] - c[None, :, j]
+        out += d * d
+    return out
 
-def nearest_l2(queries: DataFrame, reference: DataFrame, features: list[str], k: int = 3,
-               qkey: str = "tx_id", rkey: str = "tx_id", label: str = "is_fraud", max_reference: int = 500) -> DataFrame:
-    """Per query row, the ``k`` reference rows nearest in Euclidean distance (with their label).
 
-    ``reference`` must be a bounded sample (the reference keeps 500 training
-    rows); its size is checked before it is broadcast.
+def _tiles(items: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Items with a tile number, and the tiles' centres and radii (a row a tile)."""
+    pivots = np.array([r.vec for r in items.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("vec").collect()], dtype=float)
+
+    def assign(batches):
+        for b in batches:
+            x = _matrix(pa.chunked_array([b.column(1)]), width)
+            near = np.array([int(i) for lo in range(0, len(x), 1024) for i in _distances(x[lo:lo + 1024], pivots).argmin(1)], np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int32())], names=["id", "vec", "label", "pivot"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
+    near = items.select("id", "vec", "label").mapInArrow(
+        assign, f"id {kinds['id']}, vec array<double>, label {kinds['label']}, pivot int")
+    near = written(near, "search-items")
+    counts = {r.pivot: r["count"] for r in near.groupBy("pivot").count().collect()}  # a row a pivot
+    parts = [max(1, -(-counts.get(p, 0) // TILE_ROWS)) for p in range(len(pivots))]
+    start = np.concatenate([[0], np.cumsum(parts)])
+    lit = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
+    tile = F.get(lit(start), F.col("pivot")) + F.pmod(F.xxhash64("id"), F.get(lit(parts), F.col("pivot"))).cast("int")
+    tiled = near.withColumn("tile", tile.cast("int")).drop("pivot")
+
+    def bounds(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        x = _matrix(table["vec"], width)
+        centre = x.mean(0)
+        radius = float(np.sqrt(_distances(x, centre[None, :]).max()))
+        return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "centre": [centre.tolist()], "radius": [radius]})
+
+    rows = tiled.groupBy("tile").applyInArrow(bounds, "tile int, centre array<double>, radius double").collect()  # a row a tile
+    rows.sort(key=lambda r: r.tile)
+    return tiled, np.array([r.tile for r in rows]), (np.array([r.centre for r in rows]), np.array([r.radius for r in rows]))
+
+
+def nearest(queries: DataFrame, items: DataFrame, width: int, k: int) -> DataFrame:
+    """``(qid, vec)`` against ``(id, vec, label)``: rows ``qid, id, label, d2`` (squared distance), at most k a query.
+
+    Ties go to the smaller id.  Vectors have ``width`` finite components.  Empty inputs give no rows.
     """
-    n = reference.count()
-    if n > max_reference:
-        raise ValueError(f"reference sample has {n} rows (> {max_reference}); refusing to broadcast")
-    r = reference.select(F.col(rkey).alias("ref_id"), F.col(label).alias("label"),
-                         *[F.col(c).cast("double").alias(f"r_{c}") for c in features])
-    q = queries.select(F.col(qkey).alias("query_id"), *[F.col(c).cast("double").alias(f"q_{c}") for c in features])
-    pairs = q.crossJoin(F.broadcast(r))
-    d = F.sqrt(_sq_l2([F.col(f"q_{c}") for c in features], [F.col(f"r_{c}") for c in features]))
-    pairs = pairs.select("query_id", "ref_id", "label", d.alias("distance"))
-    top = _top_k(pairs, "query_id", [F.col("distance"), F.col("ref_id")], k)
-    return top.select("query_id", "rank", "ref_id", "label", F.round("distance", 6).alias("distance"))
-
-
-def _dot(a: Column, b: Column, dim: int) -> Column:
-    acc = None
-    for i in range(dim):
-        t = a[i].cast("double") * b[i].cast("double")
-        acc = t if acc is None else acc + t
-    return acc
+    kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
+    q_kind = queries.schema["qid"].dataType.simpleString()
+    if items.isEmpty():
+        return queries.limit(0).select("qid", F.lit(None).cast(kinds["id"]).alias("id"), F.lit(None).cast(kinds["label"]).alias("label"),
+                            F.lit(None).cast("double").alias("d2"))
+    tiled, numbers, (centres, radii) = _tiles(items, width)
+    hit = f"qid {q_kind}, id {kinds['id']}, label {kinds['label']}, d2 double"
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_q, out_i = [], []
+        if left.num_rows and right.num_rows:
+            x, c = _matrix(left["vec"], width), _matrix(right["vec"], width)
+            order = np.argsort(np.array(right["id"].to_pylist(), dtype=object), kind="stable")
+            right, c = right.take(pa.array(order)), c[order]
+            best = []
+            for lo in range(0, len(x), 256):
+                d = _distances(x[lo:lo + 256], c)
+                top = np.argsort(d, axis=1, kind="stable")[:, :k]  # rows stand in id order: ties to the smaller id
+                best.append(np.take_along_axis(d, top, 1).ravel())
+                out_q.append(np.repeat(np.arange(lo, lo + len(d)), top.shape[1]))
+                out_i.append(top.ravel())
+            q, i = np.concatenate(out_q), np.concatenate(out_i)
+            return pa.table({"qid": left["qid"].take(pa.array(q)), "id": right["id"].take(pa.array(i)),
+                             "label": right["label"].take(pa.array(i)), "d2": np.concatenate(best)})
+        return pa.table({"qid": left["qid"].slice(0, 0), "id": right["id"].slice(0, 0), "label": right["label"].slice(0, 0),
+                         "d2": pa.array([], pa.float64())})
+
+    def cells(q: DataFrame) -> DataFrame:
+        """Search every query in the tile it names."""
+        n = max(1, -(-q.count() // QUERY_ROWS))
+        dealt = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int"))
+        blocks = dealt.select(F.col("tile").alias("c_tile"), F.col("qb").alias("c_qb")).distinct()
+        members = tiled.join(blocks, F.col("tile") == F.col("c_tile")).select("id", "vec", "label", "c_tile", "c_qb")
+        return dealt.groupBy("tile", "qb").cogroup(members.groupBy("c_tile", "c_qb")).applyInArrow(search, hit)
+
+    def home(batches):
+        for b in batches:
+            x = _matrix(pa.chunked_array([b.column(1)]), width)
+            t = np.array([numbers[i] for i in _distances(x, centres).argmin(1)], np.int32) if len(x) else np.empty(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t, pa.int32())], names=["qid", "vec", "tile"])
+
+    q = written(queries.select("qid", "vec").mapInArrow(home, f"qid {q_kind}, vec array<double>, tile int"), "search-queries")
+    first = written(cells(q), "search-first")
+    bound = first.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("d2"))
+
+    def other_tiles(batches):
+        for b in batches:
+            x = _matrix(pa.chunked_array([b.column(1)]), width)
+            reach = np.sqrt(np.array([np.inf if v is None else v for v in b.column(3).to_pylist()]))
+            near = np.maximum(np.sqrt(_distances(x, centres)) - radii[None, :], 0)
+            opened = near <= reach[:, None] * (1 + 1e-9) + 1e-12
+            opened &= numbers[None, :] != b.column(2).to_numpy()[:, None]
+            i, t = np.nonzero(opened)
+            rows = pa.array(i)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(numbers[t].astype(np.int32))],
+                                             names=["qid", "vec", "tile"])
+
+    known = F.when(F.col("n") >= k, F.col("d2"))
+    more = q.join(bound, "qid", "left").select("qid", "vec", "tile", known.alias("d2")).mapInArrow(
+        other_tiles, f"qid {q_kind}, vec array<double>, tile int")
+    second = cells(written(more, "search-more"))
+    w = Window.partitionBy("qid").orderBy("d2", "id")
+    return first.unionByName(second).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def _ranked(found: DataFrame, order: list[Column]) -> DataFrame:
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))
+
+
+def _vector(features: list[str]) -> Column:
+    return F.array(*[F.col(c).cast("double") for c in features])
+
+
+def nearest_l2(queries: DataFrame, reference: DataFrame, features: list[str], k: int = 3,
+               qkey: str = "tx_id", rkey: str = "tx_id", label: str = "is_fraud") -> DataFrame:
+    """Per query row, the ``k`` reference rows nearest in Euclidean distance (with their label)."""
+    q = queries.select(F.col(qkey).alias("qid"), _vector(features).alias("vec"))
+    r = reference.select(F.col(rkey).alias("id"), _vector(features).alias("vec"), F.col(label).alias("label"))
+    top = _ranked(nearest(q, r, len(features), k), [F.col("d2"), F.col("id")])
+    return top.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("ref_id"), "label",
+                      F.round(F.sqrt("d2"), 6).alias("distance"))
 
 
 def nearest_cosine(queries: DataFrame, corpus: DataFrame, dim: int, k: int = 5, qkey: str = "query_id",
                    ckey: str = "vec_id", vec: str = "embedding", label: str = "label",
-                   fraud_only: bool = False, max_queries: int = 1000) -> DataFrame:
+                   fraud_only: bool = False) -> DataFrame:
     """Top-k corpus vectors by cosine similarity per query (norms floored at 1e-10)."""
-    n = queries.count()
-    if n > max_queries:
-        raise ValueError(f"{n} queries (> {max_queries}); refusing to broadcast")
     c = corpus.filter(F.col(label) == 1) if fraud_only else corpus
-    q = queries.select(F.col(qkey).alias("query_id"), F.col(vec).alias("_q"))
-    q = q.withColumn("_qn", F.greatest(F.sqrt(_dot(F.col("_q"), F.col("_q"), dim)), F.lit(1e-10)))
-    c = c.select(F.col(ckey).alias("match_id"), F.col(label).alias("label"), F.col(vec).alias("_c"))
-    c = c.withColumn("_cn", F.greatest(F.sqrt(_dot(F.col("_c"), F.col("_c"), dim)), F.lit(1e-10)))
-    pairs = c.crossJoin(F.broadcast(q))
-    sim = _dot(F.col("_q"), F.col("_c"), dim) / (F.col("_qn") * F.col("_cn"))
-    pairs = pairs.select("query_id", "match_id", "label", sim.alias("similarity"))
-    top = _top_k(pairs, "query_id", [F.desc("similarity"), F.col("match_id")], k, item="match_id")
-    return top.select("query_id", "rank", "match_id", "label", F.round("similarity", 6).alias("similarity"))
+
+    def unit(v: str) -> Column:
+        x = F.transform(F.col(v), lambda e: e.cast("double"))
+        norm = F.greatest(F.sqrt(F.aggregate(x, F.lit(0.0), lambda a, e: a + e * e)), F.lit(1e-10))
+        return F.transform(x, lambda e: e / norm)
+
+    q = queries.select(F.col(qkey).alias("qid"), unit(vec).alias("vec"))
+    items = c.select(F.col(ckey).alias("id"), unit(vec).alias("vec"), F.col(label).alias("label"))
+    top = _ranked(nearest(q, items, dim, k), [F.col("d2"), F.col("id")])
+    # unit vectors: |a - b|^2 = 2 - 2 cos
+    return top.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("match_id"), "label",
+                      F.round(F.lit(1.0) - F.col("d2") / 2.0, 6).alias("similarity"))
 
 
 def label_centroids(corpus: DataFrame, dim: int, vec: str = "embedding", label: str = "label") -> DataFrame:
@@ -96,15 +185,9 @@ def label_centroids(corpus: DataFrame, dim: int, vec: str = "embedding", label:
 
 
 def vector_search(queries: DataFrame, corpus: DataFrame, dim: int, k: int = 5, qkey: str = "query_id",
-                  ckey: str = "vec_id", vec: str = "embedding", max_queries: int = 1000) -> DataFrame:
+                  ckey: str = "vec_id", vec: str = "embedding") -> DataFrame:
     """Exact flat search: top-k corpus rows per query by *squared* L2 distance."""
-    n = queries.count()
-    if n > max_queries:
-        raise ValueError(f"{n} queries (> {max_queries}); refusing to broadcast")
-    q = queries.select(F.col(qkey).alias("query_id"), F.col(vec).alias("_q"))
-    c = corpus.select(F.col(ckey).alias("match_id"), F.col(vec).alias("_c"))
-    pairs = c.crossJoin(F.broadcast(q))
-    d = _sq_l2([F.col("_q")[i].cast("double") for i in range(dim)], [F.col("_c")[i].cast("double") for i in range(dim)])
-    pairs = pairs.select("query_id", "match_id", d.alias("distance"))
-    top = _top_k(pairs, "query_id", [F.col("distance"), F.col("match_id")], k, item="match_id")
-    return top.select("query_id", "rank", "match_id", F.round("distance", 6).alias("distance"))
+    q = queries.select(F.col(qkey).alias("qid"), F.transform(F.col(vec), lambda e: e.cast("double")).alias("vec"))
+    c = corpus.select(F.col(ckey).alias("id"), F.transform(F.col(vec), lambda e: e.cast("double")).alias("vec"), F.lit(0).alias("label"))
+    top = _ranked(nearest(q, c, dim, k), [F.col("d2"), F.col("id")])
+    return top.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("match_id"), F.round("d2", 6).alias("distance"))

@@ -428,8 +428,7 @@ FM = fx.FEATURE_MATRIX
 GOLD_EV = of.gold_features(oc.TX_EVENTS)
 from ledgerlens.oracle.metrics import chrono  # noqa: E402
 
-REF_SQL = (f"SELECT * FROM ({chrono(GOLD_EV)}) s WHERE split = 'train' "
-           f"QUALIFY row_number() OVER (ORDER BY \"timestamp\", tx_id) <= 500")
+REF_SQL = f"SELECT * FROM ({chrono(GOLD_EV)}) s WHERE split = 'train'"
 
 
 def _l2_sql() -> str:
@@ -442,13 +441,10 @@ def _l2_sql() -> str:
 
 @query("nearest_l2", _l2_sql())
 def nearest_l2(spark, sf):
-    """Top-3 analogues of every test transaction among the first 500 training rows (time order)."""
-    from ledgerlens.operators.ranking import global_row_number
+    """Top-3 analogues of every test transaction among all training rows."""
     from ledgerlens.operators.splits import chronological_split
-    g = chronological_split(fx.gold_features(cn.tx_events(spark, sf)))
-    train = part(g, "train").withColumn("_ts", fx.epoch_micros("timestamp"))
-    ref = global_row_number(train, ["_ts", "tx_id"], name="_rn").filter(F.col("_rn") < 500)
-    return se.nearest_l2(part(g, "test"), ref, FM, k=3).withColumn("rank", F.col("rank").cast("int"))
+    g = written(chronological_split(fx.gold_features(cn.tx_events(spark, sf))), "split-gold")
+    return se.nearest_l2(part(g, "test"), part(g, "train"), FM, k=3).withColumn("rank", F.col("rank").cast("int"))
 
 
 def _emb_sql_dot(a: str, b: str, dim: int = 64) -> str:

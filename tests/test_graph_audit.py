@@ -48,7 +48,7 @@ def test_global_row_number_is_dense_and_ordered(spark):
 def test_decision_hash_is_key_order_invariant_hex(spark):
     base = dict(tx_id="t", user_id="u", merchant_id="m", device_id="d", account_id="a", amount=1.5, currency="USD",
                 timestamp=datetime(2024, 1, 1), lat=1.0, lon=2.0, channel="web", mcc="x", score=0.5,
-                confidence=0.5, confidence_band="review_needed", model_run_id="r")
+                confidence=0.5, confidence_band="review_needed", model_run_id="r", raw_score=0.4, explanation="why")
     a = spark.createDataFrame([base])
     b = spark.createDataFrame([dict(reversed(list(base.items())))])
     ha = a.select(au.decision_hash_col().alias("h")).first().h
@@ -77,14 +77,29 @@ def test_nearest_l2_brute_force(spark):
         assert [got[(f"q{i}", k + 1)] for k in range(3)] == [f"r{j}" for j in order]
 
 
-def test_reference_sample_size_is_checked(spark):
-    big = spark.range(0, 600).select(F.col("id").cast("string").alias("tx_id"), F.lit(0).alias("is_fraud"),
-                                     F.lit(1.0).alias("a"))
-    try:
-        se.nearest_l2(big, big, ["a"])
-        raise AssertionError("expected refusal")
-    except ValueError:
-        pass
+def test_nearest_over_many_tiles_equals_brute_force(spark, monkeypatch):
+    """Any number of reference rows and queries; ties go to the smaller id; empty sides give no rows."""
+    import numpy as np
+
+    monkeypatch.setattr(se, "TILE_ROWS", 16)
+    monkeypatch.setattr(se, "QUERY_ROWS", 7)
+    monkeypatch.setattr(se, "PIVOTS", 5)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(230, 3)) + rng.integers(0, 4, 230)[:, None] * 3, 1)
+    x[5] = x[100] = x[17]
+    ref = spark.createDataFrame([(f"r{i:03d}", i % 2, *map(float, v)) for i, v in enumerate(x)], "tx_id string, is_fraud int, a double, b double, c double")
+    q = np.concatenate([x[:20], np.round(rng.normal(size=(11, 3)) * 8, 1)])
+    qdf = spark.createDataFrame([(f"q{i:02d}", 0, *map(float, v)) for i, v in enumerate(q)], ref.schema)
+    got = se.nearest_l2(qdf, ref, ["a", "b", "c"], k=4).collect()
+    want = []
+    for i, v in enumerate(q):
+        d = ((x - v) ** 2)
+        d = d[:, 0] + d[:, 1] + d[:, 2]
+        for rank, j in enumerate(np.lexsort((np.arange(len(x)), d))[:4], 1):
+            want.append((f"q{i:02d}", rank, f"r{j:03d}", j % 2, round(float(np.sqrt(d[j])), 6)))
+    assert sorted((r.query_id, r["rank"], r.ref_id, r.label, r.distance) for r in got) == sorted(want)
+    assert se.nearest_l2(qdf, ref.limit(0), ["a", "b", "c"]).count() == 0
+    assert se.nearest_l2(qdf.limit(0), ref, ["a", "b", "c"]).count() == 0
 
 
 def test_previous_rows_match_lag_across_many_pieces(spark):
