@@ -50,17 +50,15 @@ def money_text(c: str | Column) -> Column:
 def ts_text(c: str | Column, sep: str = " ", micros: bool = True) -> Column:
     """Fixed text of a naive timestamp, ``yyyy-MM-dd HH:mm:ss.SSSSSS``.
 
-    Built from date / hour / minute / second parts of the ``timestamp_ntz``
-    value, so it never passes through the session time zone (``date_format``
-    would, and shifts wall-clock times that fall into a daylight-saving gap).
+    Cut from the text of the ``timestamp_ntz`` value, so it never passes
+    through the session time zone (``date_format`` would, and shifts
+    wall-clock times that fall into a daylight-saving gap).
     """
-    ts = col_(c).cast("timestamp_ntz")
-    two = lambda x: F.lpad(x.cast("string"), 2, "0")
-    text = F.concat(ts.cast("date").cast("string"), F.lit(sep), two(F.hour(ts)), F.lit(":"), two(F.minute(ts)),
-                    F.lit(":"), two(F.second(ts)))
+    s = col_(c).cast("timestamp_ntz").cast("string")  # yyyy-MM-dd HH:mm:ss, then .f with trailing zeros cut
+    parts = [F.substring(s, 1, 10), F.lit(sep), F.substring(s, 12, 8)]
     if micros:
-        text = F.concat(text, F.lit("."), F.lpad(F.pmod(epoch_micros(ts), F.lit(1_000_000)).cast("string"), 6, "0"))
-    return text
+        parts += [F.lit("."), F.rpad(F.substring(s, 21, 6), 6, "0")]
+    return F.concat(*parts)
 
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:

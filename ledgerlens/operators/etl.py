@@ -98,19 +98,27 @@ def normalize_columns(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(f"`{old}`").alias(new) for old, new in zip(df.columns, final)])
 
 
-def apply_sector_profile(df: DataFrame, profile: SectorProfile | str = DEFAULT_PROFILE) -> DataFrame:
+def _profile(profile: SectorProfile | str) -> SectorProfile:
+    return SECTOR_PROFILES[profile] if isinstance(profile, str) else profile
+
+
+def apply_sector_profile(df: DataFrame, profile: SectorProfile | str = DEFAULT_PROFILE, mask: bool = True) -> DataFrame:
     """Rename (target absent) -> mask listed columns -> add constants if absent."""
-    p = SECTOR_PROFILES[profile] if isinstance(profile, str) else profile
+    p = _profile(profile)
     cols = list(df.columns)
     renames = {c: t for c, t in p.field_aliases.items() if c in cols and t not in cols}
     out = df.withColumnsRenamed(renames) if renames else df
-    masks = {c: F.lit(REDACTED) for c in p.privacy_masks if c in out.columns}
-    if masks:
-        out = out.withColumns(masks)
+    if mask:
+        out = mask_columns(out, p.privacy_masks)
     adds = {c: F.lit(v) for c, v in p.added_columns.items() if c not in out.columns}
     return out.withColumns(adds) if adds else out
 
 
+def mask_columns(df: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    masks = {c: F.lit(REDACTED) for c in names if c in df.columns}
+    return df.withColumns(masks) if masks else df
+
+
 def pseudonymous_user(df: DataFrame) -> DataFrame:
     """If ``user_id`` is absent: ``user_`` + first 12 hex of sha256 of the first non-null tax id."""
     if "user_id" in df.columns:
@@ -211,17 +219,19 @@ def record_hash(c_frame: DataFrame) -> Column:
 
 def prepare_silver(raw: DataFrame, run_id: str, source_system: str, ingested_at: str,
                    row_number_col: str | None = None, profile: SectorProfile | str | None = DEFAULT_PROFILE,
-                   ) -> tuple[DataFrame, DataFrame]:
+                   hash_first: bool = True) -> tuple[DataFrame, DataFrame]:
     """Return (typed frame before validity and de-duplication, silver frame).
 
     ``row_number_col`` names an explicit source row key; it is needed only
-    when the source has no transaction id.
+    when the source has no transaction id.  Rows are de-duplicated on their
+    typed values first; only the survivors are hashed and masked.  With
+    ``hash_first`` the ``*_hash`` columns are of the original values; without
+    it masked columns hash to the hash of the mask.
     """
-    df = apply_sector_profile(raw, profile) if profile is not None else raw
+    df = apply_sector_profile(raw, profile, mask=False) if profile is not None else raw
     df = normalize_columns(df)
     df = pseudonymous_user(df)
     df = fill_defaults(df, source_system, row_number_col or "source_row_number")
-    df = pii_hash(df)
     df = cast_canonical(df)
     order = ["timestamp", "amount"] + sorted(c for c in df.columns if c not in ("tx_id", "timestamp", "amount"))
     # Validity is applied inside the de-duplicating aggregate (invalid rows add
@@ -229,6 +239,8 @@ def prepare_silver(raw: DataFrame, run_id: str, source_system: str, ingested_at:
     # below the projection and re-evaluate the parsing expressions per use.
     dedup = dedup_latest(df, "tx_id", order, keep=validity_condition())
     valid = df  # the caller counts valid rows with ``count_if`` (see quality_report)
+    masks = _profile(profile).privacy_masks if profile is not None else ()
+    dedup = mask_columns(pii_hash(dedup), masks) if hash_first else pii_hash(mask_columns(dedup, masks))
     drop = [c for c in dedup.columns if c in SENSITIVE_COLUMNS or c == (row_number_col or "source_row_number")]
     silver = dedup.drop(*drop).withColumns({
         "etl_run_id": F.lit(run_id), "source_system": F.lit(source_system), "ingested_at": F.lit(ingested_at),

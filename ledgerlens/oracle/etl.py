@@ -83,8 +83,17 @@ def chain(*stages: str, src: str = PROFILED) -> str:
     return out
 
 
+#: The silver chain hashes original values: rows are typed and de-duplicated unmasked, then the survivors are hashed.
+UNMASKED = "SELECT *, 'fintech' AS sector FROM (" + RAW_GOVERNMENT + ") r0"
+_HASH_COLS = ", full_name_hash, email_address_hash, taxpayer_id_hash"
+CASTED_RAW = CASTED.replace(_HASH_COLS, "")
+DEDUP_RAW = DEDUP
+for _c in ("full_name_hash", "email_address_hash", "taxpayer_id_hash"):
+    DEDUP_RAW = DEDUP_RAW.replace(f", {_c} DESC", "")
+
+
 def silver(run_id: str = RUN_ID, source_system: str = SOURCE_SYSTEM) -> str:
-    base = chain(NORMALIZED, HASHED, CASTED, VALID, DEDUP)
+    base = chain(NORMALIZED, CASTED_RAW, VALID, DEDUP_RAW, HASHED, src=UNMASKED)
     return f"SELECT *, {RECORD_HASH} AS record_hash FROM (SELECT {silver_cols(run_id, source_system)} FROM ({base}) d) s"
 
 

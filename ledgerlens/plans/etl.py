@@ -41,7 +41,7 @@ def run_etl(raw: DataFrame, run_id: str = DEFAULT_RUN_ID, source_system: str = D
     """
     profiled = ops.apply_sector_profile(raw, profile) if profile else raw
     bronze = ops.bronze_snapshot(profiled, run_id, source_system, source_path)
-    valid, silver = ops.prepare_silver(profiled, run_id, source_system, ingested_at,
-                                       row_number_col=row_number_col, profile=None)
+    valid, silver = ops.prepare_silver(raw, run_id, source_system, ingested_at,
+                                       row_number_col=row_number_col, profile=profile)
     quality = ops.quality_report(profiled, valid, silver)
     return EtlResult(bronze, valid, silver, quality)

@@ -142,6 +142,27 @@ def prepare_dataset(spark, sf):
     return spark.read.parquet(out)
 
 
+_MANIFEST = """SELECT '{name}' AS dataset, count(*) AS rows, min("timestamp") AS first_time, max("timestamp") AS last_time,
+  sum(is_fraud) AS frauds, '{at}' AS prepared_at FROM ({sql}) {name}_x"""
+PREPARED = (("ieee_cis", "2026-01-01"), ("credit_card", "2026-01-02"))
+
+
+@query("prepared_datasets", " UNION ALL ".join(_MANIFEST.format(name=n, at=a, sql=q) for (n, a), q in zip(
+    PREPARED, (oc.ADAPTER_IEEE, oc.ADAPTER_CREDIT_CARD))) + " ORDER BY prepared_at DESC LIMIT 10")
+def prepared_datasets(spark, sf):
+    """Prepare both sources, write a manifest row for each and list the newest."""
+    frames = {"ieee_cis": ad.adapter_ieee_cis(cn.ieee_cis_source(spark, sf)),
+              "credit_card": ad.adapter_credit_card(cn.credit_card_source(spark, sf), row_key="event_id")}
+    base, out = io.fresh_dir(spark, "prepared"), None
+    for name, at in PREPARED:
+        frames[name].write.parquet(f"{base}/{name}")
+        m = spark.read.parquet(f"{base}/{name}").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time"),
+            F.sum("is_fraud").alias("frauds")).select(F.lit(name).alias("dataset"), "*", F.lit(at).alias("prepared_at"))
+        m.write.mode("append").parquet(f"{base}/manifest")
+    return spark.read.parquet(f"{base}/manifest").orderBy(F.desc("prepared_at")).limit(10)
+
+
 # ------------------------------------------------------------------ bronze & sinks
 
 BRONZE_SQL = (f"SELECT *, '{DEFAULT_RUN_ID}' AS etl_run_id, '{DEFAULT_SOURCE_SYSTEM}' AS source_system, "
@@ -231,6 +252,19 @@ def load_run_idempotent(spark, sf):
     return spark.read.parquet(f"{base}/silver_transactions")
 
 
+@query("load_run_drifted", f"""SELECT {_silver_cols()}, NULL AS reviewer FROM ({oe.silver('etl_run_0001')}) a
+UNION ALL SELECT {_silver_cols().replace(' sector,', ' NULL AS sector,')}, 'r' || CAST(length(tx_id) AS VARCHAR) AS reviewer FROM ({oe.silver('etl_run_0002')}) b""")
+def load_run_drifted(spark, sf):
+    """A run with a new column and without an old one joins the table: the merged schema holds both, no history is lost."""
+    base = io.fresh_dir(spark, "warehouse")
+    raw = cn.raw_government(spark, sf)
+    io.write_layer(_silver(raw, run_id="etl_run_0001"), base, "silver_transactions")
+    drifted = _silver(raw, run_id="etl_run_0002").drop("sector").withColumn(
+        "reviewer", F.concat(F.lit("r"), F.length("tx_id").cast("string")))
+    io.write_layer(drifted, base, "silver_transactions")
+    return spark.read.option("mergeSchema", "true").parquet(f"{base}/silver_transactions")
+
+
 LEDGER_RUNS = [("etl_run_0001", "2026-01-01 00:00:00"), ("etl_run_0002", "2026-01-02 00:00:00"),
                ("etl_run_0001", "2026-01-03 00:00:00")]
 

@@ -42,16 +42,19 @@ def test_healthcare_profile_masks_and_renames(spark):
     assert out.tx_id == "c1" and out.patient_name == "[REDACTED]" and out.channel == "claims_portal"
 
 
-def test_mask_runs_before_hash_as_in_reference(spark):
+def test_hashes_are_of_the_values_or_of_the_mask(spark):
+    """Default: hash first, then mask; the other order hashes the mask of masked columns."""
+    import hashlib
+
     df = spark.createDataFrame([("t1", "u", 1.0, "2024-01-01T00:00:00", "Alice", "T-1")],
                                "transaction_id string, beneficiary_id string, amount double, event_time string, "
                                "full_name string, taxpayer_id string")
-    _, silver = ops.prepare_silver(df, "r", "s", "t")
-    row = silver.first()
-    import hashlib
-    assert row.full_name_hash == hashlib.sha256(b"[REDACTED]").hexdigest()
-    assert row.taxpayer_id_hash == hashlib.sha256(b"T-1").hexdigest()
-    assert "full_name" not in silver.columns and "taxpayer_id" not in silver.columns
+    for hash_first, text in ((True, b"Alice"), (False, b"[REDACTED]")):
+        _, silver = ops.prepare_silver(df, "r", "s", "t", hash_first=hash_first)
+        row = silver.first()
+        assert row.full_name_hash == hashlib.sha256(text).hexdigest()
+        assert row.taxpayer_id_hash == hashlib.sha256(b"T-1").hexdigest()
+        assert "full_name" not in silver.columns and "taxpayer_id" not in silver.columns
 
 
 def test_pseudonymous_user_from_tax_id(spark):
