@@ -49,7 +49,8 @@ def rolling_folds(df: DataFrame, window_days: int = 7, min_train: int = 100, min
     Window starts are ``min + 10*w, +w, ...`` while ``start + w <= max``;
     fold k trains on everything before its start and tests on
     ``[start, start + w)``.  Candidates with train <= ``min_train`` or test
-    <= ``min_test`` rows are skipped and the rest numbered from 0.  Sizes
+    <= ``min_test`` rows are skipped and the rest numbered from 0; when none
+    is left, the chronological split is the only fold.  Sizes
     come from a histogram of rows per window bucket (bounded by span / w),
     so the data is scanned once and never joined per fold.
     """
@@ -66,10 +67,18 @@ def rolling_folds(df: DataFrame, window_days: int = 7, min_train: int = 100, min
     kept = cand.filter((F.col("_before") > min_train) & (F.col("_cnt") > min_test))
     start = F.col("_lo") + F.col("_b") * w_us
     to_ts = lambda c: F.timestamp_add("MICROSECOND", c, F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
-    return kept.select(
+    folds = kept.select(
         (F.row_number().over(Window.orderBy("_b")) - 1).cast("int").alias("fold"),
         to_ts(start).alias("window_start"), to_ts(start + w_us).alias("window_end"),
         F.col("_before").cast("long").alias("train_rows"), F.col("_cnt").cast("long").alias("test_rows"))
+    # no fold qualifies: the chronological split (0.7 / 0.15 / 0.15) is the only one, without a window
+    n = hist.agg(F.sum("_cnt").alias("_n")).crossJoin(kept.agg(F.count(F.lit(1)).alias("_kept")))  # one row
+    none = F.lit(None).cast("timestamp_ntz")
+    whole = n.where("_kept = 0 and _n > 0").select(
+        F.lit(0).alias("fold"), none.alias("window_start"), none.alias("window_end"),
+        F.floor(F.col("_n") * 0.7).cast("long").alias("train_rows"),
+        (F.col("_n") - F.floor(F.col("_n") * 0.85)).cast("long").alias("test_rows"))
+    return folds.unionByName(whole)
 
 
 def fold_rows(df: DataFrame, folds: DataFrame, fold: int, role: str) -> DataFrame:

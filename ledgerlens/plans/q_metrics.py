@@ -76,6 +76,14 @@ def rolling_folds(spark, sf):
     return sp.rolling_folds(cn.tx_events(spark, sf), window_days=1)
 
 
+@query("rolling_folds_fallback", f"""SELECT 0 AS fold, CAST(NULL AS TIMESTAMP) AS window_start, CAST(NULL AS TIMESTAMP) AS window_end,
+  CAST(floor(count(*) * 0.7::DOUBLE) AS BIGINT) AS train_rows, count(*) - CAST(floor(count(*) * 0.85::DOUBLE) AS BIGINT) AS test_rows
+FROM ({oc.TX_EVENTS}) e""")
+def rolling_folds_fallback(spark, sf):
+    """Windows too long for the data: the chronological split stands in as the only fold."""
+    return sp.rolling_folds(cn.tx_events(spark, sf), window_days=60)
+
+
 @query("concat_splits", SC)
 def concat_splits(spark, sf):
     s = split_frame(spark, sf)
@@ -270,37 +278,54 @@ def halves(df):
             j.filter(F.col("_t") >= F.col("_mid")).drop("_t", "_mid"))
 
 
-GOLD_EV = of.gold_features(oc.TX_EVENTS)
+def _side_sql(is_ref: bool) -> str:
+    """Features of one half of the data, built from that half alone."""
+    half = f"SELECT * EXCLUDE (_is_ref) FROM ({_halves_sql(oc.TX_EVENTS)}) s WHERE {'' if is_ref else 'NOT '}_is_ref"
+    return of.gold_features(half)
 
 
 def _drift_sql() -> str:
-    h = _halves_sql(GOLD_EV)
     parts = []
     for c in fx.FEATURE_MATRIX:
-        parts.append(f"""SELECT '{c}' AS feature, avg({c}) FILTER (WHERE _is_ref) AS ref_mean, avg({c}) FILTER (WHERE NOT _is_ref) AS cur_mean,
-  stddev_pop({c}) FILTER (WHERE _is_ref) AS ref_std FROM g""")
-    body = " UNION ALL ".join(parts)
-    return f"""WITH g AS ({h}), f AS ({body})
-SELECT feature, round(ref_mean, 6) AS ref_mean, round(cur_mean, 6) AS cur_mean, round(ref_std, 6) AS ref_std,
-       round(abs(cur_mean - ref_mean) / CASE WHEN ref_std = 0 THEN 1.0 ELSE ref_std END, 6) AS z FROM f"""
+        parts.append(f"SELECT '{c}' AS feature, (SELECT avg({c}) FROM r) AS ref_mean, (SELECT avg({c}) FROM k) AS cur_mean, "
+                     f"(SELECT stddev_pop({c}) FROM r) AS ref_std")
+    return f"""WITH r AS ({_side_sql(True)}), k AS ({_side_sql(False)}), f AS ({" UNION ALL ".join(parts)})
+SELECT feature, round(ref_mean, 5) AS ref_mean, round(cur_mean, 5) AS cur_mean, round(ref_std, 5) AS ref_std,
+       round(abs(cur_mean - ref_mean) / CASE WHEN ref_std = 0 THEN 1.0 ELSE ref_std END, 5) AS z FROM f"""
 
 
-def drift_frame(spark, sf):
-    ref, cur = halves(written(fx.gold_features(cn.tx_events(spark, sf)), "gold"))
-    return gv.drift_features(ref, cur, fx.FEATURE_MATRIX)
+def drift_sides(spark, sf):
+    """Reference and current features, each built from its own half and written once."""
+    ref, cur = halves(cn.tx_events(spark, sf))
+    return written(fx.gold_features(ref), "gold-ref"), written(fx.gold_features(cur), "gold-cur")
 
 
 @query("drift_zscore", _drift_sql())
 def drift_zscore(spark, sf):
-    return gv.round_doubles(drift_frame(spark, sf))
-
-
-@query("drift_monitor", f"""SELECT round(avg(least(greatest(z_raw / 3.0, 0.0), 1.0)), 6) AS drift_score,
-  (avg(least(greatest(z_raw / 3.0, 0.0), 1.0)) >= 0.2) AS is_drift, 0.2::DOUBLE AS threshold
-FROM (SELECT abs(cur_mean - ref_mean) / CASE WHEN ref_std = 0 THEN 1.0 ELSE ref_std END AS z_raw FROM (
-  {_drift_sql().replace('round(ref_mean, 6) AS ref_mean, round(cur_mean, 6) AS cur_mean, round(ref_std, 6) AS ref_std', 'ref_mean, cur_mean, ref_std')}) d) x""")
-def drift_monitor(spark, sf):
-    return r6(gv.drift_score(drift_frame(spark, sf), threshold=0.2))
+    return gv.round_doubles(gv.drift_features(*drift_sides(spark, sf), fx.FEATURE_MATRIX), 5)
+
+
+_Z_SQL = _drift_sql().replace('round(ref_mean, 5) AS ref_mean, round(cur_mean, 5) AS cur_mean, round(ref_std, 5) AS ref_std',
+                              'ref_mean, cur_mean, ref_std')
+
+
+@query("drift_monitor", f"""SELECT 'drift_0001' AS report_id, 'run_logit_0001' AS run_id, round(s, 6) AS drift_score, s >= 0.2 AS is_drift,
+  0.2::DOUBLE AS threshold, s >= 0.2 AS retrain_triggered, CASE WHEN s >= 0.2 THEN 'run_retrain_0001' END AS retrain_run_id,
+  'fallback_zscore' AS detector, {len(fx.FEATURE_MATRIX)} AS n_features,
+  (SELECT count(*) FROM ({_halves_sql(oc.TX_EVENTS)}) a WHERE _is_ref) AS reference_rows,
+  (SELECT count(*) FROM ({_halves_sql(oc.TX_EVENTS)}) b WHERE NOT _is_ref) AS current_rows
+FROM (SELECT avg(least(greatest(abs(cur_mean - ref_mean) / CASE WHEN ref_std = 0 THEN 1.0 ELSE ref_std END / 3.0, 0.0), 1.0)) AS s
+      FROM ({_Z_SQL}) d) x""")
+def drift_monitor(spark, sf, threshold: float = 0.2, trigger_retrain: bool = True):
+    """The drift report: score of current against reference features, and whether a retraining follows."""
+    ref, cur = drift_sides(spark, sf)
+    score = gv.drift_score(gv.drift_features(ref, cur, fx.FEATURE_MATRIX), threshold=threshold)
+    rows = ref.agg(F.count(F.lit(1)).alias("reference_rows")).crossJoin(cur.agg(F.count(F.lit(1)).alias("current_rows")))
+    retrain = F.col("is_drift") & F.lit(trigger_retrain)
+    return r6(score.crossJoin(rows).select(  # one row each
+        F.lit("drift_0001").alias("report_id"), F.lit("run_logit_0001").alias("run_id"), "drift_score", "is_drift", "threshold",
+        retrain.alias("retrain_triggered"), F.when(retrain, F.lit("run_retrain_0001")).alias("retrain_run_id"),
+        F.lit("fallback_zscore").alias("detector"), F.lit(len(fx.FEATURE_MATRIX)).alias("n_features"), "reference_rows", "current_rows"))
 
 
 # ------------------------------------------------------------------ KPIs
