@@ -12,7 +12,7 @@ a grouped aggregate (partial aggregation before the shuffle).
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import epoch_micros
@@ -67,24 +67,18 @@ def shared_entity_projection(df: DataFrame, next_k: int = 4) -> DataFrame:
 
 
 def distinct_pairs(df: DataFrame) -> DataFrame:
-    """Distinct user-device, user-merchant and account-device pairs."""
+    """Distinct user-device, user-merchant and account-device pairs, in one pass."""
     pairs = [("user_device", "user_id", "device_id"), ("user_merchant", "user_id", "merchant_id"),
              ("account_device", "account_id", "device_id")]
-    out = None
-    for name, a, b in pairs:
-        p = df.select(F.lit(name).alias("pair_type"), F.col(a).alias("a"), F.col(b).alias("b")).distinct()
-        out = p if out is None else out.unionByName(p)
-    return out
+    return df.select(F.inline(F.array(*[F.struct(F.lit(n).alias("pair_type"), F.col(a).alias("a"), F.col(b).alias("b"))
+                                        for n, a, b in pairs]))).distinct()
 
 
 def hetero_nodes(df: DataFrame) -> DataFrame:
-    """Distinct nodes per type with the number of transactions touching each."""
-    out = df.groupBy("tx_id").agg(F.count(F.lit(1)).alias("n_tx")).select(
-        F.lit("transaction").alias("node_type"), F.col("tx_id").alias("node_id"), "n_tx")
-    for e, c in ENTITY_KEYS:
-        out = out.unionByName(df.groupBy(c).agg(F.count(F.lit(1)).alias("n_tx")).select(
-            F.lit(e).alias("node_type"), F.col(c).alias("node_id"), "n_tx"))
-    return out
+    """Distinct nodes per type with the number of transactions touching each, in one pass."""
+    return df.select(F.inline(F.array(*[F.struct(F.lit(e).alias("node_type"), F.col(c).alias("node_id"))
+                                        for e, c in [("transaction", "tx_id"), *ENTITY_KEYS]]))).groupBy(
+        "node_type", "node_id").agg(F.count(F.lit(1)).alias("n_tx"))
 
 
 # Typed relations of the heterogeneous graph.
@@ -97,45 +91,48 @@ PAIR_RELATIONS = [("user", "user_id", "uses", "device", "device_id"),
                   ("account", "account_id", "linked", "device", "device_id")]
 
 
+def _edge(st: str, sc: str, rel: str, dt: str, dc: str) -> Column:
+    return F.struct(F.lit(st).alias("src_type"), F.col(sc).alias("src"), F.lit(rel).alias("rel"),
+                    F.lit(dt).alias("dst_type"), F.col(dc).alias("dst"))
+
+
 def hetero_edges(df: DataFrame) -> DataFrame:
     """Four per-transaction relations plus three de-duplicated entity relations."""
-    out = None
-    for st, sc, rel, dt, dc, _ in TX_RELATIONS:
-        e = df.select(F.lit(st).alias("src_type"), F.col(sc).alias("src"), F.lit(rel).alias("rel"),
-                      F.lit(dt).alias("dst_type"), F.col(dc).alias("dst"))
-        out = e if out is None else out.unionByName(e)
-    for st, sc, rel, dt, dc in PAIR_RELATIONS:
-        e = df.select(F.col(sc).alias("src"), F.col(dc).alias("dst")).distinct().select(
-            F.lit(st).alias("src_type"), "src", F.lit(rel).alias("rel"), F.lit(dt).alias("dst_type"), "dst")
-        out = out.unionByName(e)
-    return out
+    tx = df.select(F.inline(F.array(*[_edge(*r[:5]) for r in TX_RELATIONS])))
+    pairs = df.select(F.inline(F.array(*[_edge(*r) for r in PAIR_RELATIONS]))).distinct()
+    return tx.unionByName(pairs)
 
 
 def degree_features(edges: DataFrame) -> DataFrame:
-    """In / out degree of every node of the typed graph."""
-    outd = edges.groupBy(F.col("src_type").alias("node_type"), F.col("src").alias("node_id")).agg(
-        F.count(F.lit(1)).alias("out_degree"))
-    ind = edges.groupBy(F.col("dst_type").alias("node_type"), F.col("dst").alias("node_id")).agg(
-        F.count(F.lit(1)).alias("in_degree"))
-    j = outd.join(ind, ["node_type", "node_id"], "full")
-    return j.select("node_type", "node_id", F.coalesce("in_degree", F.lit(0)).alias("in_degree"),
-                    F.coalesce("out_degree", F.lit(0)).alias("out_degree"))
+    """In / out degree of every node of the typed graph, in one pass over the edges."""
+    ends = F.array(F.struct(F.col("src_type").alias("node_type"), F.col("src").alias("node_id"), F.lit(0).alias("i"), F.lit(1).alias("o")),
+                   F.struct(F.col("dst_type").alias("node_type"), F.col("dst").alias("node_id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
+    return edges.select(F.inline(ends)).groupBy("node_type", "node_id").agg(
+        F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
 def triangle_count(edges: DataFrame) -> DataFrame:
     """Triangles through each node of the undirected simple graph (nodes without triangles omitted).
 
-    Canonical edges ``a < b`` are joined on the middle node and closed with a
-    semi-join; on the capped projection every node has bounded degree, so the
-    wedge join is linear in the number of nodes.
+    Every edge is directed from the end of lower degree (then smaller id) to
+    the other, so a node has at most about sqrt(2 * edges) outgoing edges
+    whatever its degree; pairs of them are closed with a semi-join.
     """
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter(
         F.col("a") != F.col("b")).distinct()
-    e1, e2, e3 = e.alias("e1"), e.alias("e2"), e.alias("e3")
-    wedges = e1.join(e2, F.col("e1.b") == F.col("e2.a")).select(
-        F.col("e1.a").alias("x"), F.col("e1.b").alias("y"), F.col("e2.b").alias("z"))
-    tri = wedges.join(e3, (F.col("x") == F.col("e3.a")) & (F.col("z") == F.col("e3.b")), "left_semi")
-    corners = tri.select(F.explode(F.array("x", "y", "z")).alias("node_id"))
+    deg = e.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
+    j = (e.join(deg.select(F.col("node").alias("a"), F.col("deg").alias("da")), "a")
+         .join(deg.select(F.col("node").alias("b"), F.col("deg").alias("db")), "b"))
+    first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    end = lambda yes, no: F.when(first, yes).otherwise(no)
+    o = j.select(end(F.col("a"), F.col("b")).alias("u"), end(F.col("b"), F.col("a")).alias("v"),
+                 end(F.col("db"), F.col("da")).alias("dv"))
+    x, y = o.alias("x"), o.alias("y")
+    wedges = x.join(y, F.col("x.u") == F.col("y.u")).where(
+        (F.col("x.dv") < F.col("y.dv")) | ((F.col("x.dv") == F.col("y.dv")) & (F.col("x.v") < F.col("y.v")))).select(
+        F.col("x.u").alias("p"), F.col("x.v").alias("q"), F.col("y.v").alias("r"))
+    tri = wedges.join(o.select(F.col("u").alias("q"), F.col("v").alias("r")), ["q", "r"], "left_semi")
+    corners = tri.select(F.explode(F.array("p", "q", "r")).alias("node_id"))
     return corners.groupBy("node_id").agg(F.count(F.lit(1)).alias("triangles"))
 
 
@@ -250,7 +247,9 @@ def attention_mean(nodes: DataFrame, edges: DataFrame, features: list[str], out_
         t = F.col(f"s_{n}") * float(a[j]) + F.col(f"d_{n}") * float(a[out_dim + j])
         raw = t if raw is None else raw + t
     e = e.withColumn("_e", F.when(raw > 0, raw).otherwise(raw * 0.2))
-    e = e.withColumn("_x", F.exp(F.col("_e") - F.max("_e").over(Window.partitionBy("dst"))))
+    # the maximum per destination is a combinable aggregate joined back: no window over a busy node's edges
+    top = e.groupBy("dst").agg(F.max("_e").alias("_top")).select(F.col("dst").alias("_d"), "_top")
+    e = e.join(top, F.col("dst") == F.col("_d")).withColumn("_x", F.exp(F.col("_e") - F.col("_top")))
     agg = e.groupBy("dst").agg(F.sum("_x").alias("_z"), *[F.sum(F.col("_x") * F.col(f"s_{n}")).alias(n) for n in wh_names])
     res = agg.select("dst", *[(F.col(n) / F.greatest(F.col("_z"), F.lit(1e-10))).alias(n) for n in wh_names])
     return nodes.select(key).join(res, nodes[key] == res["dst"], "left").select(
