@@ -9,7 +9,6 @@ run time.  Sub-packages:
 * ``operators`` - cleansing, features, graph, metrics, governance, audit, search, models
 * ``plans``     - compositions (silver/gold ETL, training, scoring, end to end)
 * ``oracle``    - DuckDB SQL used as the independent correctness oracle
-* ``streaming`` - nothing in scope (the reference has no streaming path)
 """
 
 __all__ = ["session"]

@@ -1,9 +1,9 @@
 """Bronze -> silver cleansing operators (column-expression only, no per-row Python).
 
-Order of the silver chain (as in the reference): sector profile (on raw
-names) -> normalise names -> pseudonymous user -> defaults -> synthetic
-``tx_id`` -> PII hashes -> non-strict casts -> validity filter -> latest per
-``tx_id`` -> drop PII -> run columns -> record hash.
+Order of the silver chain: sector profile (on raw names) -> normalise names
+-> pseudonymous user -> defaults -> synthetic ``tx_id`` -> non-strict casts ->
+validity and latest per ``tx_id`` -> PII hashes -> masks -> drop PII -> run
+columns -> record hash.
 """
 
 from __future__ import annotations
@@ -16,14 +16,11 @@ from pyspark.sql import types as T
 
 from ledgerlens.functions.columns import money_text, sha256_trimmed, ts_text
 from ledgerlens.operators.cleansing import dedup_latest
+from ledgerlens.sources.canonical import CANONICAL_COLUMNS
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference for identical results).
-# Canonical column order, header aliases, defaults and sensitive column names.
-CANONICAL_COLUMNS = [
-    "tx_id", "user_id", "merchant_id", "device_id", "account_id", "amount", "currency",
-    "timestamp", "lat", "lon", "channel", "mcc", "is_fraud",
-]
+# Header aliases, defaults and sensitive column names.
 COLUMN_ALIASES = {
     "transaction_id": "tx_id", "txn_id": "tx_id", "payment_id": "tx_id", "record_id": "tx_id",
     "beneficiary_id": "user_id", "customer_id": "user_id", "citizen_id": "user_id",

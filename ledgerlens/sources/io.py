@@ -35,7 +35,9 @@ def read_source(spark: SparkSession, path: str, schema: T.StructType | None = No
             schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
         return reader.schema(schema).csv(path)
     if suffix == "json":
-        return spark.read.schema(schema).json(path) if schema is not None else spark.read.json(path)
+        if schema is None:
+            raise ValueError("a json source needs a schema: inferring one reads the whole input")
+        return spark.read.schema(schema).json(path)
     if suffix == "parquet":
         return spark.read.parquet(path)
     raise ValueError(f"unsupported source format: .{suffix}" if suffix else "unsupported source format: (none)")
