@@ -75,3 +75,39 @@ def test_coerce_timestamp_zones_and_bad_text(spark):
 def test_normalize_aliases_do_not_clobber_existing_targets(spark):
     df = spark.createDataFrame([(1, 2, 3)], "`Transaction ID` int, `tx_id` int, `Vendor-ID` int")
     assert ops.normalize_columns(df).columns == ["transaction_id", "tx_id", "merchant_id"]
+
+
+def test_energy_profile_renames_masks_and_adds(spark):
+    df = spark.createDataFrame([("m1", "c1", "u1", "inv1", 12.5, "2024-03-01T00:00:00", "1 Main St")],
+                               "meter_id string, customer_id string, utility_id string, invoice_id string, invoice_amount double, "
+                               "invoice_timestamp string, service_address string")
+    out = ops.apply_sector_profile(df, "energy").first()
+    assert (out.device_id, out.user_id, out.merchant_id, out.tx_id) == ("m1", "c1", "u1", "inv1")
+    assert out.service_address == "[REDACTED]" and out.channel == "billing_batch" and out.mcc == "utility_billing"
+    _, silver = ops.prepare_silver(df, "r", "s", "t", profile="energy")
+    row = silver.first()
+    assert row.amount == 12.5 and row.currency == "USD"
+
+
+def test_drifted_runs_keep_their_columns(spark):
+    from ledgerlens.sources import io
+
+    base = io.fresh_dir(spark, "drift-test")
+    a = spark.createDataFrame([("t1", 1.0, "r1")], "tx_id string, amount double, etl_run_id string")
+    b = spark.createDataFrame([("t2", "x", "r2")], "tx_id string, extra string, etl_run_id string")
+    io.write_layer(a, base, "silver")
+    io.write_layer(b, base, "silver")
+    got = spark.read.option("mergeSchema", "true").parquet(f"{base}/silver").orderBy("tx_id").collect()
+    assert [(r.tx_id, r.amount, r.extra) for r in got] == [("t1", 1.0, None), ("t2", None, "x")]
+
+
+def test_lake_views_take_the_latest_run_and_limits_are_told(spark):
+    from ledgerlens.plans.lakehouse import build_views, query_lakehouse, truncated
+    from ledgerlens.sources import io
+
+    base = io.fresh_dir(spark, "view-test")
+    for run, n in (("r1", 3), ("r2", 5)):
+        io.write_layer(spark.range(n).withColumn("etl_run_id", F.lit(run)), base, "silver")
+    assert build_views(spark, base) == ["etl_silver"]
+    assert query_lakehouse(spark, "select * from etl_silver", limit=4).count() == 4
+    assert truncated(spark, "select * from etl_silver", 4) and not truncated(spark, "select * from etl_silver", 5)
