@@ -68,6 +68,32 @@ def matrix(col: pa.ChunkedArray | pa.Array, width: int, dtype=np.float64) -> np.
     return out
 
 
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of texts small: both ends of a task hold whole batches, and grow them by doubling.
+
+    Sets the session's batch limits unless they are already lower.
+    """
+    limits = (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS))
+    for key, most in limits:
+        now = spark.conf.get(key).rstrip("bB")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def release_memory() -> None:
+    """Hand freed memory back to the system: a worker outlives its task and may next stand beside a hungrier one."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def values(column: pa.Array, rows: int = 512):
     """The Python values of an Arrow column, made a slice at a time so that long texts are not all copied at once."""
     for at in range(0, len(column), rows):

@@ -22,7 +22,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import agg_back, attach, components, shuffle_partitions, stored, values
+from ledgerlens.llm.common import (
+    agg_back,
+    attach,
+    components,
+    release_memory,
+    shuffle_partitions,
+    small_batches,
+    stored,
+    values,
+)
 
 WORDS = 5
 THRESHOLD = (80, 100)  # link when 100 * intersection >= 80 * union
@@ -122,6 +131,7 @@ def _frequent(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         keep = counts >= max(2, docs // 16_384)
         yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])],
                                          names=["token", "docs"])
+        release_memory()
 
     top = (texts.mapInArrow(count, "token long, docs long").groupBy("token").agg(F.sum("docs").alias("docs"))
            .where(F.col("docs") >= FREQUENT_LEAST).orderBy(F.col("docs").desc(), "token").limit(FREQUENT_MOST).toArrow())
@@ -308,6 +318,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     id count as one vertex.  An empty table gives no rows.  Shingles are compared by 64-bit hashes, equal sets by
     size and a 64-bit fingerprint.
     """
+    small_batches(documents.sparkSession)
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     frequent = _frequent(docs.select("text"))
     sets = stored(_sets(docs, frequent), "jaccard-sets")

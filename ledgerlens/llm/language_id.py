@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import stored, values
+from ledgerlens.llm.common import small_batches, stored, values
 
 ORDERS = 4
 BUCKETS = 1 << 16
@@ -146,6 +146,7 @@ def predict(documents: DataFrame, model: LanguageModel, text_col: str = "text",
     language that sorts first.  An empty table gives no rows.
     """
     names = model.languages
+    small_batches(documents.sparkSession)
     held = documents.sparkSession.sparkContext.broadcast(model.weights)
 
     def score(batches):

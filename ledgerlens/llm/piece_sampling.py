@@ -22,13 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import values
+from ledgerlens.llm.common import release_memory, small_batches, values
 
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 2e-4
-BATCH_CHARS = 800_000  # texts handled at once
+BATCH_CHARS = 400_000  # texts handled at once
 BUILD_CHARS = 60_000  # characters of new lattices built at once
-CACHED_CHUNKS = 250_000  # lattices kept by a task
+CACHED_CHUNKS = 150_000  # lattices kept by a task
+MARKS = 1 << 22
 
 _GOLD, _M1, _M2, _BASE = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x100000001B3))
 _WHOLE = re.compile(r"(?s).+")
@@ -104,7 +105,7 @@ class _Column:
     def add(self, values):
         need = self.n + len(values)
         if need > len(self.data):
-            grown = np.empty(max(need, 2 * len(self.data)), self.data.dtype)
+            grown = np.empty(max(need, len(self.data) * 5 // 4), self.data.dtype)
             grown[:self.n] = self.data[:self.n]
             self.data = grown
         self.data[self.n:need] = values
@@ -120,25 +121,42 @@ class Lattices:
 
     def clear(self):
         self.known: dict[str, int] = {}
-        self.first = _Column(np.int64)  # per node
+        self.first = _Column(np.int32)  # per node
         self.first.add([0])
-        self.piece, self.span = _Column(np.int32), _Column(np.int32)  # per edge; piece -1-c: character c in bytes
-        self.cum, self.logp, self.rest = _Column(np.float32), _Column(np.float64), _Column(np.float64)
-        self.stop = _Column(bool)
+        # per edge; piece -1-c: character c in bytes; span -n: n characters to the end of the chunk
+        self.piece, self.span = _Column(np.int32), _Column(np.int8)
+        self.cum, self.logp, self.rest = _Column(np.float32), _Column(np.float64), _Column(np.float32)
+        self.kept = [c.n for c in self._columns()]
+        self.marks = bytearray(MARKS)
 
     def ids(self, chunks: list[str]) -> np.ndarray:
-        """First node of every chunk's lattice; unknown chunks are built."""
+        """First node of every chunk's lattice, good until the next call; unknown chunks are built."""
+        for column, n in zip(self._columns(), self.kept, strict=True):
+            column.n = n  # the lattices only the last texts needed
         node = np.fromiter(map(self.known.get, chunks, itertools.repeat(-1)), np.int64, len(chunks))
-        missing = np.flatnonzero(node < 0)
-        if len(missing):
-            new = list(dict.fromkeys(map(chunks.__getitem__, missing.tolist())))
-            if len(self.known) + len(new) > CACHED_CHUNKS and self.known:
+        missing = np.flatnonzero(node < 0).tolist()
+        if missing:
+            new = list(dict.fromkeys(map(chunks.__getitem__, missing)))
+            # most chunks occur once: a chunk is kept from its second time on
+            once, marks = [], self.marks
+            again = []
+            for c in new:
+                h = hash(c) & (MARKS - 1)
+                (again if marks[h] else once).append(c)
+                marks[h] = 1
+            if len(self.known) + len(again) > CACHED_CHUNKS and self.known:
                 self.clear()
                 return self.ids(chunks)
-            self.known.update(zip(new, self._build(new), strict=True))
-            node[missing] = [self.known[chunks[i]] for i in missing.tolist()]
+            found = dict(zip(again, self._build(again), strict=True))
+            self.known.update(found)
+            self.kept = [c.n for c in self._columns()]
+            found.update(zip(once, self._build(once), strict=True))
+            node[missing] = [found[chunks[i]] for i in missing]
         return node
 
+    def _columns(self):
+        return self.first, self.piece, self.span, self.cum, self.logp, self.rest
+
     def _build(self, chunks: list[str]) -> list[int]:
         out, at = [], 0
         while at < len(chunks):
@@ -206,11 +224,10 @@ class Lattices:
         first_node = self.first.n - 1
         self.first.add(self.piece.n + np.cumsum(edges_of))
         self.piece.add(piece[row, col])
-        self.span.add(span)
+        self.span.add(np.where(rem[row] == span, -span, span))
         self.cum.add(cum[row, col])
         self.logp.add(logp[row, col])
         self.rest.add(rest[row, col])
-        self.stop.add(rem[row] == span)
         return (first_node + np.concatenate([[0], (ends + np.arange(1, len(chunks) + 1))[:-1]])).tolist()
 
 
@@ -229,22 +246,23 @@ def _uniform(key: np.ndarray, stream: int) -> np.ndarray:
 
 def _walk(lat: Lattices, node: np.ndarray, key: np.ndarray):
     """One sampled path per start node: (edges in order of start node and step, log E per step, steps per start)."""
-    first, cum, span, stop = lat.first.data, lat.cum.data, lat.span.data, lat.stop.data
+    first, cum, span = lat.first.data, lat.cum.data, lat.span.data
     inst, levels = np.arange(len(node)), []
     steps = np.zeros(len(node), np.int64)
     t = 0
     while len(inst):
         k = key[inst]
         u = _uniform(k, 2 * t)
-        e = first[node]
+        e = first[node].astype(np.int64)
         more = np.nonzero(u > cum[e])[0]
         while len(more):
             e[more] += 1
             more = more[u[more] > cum[e[more]]]
         levels.append((inst, e, np.log(-np.log(_uniform(k, 2 * t + 1)))))
         steps[inst] += 1
-        go = ~stop[e]
-        inst, node = inst[go], (node + span[e])[go]
+        step = span[e]
+        go = step > 0
+        inst, node = inst[go], node[go] + step[go]
         t += 1
     offset = np.concatenate([[0], np.cumsum(steps)])
     edges, log_e = np.empty(offset[-1], np.int64), np.empty(offset[-1])
@@ -294,7 +312,7 @@ def sample_batch(lat: Lattices, texts: list[str], keys: list, k: int, seed: int)
             g, _, path, s, prefix, used = heapq.heappop(heap)
             g = -g
             e0 = int(path[0][s])
-            v = int(np.searchsorted(lat.first.data[:lat.first.n], e0, side="right")) - 1
+            v = int(np.searchsorted(lat.first.data[:lat.first.n], np.int32(e0), side="right")) - 1
             options = [e for e in range(int(lat.first.data[v]), int(lat.first.data[v + 1])) if e not in used]
             weights = np.exp(logp_of[options])
             u1, u2 = _uniform(np.array([seeds[d]]), 1000 + 2 * turn)[0], _uniform(np.array([seeds[d]]), 1001 + 2 * turn)[0]
@@ -304,7 +322,7 @@ def sample_batch(lat: Lattices, texts: list[str], keys: list, k: int, seed: int)
                 queued = -float(np.logaddexp(-g, math.log(-math.log(u2)) - left))
                 heapq.heappush(heap, (-queued, next(serial), path, s, prefix, (*used, pick)))
             inst = int(path[1][s])
-            begin = [] if lat.stop.data[pick] else [v + int(lat.span.data[pick])]
+            begin = [] if lat.span.data[pick] < 0 else [v + int(lat.span.data[pick])]
             nodes = np.concatenate([np.array(begin, np.int64), node[inst + 1:doc_at[d + 1]]])
             of = np.concatenate([np.full(len(begin), inst), np.arange(inst + 1, doc_at[d + 1])])
             jobs.append((d, g, path, s, prefix, pick, inst))
@@ -367,6 +385,7 @@ def decode(vocabulary: Vocabulary, ids) -> str:
 
 def decode_ids(samples: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
     """The same rows with a column ``decoded``: the text of the ids (null for null, empty for no ids)."""
+    small_batches(samples.sparkSession)
     held = samples.sparkSession.sparkContext.broadcast(vars(Vocabulary(tokenizer)))
 
     def run(batches):
@@ -396,6 +415,7 @@ def encode_samples(documents: DataFrame, k: int = 2, id_col: str = "doc_id", tex
     samples.  An empty table gives no rows.
     """
     spark = documents.sparkSession
+    small_batches(spark)
     held = spark.sparkContext.broadcast(vars(Vocabulary(tokenizer, alpha)))  # as large as the vocabulary file
 
     def encode(batches):
@@ -412,6 +432,8 @@ def encode_samples(documents: DataFrame, k: int = 2, id_col: str = "doc_id", tex
                     texts, at, size = [], at + len(texts), 0
             if texts:
                 yield _encoded(lat, b.column(0).slice(at, len(texts)), keys[at:], texts, k, seed)
+        lat.clear()
+        release_memory()
 
     source = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import attach, stored, values
+from ledgerlens.llm.common import attach, small_batches, stored, values
 
 KINDS = ("email", "ip", "card", "phone")
 ADDED = ("remove", "generalise")
@@ -176,6 +176,7 @@ def find_pii(documents: DataFrame, text_col: str = "text", carry: tuple[str, ...
     ``min_contexts`` distinct contexts.  Null and empty texts have no spans; every input row gives one row, repeated
     rows included; an empty table gives none.  ``text`` is kept only with ``keep_text``.
     """
+    small_batches(documents.sparkSession)
     rows = documents.select(F.monotonically_increasing_id().alias("row"),
                             F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in carry]).alias("carried"),
                             F.col(text_col).cast("string").alias("text"))

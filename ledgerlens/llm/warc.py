@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import agg_back, shuffle_partitions, stored, values
+from ledgerlens.llm.common import agg_back, shuffle_partitions, small_batches, stored, values
 from ledgerlens.sources.io import fresh_dir
 
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, record_type string"
@@ -80,6 +80,7 @@ def write_warc(pages: DataFrame, folder: str, id_col: str = "page_id", url_col:
     payloads are all responses.  Rows repeating that smallest id are responses as well; rows without an id are
     responses.  A null URL leaves the header out.  An empty table writes nothing and has an empty index.
     """
+    small_batches(pages.sparkSession)
     body = F.encode(F.coalesce(F.col(body_col), F.lit("")), "UTF-8")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         body.alias("body"))
