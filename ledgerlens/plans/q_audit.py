@@ -130,12 +130,12 @@ TAMPER = "amount > 150 AND CAST(regexp_extract(tx_id, '[0-9]+$') AS BIGINT) % 7
 @query("replay_verify", f"""SELECT decision_id, stored_hash, replay_hash, stored_hash = replay_hash AS matched,
   CASE WHEN stored_hash <> replay_hash THEN CAST(to_json({{'replay_hash': replay_hash, 'stored_hash': stored_hash}}) AS VARCHAR) END AS diff
 FROM (SELECT decision_id, {oa.REPLAY_HASH % 'score'} AS stored_hash,
-  {oa.REPLAY_HASH % f"CASE WHEN {TAMPER} THEN score / 2 ELSE score END"} AS replay_hash FROM ({DEC}) d) x""")
+  {oa.REPLAY_HASH % f"CASE WHEN {TAMPER} THEN score + 0.125 ELSE score END"} AS replay_hash FROM ({DEC}) d) x""")
 def replay_verify(spark, sf):
     """Recompute the hash of every stored prediction's scores, band, model and transaction and compare with the recorded one."""
     d = decisions(spark, sf).withColumn("stored_hash", au.replay_hash_col())
     tampered = F.expr(TAMPER.replace("'[0-9]+$')", "'[0-9]+$', 0)"))
-    stored = d.withColumn("score", F.when(tampered, F.col("score") / 2).otherwise(F.col("score")))
+    stored = d.withColumn("score", F.when(tampered, F.col("score") + 0.125).otherwise(F.col("score")))
     re = stored.withColumn("replay_hash", au.replay_hash_col())
     differs = F.col("stored_hash") != F.col("replay_hash")
     return re.select("decision_id", "stored_hash", "replay_hash", (~differs).alias("matched"),
