@@ -26,6 +26,7 @@ from ledgerlens.llm.common import (
     agg_back,
     attach,
     components,
+    discard,
     release_memory,
     shuffle_partitions,
     small_batches,
@@ -323,7 +324,7 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
     frequent = _frequent(docs.select("text"))
     sets = stored(_sets(docs, frequent), "jaccard-sets")
     # documents with equal sets are one class, represented by the smallest id
-    small = sets.select("doc_id", "n", "fp")
+    small = stored(sets.select("doc_id", "n", "fp"), "jaccard-documents")
     full = small.where("doc_id is not null and n > 0")
     reps = stored(full.groupBy("n", "fp").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     of_reps = sets.where("doc_id is not null and n > 0").join(
@@ -331,13 +332,16 @@ def jaccard_components(documents: DataFrame, id_col: str = "doc_id", text_col: s
         (F.col("doc_id") == F.col("rep")) & (F.col("fp") == F.col("c_fp")) & (F.col("n") == F.col("c_n")))
     classes = stored(of_reps.select("rep", "n", "fp", "rare", "small", "sig", "prefix").dropDuplicates(["rep", "fp"]),
                      "jaccard-reps")
+    discard(sets)
     first = _similar_groups(classes.drop("prefix", "small"), docs)
     groups = stored(components(first), "jaccard-groups").withColumnRenamed("v", "rep")
     grouped = classes.select("rep", "n", "fp", "small", "prefix").join(groups, "rep", "left").withColumn(
         "grp", F.coalesce("root", "rep")).drop("root")
     grouped = stored(grouped, "jaccard-grouped")
+    discard(classes)
     pairs = stored(_qualifying(grouped), "jaccard-pairs")
     second = stored(_verify(_opened(pairs, grouped), docs), "jaccard-links2")
+    discard(grouped, pairs)
     # texts of one id in several classes make them one vertex already; copies of a class share its component
     roots = components(first.unionByName(second).unionByName(
         small.where("doc_id is not null and n > 0").groupBy("doc_id").agg(
