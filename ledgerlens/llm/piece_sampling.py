@@ -377,10 +377,13 @@ def token_ids(lat: Lattices, edges: np.ndarray) -> np.ndarray:
     return np.concatenate([*parts, piece[at:]])
 
 
+def _decoded(vocabulary: Vocabulary, ids) -> bytes:
+    return b"".join(map(vocabulary.raw.__getitem__, ids)).removeprefix(b" ")
+
+
 def decode(vocabulary: Vocabulary, ids) -> str:
     """Text of the ids: pieces and bytes joined, the space in front of the first piece dropped."""
-    raw = b"".join(map(vocabulary.raw.__getitem__, ids))
-    return raw.removeprefix(b" ").decode("utf-8", "replace")
+    return _decoded(vocabulary, ids).decode("utf-8", "replace")
 
 
 def decode_ids(samples: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -401,16 +404,16 @@ def decode_ids(samples: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENI
     return out.select(*[F.col(f"carried.`{c}`").alias(c) for c in columns], "decoded")
 
 
-SAMPLES = "rank int, ids array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double"
+SAMPLES = "rank int, ids array<int>, n_pieces int, log_prob double, perturbed double, log_inclusion double, round_trip boolean"
 
 
 def encode_samples(documents: DataFrame, k: int = 2, id_col: str = "doc_id", text_col: str = "text",
                    tokenizer: str = TOKENIZER, alpha: float = ALPHA, seed: int = 0) -> DataFrame:
     """Up to k distinct segmentations of every whole text, sampled without replacement; one row per sample.
 
-    ``rank`` is the sampling order, ``log_prob`` the segmentation's log probability, ``perturbed`` its Gumbel value
-    and ``log_inclusion`` the log probability of a value above the threshold (0 when all segmentations are listed).
-    Texts with fewer segmentations give fewer rows; an empty text has one, without pieces; a null text gives one row
+    ``rank`` is the sampling order, ``log_prob`` the segmentation's log probability, ``perturbed`` its Gumbel value,
+    ``log_inclusion`` the log probability of a value above the threshold (0 when all segmentations are listed) and
+    ``round_trip`` whether the ids, decoded, give the text.  Texts with fewer segmentations give fewer rows; an empty text has one, without pieces; a null text gives one row
     with nulls.  Rows with equal id and text get equal
     samples.  An empty table gives no rows.
     """
@@ -442,16 +445,18 @@ def encode_samples(documents: DataFrame, k: int = 2, id_col: str = "doc_id", tex
 
 def _encoded(lat: Lattices, id_column, keys, texts, k, seed) -> pa.RecordBatch:
     found, kappa = sample_batch(lat, [t or "" for t in texts], keys, k, seed)
-    row, rank, ids, size, logp, value, incl = [], [], [], [], [], [], []
+    row, rank, ids, size, logp, value, incl, same = [], [], [], [], [], [], [], []
     for d, samples in enumerate(found):
         if texts[d] is None:
             row.append(d), rank.append(1), ids.append(None), size.append(None)
-            logp.append(None), value.append(None), incl.append(None)
+            logp.append(None), value.append(None), incl.append(None), same.append(None)
             continue
+        data = texts[d].encode("utf-8", "surrogatepass")
         for r, (edges, lp, g) in enumerate(samples, 1):
             tokens = token_ids(lat, edges)
             row.append(d), rank.append(r), ids.append(tokens), size.append(len(tokens))
             logp.append(lp), value.append(g)
+            same.append(_decoded(lat.v, tokens.tolist()) == data)
             x = lp - kappa[d]  # log(1 - exp(-exp(x)))
             incl.append(0.0 if x > 5 else x if x < -30 else math.log(-math.expm1(-math.exp(x))))
     lens = np.array([0 if x is None else len(x) for x in ids], np.int64)
@@ -460,5 +465,5 @@ def _encoded(lat: Lattices, id_column, keys, texts, k, seed) -> pa.RecordBatch:
                                      pa.array(flat.astype(np.int32)), mask=pa.array([x is None for x in ids]))
     return pa.RecordBatch.from_arrays(
         [id_column.take(pa.array(row, pa.int64())), pa.array(rank, pa.int32()), lists, pa.array(size, pa.int32()),
-         pa.array(logp, pa.float64()), pa.array(value, pa.float64()), pa.array(incl, pa.float64())],
-        names=["doc_id", "rank", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion"])
+         pa.array(logp, pa.float64()), pa.array(value, pa.float64()), pa.array(incl, pa.float64()), pa.array(same, pa.bool_())],
+        names=["doc_id", "rank", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", "round_trip"])

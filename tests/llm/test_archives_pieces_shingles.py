@@ -6,6 +6,7 @@ import hashlib
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerlens.llm import jaccard_join, piece_sampling, warc
@@ -144,6 +145,22 @@ def test_encode_round_trip_and_odd_rows(spark, vocabulary):
     assert {r.doc_id for r in back} == set(range(8)) and all(r.decoded == texts[r.doc_id] for r in back)
 
 
+def test_every_sample_is_decoded(spark, vocabulary):
+    texts = ["Hello  world\nfoo bar ", "", None, "▁x\t☃ 漢字\x00", "née.com's (x)!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = encode_samples(df, k=2).collect()
+    assert all(r.round_trip is (None if r.doc_id == 2 else True) for r in got) and {r.doc_id for r in got} == set(range(5))
+    # ids that do not give their text back are told
+    lat = Lattices(vocabulary)
+    keys, odd = pa.array([0, 1]), ["the nt", "漢"]
+    assert set(piece_sampling._encoded(lat, keys, [0, 1], odd, 2, 0).column("round_trip").to_pylist()) == {True}
+    broken = Vocabulary()
+    broken.raw = [x if x.isascii() else b"?" for x in broken.raw]
+    same = piece_sampling._encoded(Lattices(broken), keys, [0, 1], odd, 2, 0)
+    assert {(i, t) for i, t in zip(same.column("doc_id").to_pylist(), same.column("round_trip").to_pylist(), strict=True)} == {
+        (0, True), (1, False)}
+
+
 # ---------------------------------------------------------------- shingles
 
 def _plain_components(rows):
