@@ -148,17 +148,18 @@ def _disclosing(scanned: DataFrame, texts: DataFrame, n_docs: int, min_contexts:
     """``entity, term, kind`` of the terms that reveal an entity beyond a threshold (None: none can)."""
     near = scanned.where(F.size("near") > 0).select("row", F.explode("near").alias("x")).select("row", "x.entity", "x.term", "x.context")
     seen = near.distinct()
-    by_context = seen.groupBy("entity", "term", "context").agg(F.countDistinct("row").alias("n"))
-    pair = stored(by_context.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("contexts"))
-                  .where(F.col("contexts") >= min_contexts), "pii-pairs")
+    # documents and contexts are counted apart: a document can mention an entity in many contexts
+    contexts = seen.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(
+        F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= min_contexts)
+    both = seen.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
+    pair = stored(contexts.join(both, ["entity", "term"]), "pii-pairs")
     if pair.isEmpty():
         return None
     entities = seen.select("entity", "row").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("entity_docs"))
     terms = pair.select("term").distinct().withColumn("term_hash", _term_hash("term"))
     terms = terms.join(_term_counts(texts), "term_hash").select("term", "docs")
     info = F.log2(F.lit(float(n_docs)) / F.col("entity_docs"))
-    # a document can hold two mentions of an entity; p(e|t) is a share of the term's documents
-    pmi = F.log2(F.least(F.col("both") / F.col("docs"), F.lit(1.0))) + info
+    pmi = F.log2(F.col("both") / F.col("docs")) + info
     share = F.when(info > 0, pmi / info).otherwise(0.0)
     judged = pair.join(entities, "entity").join(terms, "term").withColumn("share", share)
     kind = F.when(F.col("share") >= remove_at, F.lit(len(KINDS))).otherwise(F.lit(len(KINDS) + 1))

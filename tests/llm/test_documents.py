@@ -156,6 +156,15 @@ def test_pii_terms_equal_brute_force(spark):
     assert "generalise" in got[100] and "remove" not in got[100] and got[103] == ""
 
 
+def test_pii_a_document_with_many_mentions_counts_once(spark):
+    # one document names an address twenty times beside a word that nineteen others hold without it
+    many = " ".join(f"contact {w}{v} jo@x.org" for w in "abcde" for v in "pqrs")
+    rows = [(0, many, "en", "s"), *[(i, f"contact number {i}", "en", "s") for i in range(1, 20)],
+            *[(i, "filler", "en", "s") for i in range(20, 1000)]]
+    got = {r.doc_id: r.s for r in pii.find_pii(_frame(spark, rows)).select("carried.doc_id", pii.span_text("spans").alias("s")).collect()}
+    assert got[0].count("email") == 20 and "remove" not in got[0] and "generalise" not in got[0]
+
+
 def test_pii_sanitise(spark):
     df = _frame(spark, [*_disclosure_rows()[:-1], (200, None, "en", "s"), (201, "", None, None)])
     out = pii.sanitise(df)
