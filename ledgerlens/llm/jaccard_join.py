@@ -274,8 +274,9 @@ def _qualifying(grouped: DataFrame) -> DataFrame:
         F.max(left).alias("l_left")), "jaccard-matrix")
     a, b = THRESHOLD
     x, y = matrix.where("s_min is not null").alias("x"), matrix.alias("y")
-    # the shingles from this one on must leave room for the overlap a link of these sizes needs, less l
-    room = F.ceil(a * (F.col("x.s_min") + F.col("y.l_min")) / (a + b)) - least_shared(0) - F.floor(F.col("x.s_min") / 40)
+    # the shingles from this one on must leave room for the overlap a link of these sizes needs, less l; room falls by
+    # one where l rises, so the smallest overlap goes with the largest l of the group
+    room = F.ceil(a * (F.col("x.s_min") + F.col("y.l_min")) / (a + b)) - least_shared(0) - F.floor(F.col("x.s_max") / 40)
     both = x.join(y, F.col("x.token") == F.col("y.token")).where(
         (F.col("x.grp") != F.col("y.grp")) & (F.col("x.s_min") <= F.col("y.l_max"))
         & (F.col("x.s_max") * b >= F.col("y.l_min") * a) & (F.col("x.s_left") > room) & (F.col("y.l_left") > room))

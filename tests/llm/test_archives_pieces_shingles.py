@@ -233,3 +233,15 @@ def test_prefix_lengths_hold_the_shared_shingles():
             small, large = jaccard_join.prefix_lengths(n_x)[0], jaccard_join.prefix_lengths(n_y)[1]
             # the need-th common shingle stands at most at n - overlap + need
             assert min(n_x, n_x - least + need) <= small and min(n_y, n_y - least + need) <= large
+
+
+def test_room_holds_for_groups_across_a_multiple_of_forty(spark):
+    # X and Y share 36 of 40 and 41 shingles (0.80); X' is X without the first shared one and too far from Y
+    x, y = [*range(1000, 1004), *range(36)], [*range(2000, 2005), *range(36)]
+    rows = []
+    for rep, grp, order in ((1, 1, x), (2, 1, [t for t in x if t != 0]), (3, 3, y)):
+        small, large = jaccard_join.prefix_lengths(len(order))
+        rows.append((rep, grp, len(order), small, order[:max(small, large)]))
+    assert jaccard_join.linked(36, 40, 41) and not jaccard_join.linked(35, 39, 41)
+    grouped = spark.createDataFrame(rows, "rep long, grp long, n long, small int, prefix array<long>")
+    assert [tuple(r) for r in jaccard_join._qualifying(grouped).collect()] == [(1, 3)]
