@@ -165,6 +165,24 @@ def test_pii_a_document_with_many_mentions_counts_once(spark):
     assert got[0].count("email") == 20 and "remove" not in got[0] and "generalise" not in got[0]
 
 
+def test_pii_terms_far_from_the_address_and_in_other_documents(spark):
+    far = lambda i: " ".join(f"w{c}{'abcdefghij'[i]}" for c in "abcdefghijklmnopqrst").replace("w", "word")
+    rows = [(i, f"from jo@x.org {far(i)} signed Zorblatt and Xu {far(i + 3)} zorblatt", "en", "s") for i in range(3)]
+    # twenty documents hold one address and "quexal", one more holds the term alone
+    rows += [(10 + i, f"al@x.org {'abcdefghij'[i % 10] * (2 + i // 10)} {far(i % 10)} quexal", "en", "s") for i in range(20)]
+    rows += [(30, "quexal alone", "en", "s"), *[(i, "filler words and signed from", "en", "s") for i in range(100, 2000)]]
+    got = {r.doc_id: r.s for r in pii.find_pii(_frame(spark, rows)).select("carried.doc_id", pii.span_text("spans").alias("s")).collect()}
+    for i in range(3):
+        spans = [x.split(":") for x in got[i].split(",")]
+        words = [rows[i][1][int(a):int(b)] for k, a, b in spans if k == "remove"]
+        assert [w for w in words if not w.startswith("word")] == ["Zorblatt", "Xu", "zorblatt"]
+    assert got[30] == "remove:0:6" and got[100] == ""
+    # copies of one passage are no evidence
+    same = [(i, "from jo@x.org signed Zorblatt", "en", "s") for i in range(3)] + [(i, "filler", "en", "s") for i in range(9, 99)]
+    found = pii.find_pii(_frame(spark, same)).select(pii.span_text("spans").alias("s")).collect()
+    assert {r.s for r in found} == {"email:5:13", ""}
+
+
 def test_pii_sanitise(spark):
     df = _frame(spark, [*_disclosure_rows()[:-1], (200, None, "en", "s"), (201, "", None, None)])
     out = pii.sanitise(df)
