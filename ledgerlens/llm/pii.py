@@ -126,6 +126,7 @@ _HITS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("end",
 _SEEN_TYPE = "array<struct<hash:long,context:long>>"
 _SPAN_TYPE = "array<struct<kind:int,start:int,end:int>>"
 SLOTS = 1 << 22  # slots of the filter that texts are searched with for judged terms; the join after it is exact
+_SHIFT = 22
 
 
 def _scan(rows: DataFrame) -> DataFrame:
@@ -216,12 +217,13 @@ def _disclosing(scanned: DataFrame, words: int, chars: int, min_contexts: int, g
 
 def _occurrences(scanned: DataFrame, bad: DataFrame) -> DataFrame:
     """``row, term, entities, at``: where terms that may be judged stand in the texts, all that are and few others."""
-    slots = np.zeros(SLOTS, bool)
-    slots[bad.select(F.col("term").bitwiseAND(SLOTS - 1).alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
+    slots = np.zeros((2, SLOTS), bool)  # by the low bits of the hash and by those above: a frequent word rarely passes both
+    for i, part in enumerate((F.col("term"), F.shiftright("term", _SHIFT))):
+        slots[i, bad.select(part.bitwiseAND(SLOTS - 1).alias("slot")).distinct().toArrow()["slot"].to_numpy()] = True
     held = scanned.sparkSession.sparkContext.broadcast(np.packbits(slots))
 
     def search(batches):
-        slots, known = np.unpackbits(held.value).astype(bool), {}
+        (low, high), known = np.unpackbits(held.value).astype(bool).reshape(2, SLOTS), {}
         for b in batches:
             hits = []
             for text, spans in zip(values(b.column(1)), values(b.column(2)), strict=True):
@@ -231,13 +233,13 @@ def _occurrences(scanned: DataFrame, bad: DataFrame) -> DataFrame:
                 for w in set(_WORD.findall(text)):
                     if w not in known:
                         h = _term(w.lower())
-                        known[w] = h if slots[h & (SLOTS - 1)] else None
+                        known[w] = h if low[h & (SLOTS - 1)] and high[(h >> _SHIFT) & (SLOTS - 1)] else None
                     some = some or known[w] is not None
                 found = []
                 if some:
                     for w, a, e in _words(text, [(s["kind"], s["start"], s["end"]) for s in spans]):
                         h = _term(w)
-                        if slots[h & (SLOTS - 1)]:
+                        if low[h & (SLOTS - 1)] and high[(h >> _SHIFT) & (SLOTS - 1)]:
                             found.append({"term": h, "start": a, "end": e})
                 hits.append(found)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), pa.array(hits, _HITS)], names=["row", "entities", "hits"])
@@ -276,7 +278,8 @@ def find_pii(documents: DataFrame, text_col: str = "text", carry: tuple[str, ...
     asked = found.select("row", "term", F.explode(F.concat("entities", F.array(F.lit(None).cast("long")))).alias("entity"))
     told = attach(asked, ["entity", "term"], bad.unionByName(anywhere), F.col("row")).where("kind is not null").groupBy(
         "row", "term").agg(F.min("kind").alias("kind"))
-    hit = found.select("row", "term", F.explode("at").alias("x")).join(told, ["row", "term"])
+    told = stored(told, "pii-told")  # only judged terms are opened to their places
+    hit = found.join(told, ["row", "term"]).select("row", "kind", F.explode("at").alias("x"))
     more = hit.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("kind", "x.start", "x.end"))).alias("more"))
     return scanned.join(more, "row", "left").withColumn(
         "spans", F.concat("spans", F.coalesce("more", F.array().cast(_SPAN_TYPE)))).select(*kept)
