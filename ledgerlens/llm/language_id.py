@@ -45,6 +45,12 @@ def gram_sets(text: str, scratch: np.ndarray) -> list[np.ndarray]:
 class LanguageModel:
     languages: list[str]
     weights: np.ndarray  # (ORDERS, BUCKETS, languages) float32
+    least_known: float = 0.0  # half the 1 % quantile of the known share over the learning rows that are no landmarks
+
+
+def _known(sets: list[np.ndarray], marked: np.ndarray) -> float:
+    """Share of a text's n-grams that stand in a landmark, averaged over the orders it has."""
+    return float(np.mean([marked[n][idx].mean() for n, idx in enumerate(sets) if len(idx)] or [0.0]))
 
 
 def _kernel(sets: list[np.ndarray], marks: np.ndarray, root: np.ndarray) -> np.ndarray:
@@ -111,18 +117,22 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", id
 
     def moments(batches):
         scratch = np.zeros(BUCKETS, bool)
-        kk, ky = np.zeros((m, m)), np.zeros((m, len(row)))
+        kk, ky, share = np.zeros((m, m)), np.zeros((m, len(row))), []
+        marked = packed.value.any(2)
         for b in batches:
             if b.num_rows:
-                k = np.stack([_kernel(gram_sets(t, scratch), packed.value, root) for t in values(b.column(1))])
+                sets = [gram_sets(t, scratch) for t in values(b.column(1))]
+                k = np.stack([_kernel(x, packed.value, root) for x in sets])
+                share += [_known(x, marked) for x, r in zip(sets, b.column(2).to_pylist(), strict=True) if r > landmarks_per_language]
                 y = -np.ones((b.num_rows, len(row)))
                 y[np.arange(b.num_rows), [row[x] for x in b.column(0).to_pylist()]] = 1
                 kk += k.T @ k
                 ky += k.T @ y
-        yield pa.RecordBatch.from_arrays([pa.array([kk.tobytes()]), pa.array([ky.tobytes()])], names=["kk", "ky"])
+        yield pa.RecordBatch.from_arrays([pa.array([kk.tobytes()]), pa.array([ky.tobytes()]), pa.array([share], pa.list_(pa.float64()))],
+                                         names=["kk", "ky", "share"])
 
     tasks = min(16, max(1, len(ids) // 64))
-    sums = sample.select("y", "text").repartition(tasks).mapInArrow(moments, "kk binary, ky binary").collect()
+    sums = sample.select("y", "text", "rank").repartition(tasks).mapInArrow(moments, "kk binary, ky binary, share array<double>").collect()
     kk = sum(np.frombuffer(r.kk).reshape(m, m) for r in sums)
     ky = sum(np.frombuffer(r.ky).reshape(m, len(row)) for r in sums)
     flat = [marks[n].astype(np.float32) / np.maximum(root[n], 1e-9) for n in range(ORDERS)]
@@ -134,12 +144,16 @@ def fit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang", id
     coef = half @ np.linalg.solve(phi + ridge * len(ids) * np.eye(len(phi)), half.T @ ky)
     weights = np.stack([f @ coef for f in flat]) / ORDERS
     packed.unpersist()
-    return LanguageModel(languages, weights.astype(np.float32))
+    share = [x for r in sums for x in r.share]
+    return LanguageModel(languages, weights.astype(np.float32), float(np.quantile(share, 0.01)) / 2 if share else 0.5)
 
 
 def predict(documents: DataFrame, model: LanguageModel, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",),
             as_struct: bool = False) -> DataFrame:
-    """``keep`` columns plus ``lang_pred`` and ``score`` (0 to 1) from the whole text alone, one row per input row.
+    """``keep`` columns plus ``lang_pred``, ``score`` (0 to 1) and ``known`` from the whole text alone, one row per input row.
+
+    ``known`` is the share of the text's n-grams that stand in a landmark; below ``model.least_known`` the text is of no
+    learned language, whatever its label.
 
     With ``as_struct`` the kept columns stay in a struct ``carried``, so their names cannot clash with the two new ones.
     ``und`` with score 0 when the text is null or has no letter, or when no language was learned.  Ties go to the
@@ -154,27 +168,31 @@ def predict(documents: DataFrame, model: LanguageModel, text_col: str = "text",
 
         letter = regex.compile(LETTER)
         scratch, weights = np.zeros(BUCKETS, bool), held.value
+        marked = weights.any(2)
         for b in batches:
+            share = np.zeros(b.num_rows)
             known, margin = [], np.full((b.num_rows, max(len(names), 1)), -1.0)
             for i, text in enumerate(values(b.column(1))):
                 if names and text is not None and letter.search(text):
                     known.append(i)
+                    sets = gram_sets(text, scratch)
+                    share[i] = _known(sets, marked)
                     margin[i] = sum(weights[n][idx].sum(0, dtype=np.float64) / np.sqrt(len(idx))
-                                    for n, idx in enumerate(gram_sets(text, scratch)) if len(idx))
+                                    for n, idx in enumerate(sets) if len(idx))
             best = margin.argmax(1)
             lang = np.full(b.num_rows, UNDETERMINED, dtype=object)
             value = np.zeros(b.num_rows)
             if known:
                 lang[known] = [names[j] for j in best[known]]
                 value[known] = np.clip((margin[known, best[known]] + 1) / 2, 0, 1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(value)],
-                                             names=["carried", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(value), pa.array(share)],
+                                             names=["carried", "lang_pred", "score", "known"])
 
     source = documents.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`") for c in keep]).alias("carried"),
                               F.col(text_col).cast("string").alias("text"))
     kind = source.schema["carried"].dataType.simpleString()
-    scored = source.mapInArrow(score, f"carried {kind}, lang_pred string, score double")
-    return scored if as_struct else scored.select(*[F.col(f"carried.`{c}`").alias(c) for c in keep], "lang_pred", "score")
+    scored = source.mapInArrow(score, f"carried {kind}, lang_pred string, score double, known double")
+    return scored if as_struct else scored.select(*[F.col(f"carried.`{c}`").alias(c) for c in keep], "lang_pred", "score", "known")
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -80,6 +80,13 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(decode(vocabulary, r.ids) == texts[r.doc_id] for r in after)
 
 
+def test_texts_of_no_learned_script_go(spark):
+    source = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    odd = [*ODD, (9005, "Это русский текст, которого никто не учил. " * 20, None, "src1", 2)]
+    out = corpus_pipeline.language_id(spark, source.unionByName(spark.createDataFrame(odd, source.schema)), SF_SMALL)
+    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in source.select("doc_id").collect()}
+
+
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     source = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     source.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
