@@ -324,3 +324,41 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"),
         F.length("learned").cast("long").alias("loss_chars"), F.sha2("learned", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+l AS (SELECT doc_id, max(CAST(coalesce(quality = 1, false) AS INTEGER)) AS good, max(CAST(coalesce(toxic = 1, false) AS INTEGER)) AS toxic
+      FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         CAST(len(words) < 100 AS INTEGER) + 2 * CAST(100 * len(list_distinct(words)) < 80 * len(words) AS INTEGER)
+         + 4 * CAST(100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 10 * length(text) AS INTEGER)
+         + 8 * CAST(regexp_matches(text, '[#$%&*|]') AS INTEGER)
+         + 16 * CAST(coalesce(min(d.doc_id) OVER (PARTITION BY text) < d.doc_id, false) AS INTEGER) AS mask
+  FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, good, toxic, count(*) AS n FROM m GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS own),
+o AS (SELECT letter AS filter_order, 1 AS step, letter, own, 0 AS earlier FROM f
+      UNION ALL SELECT o.filter_order || f.letter, o.step + 1, f.letter, f.own, o.earlier + o.own FROM o JOIN f ON NOT contains(o.filter_order, f.letter)),
+s AS (SELECT w.filter_order, p.step, p.own, p.earlier FROM o w JOIN o p ON w.step = 5 AND p.filter_order = left(w.filter_order, p.step)),
+g AS (SELECT part, own, sum(n) FILTER (mask & own <> 0 AND mask & earlier = 0) AS shapley FROM s, c GROUP BY part, own)
+SELECT c.part, s.filter_order, s.step,
+       CAST(coalesce(sum(n) FILTER (mask & (s.own | earlier) = 0), 0) AS BIGINT) AS kept,
+       CAST(coalesce(sum(n) FILTER (mask & s.own <> 0 AND mask & earlier = 0), 0) AS BIGINT) AS removed,
+       CAST(coalesce(sum(n) FILTER (mask & s.own <> 0 AND mask & earlier <> 0), 0) AS BIGINT) AS redundant,
+       CAST(coalesce(sum(n) FILTER (mask = s.own), 0) AS BIGINT) AS unique_fails,
+       CAST(coalesce(sum(n) FILTER (mask & s.own <> 0 AND mask & earlier = 0 AND good = 1), 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(sum(n) FILTER (mask & s.own <> 0 AND mask & earlier = 0 AND toxic = 1), 0) AS BIGINT) AS toxic_lost,
+       CAST(coalesce(any_value(g.shapley), 0) AS BIGINT) AS shapley
+FROM s, c JOIN g ON g.part = c.part WHERE g.own = s.own GROUP BY c.part, s.filter_order, s.step
+"""
+
+
+@query("op11_filter_audit", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.filter_audit import audit, count_masks
+
+    return audit(count_masks(spark, f"{sf_dir.rstrip('/')}/documents.parquet", table(spark, sf_dir, "labels"), part=F.col("lang")))
