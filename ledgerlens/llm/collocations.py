@@ -303,9 +303,12 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, band: int
         found = seen.where(F.col("kind") == RIGHT).join(frontier, "h").select(
             "lang", F.concat("words", F.array("word")).alias("words"), F.concat("counts", F.array("n")).alias("counts"))
         new = stored(found.mapInArrow(_identify, f"{_PHRASE}, h long, rest array<long>"), "phrases")
-        phrases.append(new)
         made += [seen, new]
-        best = _surviving(_scored(_union(phrases), _known_rights(rights), langs), _most(extended))
+        phrases.append(new)
+        if len(phrases) == 1:
+            continue
+        settled = _union(phrases[:-1])  # what was found in this round has not been extended yet
+        best = _surviving(_scored(settled, _known_rights(rights), langs), _most(extended))
         last = best.select("lang", F.col("best.score").alias("score"), F.row_number().over(
             Window.partitionBy("lang").orderBy(F.col("best.score").desc(), "h")).alias("place")).where(F.col("place") == top)
         made.append(langs)

@@ -362,3 +362,34 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.llm.filter_audit import audit, count_masks
 
     return audit(count_masks(spark, f"{sf_dir.rstrip('/')}/documents.parquet", table(spark, sf_dir, "labels"), part=F.col("lang")))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS g FROM w, range(1, 6) r(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, g, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND a >= 100),
+k AS (SELECT c.*, unnest(range(1, m)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.m, k.g, k.a, k.k, x.a AS l, y.a AS r, n.n,
+         CAST(CAST(1000 AS HUGEINT) * k.a * n.n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM k JOIN n ON n.lang = k.lang JOIN f x ON x.lang = k.lang AND x.m = k.k AND x.g = k.g[1:k.k]
+  JOIN f y ON y.lang = k.lang AND y.m = k.m - k.k AND y.g = k.g[k.k + 1:]),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, m, g ORDER BY score, k) AS o FROM s) WHERE o = 1),
+z AS (SELECT DISTINCT b.lang, b.m, b.g FROM b JOIN c ON c.lang = b.lang AND c.m > b.m AND 100 * c.a >= 100 * b.a
+      AND list_contains(list_transform(range(1, c.m - b.m + 2), lambda i: c.g[i:i + b.m - 1]), b.g)),
+q AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, b.a, b.l, b.r, b.n, b.score FROM b ANTI JOIN z USING (lang, m, g))
+SELECT * FROM (SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS BIGINT) AS rank,
+                      phrase, a, l, r, n, score FROM q) WHERE rank <= 2000
+"""
+
+
+@query("op13_phrase_collocations", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.llm.collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents")).withColumn("rank", F.col("rank").cast("long"))
