@@ -184,9 +184,13 @@ def category_mappings(df: DataFrame, columns: tuple[str, ...] = ("channel", "mcc
     stacked = df.select(epoch_micros("timestamp").alias("_ts"), "tx_id",
                         F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"))
                                            for c in columns])))
-    first = stacked.groupBy("column", "value").agg(F.min(F.struct("_ts", "tx_id")).alias("_first"))
+    return number_first_values(stacked.groupBy("column", "value").agg(F.min(F.struct(F.col("_ts").alias("_t"), "tx_id")).alias("_first")))
+
+
+def number_first_values(first: DataFrame) -> DataFrame:
+    """Codes from (column, value, _first: (_t, tx_id)), in order of first appearance."""
     # ranks by pieces of time: the values first seen in earlier pieces, plus the rank inside the piece
-    first = first.withColumn("_p", F.coalesce(F.floor(F.col("_first._ts") / PIECE_US), F.lit(-(1 << 40)))).repartition("column", "_p")
+    first = first.withColumn("_p", F.coalesce(F.floor(F.col("_first._t") / PIECE_US), F.lit(-(1 << 40)))).repartition("column", "_p")
     local = first.withColumn("_rank", F.row_number().over(Window.partitionBy("column", "_p").orderBy("_first")) - 1)
     per = first.groupBy("column", "_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("column").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row a piece
@@ -220,6 +224,16 @@ def categorical_codes(df: DataFrame) -> DataFrame:
     return apply_category_codes(df, category_mappings(df))
 
 
+def feature_expressions() -> dict[str, Column]:
+    """The feature columns over the results of all scans."""
+    return {
+        **_velocity(), **_new_merchants(),
+        "distance_from_user_centroid_km": _centroid(), "seconds_since_last_txn": _gap(), "user_amount_zscore": _zscore(),
+        "devices_per_account": F.col("_a_devices").cast("double"), "device_sharing_degree": F.col("_d_users").cast("double"),
+        "merchant_fraud_prevalence": _prevalence(), "is_new_device_for_user": (F.col("_ud_n") == 0).cast("double"),
+    }
+
+
 def gold_features(df: DataFrame, mappings: DataFrame | None = None) -> DataFrame:
     """All point-in-time features plus category codes (``build_features``).
 
@@ -231,12 +245,7 @@ def gold_features(df: DataFrame, mappings: DataFrame | None = None) -> DataFrame
     k = _sharing_scan(k, base)
     k = _devices_scan(k, base)
     k = prior_scan(k, ["merchant_id"], sums={"_m_n": "_one", "_m_fraud": "is_fraud"}, totals_of=base)
-    feats = {
-        **_velocity(), **_new_merchants(),
-        "distance_from_user_centroid_km": _centroid(), "seconds_since_last_txn": _gap(), "user_amount_zscore": _zscore(),
-        "devices_per_account": F.col("_a_devices").cast("double"), "device_sharing_degree": F.col("_d_users").cast("double"),
-        "merchant_fraud_prevalence": _prevalence(), "is_new_device_for_user": (F.col("_ud_n") == 0).cast("double"),
-    }
+    feats = feature_expressions()
     out = k.select(*df.columns, *[feats[c].alias(c) for c in FEATURE_COLUMNS])
     return apply_category_codes(out, mappings if mappings is not None else category_mappings(df))
 

@@ -35,6 +35,17 @@ def _tokens(keys: Sequence[str]) -> dict[str, Column]:
     return {f"_k{i}": F.coalesce(F.concat(F.lit("k"), F.col(k).cast("string")), F.lit("n")) for i, k in enumerate(keys)}
 
 
+def _totals(d: DataFrame, tokens: Sequence[str], sums: dict[str, str]) -> DataFrame:
+    return d.groupBy(*tokens, "_p").agg(F.max("_ts").alias("_t_last"), F.count(F.lit(1)).alias("_t_n"),
+                                        *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+
+
+def piece_totals(df: DataFrame, keys: Sequence[str], sums: dict[str, str] | None = None) -> DataFrame:
+    """The totals of every (key, piece) of ``df``, in the form that scans take as ``earlier``."""
+    tok = _tokens(keys)
+    return _totals(df.withColumns({**tok, "_p": piece()}), list(tok), sums or {})
+
+
 def _carried(totals: DataFrame, tokens: list[str], aggs: dict[str, tuple[str, str]]) -> DataFrame:
     """Per (key, piece) the combined totals of earlier pieces; ``aggs``: output -> (sum or max, column)."""
     w = Window.partitionBy(*tokens).orderBy("_p").rowsBetween(_UNB, -1)  # a row a piece
@@ -51,7 +62,8 @@ def _join(local: DataFrame, carry: DataFrame, tokens: list[str]) -> DataFrame:
 
 
 def prior_scan(df: DataFrame, keys: Sequence[str], sums: dict[str, str] | None = None, last: str | None = None,
-               first: str | None = None, once: str | None = None, totals_of: DataFrame | None = None) -> DataFrame:
+               first: str | None = None, once: str | None = None, totals_of: DataFrame | None = None,
+               earlier: DataFrame | None = None) -> DataFrame:
     """Add per-key aggregates over prior rows.
 
     ``sums``: output -> column (sum over prior rows, 0 if none); ``last``: time of the latest prior row (null if
@@ -61,6 +73,9 @@ def prior_scan(df: DataFrame, keys: Sequence[str], sums: dict[str, str] | None =
     Piece totals are taken from ``totals_of`` (default: ``df``), which must give the same totals per key and piece.
     In a chain of scans it should be the frame the chain began with: a plan that reads each step twice doubles with
     every step.
+
+    ``earlier``: stored totals of rows that are not in ``df`` and come before all of its pieces, as (the keys' tokens,
+    ``_p``, ``_t_last``, ``_t_n`` and ``_t_<output>`` for ``sums``); see ``piece_totals``.
     """
     sums = sums or {}
     tok = _tokens(keys)
@@ -80,8 +95,9 @@ def prior_scan(df: DataFrame, keys: Sequence[str], sums: dict[str, str] | None =
         cols[once] = (F.row_number().over(peers.orderBy("_ts", "_id")) == 1).cast("long")
     local = d.withColumns(cols)
     base = d if totals_of is None else totals_of.withColumns({**tok, "_p": piece()})
-    totals = base.groupBy(*tokens, "_p").agg(F.max("_ts").alias("_t_last"), F.count(F.lit(1)).alias("_t_n"),
-                                          *[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    totals = _totals(base, tokens, sums)
+    if earlier is not None:
+        totals = totals.unionByName(earlier.select(totals.columns))
     carry = _carried(totals, tokens, {**{f"_c_{n}": ("sum", f"_t_{n}") for n in sums}, "_c_last": ("max", "_t_last"),
                                       "_c_n": ("sum", "_t_n")})
     j = _join(local, carry, tokens)
@@ -94,7 +110,7 @@ def prior_scan(df: DataFrame, keys: Sequence[str], sums: dict[str, str] | None =
 
 
 def window_scan(df: DataFrame, key: str, windows: dict[str, int], sums: dict[str, str], sliding: Sequence[str] = (),
-                last: str | None = None, distinct: tuple[str, str] | None = None) -> DataFrame:
+                last: str | None = None, distinct: tuple[str, str] | None = None, earlier: DataFrame | None = None) -> DataFrame:
     """All-time and sliding sums over the prior rows of one key.
 
     Adds ``<out>`` (sum of a column over all prior rows) for ``sums`` (output -> column), ``<out>_<window>`` (the
@@ -107,6 +123,10 @@ def window_scan(df: DataFrame, key: str, windows: dict[str, int], sums: dict[str
     ``prev + length``.  So each row is activated at the later of its own time and ``prev + length + 1``; activations
     seen, less the rows that lie before the window, are the distinct values.  Every aggregate is a prefix; the end of
     a piece, as long as the longest window, is repeated in the next piece so that a window start lies in reach.
+
+    ``earlier`` as in ``prior_scan``.  Sliding results are then right for rows that lie at least the longest window
+    behind the start of the first piece of ``df``: for them every earlier row is activated and before the window, so
+    its activation and its own row cancel out.
     """
     reach = max(windows.values())
     tok = _tokens([key])
@@ -157,6 +177,10 @@ def window_scan(df: DataFrame, key: str, windows: dict[str, int], sums: dict[str
         F.max(F.when(F.col("_own") & (F.col("_one") == 1), F.col("_ts"))).alias("_t_last"),
         *[F.sum(F.when(F.col("_own"), F.col(c))).alias(f"_t_{n}") for n, c in every.items()],
         *[F.sum(F.when(~F.col("_own"), F.col(c))).alias(f"_x_{n}") for n, c in every.items()])
+    if earlier is not None:
+        zero = F.lit(0).cast("long")
+        known = {"_t_last": F.col("_t_last"), "_t__n": F.col("_t_n"), **{f"_t_{n}": F.col(f"_t_{n}") for n in values}}
+        totals = totals.unionByName(earlier.select("_k0", "_p", *[known.get(c, zero).alias(c) for c in totals.columns if c not in ("_k0", "_p")]))
     carry = _carried(totals, ["_k0"], {**{f"_c_{n}": ("sum", f"_t_{n}") for n in every}, "_c_last": ("max", "_t_last")})
     repeated = totals.select(F.col("_k0").alias("_c_k0"), F.col("_p").alias("_c_p"), *[f"_x_{n}" for n in every])
     carry = carry.withColumnRenamed("_c_k0", "_q_k0").withColumnRenamed("_c_p", "_q_p").join(

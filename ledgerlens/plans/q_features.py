@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import features as fx
+from ledgerlens.operators.feature_state import FeatureState
 from ledgerlens.oracle import canonical as oc
 from ledgerlens.oracle import features as of
 from ledgerlens.plans.registry import query
+from ledgerlens.sources.io import fresh_dir, written
 from ledgerlens.sources.canonical import tx_events, tx_lineitem, tx_lineitem_raw
 
 EV, LI = oc.TX_EVENTS, oc.TX_LINEITEM
@@ -102,3 +106,26 @@ def gold_features_repeated_ids(spark, sf):
     """The features of the lineitem frame before de-duplication: repeated ids stay rows of their own."""
     df = tx_lineitem_raw(spark, sf)
     return fx.gold_features(df).select("tx_id", "user_id", "merchant_id", "amount", "timestamp", *fx.FEATURE_COLUMNS)
+
+
+def appended(spark, df, days: int):
+    """A feature store that got all but the last ``days`` days first, then day after day."""
+    df = written(df, "state-source")
+    last = df.agg(F.max(F.col("timestamp").cast("date")).alias("d")).first()["d"]
+    back = F.date_diff(F.lit(last), F.col("timestamp").cast("date"))
+    state = FeatureState(spark, fresh_dir(spark, "feature-state"))
+    state.append(0, df.where(back >= days))
+    for k in range(days):
+        state.append(k + 1, df.where(back == days - 1 - k))
+    return state
+
+
+@query("gold_features_appended", of.gold_features(LI))
+def gold_features_appended(spark, sf):
+    """The gold features from a stored state: history first, then the last two days as appended batches."""
+    return appended(spark, tx_lineitem(spark, sf), 2).features()
+
+
+@query("gold_features_appended_events", of.gold_features(EV))
+def gold_features_appended_events(spark, sf):
+    return appended(spark, tx_events(spark, sf), 2).features()
