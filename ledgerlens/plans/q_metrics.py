@@ -10,12 +10,13 @@ from ledgerlens.operators import features as fx
 from ledgerlens.operators import governance as gv
 from ledgerlens.operators import metrics as mt
 from ledgerlens.operators import splits as sp
+from ledgerlens.operators.registry import ModelRegistry
 from ledgerlens.oracle import canonical as oc
 from ledgerlens.oracle import features as of
 from ledgerlens.oracle import metrics as om
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import canonical as cn
-from ledgerlens.sources.io import written
+from ledgerlens.sources.io import fresh_dir, written
 
 SC = om.SC
 VAL, TEST = om.split_part(SC, "validation"), om.split_part(SC, "test")
@@ -309,23 +310,49 @@ _Z_SQL = _drift_sql().replace('round(ref_mean, 5) AS ref_mean, round(cur_mean, 5
                               'ref_mean, cur_mean, ref_std')
 
 
-@query("drift_monitor", f"""SELECT 'drift_0001' AS report_id, 'run_logit_0001' AS run_id, round(s, 6) AS drift_score, s >= 0.2 AS is_drift,
-  0.2::DOUBLE AS threshold, s >= 0.2 AS retrain_triggered, CASE WHEN s >= 0.2 THEN 'run_retrain_0001' END AS retrain_run_id,
+def _monitor_sql(drift: str, halves_frame: str, retrains: bool) -> str:
+    """The report's ids follow from the current rows: latest time and number."""
+    cur = f"SELECT * FROM ({_halves_sql(halves_frame)}) b WHERE NOT _is_ref"
+    run = f"""(SELECT 'run_xgb_tabular_' || strftime(max("timestamp"), '%Y%m%d%H%M%S') || '_' || CAST(count(*) AS VARCHAR) FROM ({cur}) r)"""
+    fitted = f"CASE WHEN s >= 0.2 THEN {run} END" if retrains else "CAST(NULL AS VARCHAR)"
+    return f"""SELECT (SELECT 'drift_' || strftime(max("timestamp"), '%Y%m%d%H%M%S') || '_' || CAST(count(*) AS VARCHAR) FROM ({cur}) x) AS report_id,
+  {fitted} AS run_id, round(s, 6) AS drift_score, s >= 0.2 AS is_drift, 0.2::DOUBLE AS threshold,
+  {'s >= 0.2' if retrains else 'false'} AS retrain_triggered, {fitted} AS retrain_run_id,
   'fallback_zscore' AS detector, {len(fx.FEATURE_MATRIX)} AS n_features,
-  (SELECT count(*) FROM ({_halves_sql(oc.TX_EVENTS)}) a WHERE _is_ref) AS reference_rows,
-  (SELECT count(*) FROM ({_halves_sql(oc.TX_EVENTS)}) b WHERE NOT _is_ref) AS current_rows
+  (SELECT count(*) FROM ({_halves_sql(halves_frame)}) a WHERE _is_ref) AS reference_rows, (SELECT count(*) FROM ({cur}) c) AS current_rows
 FROM (SELECT avg(least(greatest(abs(cur_mean - ref_mean) / CASE WHEN ref_std = 0 THEN 1.0 ELSE ref_std END / 3.0, 0.0), 1.0)) AS s
-      FROM ({_Z_SQL}) d) x""")
+      FROM ({drift}) d) x"""
+
+
+@query("drift_monitor", _monitor_sql(_Z_SQL, oc.TX_EVENTS, True))
 def drift_monitor(spark, sf, threshold: float = 0.2, trigger_retrain: bool = True):
-    """The drift report: score of current against reference features, and whether a retraining follows."""
+    """The drift report: score of current against reference features; past the threshold a model is trained."""
+    from ledgerlens.plans.monitoring import monitor
+
     ref, cur = drift_sides(spark, sf)
-    score = gv.drift_score(gv.drift_features(ref, cur, fx.FEATURE_MATRIX), threshold=threshold)
-    rows = ref.agg(F.count(F.lit(1)).alias("reference_rows")).crossJoin(cur.agg(F.count(F.lit(1)).alias("current_rows")))
-    retrain = F.col("is_drift") & F.lit(trigger_retrain)
-    return r6(score.crossJoin(rows).select(  # one row each
-        F.lit("drift_0001").alias("report_id"), F.lit("run_logit_0001").alias("run_id"), "drift_score", "is_drift", "threshold",
-        retrain.alias("retrain_triggered"), F.when(retrain, F.lit("run_retrain_0001")).alias("retrain_run_id"),
-        F.lit("fallback_zscore").alias("detector"), F.lit(len(fx.FEATURE_MATRIX)).alias("n_features"), "reference_rows", "current_rows"))
+    return r6(monitor(ref, cur, ModelRegistry(spark, fresh_dir(spark, "registry")), threshold, trigger_retrain))
+
+
+def _shifted(df):
+    """A current side that has drifted: larger amounts, other places."""
+    return df.withColumns({"amount": F.col("amount") * 50, "lat": F.col("lat") + 60, "lon": F.col("lon") + 90})
+
+
+def _shifted_drift_sql() -> str:
+    """``_Z_SQL`` with the current half changed before its features are built."""
+    half = f"SELECT * EXCLUDE (_is_ref) FROM ({_halves_sql(oc.TX_EVENTS)}) s WHERE NOT _is_ref"
+    moved = f"SELECT * REPLACE (amount * 50 AS amount, lat + 60 AS lat, lon + 90 AS lon) FROM ({half}) m"
+    return _Z_SQL.replace(_side_sql(False), of.gold_features(moved))
+
+
+@query("drift_monitor_retrained", _monitor_sql(_shifted_drift_sql(), oc.TX_EVENTS, True))
+def drift_monitor_retrained(spark, sf):
+    """A current side that has drifted: boosted trees are fitted on it, saved and registered, and the report names the run."""
+    from ledgerlens.plans.monitoring import monitor
+
+    ref, cur = halves(cn.tx_events(spark, sf))
+    ref, cur = written(fx.gold_features(ref), "gold-ref"), written(fx.gold_features(_shifted(cur)), "gold-cur")
+    return r6(monitor(ref, cur, ModelRegistry(spark, fresh_dir(spark, "registry")), trigger_retrain=True, max_iter=10))
 
 
 # ------------------------------------------------------------------ KPIs
