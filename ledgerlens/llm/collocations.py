@@ -19,20 +19,18 @@ Phrases are told apart by 64-bit hashes, words by their text.
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ledgerlens.llm.common import discard, release_memory, small_batches, stored, values
+from ledgerlens.sources.io import fresh_dir
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-BAND = 16  # a band's words are up to so many times as frequent as its rarest
-BITS = 1 << 24  # of each Bloom filter: 2 MB
+BAND = 64  # a band's words are up to so many times as frequent as its rarest
+BITS = 1 << 23  # of each Bloom filter: 1 MB
 CHUNK, HELD = 1 << 16, 2_000_000
 CACHED_WORDS = 200_000
 RIGHT, LEFT, WHOLE = 0, 1, 2  # what a row of a pass counts: phrase and next word, previous word and phrase, phrase
@@ -119,7 +117,7 @@ def _encode(batches):
 
 def _positions(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mixed = h * _M2
-    return mixed >> np.uint64(40), (mixed >> np.uint64(16)) & np.uint64(BITS - 1)
+    return (mixed >> np.uint64(40)) & np.uint64(BITS - 1), (mixed >> np.uint64(16)) & np.uint64(BITS - 1)
 
 
 def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -168,7 +166,7 @@ def _filters(sought: DataFrame, kinds: int = 3) -> list[np.ndarray]:
 
 # ---------------------------------------------------------------- one pass over the corpus
 
-def _scan(known, chain, frontier, wanted):
+def _scan(filters):
     """Counts of a round: words right and left of the frontier's phrases, and the wanted phrases themselves."""
     def combined(held):
         kind, h, word, n = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -183,6 +181,7 @@ def _scan(known, chain, frontier, wanted):
                                           names=["kind", "h", "word", "n"])
 
     def scan(batches):
+        known, chain, frontier, wanted = filters.value
         held, size = [], 0
         for b in batches:
             for data in b.column("words"):
@@ -237,25 +236,25 @@ def _identify(batches):
 _PHRASE = "lang string, words array<long>, counts array<long>"
 
 
-def _scored(phrases: DataFrame, counts: DataFrame, langs: DataFrame) -> DataFrame:
-    """Phrases with their lowest cut: ``best`` (score, k, l, r).  Phrases whose right parts are not all counted wait."""
-    cuts = phrases.select("lang", "h", "words", F.element_at("counts", -1).alias("a"), "counts", F.size("rest").alias("cuts"),
-                          F.posexplode("rest").alias("k", "part"))
-    cuts = cuts.join(counts.withColumnRenamed("h", "part"), "part").join(langs.select("lang", "n"), "lang")
+def _scored(phrases: DataFrame, rights: DataFrame, langs: DataFrame) -> DataFrame:
+    """Phrases with their lowest cut ``best`` (score, k, l, r); ``rights``: (h, r) of all their right parts."""
+    cuts = phrases.select("lang", "h", "words", F.element_at("counts", -1).alias("a"), "counts", F.posexplode("rest").alias("k", "part"))
+    cuts = cuts.join(rights.withColumnRenamed("h", "part"), "part").join(langs.select("lang", "n"), "lang")
     cuts = cuts.withColumn("l", F.get("counts", F.col("k"))).withColumn("score", F.expr(
         "(cast(1000 as decimal(4,0)) * cast(a as decimal(19,0)) * cast(n as decimal(19,0))) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"))
-    best = cuts.groupBy("lang", "h").agg(F.min(F.struct("score", (F.col("k") + 1).alias("k"), "l", "r")).alias("best"), F.count(F.lit(1)).alias("seen"),
-                                         F.first("cuts").alias("cuts"), F.first("words").alias("words"), F.first("a").alias("a"), F.first("n").alias("n"))
-    return best.where("seen = cuts").drop("seen", "cuts")
+    best = F.min(F.struct("score", (F.col("k") + 1).alias("k"), "l", "r")).alias("best")
+    return cuts.groupBy("lang", "h").agg(best, *[F.first(c).alias(c) for c in ("words", "a", "n")])
 
 
-def _surviving(scored: DataFrame, extended: DataFrame) -> DataFrame:
-    """Without the phrases that an extension by one word is as frequent as; ``extended``: (h, most) of the extensions."""
-    return scored.join(extended, "h", "left").where("most is null or most < a").drop("most")
+def _settled(phrases: DataFrame, seen: DataFrame, words: DataFrame, langs: DataFrame) -> DataFrame:
+    """Last round's phrases that no extension by one word is as frequent as, scored with what this round counted."""
+    whole = F.col("kind") == WHOLE
+    rights = words.select("h", F.col("n").alias("r")).unionByName(seen.where(whole).select("h", F.col("n").alias("r")))
+    longer = seen.where(~whole).groupBy("h").agg(F.max("n").alias("most"))
+    return _scored(phrases, rights, langs).join(longer, "h", "left").where("most is null or most < a").drop("most")
 
 
-def _union(frames: list[DataFrame]) -> DataFrame:
-    return functools.reduce(DataFrame.unionByName, frames)
+SCORED = "lang string, h long, best struct<score: long, k: int, l: long, r: long>, words array<long>, a long, n long"
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, band: int = BAND) -> DataFrame:
@@ -275,50 +274,45 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, band: int
     langs = stored(langs.withColumn("reach", F.lit(0).cast("long")), "phrase-languages")  # reach: score of the last of the top so far
     known = _filters(words.select(F.lit(FRONTIER).alias("what"), F.array("h").alias("words")))[FRONTIER]
 
-    nothing = spark.createDataFrame([], f"{_PHRASE}, h long, rest array<long>")
-    phrases, rights, extended = [], [words.select("h", F.col("n").alias("r"))], []
-    new, made, low = nothing, [corpus, counted, words], least
+    settled = fresh_dir(spark, "llm-phrases-settled")  # grows by each round's settled phrases
+    made, new, low = [corpus, counted, words, langs], None, least
     highest = words.agg(F.max("n")).first()[0] or 0
-    while True:
+    while new is not None or low <= highest:
         bound = lambda f: F.expr("cast(1000 as decimal(4,0)) * cast(total as decimal(19,0))") >= F.expr(f"cast({f} as decimal(19,0)) * cast(reach as decimal(19,0))")
         reach = langs.select("lang", "reach", F.col("n").alias("total"))
-        grown = new.join(reach, "lang").where((F.size("words") < LONGEST) & bound("counts[0]")).select("lang", "words", "counts", "h")
         rare = words.drop("total").where((F.col("n") >= low) & (F.col("n") < low * band)).join(reach, "lang").where(bound("n"))
-        frontier = stored(grown.union(rare.select("lang", F.array("h"), F.array("n"), "h")), "phrase-frontier")
-        parts = new.select(F.explode(F.transform(F.sequence(F.lit(2), F.size("words") - 1), lambda k: F.slice("words", k, LONGEST))).alias("words"))             .where("size(words) > 1") if phrases else None
-        sought = frontier.select(F.lit(FRONTIER).alias("what"), "words")
+        frontier = rare.select("lang", F.array("h").alias("words"), F.array("n").alias("counts"), "h")
+        if new is not None:
+            grown = new.join(reach, "lang").where((F.size("words") < LONGEST) & bound("counts[0]"))
+            frontier = frontier.unionByName(grown.select("lang", "words", "counts", "h"))
+        frontier = stored(frontier, "phrase-frontier")
         made.append(frontier)
-        if parts is not None:
-            sought = sought.union(parts.distinct().select(F.lit(WANTED).alias("what"), "words"))
         low *= band
-        if frontier.isEmpty() and (parts is None or parts.isEmpty()):
-            if low > highest:
-                break
+        sought = frontier.select(F.lit(FRONTIER).alias("what"), "words")
+        if new is not None:
+            parts = new.select(F.explode(F.transform(F.sequence(F.lit(2), F.size("words") - 1), lambda k: F.slice("words", k, LONGEST))).alias("words"))
+            sought = sought.unionByName(parts.where("size(words) > 1").select(F.lit(WANTED).alias("what"), "words"))
+        elif frontier.isEmpty():
             continue
-        chain, front, wanted = _filters(sought)
-        seen = tokens.mapInArrow(_scan(known, chain, front, wanted), "kind byte, h long, word long, n long")
+        filters = spark.sparkContext.broadcast([known, *_filters(sought)])  # of fixed size
+        seen = tokens.mapInArrow(_scan(filters), "kind byte, h long, word long, n long")
         seen = stored(seen.groupBy("kind", "h", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least), "phrase-counts")
-        rights.append(seen.where(F.col("kind") == WHOLE).select("h", F.col("n").alias("r")))
-        extended.append(seen.where(F.col("kind") != WHOLE).groupBy("h").agg(F.max("n").alias("most")))
+        filters.destroy()  # the counts are stored
+        made.append(seen)
+        if new is not None:
+            _settled(new, seen, words, langs).select("lang", "h", "best", "words", "a", "n").write.mode("append").parquet(settled)
+            best = spark.read.schema(SCORED).parquet(settled)
+            place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("best.score").desc(), "h"))
+            last = best.select("lang", F.col("best.score").alias("reached"), place.alias("place")).where(F.col("place") == top).drop("place")
+            langs = stored(langs.join(last, "lang", "left").select("lang", "n", F.coalesce("reached", "reach").alias("reach")), "phrase-languages")
+            made.append(langs)
         found = seen.where(F.col("kind") == RIGHT).join(frontier, "h").select(
             "lang", F.concat("words", F.array("word")).alias("words"), F.concat("counts", F.array("n")).alias("counts"))
         new = stored(found.mapInArrow(_identify, f"{_PHRASE}, h long, rest array<long>"), "phrases")
-        made += [seen, new]
-        phrases.append(new)
-        if len(phrases) == 1:
-            continue
-        settled = _union(phrases[:-1])  # what was found in this round has not been extended yet
-        best = _surviving(_scored(settled, _known_rights(rights), langs), _most(extended))
-        last = best.select("lang", F.col("best.score").alias("score"), F.row_number().over(
-            Window.partitionBy("lang").orderBy(F.col("best.score").desc(), "h")).alias("place")).where(F.col("place") == top)
-        made.append(langs)
-        langs = stored(langs.drop("reach").join(last.select("lang", F.col("score").alias("reach")), "lang", "left")
-                       .fillna(0, ["reach"]), "phrase-languages")
-    made.append(langs)
-    if not phrases:
-        discard(*made)
-        return spark.createDataFrame([], "lang string, rank int, phrase string, a long, l long, r long, n long, score long")
-    best = _surviving(_scored(_union(phrases), _known_rights(rights), langs), _most(extended))
+        made.append(new)
+        if new.isEmpty():
+            new = None
+    best = spark.read.schema(SCORED).parquet(settled) if _exists(spark, settled) else spark.createDataFrame([], SCORED)
     best = best.join(langs.select("lang", "reach"), "lang").where("best.score >= reach")
     spelled = best.select("lang", "h", F.posexplode("words").alias("place", "w")).join(words.select("lang", F.col("h").alias("w"), "word"), ["lang", "w"])
     spelled = spelled.groupBy("lang", "h").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "word"))), lambda x: x["word"]), " ").alias("phrase"))
@@ -327,9 +321,18 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, band: int
     out = out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     out = stored(out.select("lang", "rank", "phrase", "a", "l", "r", "n", "score"), "collocations")
     discard(*made)
+    if _exists(spark, settled):
+        best = spark.read.schema(SCORED).parquet(settled)
+        best.stored_path = settled
+        discard(best)
     return out
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
+
+
 def _written(df: DataFrame, label: str) -> DataFrame:
     """``stored`` with zstd: word hashes repeat, which snappy does not see."""
     spark: SparkSession = df.sparkSession
@@ -341,10 +344,3 @@ def _written(df: DataFrame, label: str) -> DataFrame:
     finally:
         spark.conf.set(key, before)
 
-
-def _known_rights(rights: list[DataFrame]) -> DataFrame:
-    return _union(rights).groupBy("h").agg(F.max("r").alias("r"))
-
-
-def _most(extended: list[DataFrame]) -> DataFrame:
-    return _union(extended).groupBy("h").agg(F.max("most").alias("most"))

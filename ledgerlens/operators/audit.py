@@ -167,13 +167,45 @@ def explained(scored: DataFrame, features: list[str]) -> DataFrame:
     return d.withColumn("explanation", explanation_text(F.col("confidence_band"), F.col("top_drivers"), F.col("score")))
 
 
-def audit_reports(decisions: DataFrame) -> DataFrame:
-    """Per explained decision: outcome, confidence, probability, counterfactual, replay instruction and markdown."""
+def case_line(case: Column) -> Column:
+    """A similar case as text: transaction, label, distance to three places."""
+    distance = case["distance"].cast("decimal(18,6)").cast("decimal(18,3)").cast("string")
+    return F.concat(case["tx_id"], F.lit(" | label="), case["label"].cast("string"), F.lit(" | distance="), distance)
+
+
+def audit_reports(decisions: DataFrame, cases: DataFrame | None = None) -> DataFrame:
+    """Per explained decision: outcome, confidence, probability, counterfactual, replay instruction and markdown.
+
+    ``cases(tx_id, nearest_similar_cases)``, see ``similar_cases``, adds the column and a section of the markdown;
+    decisions without cases get an empty list and no section.
+    """
     d = decisions.withColumns({
         "counterfactual_summary": counterfactual_text(),
         "replay_instructions": F.concat(F.lit("replay "), F.col("decision_id")),
     })
-    return d.withColumn("markdown", audit_markdown())
+    d = d.withColumn("markdown", audit_markdown())
+    if cases is None:
+        return d
+    known = cases.select(F.col("tx_id").alias("_tx"), F.col("nearest_similar_cases").alias("_cases"))
+    none = F.array().cast(cases.schema["nearest_similar_cases"].dataType)
+    d = d.join(known, F.col("tx_id") == F.col("_tx"), "left").withColumn("nearest_similar_cases", F.coalesce("_cases", none)).drop("_tx", "_cases")
+    lines = F.array_join(F.transform("nearest_similar_cases", lambda x: F.concat(F.lit("- "), case_line(x))), "\n")
+    section = F.concat(F.col("markdown"), F.lit("\n\n## Nearest similar prior cases\n"), lines)
+    return d.withColumn("markdown", F.when(F.size("nearest_similar_cases") > 0, section).otherwise(F.col("markdown")))
+
+
+def similar_cases(queries: DataFrame, reference: DataFrame, features: list[str], k: int = 3) -> DataFrame:
+    """(tx_id, nearest_similar_cases): for every query row its ``k`` nearest reference rows by feature distance, as
+    (tx_id, label, distance), the nearest first, ties to the smaller id.
+
+    One batch search over all rows at once (``search.nearest_l2``: bounded cells, tiles pruned by their distance).
+    """
+    from ledgerlens.operators.search import nearest_l2
+
+    found = nearest_l2(queries, reference, features, k)
+    case = F.struct(F.col("ref_id").alias("tx_id"), "label", "distance").alias("case")
+    lists = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", case))).alias("_l"))  # k rows a query
+    return lists.select(F.col("query_id").alias("tx_id"), F.transform("_l", lambda x: x["case"]).alias("nearest_similar_cases"))
 
 
 def report_columns() -> list[Column]:

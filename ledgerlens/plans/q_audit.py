@@ -9,9 +9,11 @@ from ledgerlens.operators import conformal as cf
 from ledgerlens.operators import features as fx
 from ledgerlens.operators import search as se
 from ledgerlens.operators.cleansing import dedup_latest
+from ledgerlens.operators.splits import chronological_split
 from ledgerlens.oracle import audit as oa
 from ledgerlens.oracle import canonical as oc
 from ledgerlens.oracle import features as of
+from ledgerlens.oracle.metrics import chrono
 from ledgerlens.plans.q_metrics import part, split_frame
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import canonical as cn
@@ -177,9 +179,26 @@ def explanation_text(spark, sf):
     return decisions(spark, sf).select("decision_id", "explanation")
 
 
-@query("audit_report", oa.reports())
+def _reports_with_cases_sql() -> str:
+    """Every decision against all rows of the training split: the three nearest by feature distance."""
+    d = " + ".join(f"(CAST(q.{c} AS DOUBLE) - CAST(r.{c} AS DOUBLE)) * (CAST(q.{c} AS DOUBLE) - CAST(r.{c} AS DOUBLE))" for c in fx.FEATURE_MATRIX)
+    line = "c.id || ' | label=' || CAST(c.label AS VARCHAR) || ' | distance=' || CAST(CAST(CAST(round(sqrt(c.d), 6) AS DECIMAL(18,6)) AS DECIMAL(18,3)) AS VARCHAR)"
+    return f"""WITH g AS MATERIALIZED ({chrono(of.gold_features(oc.TX_EVENTS))}),
+n AS (SELECT q.tx_id, list_transform(min({{'d': {d}, 'id': r.tx_id, 'label': r.is_fraud}}, 3), lambda c: {line}) AS nearest_similar_cases
+      FROM g q, g r WHERE r.split = 'train' GROUP BY q.tx_id),
+d AS ({DEC}), x AS ({oa.reports('SELECT * FROM d')})
+SELECT x.* EXCLUDE (markdown), n.nearest_similar_cases, x.markdown || chr(10) || chr(10) || '## Nearest similar prior cases' || chr(10) ||
+  array_to_string(list_transform(n.nearest_similar_cases, lambda s: '- ' || s), chr(10)) AS markdown
+FROM x JOIN d USING (decision_id) JOIN n USING (tx_id)"""
+
+
+@query("audit_report", _reports_with_cases_sql())
 def audit_report(spark, sf):
-    return au.audit_reports(decisions(spark, sf)).select(*au.report_columns())
+    """Reports of all decisions, each with its three nearest cases among the training rows."""
+    gold = written(chronological_split(fx.gold_features(cn.tx_events(spark, sf))), "split-gold")
+    cases = au.similar_cases(gold, part(gold, "train"), fx.FEATURE_MATRIX)
+    return au.audit_reports(decisions(spark, sf), cases).select(
+        *au.report_columns(), F.transform("nearest_similar_cases", au.case_line).alias("nearest_similar_cases"))
 
 
 def _stamp_sql(c: str) -> str:
@@ -426,8 +445,6 @@ def payload_to_frame(spark, sf):
 
 FM = fx.FEATURE_MATRIX
 GOLD_EV = of.gold_features(oc.TX_EVENTS)
-from ledgerlens.oracle.metrics import chrono  # noqa: E402
-
 REF_SQL = f"SELECT * FROM ({chrono(GOLD_EV)}) s WHERE split = 'train'"
 
 
@@ -442,7 +459,6 @@ def _l2_sql() -> str:
 @query("nearest_l2", _l2_sql())
 def nearest_l2(spark, sf):
     """Top-3 analogues of every test transaction among all training rows."""
-    from ledgerlens.operators.splits import chronological_split
     g = written(chronological_split(fx.gold_features(cn.tx_events(spark, sf))), "split-gold")
     return se.nearest_l2(part(g, "test"), part(g, "train"), FM, k=3).withColumn("rank", F.col("rank").cast("int"))
 
