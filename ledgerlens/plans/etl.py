@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.operators import etl as ops
 from ledgerlens.operators.features import gold_features
+from ledgerlens.sources.versioned import VersionedTable
 
 # Caller-supplied run identity (the reference derives it from the wall clock
 # at one-second resolution, so two runs in a second collide).
@@ -45,3 +47,17 @@ def run_etl(raw: DataFrame, run_id: str = DEFAULT_RUN_ID, source_system: str = D
                                        row_number_col=row_number_col, profile=profile)
     quality = ops.quality_report(profiled, valid, silver)
     return EtlResult(bronze, valid, silver, quality)
+
+
+def run_ledger(spark: SparkSession, folder: str) -> VersionedTable:
+    """The ledger of loads: one row a run id.  Loads that finish at the same time both stay."""
+    return VersionedTable(spark, folder, ["run_id"], buckets=4)
+
+
+def record_run(ledger: VersionedTable, quality: DataFrame, run_id: str, created_at: str, dataset: str = "transactions",
+               source_system: str = DEFAULT_SOURCE_SYSTEM) -> int:
+    """Write a run's summary into the ledger; a run recorded again replaces its row.  Returns the ledger's version."""
+    row = quality.select(
+        F.lit(run_id).alias("run_id"), F.lit(dataset).alias("dataset_name"), F.lit(source_system).alias("source_system"), "rows_extracted",
+        "rows_valid", "rows_invalid", "rows_loaded", "duplicates_removed", F.lit(created_at).cast("timestamp_ntz").alias("created_at"))
+    return ledger.upsert(row, ["created_at"])

@@ -17,8 +17,9 @@ from ledgerlens.oracle.metrics import chrono
 from ledgerlens.plans.q_metrics import part, split_frame
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import canonical as cn
-from ledgerlens.sources.io import written
+from ledgerlens.sources.io import fresh_dir, written
 from ledgerlens.sources.tables import table
+from ledgerlens.sources.versioned import VersionedTable, as_of
 
 RUN = oa.RUN
 DEC = oa.DECISIONS
@@ -83,6 +84,9 @@ _RECORDED = " UNION ALL ".join(
         ("audit_reports", "report_json", f"SELECT r.*, t.created_at FROM ({REP_SQL}) r JOIN ({TXS_SQL}) t USING (decision_id)"))))
 
 
+STORE_BUCKETS = 16
+
+
 @query("record_decisions", f"""WITH p AS ({PRED_SQL}), first AS ({_RECORDED}),
 again AS (SELECT store, decision_id, CASE store WHEN 'predictions' THEN replace(body, '{RUN} ', 'run_logit_0002 ') ELSE body END AS body,
             recorded_at + INTERVAL 1 DAY AS recorded_at
@@ -90,7 +94,8 @@ again AS (SELECT store, decision_id, CASE store WHEN 'predictions' THEN replace(
 SELECT store, decision_id, body, recorded_at FROM (SELECT * FROM first UNION ALL SELECT * FROM again) u
 QUALIFY row_number() OVER (PARTITION BY store, decision_id ORDER BY recorded_at DESC) = 1""")
 def record_decisions(spark, sf):
-    """Upsert all four tables by decision id: re-recorded decisions replace the earlier rows."""
+    """A stored upsert of all four tables by decision id: one commit switches them together, re-recorded decisions replace
+    the earlier rows, and only buckets that hold one of them are written again."""
     d, preds, txs, rep = store(spark, sf)
     one = lambda df, name, body: df.select(F.lit(name).alias("store"), "decision_id", body.alias("body"), F.col("created_at").alias("recorded_at"))
     first = (one(txs, "transactions", F.col("payload_json")).unionByName(one(features_table(d), "features", F.col("feature_json")))
@@ -100,8 +105,10 @@ def record_decisions(spark, sf):
     newer = F.when(F.col("store") == "predictions", F.regexp_replace("body", f"^{RUN} ", "run_logit_0002 ")).otherwise(F.col("body"))
     again = first.join(fraud, "decision_id", "left_semi").select(
         "store", "decision_id", newer.alias("body"), (F.col("recorded_at") + F.expr("INTERVAL 1 DAY")).alias("recorded_at"))
-    both = first.unionByName(again).withColumn("_key", F.concat_ws("/", "store", "decision_id"))
-    return dedup_latest(both, "_key", ["recorded_at"]).drop("_key")
+    recorded = VersionedTable(spark, fresh_dir(spark, "decision-store"), ["store", "decision_id"], buckets=STORE_BUCKETS)
+    recorded.upsert(first, ["recorded_at"])
+    recorded.upsert(again, ["recorded_at"])
+    return recorded.read()
 
 
 REPLAY_SQL = f"""SELECT decision_id, 'replayed' AS status, created_at + INTERVAL 1 DAY AS replayed_at FROM ({PRED_SQL}) p
@@ -119,9 +126,13 @@ def replay_events(d):
 @query("replay_log", f"""SELECT e.decision_id, e.status, e.replayed_at, p.prediction_json, p.replay_hash
 FROM ({REPLAY_SQL}) e JOIN ({PRED_SQL}) p USING (decision_id)""")
 def replay_log(spark, sf):
-    """Append replay events and return the stored decision each one replays (no recompute)."""
+    """Append replay events to the stored log and return the stored decision each one replays (no recompute)."""
     d, preds, _, _ = store(spark, sf)
-    return replay_events(d).join(preds.select("decision_id", "prediction_json", "replay_hash"), "decision_id").select(
+    log = VersionedTable(spark, fresh_dir(spark, "replay-log"), ["decision_id"], buckets=STORE_BUCKETS)
+    events = replay_events(d)
+    for status in ("replayed", "verified"):
+        log.append(events.where(F.col("status") == status))
+    return log.read().join(preds.select("decision_id", "prediction_json", "replay_hash"), "decision_id").select(
         "decision_id", "status", "replayed_at", "prediction_json", "replay_hash")
 
 
@@ -271,26 +282,48 @@ def recent_decisions(spark, sf):
                     F.col("markdown").isNotNull().alias("has_report")).orderBy(F.desc("decision_id")).limit(10)
 
 
-# Versions of the fitted parts behind a run, as its record names them.
-VERSIONS = {"model_id": "logit", "model_version": "1", "calibration_version": "identity-1", "conformal_version": "split-0.05"}
+# The registry's versions of a run's fitted parts, with the days after the first transaction from which they hold.
+VERSION_DAYS = (0, 9, 17)
+VERSIONS_SQL = f"""SELECT '{RUN}' AS model_run_id, (SELECT min("timestamp") FROM ({oc.TX_EVENTS}) e) + to_days(CAST(v.days AS INTEGER)) AS valid_from,
+  'logit' AS model_id, CAST(v.n AS VARCHAR) AS model_version, 'identity-' || CAST(v.n AS VARCHAR) AS calibration_version,
+  'split-0.05-' || CAST(v.n AS VARCHAR) AS conformal_version
+FROM (VALUES {', '.join(f"({i + 1}, {x})" for i, x in enumerate(VERSION_DAYS))}) v(n, days)"""
+
+
+def registered_versions(spark, sf):
+    """The stored table of versions: each registered by an append of its own, valid until its run's next one."""
+    table_ = VersionedTable(spark, fresh_dir(spark, "versions"), ["model_run_id"], buckets=2)
+    start = cn.tx_events(spark, sf).agg(F.min("timestamp").alias("t"))
+    for i, days in enumerate(VERSION_DAYS, 1):
+        table_.append(start.select(
+            F.lit(RUN).alias("model_run_id"), (F.col("t") + F.make_dt_interval(days=F.lit(days))).alias("valid_from"),
+            F.lit("logit").alias("model_id"), F.lit(str(i)).alias("model_version"), F.lit(f"identity-{i}").alias("calibration_version"),
+            F.lit(f"split-0.05-{i}").alias("conformal_version")))
+    return table_.read()
 
 
-@query("decision_lineage", f"""SELECT p.decision_id, p.tx_id, p.model_run_id, {', '.join(f"'{v}' AS {k}" for k, v in VERSIONS.items())},
-  t.payload_json, f.feature_json, r.decision_id IS NOT NULL AS has_report,
+@query("decision_lineage", f"""SELECT p.decision_id, p.tx_id, p.model_run_id, v.valid_from AS version_from, v.model_id, v.model_version,
+  v.calibration_version, v.conformal_version, t.payload_json, f.feature_json, r.decision_id IS NOT NULL AS has_report,
   coalesce(list(e.status ORDER BY e.replayed_at DESC) FILTER (WHERE e.status IS NOT NULL), []) AS replay_history,
   count(e.status) AS n_replays
 FROM ({PRED_SQL}) p JOIN ({TXS_SQL}) t USING (decision_id) JOIN ({FEAT_SQL}) f USING (decision_id)
-LEFT JOIN ({REP_SQL}) r USING (decision_id) LEFT JOIN ({REPLAY_SQL}) e ON e.decision_id = p.decision_id
-GROUP BY p.decision_id, p.tx_id, p.model_run_id, t.payload_json, f.feature_json, r.decision_id""")
+ASOF LEFT JOIN ({VERSIONS_SQL}) v ON v.model_run_id = p.model_run_id AND v.valid_from <= p.created_at
+LEFT JOIN ({REP_SQL}) r ON r.decision_id = p.decision_id LEFT JOIN ({REPLAY_SQL}) e ON e.decision_id = p.decision_id
+GROUP BY p.decision_id, p.tx_id, p.model_run_id, v.valid_from, v.model_id, v.model_version, v.calibration_version, v.conformal_version,
+  t.payload_json, f.feature_json, r.decision_id""")
 def decision_lineage(spark, sf):
+    """What led to a decision: the versions of its run that were valid when it was made (as-of join), inputs, report, replays."""
     d, preds, txs, rep = store(spark, sf)
     hist = replay_events(d).groupBy("decision_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("replayed_at", "status")), asc=False), lambda x: x["status"]).alias("_h"),
         F.count(F.lit(1)).alias("n_replays"))
-    j = (preds.join(txs.select("decision_id", "payload_json"), "decision_id")
+    made = as_of(preds.select("decision_id", "tx_id", "model_run_id", "created_at"), registered_versions(spark, sf), "model_run_id",
+                 "created_at", "valid_from")
+    j = (made.join(txs.select("decision_id", "payload_json"), "decision_id")
          .join(features_table(d).select("decision_id", "feature_json"), "decision_id")
          .join(rep.select("decision_id", F.lit(True).alias("_r")), "decision_id", "left").join(hist, "decision_id", "left"))
-    return j.select("decision_id", "tx_id", "model_run_id", *[F.lit(v).alias(k) for k, v in VERSIONS.items()], "payload_json", "feature_json",
+    return j.select("decision_id", "tx_id", "model_run_id", F.col("valid_from").alias("version_from"), "model_id", "model_version",
+                    "calibration_version", "conformal_version", "payload_json", "feature_json",
                     F.col("_r").isNotNull().alias("has_report"),
                     F.coalesce("_h", F.array().cast("array<string>")).alias("replay_history"),
                     F.coalesce("n_replays", F.lit(0)).alias("n_replays"))

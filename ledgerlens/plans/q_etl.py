@@ -276,15 +276,13 @@ SELECT run_id, 'transactions' AS dataset_name, '{DEFAULT_SOURCE_SYSTEM}' AS sour
 FROM runs, q QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY created_at DESC) = 1
 ORDER BY created_at DESC LIMIT 10""")
 def etl_run_ledger(spark, sf):
-    """Upsert run summaries by run id (latest write wins), then list the newest runs."""
-    from ledgerlens.operators.governance import latest_per_key
-    q = run_etl(cn.raw_government(spark, sf), source_path=RAW_PATH).quality
-    runs = spark.createDataFrame(LEDGER_RUNS, "run_id string, created_at string").select(
-        "run_id", F.col("created_at").cast("timestamp_ntz").alias("created_at"))
-    rows = runs.crossJoin(q).select(
-        "run_id", F.lit("transactions").alias("dataset_name"), F.lit(DEFAULT_SOURCE_SYSTEM).alias("source_system"),
-        "rows_extracted", "rows_valid", "rows_invalid", "rows_loaded", "duplicates_removed", "created_at")
-    return latest_per_key(rows, "run_id", "created_at").orderBy(F.desc("created_at")).limit(10)
+    """Every load records its run in the stored ledger, an upsert by run id; the query lists the ledger's newest runs."""
+    from ledgerlens.plans.etl import record_run, run_ledger
+    q = io.written(run_etl(cn.raw_government(spark, sf), source_path=RAW_PATH).quality, "quality")
+    ledger = run_ledger(spark, io.fresh_dir(spark, "ledger"))
+    for run, at in LEDGER_RUNS:
+        record_run(ledger, q, run, at)
+    return ledger.read().orderBy(F.desc("created_at")).limit(10)
 
 
 @query("lakehouse_views", oe.silver("etl_run_0002"))
