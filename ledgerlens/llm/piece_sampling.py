@@ -117,6 +117,8 @@ class Lattices:
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self.raw_bytes = np.frombuffer(b"".join(vocabulary.raw), np.uint8)  # all pieces' bytes and where each begins
+        self.raw_at = np.concatenate([[0], np.cumsum([len(x) for x in vocabulary.raw])])
         self.clear()
 
     def clear(self):
@@ -191,43 +193,47 @@ class Lattices:
                 found.append((n, starts, ids))
             go = hit & (rem[at] > n)
             at, h = at[go], h[go]
-        # one row per character, one column per piece length that occurs, the longest first
+        # one column per character, one row per piece length that occurs, the longest first
         found.reverse()
-        ahead = np.array([n for n, _, _ in found])
-        weight = np.full((len(chars), len(found)), -np.inf)
-        piece = np.zeros((len(chars), len(found)), np.int32)
-        for col, (_, starts, ids) in enumerate(found):
-            weight[starts, col] = v.weight[np.where(ids >= 0, ids, len(v.weight) - 1)]
-            piece[starts, col] = ids
+        ahead = np.array([n for n, _, _ in found], np.int64)
+        weight = np.full((len(found), len(chars)), -np.inf)
+        piece = np.zeros((len(found), len(chars)), np.int32)
+        for r, (_, starts, ids) in enumerate(found):
+            weight[r, starts] = v.weight[np.where(ids >= 0, ids, len(v.weight) - 1)]
+            piece[r, starts] = ids
         node = np.arange(len(chars)) + np.repeat(np.arange(len(chunks)), lens)  # every chunk has one more node: its end
         beta = np.zeros(len(chars) + len(chunks) + ahead.max(initial=1))
         order = np.argsort(rem, kind="stable")  # from the chunk ends backwards
         cuts = np.searchsorted(rem[order], np.arange(1, rem.max() + 2)) if len(rem) else np.zeros(1, int)
-        for a, b in zip(cuts, cuts[1:], strict=False):
+        fits = np.searchsorted(-ahead, -np.arange(1, len(cuts)))  # no piece is longer than what is left of the chunk
+        for a, b, r in zip(cuts, cuts[1:], fits, strict=False):
             i = order[a:b]
-            val = weight[i] + beta[node[i][:, None] + ahead]
-            top = val.max(1)
-            beta[node[i]] = top + np.log(np.exp(val - top[:, None]).sum(1))
-        logp = np.minimum(weight + beta[node[:, None] + ahead] - beta[node][:, None], 0.0)
-        there = weight > -np.inf
+            val = weight[r:, i] + beta[node[i] + ahead[r:, None]]
+            top = val.max(0)
+            val -= top
+            beta[node[i]] = top + np.log(np.exp(val, out=val).sum(0))
+        there = np.ascontiguousarray((weight > -np.inf).T)
         count = there.sum(1)
-        logp[count == 1] = np.where(there[count == 1], 0.0, -np.inf)
+        row, col = np.nonzero(there)
+        logp = np.minimum(weight[col, row] + beta[node[row] + ahead[col]] - beta[node[row]], 0.0)
+        logp[count[row] == 1] = 0.0
         p = np.exp(logp)
-        cum = np.cumsum(p, axis=1)
-        cum[np.arange(len(chars)), len(found) - 1 - there[:, ::-1].argmax(1)] = 2.0
+        cum = np.zeros(there.shape)
+        cum[row, col] = p
+        cum = np.cumsum(cum, axis=1, out=cum)[row, col]
+        cum[np.append(row[1:] != row[:-1], True)] = 2.0
         with np.errstate(divide="ignore"):
             rest = np.log1p(-p)
-        row, col = np.nonzero(there)
         span = ahead[col]
         edges_of = np.zeros(len(chars) + len(chunks), np.int64)
         edges_of[node] = count
         first_node = self.first.n - 1
         self.first.add(self.piece.n + np.cumsum(edges_of))
-        self.piece.add(piece[row, col])
+        self.piece.add(piece[col, row])
         self.span.add(np.where(rem[row] == span, -span, span))
-        self.cum.add(cum[row, col])
-        self.logp.add(logp[row, col])
-        self.rest.add(rest[row, col])
+        self.cum.add(cum)
+        self.logp.add(logp)
+        self.rest.add(rest)
         return (first_node + np.concatenate([[0], (ends + np.arange(1, len(chunks) + 1))[:-1]])).tolist()
 
 
@@ -377,13 +383,18 @@ def token_ids(lat: Lattices, edges: np.ndarray) -> np.ndarray:
     return np.concatenate([*parts, piece[at:]])
 
 
-def _decoded(vocabulary: Vocabulary, ids) -> bytes:
-    return b"".join(map(vocabulary.raw.__getitem__, ids)).removeprefix(b" ")
+def _bytes_of(lat: Lattices, ids: np.ndarray, lens) -> list[bytes]:
+    """Decoded bytes of many id sequences that stand one after the other: one gather from the pieces' bytes."""
+    begin, size = lat.raw_at[ids], lat.raw_at[ids + 1] - lat.raw_at[ids]
+    ends = np.concatenate([[0], np.cumsum(size)])
+    joined = lat.raw_bytes[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+    at = ends[np.concatenate([[0], np.cumsum(lens)])].tolist()
+    return [joined[a:b].removeprefix(b" ") for a, b in zip(at, at[1:], strict=False)]
 
 
 def decode(vocabulary: Vocabulary, ids) -> str:
     """Text of the ids: pieces and bytes joined, the space in front of the first piece dropped."""
-    return _decoded(vocabulary, ids).decode("utf-8", "replace")
+    return b"".join(map(vocabulary.raw.__getitem__, ids)).removeprefix(b" ").decode("utf-8", "replace")
 
 
 def decode_ids(samples: DataFrame, ids_col: str = "ids", tokenizer: str = TOKENIZER) -> DataFrame:
@@ -445,22 +456,22 @@ def encode_samples(documents: DataFrame, k: int = 2, id_col: str = "doc_id", tex
 
 def _encoded(lat: Lattices, id_column, keys, texts, k, seed) -> pa.RecordBatch:
     found, kappa = sample_batch(lat, [t or "" for t in texts], keys, k, seed)
-    row, rank, ids, size, logp, value, incl, same = [], [], [], [], [], [], [], []
+    row, rank, ids, size, logp, value, incl = [], [], [], [], [], [], []
     for d, samples in enumerate(found):
         if texts[d] is None:
             row.append(d), rank.append(1), ids.append(None), size.append(None)
-            logp.append(None), value.append(None), incl.append(None), same.append(None)
+            logp.append(None), value.append(None), incl.append(None)
             continue
-        data = texts[d].encode("utf-8", "surrogatepass")
         for r, (edges, lp, g) in enumerate(samples, 1):
             tokens = token_ids(lat, edges)
             row.append(d), rank.append(r), ids.append(tokens), size.append(len(tokens))
             logp.append(lp), value.append(g)
-            same.append(_decoded(lat.v, tokens.tolist()) == data)
             x = lp - kappa[d]  # log(1 - exp(-exp(x)))
             incl.append(0.0 if x > 5 else x if x < -30 else math.log(-math.expm1(-math.exp(x))))
     lens = np.array([0 if x is None else len(x) for x in ids], np.int64)
     flat = np.concatenate([x for x in ids if x is not None and len(x)]) if lens.any() else np.empty(0, np.int32)
+    data = [None if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    same = [None if data[d] is None else text == data[d] for d, text in zip(row, _bytes_of(lat, flat, lens), strict=True)]
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)),
                                      pa.array(flat.astype(np.int32)), mask=pa.array([x is None for x in ids]))
     return pa.RecordBatch.from_arrays(
