@@ -7,7 +7,7 @@ Loose tokens (kind ``blob``) only become findings when ownership says so.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import attach, stored
@@ -20,41 +20,47 @@ HEX = r"[0-9a-f]{32,}+"
 BLOB = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx"
 
-_SPAN = "array<struct<kind:int,start:int,end:int,value:string>>"
+_HIT = "array<struct<kind:int,no:int,gap:int,size:int,value:string>>"
 
 
 def matches(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
-    """Array of (kind, start, end, value) of all leftmost non-overlapping matches; code points, end exclusive.
+    """Array of (kind, number, characters since the match before, length, value) of all leftmost non-overlapping matches.
 
-    The text between matches comes from splitting at the same pattern; positions are running lengths.
+    The text between matches comes from splitting at the same pattern; ``located`` adds the lengths up.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["hit"])
-        value = pair["hit"] if group == 0 else F.regexp_extract(pair["hit"], pattern, group)
-        span = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found,
-                       lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    # zipped, as an array that a lambda names is built again for each element; the last gap has no match
+    pairs = F.zip_with(gaps, found, lambda gap, hit: F.struct(F.length(gap).alias("gap"), hit.alias("hit")))
+    hits = F.transform(pairs, lambda p, i: F.struct(
+        F.lit(kind).alias("kind"), i.alias("no"), p["gap"].alias("gap"), F.length(p["hit"]).alias("size"),
+        (p["hit"] if group == 0 else F.regexp_extract(p["hit"], pattern, group)).alias("value")))
+    return F.filter(hits, lambda x: x["value"].isNotNull())
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text, by kind and start."""
-    none = F.array().cast(_SPAN)
-    assign = F.when(text.rlike(ASSIGN), F.filter(matches(text, ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= 8))
+    """All matches of a text, kind by kind."""
+    none = F.array().cast(_HIT)
+    assign = F.when(text.rlike(ASSIGN), matches(text, ASSIGN, 0, 2))
     access = F.when(text.contains("AKIA"), matches(text, ACCESS, 1))
     hexes = F.when(text.rlike(HEX), matches(text, HEX, 2))
-    blob = F.when(text.rlike("[0-9]") & text.rlike(BLOB), F.filter(
-        matches(text, BLOB, 3), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]")))
+    blob = F.when(text.rlike("[0-9]") & text.rlike(BLOB), matches(text, BLOB, 3))
     return F.concat(*[F.coalesce(x, none) for x in (assign, access, hexes, blob)])
 
 
+def located(hits: DataFrame) -> DataFrame:
+    """Candidates with ``start`` and ``end`` (code points, end exclusive) from the hits of each (row, kind), a row each.
+
+    Running lengths by a window over one text's matches of one kind.  Assignments of values under 8 characters and
+    blobs without a digit and a letter are no candidates.
+    """
+    upto = Window.partitionBy("row", "kind").orderBy("no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum(F.col("gap") + F.col("size")).over(upto).cast("int")
+    placed = hits.withColumn("end", end).withColumn("start", F.col("end") - F.col("size"))
+    kind, value = F.col("kind"), F.col("value")
+    return placed.where(((kind != 0) | (F.length(value) >= 8)) & ((kind != 3) | (value.rlike("[0-9]") & value.rlike("[A-Za-z]")))).drop("no", "gap", "size")
+
+
 def ownership(found: DataFrame, example_owners: int) -> DataFrame:
     """``hash, verdict`` from ``found(hash, repo, owner, value_random)``: example, shared or live."""
     holders = stored(found.groupBy("hash", "repo", "owner").agg(F.max("random").alias("random")), "secret-holders")
@@ -81,10 +87,10 @@ def scan_secrets(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"),
         null_safe(F.lit(None) if repo is None else repo).alias("repo"),
         null_safe(F.lit(None) if owner is None else owner).alias("owner"), candidates(text).alias("found")), "secrets")
-    one = rows.where(F.size("found") > 0).select("row", "repo", "owner", F.explode("found").alias("s"))
-    looks_random = (F.size(F.array_distinct(F.split("s.value", ""))) >= 8) & ~F.col("s.value").rlike(PLACEHOLDER)
-    one = one.select("row", "repo", "owner", "s.kind", "s.start", "s.end", F.sha2("s.value", 256).alias("hash"),
-                     looks_random.alias("random"))
+    one = located(rows.where(F.size("found") > 0).select("row", "repo", "owner", F.inline("found")))
+    looks_random = (F.size(F.array_distinct(F.split("value", ""))) >= 8) & ~F.col("value").rlike(PLACEHOLDER)
+    one = stored(one.select("row", "repo", "owner", "kind", "start", "end", F.sha2("value", 256).alias("hash"), looks_random.alias("random")),
+                 "secret-candidates")
     judged = attach(one, ["hash"], ownership(one, example_owners).select("hash", "verdict"), F.col("row"))
     judged = judged.where((F.col("kind") < 3) | (F.col("verdict") == "live"))
     spans = judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "verdict"))).alias("spans"))
