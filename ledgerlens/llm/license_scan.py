@@ -1,6 +1,6 @@
 """Licence scan: sparse TF-IDF cosine of notices to templates, then nearest-ancestor inheritance; DataFrame functions only.
 
-Every line with a licence word, alone and with the lines after it, is compared with the templates.  Document
+Every line with a licence word, alone and in blocks with the lines around it, is compared with the templates.  Document
 frequencies of the template terms are counted over all files.  Files without a licence of their own take that of the
 nearest directory above them that holds a licence file, found by joins on directory paths.
 """
@@ -12,32 +12,67 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import attach, stored
 
-# Licence ids and the wording of their usual notices.
+_GNU = ("This {what} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} License as "
+        "published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version.")
+_GNU_FILE = ("GNU {kind} LICENSE Version {version}, {date} Copyright (C) {years} Free Software Foundation, Inc. Everyone is permitted to "
+             "copy and distribute verbatim copies of this license document, but changing it is not allowed.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: {one} Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. {two} Redistributions in binary form must reproduce the above copyright notice, this list of conditions "
+        "and the following disclaimer in the documentation and/or other materials provided with the distribution.")
+_BSD_NAMES = (" {three} Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+              "products derived from this software without specific prior written permission.")
+_AS_IS = (" THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+          "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.")
+
+
+def _gnu(licence: str, kind: str, version: str, date: str, years: str, whats=("program",)) -> tuple[tuple[str, str], ...]:
+    return ((licence, f"This work is licensed under the GNU {kind} License, version {version}."),
+            *[(licence, _GNU.format(what=what, kind=kind, version=version)) for what in whats],
+            (licence, _GNU_FILE.format(kind=kind, version=version, date=date, years=years)))
+
+
+# Licence ids and the wording of their usual notices, headers and the heads of their files.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
                    "compliance with the License. You may obtain a copy of the License at "
                    "http://www.apache.org/licenses/LICENSE-2.0"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+                   "REPRODUCTION, AND DISTRIBUTION"),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
             "associated documentation files (the Software), to deal in the Software without restriction"),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
-                "General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("ISC", "Released under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+            "provided that the above copyright notice and this permission notice appear in all copies."),
+    *_gnu("GPL-2.0", "General Public", "2", "June 1991", "1989, 1991"),
+    *_gnu("GPL-3.0", "General Public", "3", "29 June 2007", "2007"),
+    *_gnu("LGPL-2.1", "Lesser General Public", "2.1", "February 1999", "1991, 1999", ("program", "library")),
+    *_gnu("LGPL-3.0", "Lesser General Public", "3", "29 June 2007", "2007", ("program", "library")),
+    *_gnu("AGPL-3.0", "Affero General Public", "3", "19 November 2007", "2007"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("BSD-2-Clause", _BSD.format(one="1.", two="2.") + _AS_IS),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted "
-                     "provided that the following conditions are met"),
+    ("BSD-3-Clause", _BSD.format(one="1.", two="2.") + _BSD_NAMES.format(three="3.") + _AS_IS),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which "
+                "accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which "
+                "is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work, "
+                "dedicated to the public domain under CC0 1.0 Universal."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
-ANCHOR = r"(?i)licen[cs]e|licensed|copyright|public domain|permission is hereby|redistribution and use"
+ANCHOR = r"(?i)licen[cs]e|licensed|copyright|public domain|permission is hereby|redistribution and use|creative commons"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
-BLOCK_LINES = 4
+#: Blocks around a line with a licence word: (lines before it, lines in all).  Headers wrap, so a block may begin earlier;
+#: the longest one holds a whole file of the BSD kind.
+BLOCKS = ((0, 4), (1, 4), (2, 4), (0, 24))
 
 
 def terms(text: Column) -> Column:
@@ -45,13 +80,18 @@ def terms(text: Column) -> Column:
 
 
 def passages(text: Column) -> Column:
-    """Every line with a licence word, and the same line with those after it (``BLOCK_LINES`` in all)."""
+    """Every line with a licence word, and the blocks of lines around it."""
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    n = F.size(lines)
-    starts = F.filter(F.sequence(F.lit(1), n), lambda i: F.element_at(lines, i.cast("int")).rlike(ANCHOR))
-    block = lambda i: F.array_join(F.slice(lines, i, F.lit(BLOCK_LINES)), "\n")
-    both = F.concat(F.transform(starts, lambda i: F.element_at(lines, i.cast("int"))), F.transform(starts, block))
-    return F.when(text.rlike(ANCHOR), F.array_distinct(both)).otherwise(F.array().cast("array<string>"))
+    starts = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(ANCHOR), i + 1)), lambda i: i.isNotNull())
+
+    def block(held: Column, i: Column, before: int, size: int) -> Column:
+        return F.array_join(F.slice(held["lines"], F.greatest(F.lit(1), i - before), F.least(F.lit(size), size - before + i - 1)), "\n")
+
+    # the lines are bound to a lambda's variable, as an expression in a lambda is evaluated again for each element
+    held = F.array(F.struct(lines.alias("lines"), starts.alias("starts")))
+    every = F.flatten(F.transform(held, lambda h: F.flatten(F.transform(h["starts"], lambda i: F.array(
+        F.get(h["lines"], i - 1), *[block(h, i, *b) for b in BLOCKS])))))
+    return F.when(text.rlike(ANCHOR), F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
 
 
 def template_terms(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
@@ -77,9 +117,8 @@ def notice_scores(files: DataFrame, texts: DataFrame, n_files: int, threshold: f
     norms = weights.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     # a term outside the templates weighs as one that no file has
     one = files.where(F.size("passages") > 0).select("row", F.posexplode("passages").alias("no", "passage"))
-    one = one.withColumn("terms", terms(F.col("passage")))
-    per_term = one.select("row", "no", F.col("terms"), F.explode(F.array_distinct("terms")).alias("term")).withColumn(
-        "tf", F.size(F.filter("terms", lambda t: t == F.col("term"))).cast("double")).drop("terms")
+    per_term = one.select("row", "no", F.explode(terms(F.col("passage"))).alias("term")).groupBy("row", "no", "term").agg(
+        F.count(F.lit(1)).cast("double").alias("tf"))
     term_idf = weights.select("term", F.col("idf").alias("i")).distinct()
     weighted = per_term.join(F.broadcast(term_idf), "term", "left").withColumn(
         "w_p", F.col("tf") * F.coalesce("i", idf(F.lit(0.0))))

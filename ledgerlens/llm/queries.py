@@ -209,9 +209,10 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _op6_sql() -> str:
-    from ledgerlens.llm.license_scan import ANCHOR, BLOCK_LINES, TEMPLATES, TERM
+    from ledgerlens.llm.license_scan import ANCHOR, BLOCKS, TEMPLATES, TERM
 
     quote = lambda s: "'" + s.replace("'", "''") + "'"
+    blocks = ", ".join(f"array_to_string(lines[greatest(1, i - {b}):i + {n - 1 - b}], chr(10))" for b, n in BLOCKS)
     values = ", ".join(f"({i}, {quote(k)}, {quote(t)})" for i, (k, t) in enumerate(TEMPLATES))
     return f"""
 WITH f AS (
@@ -227,7 +228,7 @@ n AS (SELECT count(*) AS n FROM documents),
 w AS (SELECT tt.*, ln((1.0 + n.n) / (1.0 + coalesce(df.df, 0))) + 1.0 AS idf FROM tt LEFT JOIN df USING (term), n),
 tn AS (SELECT template, licence, sqrt(sum(tf * idf * tf * idf)) AS t_norm FROM w GROUP BY ALL),
 s AS (SELECT doc_id, lines, unnest(list_filter(range(1, len(lines) + 1), lambda i: regexp_matches(lines[i], '{ANCHOR}'))) AS i FROM r),
-p AS (SELECT doc_id, unnest([lines[i], array_to_string(lines[i:i + {BLOCK_LINES - 1}], chr(10))]) AS passage FROM s),
+p AS (SELECT doc_id, unnest([lines[i], {blocks}]) AS passage FROM s),
 q AS (SELECT DISTINCT doc_id, passage FROM p),
 u AS (SELECT doc_id, passage, unnest(regexp_extract_all(lower(passage), '{TERM}')) AS term FROM q),
 x AS (SELECT doc_id, passage, u.term, count(*) AS tf FROM u GROUP BY ALL),

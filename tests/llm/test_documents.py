@@ -286,3 +286,77 @@ def test_queries_on_a_table_of_odd_rows(spark, name, tmp_path):
     docs = _docs(spark)
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert QUERIES[name](spark, str(tmp_path)).count() == docs.count()
+
+
+# ---------------------------------------------------------------- standard headers, long lines, many matches
+
+_GPL = """This program is free software{c} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{d} either version {v} of the License, or
+(at your option) any later version."""
+_BSD = """Copyright (c) 2019, Jane Doe
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+_NAMES = """3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+_DISCLAIMER = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED.
+"""
+HEADERS = [
+    ("GPL-2.0", "#!/bin/sh\n" + "\n".join("# " + x for x in _GPL.format(c=";", d=";", v=2).split("\n")) + "\nexit 0\n"),
+    ("GPL-3.0", "/*\n" + "\n".join(" * " + x for x in _GPL.format(c=":", d=",", v=3).split("\n")) + "\n */\nint main;\n"),
+    ("LGPL-2.1", _GPL.format(c=";", d=";", v="2.1").replace("program", "library").replace("General", "Lesser General")),
+    ("LGPL-3.0", _GPL.format(c=":", d=",", v=3).replace("General", "Lesser General")),
+    ("AGPL-3.0", _GPL.format(c=":", d=",", v=3).replace("General", "Affero General")),
+    ("BSD-2-Clause", _BSD + _DISCLAIMER), ("BSD-3-Clause", _BSD + _NAMES + _DISCLAIMER),
+    ("ISC", "Copyright 2020 Jane Doe\n\nPermission to use, copy, modify, and/or distribute this software for any\n"
+            "purpose with or without fee is hereby granted, provided that the above\n"
+            "copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\""),
+    ("Apache-2.0", "                                 Apache License\n                           Version 2.0, January 2004\n"
+                   "                        http://www.apache.org/licenses/\n\n"
+                   "   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n"),
+    ("GPL-3.0", "                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n"
+                " Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n"
+                " Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n"),
+    ("MIT", "MIT License\n\nCopyright (c) 2021 Jane Doe\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\n"
+            "of this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including"),
+    ("CC0-1.0", "Creative Commons Legal Code\n\nCC0 1.0 Universal\n"),
+    ("EPL-2.0", "This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\n"
+                "which is available at https://www.eclipse.org/legal/epl-2.0/\n"),
+    (None, "We discussed the copyright of the text, and who may use it."), (None, "A licence to fish is sold at the lake."),
+]
+
+
+def test_standard_headers(spark):
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(HEADERS)], "doc_id long, text string")
+    got = {r.doc_id: (r.licence, r.cosine) for r in license_scan.scan_licences(df, F.lit("f"), licence_file=F.lit(False), carry=("doc_id",)).collect()}
+    assert [(i, got[i][0]) for i in sorted(got)] == [(i, k) for i, (k, _) in enumerate(HEADERS)], got
+
+
+def test_a_very_long_line_with_a_licence_word(spark):
+    words = " ".join(f"w{i}" for i in range(60_000))
+    df = spark.createDataFrame([(1, words + " license " + words), (2, "Released under the MIT License.")], "doc_id long, text string")
+    got = {r.doc_id: r.licence for r in license_scan.scan_licences(df, F.col("doc_id").cast("string"), licence_file=F.lit(False), carry=("doc_id",)).collect()}
+    assert got == {1: None, 2: "MIT"}
+
+
+def test_secrets_of_a_checksum_file(spark):
+    line = "0123456789abcdef" * 2
+    df = spark.createDataFrame([(1, "\n".join([line] * 100_000)), (2, "nothing")], "doc_id long, text string")
+    out = secret_scan.scan_secrets(df).select("doc_id", F.size(F.filter("spans", lambda s: s["kind"] == 2)).alias("n"),
+                                              F.aggregate("spans", F.lit(0), lambda a, s: F.greatest(a, s["end"])).alias("end"))
+    assert {r.doc_id: (r.n, r.end) for r in out.collect()} == {1: (100_000, 33 * 100_000 - 1), 2: (0, 0)}

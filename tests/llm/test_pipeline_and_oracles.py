@@ -96,3 +96,18 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
 def test_pipeline_run_follows_the_stages(spark):
     got = corpus_pipeline.run(spark, SF_SMALL)
     assert got.count() == got.where(F.size("ids") > 0).count() > 0
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    source = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    long = lambda seed: " ".join(f"{seed}{i}" for i in range(60))
+    rows = [(1, long("a"), "en", "s", 1), (1, long("b"), "en", "s", 2),  # two texts under one id
+            (5, long("a") + " end", "en", "s", 3), (5, long("c"), "en", "s", 4),  # one is a near copy of a text of id 1
+            (7, long("d"), "en", "s", 6), (7, long("d"), "en", "s", 5), (7, long("d"), "en", "s", 5),  # one document thrice
+            (9, long("b"), "de", "t", 7), (None, long("a"), "en", "s", 8), (None, None, None, None, None), (11, None, "en", "s", 0), (11, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, source.schema)
+    got = sorted(((r.doc_id, r.n_chars) for r in corpus_pipeline.near_duplicates(spark, docs, SF_SMALL).collect()), key=repr)
+    assert got == sorted([(1, 1), (1, 2), (5, 4), (7, 5), (None, 8), (None, None), (11, 0), (11, 0)], key=repr)
+    unique = docs.dropDuplicates(["doc_id"]).where("doc_id is not null")
+    out = corpus_pipeline.near_duplicates(spark, unique, SF_SMALL)
+    assert out.columns == docs.columns
