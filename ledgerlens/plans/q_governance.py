@@ -9,6 +9,7 @@ from ledgerlens.operators import features as fx
 from ledgerlens.operators import governance as gv
 from ledgerlens.operators import graph as gr
 from ledgerlens.operators import metrics as mt
+from ledgerlens.operators import sketches as sk
 from ledgerlens.oracle import canonical as oc
 from ledgerlens.oracle import features as of
 from ledgerlens.oracle import graph as og
@@ -16,7 +17,8 @@ from ledgerlens.oracle import metrics as om
 from ledgerlens.plans.q_metrics import RUNS_SQL, _halves_sql, eval_runs, halves
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import canonical as cn
-from ledgerlens.sources.io import written
+from ledgerlens.sources.io import fresh_dir, written
+from ledgerlens.sources.versioned import VersionedTable
 
 MODELS = ["logit", "amount_rank", "blend"]
 SENSITIVE = ["channel", "mcc"]
@@ -237,3 +239,41 @@ def fill_null_features(spark, sf):
        f"{', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in fx.FEATURE_MATRIX)} FROM ({of.gold_features(oc.TX_LINEITEM)}) g")
 def feature_matrix(spark, sf):
     return fx.feature_matrix(fx.gold_features(cn.tx_lineitem(spark, sf)))
+
+
+# ------------------------------------------------------------------ stored sketches
+
+SKETCHED = [*fx.FEATURE_MATRIX, "is_fraud"]
+
+
+def _sketch_sql() -> str:
+    part = """SELECT '{c}' AS "column", _is_ref, count(*) AS n, count(*) - count({c}) AS nulls, CAST(min({c}) AS DOUBLE) AS low, CAST(max({c}) AS DOUBLE) AS high
+FROM g GROUP BY _is_ref"""
+    pick = ", ".join(f"any_value({c}) FILTER ({'' if s == 'ref' else 'NOT '}_is_ref) AS {s}_{c if c != 'n' else 'rows'}"
+                     for s in ("ref", "cur") for c in ("n", "nulls", "low", "high"))
+    return f"""WITH g AS ({_halves_sql(of.gold_features(oc.TX_EVENTS))}), p AS ({' UNION ALL '.join(part.format(c=c) for c in SKETCHED)})
+SELECT "column", {pick}, true AS medians_in_bound, true AS distinct_in_bound FROM p GROUP BY "column\""""
+
+
+@query("sketch_drift", _sketch_sql())
+def sketch_drift(spark, sf):
+    """Daily sketches, appended to a stored table and merged into both halves; the medians' ranks and the distinct counts
+    are held against the data's own."""
+    gold = written(fx.gold_features(cn.tx_events(spark, sf)), "gold")
+    ref, cur = halves(gold)
+    table = VersionedTable(spark, fresh_dir(spark, "sketches"), ["run_id", "column"], buckets=4)
+    for side, df in (("ref", ref), ("cur", cur)):
+        table.append(sk.sketch_runs(df, F.concat(F.lit(f"{side}-"), F.to_date("timestamp").cast("string")), SKETCHED))
+    both = written(sk.compare(table.read(), F.col("run_id").startswith("ref-")), "sketch-profile")
+    exact = None
+    for side, df in (("ref", ref), ("cur", cur)):
+        long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in SKETCHED])))
+        at = long.join(F.broadcast(both.select("column", F.col(f"{side}_median").alias("m"))), "column").groupBy("column").agg(  # a row a column
+            F.count_if(F.col("x") < F.col("m")).alias("below"), F.count_if(F.col("x") <= F.col("m")).alias("upto"), F.count("x").alias("n"), F.countDistinct("x").alias("d"))
+        fine = at.select("column", ((F.col("below") <= (0.5 + sk.RANK_ERROR) * F.col("n")) & (F.col("upto") >= (0.5 - sk.RANK_ERROR) * F.col("n"))).alias(f"{side}_m"),
+                         F.col("d").alias(f"{side}_d"))
+        exact = fine if exact is None else exact.join(fine, "column")
+    j = both.join(exact, "column")
+    near = lambda s: F.abs(F.col(f"{s}_distinct") - F.col(f"{s}_d")) <= F.greatest(F.lit(1.0), sk.DISTINCT_ERROR * F.col(f"{s}_d"))
+    return j.select("column", *[f"{s}_{c}" for s in ("ref", "cur") for c in ("rows", "nulls", "low", "high")],
+                    (F.col("ref_m") & F.col("cur_m")).alias("medians_in_bound"), (near("ref") & near("cur")).alias("distinct_in_bound"))
