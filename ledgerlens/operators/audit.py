@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -235,11 +239,65 @@ def _redacted(value: Column, kind, name: str | None) -> Column:
     if kind.typeName() == "struct":
         inner = F.struct(*[_redacted(value[f.name], f.dataType, f.name).alias(f.name) for f in kind.fields])
         return F.when(value.isNull(), F.lit(None)).otherwise(inner)
-    if kind.typeName() == "array" and kind.elementType.typeName() in ("struct", "string"):
+    if kind.typeName() == "array":
         return F.transform(value, lambda x: _redacted(x, kind.elementType, None))
+    if kind.typeName() == "map" and kind.keyType.typeName() == "string":
+        mark = F.lit(REDACTED if kind.valueType.typeName() == "string" else None)  # other types cannot hold the mark
+        return F.transform_values(value, lambda k, v: F.when(k.isin(REDACT_FIELDS), mark).otherwise(_redacted(v, kind.valueType, None)))
     return value
 
 
 def redact_struct(df: DataFrame, col: str) -> Column:
-    """Replace listed keys at any depth by ``[REDACTED]`` and regex-redact all strings (in structs and in lists)."""
+    """Replace listed keys at any depth by ``[REDACTED]`` and regex-redact all strings (in structs, maps and lists of lists)."""
     return _redacted(F.col(col), df.schema[col].dataType, None)
+
+
+class _Object(list):
+    """A JSON object as its pairs: repeated keys stay."""
+
+
+class _Number(str):
+    """A JSON number as it was written."""
+
+
+def redact_document(text: str | None, fields: frozenset, patterns: list) -> str | None:
+    """One JSON text of any shape, redacted at every depth; see ``redact_json``."""
+    def plain(value: str) -> str:
+        for p in patterns:
+            value = p.sub(REDACTED, value)
+        return value
+
+    def walk(v) -> str:
+        if isinstance(v, _Object):
+            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{mark if k in fields else walk(x)}" for k, x in v) + "}"
+        if isinstance(v, list):
+            return "[" + ",".join(map(walk, v)) + "]"
+        if isinstance(v, _Number):
+            return v
+        return json.dumps(plain(v) if isinstance(v, str) else v, ensure_ascii=False)
+
+    if text is None:
+        return None
+    mark = json.dumps(REDACTED)
+    try:
+        return walk(json.loads(text, object_pairs_hook=_Object, parse_float=_Number, parse_int=_Number, parse_constant=_Number))
+    except RecursionError:
+        return mark
+    except ValueError:
+        return plain(text)
+
+
+def redact_json(column: Column) -> Column:
+    """Redaction of stored JSON whose shape nobody declared: objects, lists and lists of lists at any depth.
+
+    Values of the listed keys become ``[REDACTED]`` whatever they are, strings are redacted by the patterns, numbers keep
+    their digits, white space between values goes.  Text that is no JSON is redacted as text; JSON nested deeper than
+    Python's stack is replaced whole.  Nulls stay null.  Runs in Arrow batches: no expression walks unknown keys.
+    """
+    fields, patterns = frozenset(REDACT_FIELDS), [re.compile(p, re.ASCII) for p in PII_PATTERNS]
+
+    @F.pandas_udf("string")
+    def redact(texts: pd.Series) -> pd.Series:
+        return pd.Series([redact_document(t, fields, patterns) for t in texts], dtype=object)
+
+    return redact(column)

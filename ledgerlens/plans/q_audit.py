@@ -259,6 +259,46 @@ def redact_report(spark, sf):
     return rep.select("decision_id", F.to_json(au.redact_struct(rep, "report")).alias("report_json"))
 
 
+#: Stored documents of three shapes; the marks stand where the redacted text differs.
+_JSON_SHAPES = (
+    ('{"case":{"parties":{"payer":{"user_id":', '"U_%1"', ',"age":%2}},"amount":%3},"steps":[[{"device_id":', '{"raw":"D_%1","n":[1,2]}', ',"ok":true}],["User ',
+     'U_%1', ' paid",null,-0.50]]}'),
+    ('[{"lat":', '%3', ',"note":"from ', 'D_%1', '"},[],[[["', 'A_%1', '"],{}]],1e5]'),
+    ('no json: ', 'U_%1', ' and %2'),
+)
+
+
+def _shape(parts, redacted: bool) -> list[str]:
+    """A shape's parts; every second one is personal: as a value of a listed key a string, else part of a text."""
+    mark = lambda i: '"[REDACTED]"' if parts[i - 1].endswith('":') else "[REDACTED]"
+    return [mark(i) if redacted and i % 2 else x for i, x in enumerate(parts)]
+
+
+def _json_sql() -> str:
+    def text(parts):
+        s = "'" + "".join(_shape(parts, True)).replace("'", "''") + "'"
+        return f"replace(replace(replace({s}, '%1', lpad(CAST(user_id AS VARCHAR), 6, '0')), '%2', CAST(user_id % 90 AS VARCHAR)), '%3', CAST(user_id * 0.25::DECIMAL(4,2) AS VARCHAR))"
+    return f"SELECT event_id, CASE event_id % 3 WHEN 0 THEN {text(_JSON_SHAPES[0])} WHEN 1 THEN {text(_JSON_SHAPES[1])} ELSE {text(_JSON_SHAPES[2])} END AS document FROM events"
+
+
+@query("redact_json", _json_sql())
+def redact_json(spark, sf):
+    """Stored JSON of undeclared shape, redacted at every depth."""
+    ev = table(spark, sf, "events").select("event_id", "user_id")
+    uid = F.col("user_id")
+    fill = {"%1": F.lpad(uid.cast("string"), 6, "0"), "%2": (uid % 90).cast("string"), "%3": (uid * F.lit(0.25).cast("decimal(4,2)")).cast("string")}
+
+    def text(parts):
+        out = F.lit("".join(_shape(parts, False)))
+        for k, v in fill.items():
+            out = F.replace(out, F.lit(k), v)
+        return out
+
+    kind = F.col("event_id") % 3
+    stored_ = F.when(kind == 0, text(_JSON_SHAPES[0])).when(kind == 1, text(_JSON_SHAPES[1])).otherwise(text(_JSON_SHAPES[2]))
+    return ev.select("event_id", au.redact_json(stored_).alias("document"))
+
+
 # ------------------------------------------------------------------ lookups & joins
 
 @query("decision_fetch", f"""SELECT p.decision_id, t.payload_json, p.prediction_json, r.report_json
