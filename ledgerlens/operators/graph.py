@@ -11,12 +11,16 @@ a grouped aggregate (partial aggregation before the shuffle).
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import epoch_micros
 from ledgerlens.operators.pieces import order_keys, previous_rows
+from ledgerlens.sources.io import written
 
 # Entity types linked in the transaction graph.
 ENTITY_KEYS = [("user", "user_id"), ("merchant", "merchant_id"), ("device", "device_id"), ("account", "account_id")]
@@ -111,29 +115,68 @@ def degree_features(edges: DataFrame) -> DataFrame:
         F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def triangle_count(edges: DataFrame) -> DataFrame:
+CELL_EDGES = 200_000
+_BLOCK = 1_000_000  # neighbours looked up at once in a cell
+
+
+def _cell_triangles(key: tuple[pa.Scalar, ...], cell: pa.Table) -> pa.Table:
+    """Triangles per node of one cell's edges whose corners have the cell's three colours, by neighbour intersection."""
+    ends = pa.chunked_array([*cell["a"].chunks, *cell["b"].chunks]).combine_chunks().dictionary_encode()
+    n, m = len(ends.dictionary), cell.num_rows
+    node = ends.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    colour = np.zeros(n, np.int64)
+    colour[node[:m]], colour[node[m:]] = cell["ca"].to_numpy(), cell["cb"].to_numpy()
+    rank = np.empty(n, np.int64)
+    rank[np.argsort(np.bincount(node, minlength=n), kind="stable")] = np.arange(n)
+    # every edge leads to its end of higher degree, so no node has more than about sqrt(2 * edges) ways out
+    u, v = np.minimum(rank[node[:m]], rank[node[m:]]), np.maximum(rank[node[:m]], rank[node[m:]])
+    order = np.lexsort((v, u))
+    u, v = u[order], v[order]
+    edge = u * n + v
+    out = np.searchsorted(u, np.arange(n + 1))
+    ways = out[v + 1] - out[v]
+    held = np.empty(n, np.int64)
+    held[rank] = colour
+    want = np.sort([k.as_py() for k in key])
+    found = np.zeros(n, np.int64)
+    total = np.cumsum(ways)
+    at = 0
+    while at < m:
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + _BLOCK, side="right")))
+        w = ways[at:to]
+        first = np.repeat(np.arange(at, to), w)
+        third = v[np.repeat(out[v[at:to]] - (np.cumsum(w) - w), w) + np.arange(w.sum())] if w.sum() else np.empty(0, np.int64)
+        look = u[first] * n + third
+        pos = np.minimum(np.searchsorted(edge, look), m - 1)
+        hit = edge[pos] == look
+        corners = np.stack([u[first[hit]], v[first[hit]], third[hit]], axis=1)
+        own = (np.sort(held[corners], axis=1) == want).all(1)
+        found += np.bincount(corners[own].ravel(), minlength=n)
+        at = to
+    mine = np.flatnonzero(found[rank])
+    return pa.table({"node_id": ends.dictionary.take(pa.array(mine)), "triangles": found[rank][mine]})
+
+
+def triangle_count(edges: DataFrame, cell_edges: int = CELL_EDGES) -> DataFrame:
     """Triangles through each node of the undirected simple graph (nodes without triangles omitted).
 
-    Every edge is directed from the end of lower degree (then smaller id) to
-    the other, so a node has at most about sqrt(2 * edges) outgoing edges
-    whatever its degree; pairs of them are closed with a semi-join.
+    Nodes get one of C colours by hash and every triple of colours is a cell, which holds the edges between its
+    colours; a triangle is counted in the one cell of its corners' colours.  C grows with the root of the number of
+    edges, so a cell has about ``cell_edges`` of them at any size, each edge is copied C times, and the edges of a node
+    of any degree spread over the cells of its colour.  Neighbours are intersected inside a cell; no wedge is ever a row.
     """
     e = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter(
         F.col("a") != F.col("b")).distinct()
-    deg = e.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("deg"))
-    j = (e.join(deg.select(F.col("node").alias("a"), F.col("deg").alias("da")), "a")
-         .join(deg.select(F.col("node").alias("b"), F.col("deg").alias("db")), "b"))
-    first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
-    end = lambda yes, no: F.when(first, yes).otherwise(no)
-    o = j.select(end(F.col("a"), F.col("b")).alias("u"), end(F.col("b"), F.col("a")).alias("v"),
-                 end(F.col("db"), F.col("da")).alias("dv"))
-    x, y = o.alias("x"), o.alias("y")
-    wedges = x.join(y, F.col("x.u") == F.col("y.u")).where(
-        (F.col("x.dv") < F.col("y.dv")) | ((F.col("x.dv") == F.col("y.dv")) & (F.col("x.v") < F.col("y.v")))).select(
-        F.col("x.u").alias("p"), F.col("x.v").alias("q"), F.col("y.v").alias("r"))
-    tri = wedges.join(o.select(F.col("u").alias("q"), F.col("v").alias("r")), ["q", "r"], "left_semi")
-    corners = tri.select(F.explode(F.array("p", "q", "r")).alias("node_id"))
-    return corners.groupBy("node_id").agg(F.count(F.lit(1)).alias("triangles"))
+    e = written(e, "triangle-edges")
+    colours = max(1, math.ceil(math.sqrt(6 * e.count() / cell_edges)))
+    colour = lambda c: F.pmod(F.xxhash64(c), F.lit(colours)).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.lit(colours - 1))).alias("_o")
+    cells = e.withColumn("ca", colour("a")).withColumn("cb", colour("b")).select("a", "b", "ca", "cb", other)
+    triple = F.array_sort(F.array("ca", "cb", "_o"))
+    cells = cells.select("a", "b", "ca", "cb", *[F.get(triple, F.lit(i)).alias(f"_c{i}") for i in range(3)])
+    kind = e.schema["a"].dataType.simpleString()
+    found = cells.groupBy("_c0", "_c1", "_c2").applyInArrow(_cell_triangles, f"node_id {kind}, triangles long")
+    return found.groupBy("node_id").agg(F.sum("triangles").alias("triangles"))
 
 
 def motif_features(df: DataFrame, projection: DataFrame) -> DataFrame:

@@ -123,3 +123,26 @@ def test_previous_rows_match_lag_across_many_pieces(spark):
         "tx_id", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("c"),
         F.max("ts").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("m")).collect()}
     assert all((r.p_one, r.p_ts) == ref[r.tx_id] for r in pre)
+
+
+def test_triangles_by_coloured_cells(spark):
+    import itertools
+    import random
+
+    from ledgerlens.operators.graph import triangle_count
+
+    dice = random.Random(4)
+    nodes = [f"n{i}" for i in range(60)]
+    pairs = {tuple(sorted(dice.sample(nodes, 2))) for _ in range(400)} | {("n0", x) for x in nodes[1:]}  # n0 is a hub
+    want = {}
+    for t in itertools.combinations(nodes, 3):
+        if all(tuple(sorted(p)) in pairs for p in itertools.combinations(t, 2)):
+            for x in t:
+                want[x] = want.get(x, 0) + 1
+    rows = [*pairs, *[(b, a) for a, b in list(pairs)[:50]], ("n1", "n1")]  # both directions, a loop
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    for cell in (10, 300, 10**6):
+        found = triangle_count(edges, cell_edges=cell)
+        assert {r.node_id: r.triangles for r in found.collect()} == want
+    assert triangle_count(edges.limit(0)).count() == 0
+    assert triangle_count(edges.limit(1)).count() == 0
