@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import WORD_PATTERN, attach, stored
-from ledgerlens.operators.prefix import prefix_scan
+from ledgerlens.llm.prefix import prefix_scan
 
 WEIGHTS = (3, 1, 2)
 SHARE = (3, 2)  # the mix takes 3/2 of all words
