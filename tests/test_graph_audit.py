@@ -107,7 +107,6 @@ def test_previous_rows_match_lag_across_many_pieces(spark):
     from pyspark.sql import Window
 
     from ledgerlens.operators.pieces import PIECE_US, order_keys, previous_rows
-    from ledgerlens.operators.prefix import prefix_scan
     rows = [(f"t{i:04d}", "hot" if i % 4 else f"k{i % 9}", (i * 7919) % 1000) for i in range(600)]
     df = spark.createDataFrame(rows, "tx_id string, key string, ts long")
     keyed = df.withColumns(order_keys(F.col("ts") * (PIECE_US // 7)))
@@ -116,13 +115,6 @@ def test_previous_rows_match_lag_across_many_pieces(spark):
         got = {r.tx_id: [p.tx_id for p in r._prev] for r in previous_rows(keyed, "key", ["tx_id"], k, following).collect()}
         for r in df.select("tx_id", F.array(*[fn("tx_id", o).over(w) for o in range(1, k + 1)]).alias("want")).collect():
             assert got[r.tx_id] == [x for x in r.want if x is not None]
-    # running sums across pieces equal a single window's
-    pre = prefix_scan(df.withColumn("one", F.lit(1)), ["key"], ["ts", "tx_id"], sums=["one"], maxes=["ts"],
-                      num_partitions=37, prefix="p").collect()
-    ref = {r.tx_id: (r.c, r.m) for r in df.select(
-        "tx_id", F.count(F.lit(1)).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("c"),
-        F.max("ts").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("m")).collect()}
-    assert all((r.p_one, r.p_ts) == ref[r.tx_id] for r in pre)
 
 
 def test_triangles_by_coloured_cells(spark):
