@@ -83,7 +83,7 @@ def fit_platt(valid: DataFrame, score_col: str = "raw_score"):
         return None
     va = VectorAssembler(inputCols=[score_col], outputCol="_s")
     lr = LogisticRegression(featuresCol="_s", labelCol="is_fraud", probabilityCol="_p", rawPredictionCol="_raw",
-                            predictionCol="_pred")
+                            predictionCol="_pred", maxIter=200, tol=1e-10)
     return Pipeline(stages=[va, lr]).fit(valid.withColumn("is_fraud", F.col("is_fraud").cast("double")))
 
 

@@ -7,12 +7,15 @@ from pyspark.sql import functions as F
 from ledgerlens.operators import audit as au
 from ledgerlens.operators import conformal as cf
 from ledgerlens.operators import features as fx
+from ledgerlens.operators import governance as gv
 from ledgerlens.operators import metrics as mt
 from ledgerlens.operators import models as md
 from ledgerlens.oracle import canonical as oc
 from ledgerlens.oracle import features as of
 from ledgerlens.oracle import metrics as om
 from ledgerlens.plans import training as tr
+from ledgerlens.plans.q_metrics import TEST, VAL, split_frame
+from ledgerlens.plans.q_metrics import part as split_part
 from ledgerlens.plans.registry import query
 from ledgerlens.sources import canonical as cn
 from ledgerlens.sources.io import written
@@ -64,6 +67,50 @@ def calibrate_isotonic(spark, sf):
     return _calibrated(spark, sf, "isotonic")
 
 
+#: Validation and test scores; the fit itself is stated in closed form: the greatest of the least means.
+_ISOTONIC_SQL = f"""WITH v AS (SELECT score AS x, sum(is_fraud) AS s, count(*) AS n FROM ({VAL}) v GROUP BY score),
+c AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(s) OVER w AS s, sum(n) OVER w AS n, sum(s) OVER w - s AS s0, sum(n) OVER w - n AS n0
+      FROM v WINDOW w AS (ORDER BY x)),
+m AS (SELECT a.i AS a, b.i AS i, b.x, min(CAST(b.s - a.s0 AS DOUBLE) / (b.n - a.n0)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS least
+      FROM c a JOIN c b ON a.i <= b.i),
+g AS (SELECT i, x, max(least) AS y FROM m GROUP BY i, x),
+e AS (SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM g),
+t AS (SELECT tx_id, is_fraud, score AS raw_score, greatest(least(score, (SELECT max(x) FROM g)), (SELECT min(x) FROM g)) AS z FROM ({TEST}) t)
+SELECT tx_id, is_fraud, round(raw_score, 6) AS raw_score, round(CASE WHEN x1 IS NULL OR z = x0 THEN y0 ELSE y0 + (y1 - y0) * (z - x0) / (x1 - x0) END, 6) AS score
+FROM t ASOF JOIN e ON e.x0 <= t.z"""
+
+#: Newton steps of the two-parameter logistic likelihood from zero.
+_PLATT_SQL = f"""WITH RECURSIVE v AS MATERIALIZED (SELECT score AS x, CAST(is_fraud AS DOUBLE) AS y, count(*) AS n FROM ({VAL}) v GROUP BY ALL),
+r AS (
+  SELECT 0 AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b
+  UNION ALL
+  SELECT k + 1, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (
+    SELECT k, a, b, sum(n * (y - p)) AS ga, sum(n * (y - p) * x) AS gb, sum(n * p * (1 - p)) AS haa, sum(n * p * (1 - p) * x) AS hab,
+           sum(n * p * (1 - p) * x * x) AS hbb
+    FROM (SELECT r.k, r.a, r.b, v.x, v.y, v.n, 1 / (1 + exp(-(r.a + r.b * v.x))) AS p FROM r, v WHERE r.k < 20) z GROUP BY k, a, b) s),
+f AS (SELECT a, b FROM r WHERE k = 20)
+SELECT tx_id, is_fraud, round(score, 6) AS raw_score, round(1 / (1 + exp(-(a + b * score))), 4) AS score FROM ({TEST}) t, f"""
+
+
+def _calibrated_scores(spark, sf, fit):
+    s = split_frame(spark, sf).withColumnRenamed("score", "raw_score")
+    model = fit(written(split_part(s, "validation"), "calibration"))
+    return md.calibrate(model, split_part(s, "test")).select("tx_id", "is_fraud", "raw_score", "score")
+
+
+@query("calibrate_isotonic_scores", _ISOTONIC_SQL)
+def calibrate_isotonic_scores(spark, sf):
+    """Isotonic calibration of given scores: fitted on the validation split, applied to the test split."""
+    return gv.round_doubles(_calibrated_scores(spark, sf, md.fit_isotonic))
+
+
+@query("calibrate_platt_scores", _PLATT_SQL)
+def calibrate_platt_scores(spark, sf):
+    """Platt calibration of given scores, to four places."""
+    out = _calibrated_scores(spark, sf, md.fit_platt)
+    return out.select("tx_id", "is_fraud", F.round("raw_score", 6).alias("raw_score"), F.round("score", 4).alias("score"))
+
+
 @query("train_pipeline")
 def train_pipeline(spark, sf):
     """One run record: model and calibrator saved and read again, metrics of the test split."""
