@@ -1,16 +1,20 @@
-"""Exact nearest-neighbour search in bounded cells, pruned by distance to tile centres.
+"""Exact nearest-neighbour search in bounded cells, pruned level by level by distance to pivots and tile centres.
 
-Items are assigned to the nearest of a few pivots and each pivot's items are cut into tiles of bounded size; a tile
-has a centre and a radius.  A query first searches the tile with the nearest centre; its k-th best distance there is
-an upper bound, and only tiles whose centre can hold something closer (distance to centre minus radius) are opened.
-Every (tile, query block) cell is one bounded group with local top k; the local lists are merged per query.  Both
-sides may have any size, nothing is refused or cut, and no pair rows are made.
+Items are assigned to the nearest of a few pivots and each pivot's items are cut into tiles of bounded size.  Tiles are
+rows of a table (pivot, centre, radius) that is never gathered; only the pivots, about the root of the number of tiles,
+are known to every task.  A query first searches a near tile of its nearest pivot; its k-th best distance there is an
+upper bound.  With it, pivots are pruned first (distance to the pivot minus the pivot's radius), then the tiles of the
+pivots that are left, and only tiles that can hold something closer are opened.  Every (tile, query block) cell is one
+bounded group with local top k; the local lists are merged per query.  Both sides may have any size, nothing is refused
+or cut, and no pair rows are made.
 
 Cosine search is the same search on unit vectors.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -18,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.sources.io import written
 
-PIVOTS = 32
+PIVOTS = 32  # at least; the root of the number of tiles where that is more
 TILE_ROWS = 4096
 QUERY_ROWS = 4096
 
@@ -37,36 +41,41 @@ def _distances(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def _tiles(items: DataFrame, width: int) -> tuple[DataFrame, np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Items with a tile number, and the tiles' centres and radii (a row a tile)."""
-    pivots = np.array([r.vec for r in items.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("vec").collect()], dtype=float)
+def _tiles(items: DataFrame, width: int) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray]:
+    """Items with a tile number; the tiles (pivot, tile, centre, radius); the pivots and the radius around each."""
+    wanted = max(PIVOTS, math.ceil(math.sqrt(items.count() / TILE_ROWS)))
+    pivots = np.array([r.vec for r in items.orderBy(F.xxhash64("id"), "id").limit(wanted).select("vec").collect()], dtype=float)
 
     def assign(batches):
         for b in batches:
             x = _matrix(pa.chunked_array([b.column(1)]), width)
-            near = np.array([int(i) for lo in range(0, len(x), 1024) for i in _distances(x[lo:lo + 1024], pivots).argmin(1)], np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int32())], names=["id", "vec", "label", "pivot"])
+            near, far = np.empty(len(x), np.int32), np.empty(len(x))
+            for lo in range(0, len(x), 1024):
+                d = _distances(x[lo:lo + 1024], pivots)
+                near[lo:lo + 1024], far[lo:lo + 1024] = d.argmin(1), np.sqrt(d.min(1))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near), pa.array(far)], names=["id", "vec", "label", "pivot", "far"])
 
     kinds = {f.name: f.dataType.simpleString() for f in items.schema.fields}
     near = items.select("id", "vec", "label").mapInArrow(
-        assign, f"id {kinds['id']}, vec array<double>, label {kinds['label']}, pivot int")
+        assign, f"id {kinds['id']}, vec array<double>, label {kinds['label']}, pivot int, far double")
     near = written(near, "search-items")
-    counts = {r.pivot: r["count"] for r in near.groupBy("pivot").count().collect()}  # a row a pivot
-    parts = [max(1, -(-counts.get(p, 0) // TILE_ROWS)) for p in range(len(pivots))]
+    held = {r.pivot: r for r in near.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.max("far").alias("far")).collect()}  # a row a pivot
+    parts = [max(1, -(-held[p].n // TILE_ROWS)) if p in held else 1 for p in range(len(pivots))]
+    radii = np.array([held[p].far if p in held else -np.inf for p in range(len(pivots))])
     start = np.concatenate([[0], np.cumsum(parts)])
     lit = lambda xs: F.array(*[F.lit(int(x)) for x in xs])
     tile = F.get(lit(start), F.col("pivot")) + F.pmod(F.xxhash64("id"), F.get(lit(parts), F.col("pivot"))).cast("int")
-    tiled = near.withColumn("tile", tile.cast("int")).drop("pivot")
+    tiled = near.withColumn("tile", tile.cast("int")).drop("far")
 
     def bounds(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         x = _matrix(table["vec"], width)
         centre = x.mean(0)
         radius = float(np.sqrt(_distances(x, centre[None, :]).max()))
-        return pa.table({"tile": pa.array([key[0].as_py()], pa.int32()), "centre": [centre.tolist()], "radius": [radius]})
+        return pa.table({"pivot": pa.array([key[0].as_py()], pa.int32()), "tile": pa.array([key[1].as_py()], pa.int32()),
+                         "centre": [centre.tolist()], "radius": [radius]})
 
-    rows = tiled.groupBy("tile").applyInArrow(bounds, "tile int, centre array<double>, radius double").collect()  # a row a tile
-    rows.sort(key=lambda r: r.tile)
-    return tiled, np.array([r.tile for r in rows]), (np.array([r.centre for r in rows]), np.array([r.radius for r in rows]))
+    tiles = tiled.groupBy("pivot", "tile").applyInArrow(bounds, "pivot int, tile int, centre array<double>, radius double")
+    return tiled.drop("pivot"), written(tiles, "search-tiles"), pivots, radii
 
 
 def nearest(queries: DataFrame, items: DataFrame, width: int, k: int) -> DataFrame:
@@ -79,7 +88,7 @@ def nearest(queries: DataFrame, items: DataFrame, width: int, k: int) -> DataFra
     if items.isEmpty():
         return queries.limit(0).select("qid", F.lit(None).cast(kinds["id"]).alias("id"), F.lit(None).cast(kinds["label"]).alias("label"),
                             F.lit(None).cast("double").alias("d2"))
-    tiled, numbers, (centres, radii) = _tiles(items, width)
+    tiled, tiles, pivots, radii = _tiles(items, width)
     hit = f"qid {q_kind}, id {kinds['id']}, label {kinds['label']}, d2 double"
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -109,32 +118,67 @@ def nearest(queries: DataFrame, items: DataFrame, width: int, k: int) -> DataFra
         members = tiled.join(blocks, F.col("tile") == F.col("c_tile")).select("id", "vec", "label", "c_tile", "c_qb")
         return dealt.groupBy("tile", "qb").cogroup(members.groupBy("c_tile", "c_qb")).applyInArrow(search, hit)
 
-    def home(batches):
+    def by_pivot(q: DataFrame, choose, schema: str) -> DataFrame:
+        """Hold every query against the tiles of the pivot it names."""
+        n = max(1, -(-q.count() // QUERY_ROWS))
+        dealt = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int"))
+        blocks = dealt.select(F.col("pivot").alias("c_pivot"), F.col("qb").alias("c_qb")).distinct()
+        members = tiles.join(blocks, F.col("pivot") == F.col("c_pivot")).select("tile", "centre", "radius", "c_pivot", "c_qb")
+        return dealt.groupBy("pivot", "qb").cogroup(members.groupBy("c_pivot", "c_qb")).applyInArrow(choose, schema)
+
+    def near_pivot(batches):
         for b in batches:
             x = _matrix(pa.chunked_array([b.column(1)]), width)
-            t = np.array([numbers[i] for i in _distances(x, centres).argmin(1)], np.int32) if len(x) else np.empty(0, np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t, pa.int32())], names=["qid", "vec", "tile"])
-
-    q = written(queries.select("qid", "vec").mapInArrow(home, f"qid {q_kind}, vec array<double>, tile int"), "search-queries")
+            p = np.concatenate([_distances(x[lo:lo + 1024], there).argmin(1) for lo in range(0, len(x), 1024)] or [np.empty(0, int)])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(used[p].astype(np.int32))], names=["qid", "vec", "pivot"])
+
+    used = np.flatnonzero(radii > -np.inf)  # pivots that equal an earlier one hold nothing
+    there = pivots[used]
+
+    def home(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"qid": left["qid"].slice(0, 0), "vec": left["vec"].slice(0, 0), "tile": pa.array([], pa.int32())})
+        x, c = _matrix(left["vec"], width), _matrix(right["centre"], width)
+        near = np.concatenate([_distances(x[lo:lo + 256], c).argmin(1) for lo in range(0, len(x), 256)])
+        return pa.table({"qid": left["qid"], "vec": left["vec"], "tile": right["tile"].take(pa.array(near))})
+
+    placed = f"qid {q_kind}, vec array<double>, tile int"
+    q = queries.select("qid", "vec").mapInArrow(near_pivot, f"qid {q_kind}, vec array<double>, pivot int")
+    q = written(by_pivot(written(q, "search-pivots"), home, placed), "search-queries")
     first = written(cells(q), "search-first")
     bound = first.groupBy("qid").agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("d2"))
 
-    def other_tiles(batches):
+    def reachable(x: np.ndarray, centres: np.ndarray, around: np.ndarray, reach: np.ndarray) -> np.ndarray:
+        return np.maximum(np.sqrt(_distances(x, centres)) - around[None, :], 0) <= reach[:, None] * (1 + 1e-9) + 1e-12
+
+    def reaches(column) -> np.ndarray:
+        return np.sqrt(np.array([np.inf if v is None else v for v in column.to_pylist()]))
+
+    def open_pivots(batches):
         for b in batches:
-            x = _matrix(pa.chunked_array([b.column(1)]), width)
-            reach = np.sqrt(np.array([np.inf if v is None else v for v in b.column(3).to_pylist()]))
-            near = np.maximum(np.sqrt(_distances(x, centres)) - radii[None, :], 0)
-            opened = near <= reach[:, None] * (1 + 1e-9) + 1e-12
-            opened &= numbers[None, :] != b.column(2).to_numpy()[:, None]
-            i, t = np.nonzero(opened)
-            rows = pa.array(i)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(numbers[t].astype(np.int32))],
-                                             names=["qid", "vec", "tile"])
+            i, p = np.nonzero(reachable(_matrix(pa.chunked_array([b.column(1)]), width), there, radii[used], reaches(b.column(3))))
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(i)) for c in b.columns], pa.array(used[p].astype(np.int32))],
+                                             names=["qid", "vec", "tile", "d2", "pivot"])
+
+    def open_tiles(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, found = [], []
+        if left.num_rows and right.num_rows:
+            x, c = _matrix(left["vec"], width), _matrix(right["centre"], width)
+            around, number = right["radius"].to_numpy(), right["tile"].to_numpy()
+            reach, own = reaches(left["d2"]), left["tile"].to_numpy()
+            for lo in range(0, len(x), 256):
+                opened = reachable(x[lo:lo + 256], c, around, reach[lo:lo + 256]) & (number[None, :] != own[lo:lo + 256, None])
+                i, t = np.nonzero(opened)
+                rows.append(i + lo)
+                found.append(number[t])
+        at = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))
+        return pa.table({"qid": left["qid"].take(at), "vec": left["vec"].take(at),
+                         "tile": pa.array(np.concatenate(found).astype(np.int32) if found else [], pa.int32())})
 
     known = F.when(F.col("n") >= k, F.col("d2"))
     more = q.join(bound, "qid", "left").select("qid", "vec", "tile", known.alias("d2")).mapInArrow(
-        other_tiles, f"qid {q_kind}, vec array<double>, tile int")
-    second = cells(written(more, "search-more"))
+        open_pivots, f"qid {q_kind}, vec array<double>, tile int, d2 double, pivot int")
+    second = cells(written(by_pivot(written(more, "search-open"), open_tiles, placed), "search-more"))
     w = Window.partitionBy("qid").orderBy("d2", "id")
     return first.unionByName(second).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
