@@ -1,8 +1,8 @@
 """Embedding near-duplicates by PCA-ordered tiled comparison with suffix-norm bounds.
 
 Vectors are normalised and rotated to the principal axes of the whole table, so the leading dimensions carry most of
-the mass.  They are cut into tiles along the first axis; a pair of tiles is one bounded group.  Inside it the leading
-dimensions are multiplied first; a pair lives on only while its partial product plus the product of the suffix norms
+the mass.  They are cut into tiles along the leading axes; a pair of tiles is one bounded group, opened only where the
+tiles' boxes and suffix norms leave room for a link.  Inside it the leading dimensions are multiplied first; a pair lives on only while its partial product plus the product of the suffix norms
 can still reach the threshold.  Identical vectors are collapsed to one weighted row beforehand.
 """
 
@@ -14,32 +14,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import components, finite_vector, matrix, stored
+from ledgerlens.llm.tiles import (
+    BOX, LEAD, POINT, boxes, least_distance2, most_product, number_by_cell, prefixed, principal_axes, project,
+    second_moment, unit,
+)
 
 BLOCK_DIMS = 16
 SLACK = 1e-9
-
-
-def _unit(x: np.ndarray) -> np.ndarray:
-    big = np.abs(x).max(axis=1, keepdims=True)
-    x = x / np.where(big > 0, big, 1.0)  # no overflow or underflow of the squares
-    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-
-
-def _second_moment(vectors: DataFrame, width: int) -> np.ndarray:
-    """Sum of u u' over all unit vectors: one width x width matrix a task, added up by Spark."""
-
-    def moments(batches):
-        total = np.zeros((width, width))
-        for b in batches:
-            u = _unit(matrix(b.column(0), width))
-            total += u.T @ u
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(total.ravel())], names=["i", "x"])
-
-    rows = vectors.select("v").mapInArrow(moments, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(width * width)
-    for r in rows:  # width**2 numbers
-        out[r.i] = r.x
-    return out.reshape(width, width)
+ROWS_AT_ONCE = 512  # rows of a link matrix widened to numbers at once
 
 
 def tile_links(ra, xa, rb, xb, threshold: float, same: bool) -> np.ndarray:
@@ -85,9 +67,12 @@ def _spanning(links: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray):
     if not len(rows):
         return np.empty(0, np.int64), np.empty(0, np.int64)
     m, xa, xb = links[np.ix_(rows, cols)], la[rows], lb[cols]
+    slabs = [slice(lo, lo + ROWS_AT_ONCE) for lo in range(0, len(rows), ROWS_AT_ONCE)]
     while True:
-        nb = np.minimum(xb, np.where(m, xa[:, None], big).min(0))
-        na = np.minimum(xa, np.where(m, nb[None, :], big).min(1))
+        nb = xb
+        for s in slabs:
+            nb = np.minimum(nb, np.where(m[s], xa[s, None], big).min(0))
+        na = np.concatenate([np.minimum(xa[s], np.where(m[s], nb[None, :], big).min(1)) for s in slabs])
         if np.array_equal(na, xa) and np.array_equal(nb, xb):
             break
         xa, xb = na, nb
@@ -95,8 +80,34 @@ def _spanning(links: np.ndarray, ids_a: np.ndarray, ids_b: np.ndarray):
     return v[v != r], r[v != r]
 
 
+def _weighed(links: np.ndarray, wa: np.ndarray, wb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row and of each column, counted with the other side's multiplicities."""
+    slabs = [slice(lo, lo + ROWS_AT_ONCE) for lo in range(0, len(links), ROWS_AT_ONCE)]
+    of_rows = np.concatenate([np.zeros(0, np.int64), *(links[s] @ wb for s in slabs)])
+    return of_rows, sum((wa[s] @ links[s] for s in slabs), np.zeros(links.shape[1], np.int64))
+
+
+def near_tiles(tiles: DataFrame, threshold: float, lead: int) -> DataFrame:
+    """Ordered pairs ``tile, other`` whose boxes leave room for a cosine >= ``threshold``, with the box of ``other``.
+
+    Unit vectors with cosine >= t differ by at most sqrt(2 - 2t): boxes meet in the buckets of that width on the first
+    axis, and a pair is kept in the first bucket that both reach.
+    """
+    far2 = max(0.0, 2 - 2 * threshold) + 1e-6
+    width = float(np.sqrt(far2))
+    at = lambda c: F.floor(F.get(c, F.lit(0)) / width)
+    a = tiles.select("tile", *[F.col(c).alias(f"a_{c}") for c in BOX], at("low").alias("a_from"),
+                     F.explode(F.sequence(at("low"), at("high"))).alias("bucket"))
+    b = tiles.select(F.col("tile").alias("other"), *BOX, (at("low") - 1).alias("b_from"),
+                     F.explode(F.sequence(at("low") - 1, at("high") + 1)).alias("bucket"))
+    met = a.join(b, "bucket").where(F.col("bucket") == F.greatest("a_from", "b_from"))
+    return met.where((most_product(prefixed("a_"), BOX, lead) >= threshold - SLACK)
+                     & (least_distance2(prefixed("a_"), BOX, lead) <= far2) | (F.col("tile") == F.col("other"))).select(
+        "tile", "other", *BOX)
+
+
 def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", threshold: float = 0.9,
-                    tile_rows: int = 2048) -> DataFrame:
+                    tile_rows: int = 4096) -> DataFrame:
     """Per vector: ``vec_id, n_links, component_id, kept`` for links with cosine >= ``threshold`` in double precision.
 
     Null, zero, and non-finite vectors link with nothing and stand alone; shorter vectors count as padded with zeros.
@@ -119,45 +130,26 @@ def embedding_links(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
                            F.lit(True).alias("kept"))
     width = size.d
-    axes = np.linalg.eigh(_second_moment(classes, width))[1][:, ::-1].copy()  # strongest axis first
-
-    def project(batches):
-        for b in batches:
-            first = _unit(matrix(b.column(2), width)) @ axes[:, 0]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(first)], names=["rep", "m", "v", "p"])
-
-    placed = stored(classes.select("rep", "m", "v").mapInArrow(project, "rep long, m long, v array<double>, p double"),
-                    "projected")
-    tiles = -(-size.n // tile_rows)
-    cuts = placed.agg(F.percentile_approx("p", [i / tiles for i in range(1, tiles)], 100 * tiles)).first()[0] if tiles > 1 else []
-    cuts = sorted(set(cuts or []))
-    n_tiles = len(cuts) + 1
-    # a value repeated over many vectors could fill a tile, so each slab of the first axis is dealt on into parts
-    slab = F.expr(f"size(filter(array({','.join(f'{c!r}D' for c in cuts)}), c -> c <= p))") if cuts else F.lit(0)
-    counts = {r.s: r.n for r in placed.groupBy(slab.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a slab
-    parts = [max(1, round(counts.get(s, 0) / tile_rows)) for s in range(n_tiles)]
-    start = np.concatenate([[0], np.cumsum(parts)])
-    # unit vectors with cosine >= t differ by at most sqrt(2 - 2t) on any axis: slabs further apart cannot hold links
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + 1e-6
-    low, high = [-1.0, *cuts], [*cuts, 1.0]
-    near = [[t for s2 in range(n_tiles) if max(low[s2] - high[s], low[s] - high[s2]) <= reach
-             for t in range(int(start[s2]), int(start[s2 + 1]))] for s in range(n_tiles)]
-    near_sql = "array(" + ",".join("array(" + ",".join(map(str, x)) + ")" for x in near) + ")"
-    parts_sql = "array(" + ",".join(map(str, parts)) + ")"
-    start_sql = "array(" + ",".join(str(int(x)) for x in start) + ")"
-    dealt = placed.withColumn("s", slab).selectExpr(
-        "rep", "m", "v", f"cast({start_sql}[s] + pmod(xxhash64(rep), {parts_sql}[s]) as int) tile", f"explode({near_sql}[s]) other")
-    cells = dealt.selectExpr("rep", "m", "v", "tile", "least(tile, other) ti", "greatest(tile, other) tj")
+    axes, lead = principal_axes(second_moment(classes, width, units=True)), min(LEAD, width)
+    far2 = max(0.0, 2 - 2 * threshold) + 1e-6
+    placed = number_by_cell(project(classes.select("rep", "m", "v"), axes, units=True), float(np.sqrt(far2)) / 2, ["rep"], "at")
+    placed = placed.withColumn("tile", F.floor(F.col("at") / tile_rows))
+    near = stored(near_tiles(stored(boxes(placed, "tile", lead), "boxes"), threshold, lead), "near")
+    # a row goes to another tile only where its own place leaves room for a link with that tile's box
+    room = (most_product(POINT, BOX, lead) >= threshold - SLACK) & (least_distance2(POINT, BOX, lead) <= far2)
+    cells = placed.join(near, "tile").where(room | (F.col("tile") == F.col("other"))).select(
+        "rep", "m", "v", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
 
     def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         ti, tj = key[0].as_py(), key[1].as_py()
         ids, w = table["rep"].to_numpy(), table["m"].to_numpy()
         x, t = matrix(table["v"], width), table["tile"].to_numpy()
-        r = _unit(x) @ axes
+        r = unit(x) @ axes
         a = np.nonzero(t == ti)[0]
         b = a if ti == tj else np.nonzero(t == tj)[0]
         links = tile_links(r[a], x[a], r[b], x[b], threshold, ti == tj)
-        n = [(ids[a], links @ w[b])] + ([] if ti == tj else [(ids[b], links.T @ w[a])])
+        of_a, of_b = _weighed(links, w[a], w[b])
+        n = [(ids[a], of_a)] + ([] if ti == tj else [(ids[b], of_b)])
         v = np.concatenate([i[k > 0] for i, k in n])
         n = np.concatenate([k[k > 0] for _, k in n])
         ea, eb = _spanning(links, ids[a], ids[b])

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 
 from ledgerlens.llm.common import components
-from ledgerlens.llm.embedding_dedup import embedding_links
+from ledgerlens.llm.embedding_dedup import embedding_links, near_tiles
+from ledgerlens.llm.tiles import LEAD, boxes, number_by_cell, principal_axes, project, second_moment
 from ledgerlens.llm.topk_search import cell_topk, quantise, topk_search
 
 SCHEMA = "vec_id long, embedding array<float>, label int, score long, tile int"  # score, tile: clashing extras
@@ -71,6 +72,45 @@ def test_cell_bounds_never_lose_a_candidate():
         assert list(b[a == 1000 + i]) == list(top) and list(s[a == 1000 + i]) == list(full[top])
 
 
+def test_cell_bounds_hold_beyond_exact_doubles():
+    rng = np.random.RandomState(5)
+    c = rng.randint(-2 ** 28, 2 ** 28, (600, 64))  # sums pass 2**53, products of neighbours differ by little
+    c[100:400] = c[0]
+    c[100:400, 63] += np.arange(300)
+    q = c[:3].copy()
+    a, b, s = cell_topk(q, np.arange(1000, 1003), c, np.arange(600), 9)
+    for i in range(3):
+        full = c @ q[i]
+        top = np.lexsort((np.arange(600), -full))[:9]
+        assert list(b[a == 1000 + i]) == list(top) and list(s[a == 1000 + i]) == list(full[top])
+
+
+def test_floors_only_leave_out_lower_scores():
+    rng = np.random.RandomState(6)
+    c, q = rng.randint(-50, 50, (300, 40)), rng.randint(-50, 50, (4, 40))
+    a, b, s = cell_topk(q, np.arange(1000, 1004), c, np.arange(300), 5)
+    floors = np.array([s[a == 1000 + i].min() for i in range(4)], dtype=float)
+    again = cell_topk(q, np.arange(1000, 1004), c, np.arange(300), 5, floors)
+    assert all(np.array_equal(x, y) for x, y in zip((a, b, s), again, strict=True))
+    assert not len(cell_topk(q, np.arange(1000, 1004), c, np.arange(300), 5, floors + 1e6)[0])
+
+
+def test_opened_cells_grow_with_the_tiles_of_clustered_vectors(spark):
+    def opened(n):
+        rng = np.random.RandomState(9)
+        centres = rng.randn(40, 24)
+        v = centres[np.arange(n) % 40] + 0.1 * rng.randn(n, 24)
+        df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "rep long, v array<double>")
+        axes = principal_axes(second_moment(df, 24, units=True))
+        placed = number_by_cell(project(df, axes, units=True), 0.2236, ["rep"], "at")
+        tiles = boxes(placed.selectExpr("*", "floor(at / 16) tile"), "tile", LEAD)
+        return tiles.count(), near_tiles(tiles, 0.9, LEAD).count()
+
+    (t1, c1), (t2, c2) = opened(400), opened(1600)
+    assert (t1, t2) == (25, 100)
+    assert c1 < t1 ** 2 and c2 / t2 ** 2 < c1 / t1 ** 2 / 2, (c1, c2)  # the opened share falls as tiles get compact
+
+
 @pytest.mark.parametrize("tile_rows", [2048, 13])
 def test_embedding_links_equal_brute_force(spark, tile_rows):
     rows = _vectors(2)
