@@ -359,9 +359,16 @@ def decision_lineage(spark, sf):
         F.count(F.lit(1)).alias("n_replays"))
     made = as_of(preds.select("decision_id", "tx_id", "model_run_id", "created_at"), registered_versions(spark, sf), "model_run_id",
                  "created_at", "valid_from")
-    j = (made.join(txs.select("decision_id", "payload_json"), "decision_id")
-         .join(features_table(d).select("decision_id", "feature_json"), "decision_id")
-         .join(rep.select("decision_id", F.lit(True).alias("_r")), "decision_id", "left").join(hist, "decision_id", "left"))
+    return lineage(made, txs, features_table(d), rep, hist)
+
+
+def lineage(made, txs, feats, rep, hist):
+    """All stores grow with the decisions, and a few of their columns look small in files: no side is sent through the driver."""
+    sorted_ = lambda df: df.hint("merge")
+    j = (made.join(sorted_(txs.select("decision_id", "payload_json")), "decision_id")
+         .join(sorted_(feats.select("decision_id", "feature_json")), "decision_id")
+         .join(sorted_(rep.select("decision_id", F.lit(True).alias("_r"))), "decision_id", "left")
+         .join(sorted_(hist), "decision_id", "left"))
     return j.select("decision_id", "tx_id", "model_run_id", F.col("valid_from").alias("version_from"), "model_id", "model_version",
                     "calibration_version", "conformal_version", "payload_json", "feature_json",
                     F.col("_r").isNotNull().alias("has_report"),
