@@ -122,9 +122,13 @@ def scaled(train: DataFrame, others: list[DataFrame], features: list[str]) -> li
     return out
 
 
+CLIENT_PARTS = 32  # a client's rows meet its model in so many parts
+
+
 def _local_step(data: DataFrame, weights: DataFrame, d: int, client: str, lr: float, l2: float) -> DataFrame:
     """One full-batch gradient step of every client from its own row of ``weights`` (client, b, w_i): the new table, with n."""
-    j = data.join(weights, client)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(CLIENT_PARTS - 1))).alias("_part")
+    j = data.join(weights.select("*", parts), [client, "_part"])
     logit = F.col("b")
     for i in range(d):
         logit = logit + F.col(f"x_{i}") * F.col(f"w_{i}")
@@ -146,7 +150,9 @@ def fedavg(train_scaled: DataFrame, d: int, client: str = "channel", rounds: int
     numbers) reaches the driver, once a round.  Returns (weights, bias, samples per client).
     """
     data = train_scaled.select(F.col(client).cast("string").alias(client), F.col("is_fraud").cast("double").alias("is_fraud"),
-                               *[F.col(f"x_{i}") for i in range(d)]).persist()
+                               *[F.col(f"x_{i}") for i in range(d)])
+    rows = [F.col(f"x_{i}") for i in range(d)]
+    data = data.withColumn("_part", F.pmod(F.xxhash64(client, *rows), F.lit(CLIENT_PARTS)).cast("int")).persist()
     clients = data.groupBy(client).agg(F.count(F.lit(1)).cast("long").alias("samples"))
     w, b = np.zeros(d), 0.0
     for _ in range(rounds):
