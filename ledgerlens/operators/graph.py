@@ -385,8 +385,8 @@ def attention_mean(nodes: DataFrame, edges: DataFrame, features: list[str], out_
     wh_cols = _dense([F.col(c).cast("double") for c in features], w, act=None)
     wh_names = [f"wh_{j}" for j in range(out_dim)]
     wh = nodes.select(key, *[c.alias(n) for c, n in zip(wh_cols, wh_names)])
-    score = lambda at: sum((F.col(n) * float(a[at + j]) for j, n in enumerate(wh_names[1:], 1)), F.col(wh_names[0]) * float(a[at]))
-    rows = wh.select(F.col(key).alias("id"), *wh_names, score(0).alias("_s"), score(out_dim).alias("_d")).where("_s is not null")  # edges at a node without a score do not count
+    # edges at a node with a null feature do not count
+    rows = wh.select(F.col(key).alias("id"), *wh_names).where(F.col(wh_names[0]).isNotNull())
 
     def attend(left: pa.Table, right: pa.Table) -> pa.Table:
         """Per destination of a cell: the greatest score, and the sums of exp(score - greatest) and of its products."""
@@ -396,7 +396,9 @@ def attention_mean(nodes: DataFrame, edges: DataFrame, features: list[str], out_
         dst, order, first = _by_destination(left["dst"], at)
         src, to = src[order], to[order]
         column = lambda c: right[c].to_numpy()
-        raw = column("_s")[src] + column("_d")[to]
+        raw = np.zeros(len(src))
+        for j, c in enumerate(wh_names):
+            raw = raw + (column(c)[src] * a[j] + column(c)[to] * a[out_dim + j])
         e = np.where(raw > 0, raw, raw * 0.2)
         n = np.diff(first, append=len(at))
         top = np.maximum.reduceat(e, first) if len(first) else e

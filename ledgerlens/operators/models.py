@@ -101,8 +101,9 @@ def fit_isotonic(valid: DataFrame, score_col: str = "raw_score"):
     """
     if valid.limit(2).count() < 2:
         return None
-    points = valid.where(F.col(score_col).isNotNull() & F.col("is_fraud").isNotNull()).groupBy(F.col(score_col)).agg(
-        F.avg(F.col("is_fraud").cast("double")).alias("is_fraud"), F.count(F.lit(1)).cast("double").alias("_points"))
+    known = F.count("is_fraud") == F.count(F.lit(1))  # a null label stays an error
+    points = valid.groupBy(F.col(score_col)).agg(F.when(known, F.avg(F.col("is_fraud").cast("double"))).alias("is_fraud"),
+                                                 F.count(F.lit(1)).cast("double").alias("_points"))
     iso = IsotonicRegression(featuresCol=score_col, labelCol="is_fraud", weightCol="_points", predictionCol="_cal")
     return iso.fit(points)
 

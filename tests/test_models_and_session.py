@@ -133,3 +133,5 @@ def test_isotonic_fit_takes_one_point_a_score(spark):
     plain = IsotonicRegression(featuresCol="raw_score", labelCol="y", predictionCol="want").fit(df.withColumn("y", F.col("is_fraud").cast("double")))
     both = plain.transform(md.calibrate(fit, df)).collect()
     assert all(abs(r.score - r.want) < 1e-12 for r in both)
+    with pytest.raises(Exception, match="Labels MUST NOT be Null"):
+        md.fit_isotonic(df.withColumn("is_fraud", F.when(F.col("tx_id") != "t5", F.col("is_fraud"))))
