@@ -102,6 +102,32 @@ def test_nearest_over_many_tiles_equals_brute_force(spark, monkeypatch):
     assert se.nearest_l2(qdf.limit(0), ref, ["a", "b", "c"]).count() == 0
 
 
+def test_regions_of_the_search_are_opened_by_place(spark):
+    """Tiles of one part of the space lie apart: a query near its neighbours reaches a few of many regions."""
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.exponential(1e5, (8000, 1)), rng.normal(size=(8000, 3))], axis=1)
+    tree = se._Tree(x[::4], 64)
+    region = tree.regions_of(x)
+    assert tree.regions == 64 and np.bincount(region).max() < 3 * len(x) / 64
+    tree.bound(*[np.array([f(x[region == r], axis=0) for r in range(64)]) for f in (np.min, np.max)])
+    q = x[:200]
+    reach = np.sort(((q[:, None] - x[None]) ** 2).sum(2), axis=1)[:, 2]
+    rows, found = tree.reached(q, reach)
+    assert len(rows) < 4 * len(q) and set(zip(range(200), region[:200])) <= set(zip(rows.tolist(), found.tolist()))
+
+
+def test_nearest_without_distances(spark, monkeypatch):
+    """Rows with a null or infinite component come last, by id; a query with one lists the smallest ids."""
+    monkeypatch.setattr(se, "TILE_ROWS", 4)
+    rows = [(f"r{i:02d}", i % 2, float(i), None if i % 5 == 0 else float("inf") if i % 7 == 0 else 1.0) for i in range(20)]
+    ref = spark.createDataFrame(rows, "tx_id string, is_fraud int, a double, b double")
+    q = spark.createDataFrame([("q0", 0, 6.2, 1.0), ("q1", 0, None, 1.0)], ref.schema)
+    got = {(r.query_id, r["rank"]): r.ref_id for r in se.nearest_l2(q, ref, ["a", "b"], k=3).collect()}
+    assert [got["q0", i] for i in (1, 2, 3)] == ["r06", "r08", "r04"] and [got["q1", i] for i in (1, 2, 3)] == ["r00", "r01", "r02"]
+    few = {(r.query_id, r["rank"]): r.ref_id for r in se.nearest_l2(q, ref.where("a < 2"), ["a", "b"], k=3).collect()}
+    assert [few["q0", i] for i in (1, 2)] == ["r01", "r00"] and [few["q1", i] for i in (1, 2)] == ["r00", "r01"] and len(few) == 4
+
+
 def test_previous_rows_match_lag_across_many_pieces(spark):
     """A hot key cut into pieces of time: carried tails reproduce lag(1..k) and lead(1..k) exactly."""
     from pyspark.sql import Window
