@@ -2,7 +2,7 @@
 
 Edges are never produced by self-joining an entity group (a hot merchant
 would explode quadratically).  Links to the previous / next k transactions of
-the same entity come from ``pieces.previous_rows``, which cuts an entity's
+the same entity come from ``pieces.previous_rows``, which cuts a hot entity's
 history into pieces of time, so the edge count is at most ``2 * k`` per
 transaction and entity type and no entity fills a task.
 Neighbour aggregation works in cells of edges: each node's features go once to
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.columns import epoch_micros
-from ledgerlens.operators.pieces import entity, order_keys, piece, previous_rows
+from ledgerlens.operators.pieces import entity, hot_entities, order_keys, piece, previous_rows
 from ledgerlens.sources.io import written
 
 # Entity types linked in the transaction graph.
@@ -30,13 +30,13 @@ DAY_US = 86_400_000_000
 
 
 def _keyed(df: DataFrame) -> DataFrame:
-    return df.select("tx_id", "user_id", "merchant_id", "device_id", "account_id", "timestamp").withColumns(
-        order_keys(epoch_micros("timestamp"))).drop("timestamp")
+    """The columns that links need, written once: every entity type and the count of hot entities read them."""
+    return written(df.select("tx_id", "user_id", "merchant_id", "device_id", "account_id", order_keys(epoch_micros("timestamp"))["_ts"].alias("_ts")), "links")
 
 
-def _links(k: DataFrame, etype: str, col: str, n: int, max_gap_us: int | None, following: bool, places: bool) -> DataFrame:
+def _links(k: DataFrame, etype: str, col: str, n: int, max_gap_us: int | None, following: bool, places: bool, hot: DataFrame) -> DataFrame:
     """Both-direction edges between each tx and its up to ``n`` prior (or following) tx of the entity."""
-    p = previous_rows(k.select("tx_id", col, "_ts", "_id"), col, ["tx_id", "_ts"], n, following)
+    p = previous_rows(k.select("tx_id", col, "_ts"), col, ["tx_id", "_ts"], n, following, hot)
 
     def keep(x: Column) -> Column:
         ok = x["tx_id"].isNotNull()
@@ -55,9 +55,10 @@ def _links(k: DataFrame, etype: str, col: str, n: int, max_gap_us: int | None, f
 
 def _all_links(df: DataFrame, n: int, gap: int | None, following: bool, places: bool = False) -> DataFrame:
     k = _keyed(df)
+    hot = written(hot_entities(k, [col for _, col in ENTITY_KEYS]), "hot")
     out = None
     for etype, col in ENTITY_KEYS:
-        e = _links(k, etype, col, n, gap, following, places)
+        e = _links(k, etype, col, n, gap, following, places, hot)
         out = e if out is None else out.unionByName(e)
     return out
 

@@ -23,6 +23,7 @@ PIECE_US = 28 * 86_400_000_000
 _UNB = Window.unboundedPreceding
 _NO_TIME = -(1 << 60)  # rows without a time come first
 HOT_ROWS = 250_000
+HOT_BUCKETS = 16_384
 WHOLE = -(1 << 50)  # the piece of a history that is not cut
 
 
@@ -204,29 +205,33 @@ def window_scan(df: DataFrame, key: str, windows: dict[str, int], sums: dict[str
     return j.select(*[F.col(f"_row.`{c}`").alias(c) for c in payload], *out)
 
 
-def previous_rows(df: DataFrame, key: str, carry_cols: Sequence[str], k: int, following: bool = False) -> DataFrame:
+def previous_rows(df: DataFrame, key: str, carry_cols: Sequence[str], k: int, following: bool = False, hot: DataFrame | None = None) -> DataFrame:
     """Add ``_prev``: the ``carry_cols`` of the up to ``k`` prior (or following) rows of the key, nearest first.
 
-    ``lag`` works inside a piece; the first ``k`` rows of a piece take the missing ones from the last ``k`` rows of
-    the pieces before (at most ``k`` pieces of ``k`` rows).
+    ``df`` needs ``_ts``, and ``_id`` or ``tx_id``.  Histories stay whole, those of ``hot`` entities (``hot_entities`` of
+    the key by default) are cut: ``lag`` works inside a piece, and the first ``k`` rows of a piece take the missing ones
+    from the last ``k`` rows of the pieces before (at most ``k`` pieces of ``k`` rows).
     """
-    tok = _tokens([key])
+    hot = hot_entities(df, [key]) if hot is None else hot
     ords = [F.col(c).desc() if following else F.col(c).asc() for c in ("_ts", "_id")]
     p_ord = F.col("_p").desc() if following else F.col("_p").asc()
-    d = df.withColumns({**tok, "_p": piece()}).repartition("_k0", "_p")
-    w = Window.partitionBy("_k0", "_p").orderBy(*ords)
+    d = gather(df, key, F.col("_ts"), hot).drop("_e")
+    if "_id" not in df.columns:  # follows from a column that is exchanged anyway
+        d = d.withColumns({"_id": order_keys(F.col("_ts"))["_id"]})
+    w = Window.partitionBy(key, "_p").orderBy(*ords)
     item = lambda off: F.struct(*[F.lag(c, off).over(w).alias(c) for c in carry_cols])
     local = d.select("*", F.row_number().over(w).alias("_li"), F.array(*[item(o) for o in range(1, k + 1)]).alias("_lags"))
-    back = Window.partitionBy("_k0", "_p").orderBy(*[F.col(c).asc() if following else F.col(c).desc() for c in ("_ts", "_id")])
-    tails = (d.select("_k0", "_p", F.row_number().over(back).alias("_i"), *carry_cols).where(F.col("_i") <= k)
-             .groupBy("_k0", "_p").agg(F.sort_array(F.collect_list(F.struct("_i", *carry_cols))).alias("_t")))
-    wc = Window.partitionBy("_k0").orderBy(p_ord).rowsBetween(-k, -1)
-    carry = tails.select(F.col("_k0").alias("_c_k0"), F.col("_p").alias("_c_p"),
-                         F.flatten(F.reverse(F.collect_list("_t").over(wc))).alias("_carry"))
-    j = _join(local, carry, ["_k0"])
+    back = Window.partitionBy(key, "_p").orderBy(*[F.col(c).asc() if following else F.col(c).desc() for c in ("_ts", "_id")])
+    # one condition with the row number: it stays above the exchange, which both branches then share
+    tails = (d.select(entity(key).alias("_ch"), "_p", F.row_number().over(back).alias("_i"), *carry_cols)
+             .where(F.when(F.col("_p") != WHOLE, F.col("_i")) <= k)
+             .groupBy("_ch", "_p").agg(F.sort_array(F.collect_list(F.struct("_i", *carry_cols))).alias("_t")))
+    wc = Window.partitionBy("_ch").orderBy(p_ord).rowsBetween(-k, -1)
+    carry = tails.select("_ch", F.col("_p").alias("_cp"), F.slice(F.flatten(F.reverse(F.collect_list("_t").over(wc))), 1, k).alias("_carry"))
+    j = local.join(F.broadcast(carry), (entity(key) == F.col("_ch")) & (F.col("_p") == F.col("_cp")), "left")  # k rows a piece of a hot entity
     inside = F.slice(F.col("_lags"), 1, F.least(F.col("_li") - 1, F.lit(k)).cast("int"))
     earlier = F.transform(F.coalesce(F.col("_carry"), F.array()), lambda x: F.struct(*[x[c].alias(c) for c in carry_cols]))
-    return j.withColumn("_prev", F.slice(F.concat(inside, earlier), 1, k)).drop("_k0", "_p", "_li", "_lags", "_carry")
+    return j.withColumn("_prev", F.slice(F.concat(inside, earlier), 1, k)).drop("_ch", "_cp", "_p", "_li", "_lags", "_carry")
 
 
 # ---------------------------------------------------------------- whole histories, hot ones in pieces
@@ -237,9 +242,16 @@ def entity(key: str) -> Column:
 
 
 def hot_entities(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
-    """(_h): the entities of every kind in ``keys`` with more than ``rows`` rows; there are at most rows / ``rows`` a kind."""
-    n = df.select(F.explode(F.array(*[entity(k) for k in keys])).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_hn"))
-    return n.where(F.col("_hn") > (HOT_ROWS if rows is None else rows)).select("_h")
+    """(_h): the entities of every kind in ``keys`` with more than ``rows`` rows; there are at most rows / ``rows`` a kind.
+
+    Buckets of entities are counted first: only entities of a bucket with so many rows are counted one by one.
+    """
+    most = HOT_ROWS if rows is None else rows
+    each = df.select(F.explode(F.array(*[entity(k) for k in keys])).alias("_h"))
+    each = each.withColumn("_b", F.pmod(F.xxhash64("_h"), F.lit(HOT_BUCKETS)).cast("int"))
+    full = each.groupBy("_b").agg(F.count(F.lit(1)).alias("_bn")).where(F.col("_bn") > most).select("_b")
+    n = each.join(F.broadcast(full), "_b", "left_semi").groupBy("_h").agg(F.count(F.lit(1)).alias("_hn"))
+    return n.where(F.col("_hn") > most).select("_h")
 
 
 def hot_totals(df: DataFrame, keys: Sequence[str], hot: DataFrame, sums: Sequence[str]) -> DataFrame:

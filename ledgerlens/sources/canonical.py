@@ -46,6 +46,11 @@ def tx_events(spark: SparkSession, sf_dir: str, extra: list[Column] | None = Non
     )
 
 
+def _order_lines(li: DataFrame, od: DataFrame, cu: DataFrame) -> DataFrame:
+    """Lines with their order and its customer.  Orders meet customers first, so that the lines are exchanged once."""
+    return li.join(od.join(cu, od.o_custkey == cu.c_custkey), li.l_orderkey == od.o_orderkey)
+
+
 def tx_lineitem_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem joined to its order and customer; ``tx_id`` is NOT unique here.
 
@@ -58,7 +63,7 @@ def tx_lineitem_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_extendedprice", "l_returnflag", "l_shipdate")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
-    j = li.join(od, li.l_orderkey == od.o_orderkey).join(cu, F.col("o_custkey") == cu.c_custkey)
+    j = _order_lines(li, od, cu)
     ck = F.col("o_custkey")
     return j.select(
         F.concat(_txt("l_orderkey"), F.lit("-"), _txt("l_linenumber")).alias("tx_id"),
@@ -105,7 +110,7 @@ def raw_government(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag", "l_shipdate")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
-    j = li.join(od, li.l_orderkey == od.o_orderkey).join(cu, F.col("o_custkey") == cu.c_custkey)
+    j = _order_lines(li, od, cu)
     ok, ln, ck = F.col("l_orderkey"), F.col("l_linenumber"), F.col("o_custkey")
     price = F.col("l_extendedprice")
     amount_text = (F.when(ok % 61 == 0, F.lit("n/a"))
@@ -165,7 +170,7 @@ def healthcare_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    j = li.join(od, li.l_orderkey == od.o_orderkey).join(cu, F.col("o_custkey") == cu.c_custkey)
+    j = _order_lines(li, od, cu)
     return j.select(
         F.concat(F.lit("clm_"), _txt("l_orderkey"), F.lit("-"), _txt("l_linenumber")).alias("claim_id"),
         F.concat(F.lit("pat_"), _txt("o_custkey")).alias("patient_id"),
@@ -182,7 +187,7 @@ def ieee_cis_source(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag", "l_shipdate")
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cu = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    j = li.join(od, li.l_orderkey == od.o_orderkey).join(cu, F.col("o_custkey") == cu.c_custkey)
+    j = _order_lines(li, od, cu)
     secs = F.timestamp_diff("SECOND", F.lit("1995-01-01 00:00:00").cast("timestamp_ntz"),
                             F.col("l_shipdate").cast("timestamp_ntz")) + F.col("l_linenumber") * 60
     return j.select(

@@ -143,6 +143,25 @@ def test_previous_rows_match_lag_across_many_pieces(spark):
             assert got[r.tx_id] == [x for x in r.want if x is not None]
 
 
+def test_previous_rows_exchange_the_frame_and_a_piece_number(spark, monkeypatch):
+    """Only hot entities (found by buckets) are cut; the order key ``_id`` is made after the exchange; null keys are an entity."""
+    from pyspark.sql import Window
+
+    from ledgerlens.operators import pieces as pc
+    monkeypatch.setattr(pc, "HOT_ROWS", 60)
+    monkeypatch.setattr(pc, "HOT_BUCKETS", 2)
+    rows = [(f"t{i:04d}", ("hot", None, f"k{i % 40}")[i % 3], (i * 7919) % 1000) for i in range(400)]
+    df = spark.createDataFrame(rows, "tx_id string, key string, ts long")
+    keyed = df.withColumn("_ts", F.col("ts") * (pc.PIECE_US // 7))
+    assert sorted(r._h for r in pc.hot_entities(keyed, ["key"]).collect()) == ["key=khot", "key=n"]
+    w = Window.partitionBy("key").orderBy("ts", "tx_id")
+    for following, fn in ((False, F.lag), (True, F.lead)):
+        found = pc.previous_rows(keyed, "key", ["tx_id"], 9, following)
+        got = {r.tx_id: [p.tx_id for p in r._prev] for r in found.collect()}
+        for r in df.select("tx_id", F.array(*[fn("tx_id", o).over(w) for o in range(1, 10)]).alias("want")).collect():
+            assert got[r.tx_id] == [x for x in r.want if x is not None]
+
+
 def test_triangles_by_coloured_cells(spark):
     import itertools
     import random
