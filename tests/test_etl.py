@@ -123,3 +123,34 @@ def test_written_layers_are_compressed(spark, tmp_path):
     assert parts and all(p.name.endswith(".zstd.parquet") for p in parts)
     assert sum(p.stat().st_size for p in parts) < 2000 * 50  # a hash alone has 64 characters
     assert sorted(io.read_source(spark, path).collect()) == sorted(df.collect())
+
+
+def test_text_sources_are_compressed(spark, tmp_path):
+    from ledgerlens.sources import io
+    df = spark.createDataFrame([("a", 1.5), ("", None)], "x string, y double")
+    for kind in ("csv", "json"):
+        path = io.write_source(df, f"{tmp_path}/t.{kind}")
+        assert all(f.name.endswith(f".{kind}.gz") for f in (tmp_path / f"t.{kind}").glob("part-*"))
+        back = io.read_source(spark, path, schema=df.schema, options=io.CSV_READ_OWN)
+        assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+
+
+def test_layers_build_gold_once_with_hashes_as_bytes(spark, monkeypatch):
+    import ledgerlens.operators.features as fx
+    from ledgerlens.plans import q_etl
+
+    seen, base, build = [], [], fx.gold_features
+    monkeypatch.setattr(fx, "gold_features", lambda df: seen.append(dict(df.dtypes)) or build(df))
+    fresh = q_etl.io.fresh_dir
+    monkeypatch.setattr(q_etl.io, "fresh_dir", lambda s, label: base.append(fresh(s, label)) or base[-1])
+    rows = [(f"t{i}", f"u{i % 3}", "m", "d", "a", float(i), f"2024-01-0{1 + i % 5}T00:00:00", f"n{i}", None) for i in range(12)]
+    raw = spark.createDataFrame(rows, "transaction_id string, beneficiary_id string, vendor_id string, endpoint_id string, "
+                                      "payment_account_id string, amount double, event_time string, full_name string, taxpayer_id string")
+    monkeypatch.setattr(q_etl.cn, "raw_government", lambda s, d: raw)
+    silver = q_etl.write_layers(spark, "")
+    assert [t for c, t in seen[0].items() if c.endswith("_hash")] == ["binary"] * 3 and len(seen) == 1
+    hashes = ["tx_id", "full_name_hash", "taxpayer_id_hash", "record_hash"]
+    want = sorted(map(str, silver.select(hashes).collect()))
+    lake = next(b for b in base if "lake" in b)
+    for path in (f"{lake}/gold", f"{lake}/current/features.parquet"):
+        assert sorted(map(str, spark.read.parquet(path).select(hashes).collect())) == want
