@@ -55,8 +55,13 @@ def store(spark, sf):
     txs = d.select("decision_id", F.to_json(au.payload_struct()).alias("payload_json"),
                    F.col("timestamp").alias("created_at"))
     rep = au.audit_reports(d).select(*au.report_columns())
-    body = F.struct(*[c for c in sorted(rep.columns) if c != "markdown"])
-    return d, preds, txs, rep.select("decision_id", F.to_json(body).alias("report_json"), "markdown")
+    return d, preds, txs, rep.select("decision_id", report_json(), "markdown")
+
+
+def report_json():
+    """All report columns but the markdown, in the order of their names."""
+    return F.to_json(F.struct("confidence", "counterfactual_summary", "decision_id", "decision_outcome", "explanation", "fraud_probability",
+                              "replay_instructions", "top_drivers")).alias("report_json")
 
 
 def features_table(d):
@@ -310,10 +315,25 @@ def redact_json(spark, sf):
 FROM ({PRED_SQL}) p JOIN ({TXS_SQL}) t USING (decision_id) JOIN ({REP_SQL}) r USING (decision_id)""")
 def decision_fetch(spark, sf):
     """Payload + prediction + report; a decision missing any of them is not found (inner joins)."""
-    _, preds, txs, rep = store(spark, sf)
-    return preds.select("decision_id", "prediction_json").join(txs.select("decision_id", "payload_json"), "decision_id") \
-        .join(rep.select("decision_id", "report_json"), "decision_id") \
-        .select("decision_id", "payload_json", "prediction_json", "report_json")
+    return fetched(decisions(spark, sf))
+
+
+def fetched(d):
+    """The stored parts of every decision, joined by its id as bytes; texts that follow from a part are written out at the end."""
+    key = F.unhex("decision_id").alias("_k")
+    preds = d.select(key, F.struct("score", "confidence", "confidence_band", "explanation", "raw_score").alias("_p"))
+    txs = d.select(key, F.struct(*au.PAYLOAD_FIELDS).alias("_t"))
+    rules = [c for c, _, _ in au.COUNTERFACTUAL_RULES]
+    reps = d.select(key, F.struct("score", "confidence", "confidence_band", "top_drivers", *rules).alias("_r"))
+    sorted_ = lambda df: df.hint("merge")  # noqa: E731 - all three grow with the decisions
+    j = preds.join(sorted_(txs), "_k").join(sorted_(reps), "_k").withColumn("decision_id", F.lower(F.hex("_k")))
+    j = j.select("decision_id", "_p", "_r", "_t.*").select("decision_id", "_p", "_r", F.to_json(au.payload_struct()).alias("payload_json"))
+    j = j.select("decision_id", "_r", "payload_json", "_p.*").select(
+        "decision_id", "_r", "payload_json", F.to_json(au.prediction_struct()).alias("prediction_json"))
+    j = j.select("decision_id", "payload_json", "prediction_json", "_r.*").withColumn(
+        "explanation", au.explanation_text(F.col("confidence_band"), F.col("top_drivers"), F.col("score")))
+    texts = ["payload_json", "prediction_json"]
+    return au.audit_reports(j).select(*texts, *au.report_columns()).select("decision_id", *texts, report_json())
 
 
 @query("recent_decisions", f"""SELECT p.decision_id, p.model_run_id, json_extract_string(p.prediction_json, '$.decision') AS decision,
